@@ -1,12 +1,56 @@
-"""Corpus pipeline: STAGES applied to documents one after the other."""
+"""Corpus pipeline: five stages applied to documents one after the other.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a frame; all but
+the last return the columns of documents. SQL cannot express the stages, so ORACLE_SQL is None and the tests
+hold run() against a plain version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pellucid.llm.byte_bpe import roundtrip
+from pellucid.llm.decontaminate import drop_leaks
+from pellucid.llm.line_dedup import dedup_lines
+from pellucid.llm.ngram_join import keep_one
+from pellucid.llm.quality import keep_quality, train
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more; the classifier learns from all labels of documents that are in docs."""
+    return keep_quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), 0.7)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that five or more of them share; n_chars follows the text."""
+    found = dedup_lines(docs).select(F.col("doc_id").alias("__id"), F.col("text").alias("__was"), F.col("kept").alias("__kept"), F.col("n_dropped").alias("__n")).where("__n > 0").distinct()
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text").eqNullSafe(F.col("__was")), "left")
+    text = F.coalesce("__kept", "text")
+    return joined.select(*[{"text": text, "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))}.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8 or more), that of the smallest id."""
+    return keep_one(docs, 5, 0.8)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a benchmark item."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to."""
+    return roundtrip(docs)
+
+
+STAGES = [("quality", quality), ("line_dedup", lines), ("near_copies", near_copies), ("decontaminate", decontaminated), ("byte_bpe", encoded)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -71,5 +71,30 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_byte_bpe, op5_mpeg_audio, op7_kd_sharding, op9_quality)}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pellucid.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pellucid.llm.suffix_dedup import remove_repeats
+
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pellucid.llm.lm_scoring import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pellucid.llm.ngram_join import ngram_components
+
+    return ngram_components(_table(spark, sf_dir, "documents"), 4, 0.85)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_byte_bpe, op4_decontaminate, op5_mpeg_audio, op6_suffix_dedup, op7_kd_sharding, op8_lm_scoring, op9_quality, op10_ngram_join)}
 SQL = {"op2_line_dedup": OP2_SQL}

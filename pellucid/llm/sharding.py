@@ -87,12 +87,12 @@ def _grow(units: DataFrame, n_shards: int) -> dict:
                 tree[first, k] = (0, 0.5, k // 2)
                 continue
             dim = max(range(3), key=lambda i: r[f"hi{i}"] - r[f"lo{i}"])
-            open_[first] = [k, dim, r[f"lo{dim}"], r[f"hi{dim}"] + 1e-12, r["weight"] * (k // 2) / k]
+            open_[first] = [k, dim, r[f"lo{dim}"], r[f"hi{dim}"] + 1e-12, r["weight"] * (k // 2) / k, 0.0]
         for _ in range(ROUNDS):
             if not open_:
                 break
             cell = F.lit(None)
-            for first, (_k, dim, lo, hi, _w) in open_.items():
+            for first, (_k, dim, lo, hi, _w, _c) in open_.items():
                 cell = F.when(F.col("node") == first, F.floor((F.col(f"d{dim}") - lo) / ((hi - lo) or 1.0) * CELLS)).otherwise(cell)
             sums: dict = {}
             for r in at.select("node", "weight", cell.cast("long").alias("cell")).where((F.col("cell") >= 0) & (F.col("cell") < CELLS)).groupBy("node", "cell").agg(F.sum("weight").alias("w")).collect():
@@ -104,9 +104,11 @@ def _grow(units: DataFrame, n_shards: int) -> dict:
                         break
                     below += w
                 x[4] -= below
+                x[5] = w
                 x[2], x[3] = x[2] + c * step, x[2] + (c + 1) * step
-        for first, (k, dim, lo, hi, _w) in open_.items():
-            tree[first, k] = (dim, (lo + hi) / 2, k // 2)
+        for first, (k, dim, lo, hi, w, last) in open_.items():
+            # what lies in the last cell goes to the side that it leaves nearer to its share
+            tree[first, k] = (dim, lo if w < last / 2 else hi, k // 2)
         level = [y for first, k in level for y in ((first, k // 2), (first + k // 2, k - k // 2))]
     return tree
 
