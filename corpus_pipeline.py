@@ -24,10 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that five or more of them share; n_chars follows the text."""
-    found = dedup_lines(docs).select(F.col("doc_id").alias("__id"), F.col("text").alias("__was"), F.col("kept").alias("__kept"), F.col("n_dropped").alias("__n")).where("__n > 0").distinct()
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text").eqNullSafe(F.col("__was")), "left")
-    text = F.coalesce("__kept", "text")
-    return joined.select(*[{"text": text, "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))}.get(c, F.col(c)).alias(c) for c in docs.columns])
+    found = dedup_lines(docs, carry=True)
+    count = F.when(F.col("n_dropped") == 0, F.col("row.n_chars")).otherwise(F.char_length("kept").cast("long"))
+    text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept"))
+    return found.select(*[{"text": text, "n_chars": count}.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

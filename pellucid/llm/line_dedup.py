@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pellucid.llm._common import SPACES, ascii_lower, pick
+from pellucid.llm._common import SPACES, ascii_lower
 
 
 def line_key(line):
@@ -20,7 +20,7 @@ def _hashed(rows: DataFrame, min_chars: int) -> DataFrame:
     return rows.withColumn("hashes", F.transform("lines", lambda x: F.when(F.char_length(key(x)) >= min_chars, F.unhex(F.md5(key(x).cast("binary"))))))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, carry: bool = False) -> DataFrame:
     """Drops lines that at least `min_docs` documents share, except in the document with the largest id.
 
     Lines are exploded with their positions, their normalised keys hashed, distinct documents counted for
@@ -28,12 +28,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     third of the rows holds is counted before the shuffle and joined through Spark's skew join; only digests,
     ids and positions are dealt by key, texts only by document.
 
-    Returns doc_id, text (what was given), kept (what stays), n_lines, n_dropped. Null or empty text: one
+    Returns doc_id, text (what was given), kept (what stays), n_lines, n_dropped; with carry, also `row`: the
+    other columns of the input as a struct. Null or empty text: one
     empty line, kept is the empty string. A null id counts as one document smaller than all others. Rows
     repeated with the same id and text get the same result each; they count as one document. Other columns
     of the input are not looked at. An empty table gives an empty result.
     """
-    rows = pick(docs, id_col, text_col).withColumn("did", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("th", F.xxhash64("text"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col] if carry else []
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.struct(*rest).alias("row")] if carry else []))
+    rows = own.withColumn("did", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("th", F.xxhash64("text"))
     lines = (
         _hashed(rows, min_chars).select("did", "th", F.posexplode("hashes").alias("pos", "h")).where(F.col("h").isNotNull())
     )
@@ -45,5 +48,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
     kept = F.when(F.col("lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
     return found.select(
-        "doc_id", "text", kept.alias("kept"), F.size("lines").cast("long").alias("n_lines"), F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_dropped")
+        "doc_id", "text", kept.alias("kept"), F.size("lines").cast("long").alias("n_lines"), *(["row"] if carry else []), F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_dropped")
     )
