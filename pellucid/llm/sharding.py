@@ -11,18 +11,15 @@ from pellucid.llm._common import Stored, pick
 CELLS, ROUNDS = 1024, 3
 
 
-def _units(rows: DataFrame, most_bytes: float) -> DataFrame:
-    """A row for each group of equal texts, or for each part of a group that is heavier than most_bytes.
+def _units(rows: DataFrame) -> DataFrame:
+    """A row for each group of equal texts, or for each part of a heavy group.
 
-    Columns: h1, h2 (digest of the text), part, weight and the coordinates d0.. in [0, 1).
+    Columns: h1, h2 (digest of the text), part, weight and the metadata m0.. with a spread in [0, 1) for ties.
     """
-    groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.min("size").alias("doc_size"), F.min("n_chars").alias("n_chars"), F.min("n_lines").alias("n_lines"))
-    groups = groups.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("bytes") / most_bytes)).cast("int"))
-    units = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    units = units.withColumn("weight", F.col("bytes") / F.col("parts"))
+    units = rows.groupBy("h1", "h2", "part").agg(F.sum("size").alias("weight"), F.min("size").alias("doc_size"), F.min("n_chars").alias("n_chars"), F.min("n_lines").alias("n_lines"))
     # ties in a dimension are settled by the digest, so that every weighted median can be hit
     spread = (F.pmod(F.xxhash64("h1", "h2", "part"), F.lit(1 << 20)) / float(1 << 20)).alias("spread")
-    return units.select("h1", "h2", "part", "parts", "weight", F.log2(F.col("doc_size") + 1.0).alias("m0"), (F.col("n_chars") / F.greatest(F.col("doc_size"), F.lit(1))).alias("m1"), F.log2(F.col("n_lines") + 1.0).alias("m2"), spread)
+    return units.select("h1", "h2", "part", F.col("weight").cast("double").alias("weight"), F.log2(F.col("doc_size") + 1.0).alias("m0"), (F.col("n_chars") / F.greatest(F.col("doc_size"), F.lit(1))).alias("m1"), F.log2(F.col("n_lines") + 1.0).alias("m2"), spread)
 
 
 def kd_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, parts_of_a_leaf: int = 16) -> DataFrame:
@@ -48,15 +45,15 @@ def kd_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_
     rows = stored.df
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
-    units = Stored(_scaled(_units(rows, max(1.0, total / n_shards / parts_of_a_leaf))), "shard-units")
+    most = max(1.0, total / n_shards / parts_of_a_leaf)
+    # a heavy group has more than 1 / (n_shards * parts_of_a_leaf) of all bytes: there are no more of them than that
+    heavy = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most).select("h1", "h2", F.ceil(F.col("bytes") / most).alias("parts"))
+    rows = rows.join(F.broadcast(heavy), ["h1", "h2"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")), F.lit(0)).cast("int"))
+    units = Stored(_scaled(_units(rows)), "shard-units")
     tree = _grow(units.df, n_shards)
     placed = units.df.select("h1", "h2", "part", _place(tree, 0, n_shards).alias("shard"))
-    # each heavy group has more than 1 / (n_shards * parts_of_a_leaf) of all bytes: there are no more of them than that
-    heavy = units.df.where("parts > 1 and part = 0").select("h1", "h2", "parts")
-    dealt = rows.join(F.broadcast(heavy), ["h1", "h2"], "left")
-    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")), F.lit(0)).cast("int"))
     blocks = count // (n_shards * 50_000) + 1
-    dealt = dealt.join(placed, ["h1", "h2", "part"]).select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = rows.join(placed, ["h1", "h2", "part"]).select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(blocks)).cast("int").alias("block"))
     return _slots(dealt)
 
 
@@ -69,7 +66,7 @@ def _scaled(units: DataFrame) -> DataFrame:
         grain = 1e-4  # values closer than this count as tied
         at = F.floor((F.col(f"m{i}") - lo) / (width or 1.0) / grain) * grain
         out = out.withColumn(f"d{i}", (at + F.col("spread") * grain) / (1 + grain))
-    return out.select("h1", "h2", "part", "parts", "weight", "d0", "d1", "d2")
+    return out.select("h1", "h2", "part", "weight", "d0", "d1", "d2")
 
 
 def _grow(units: DataFrame, n_shards: int) -> dict:
