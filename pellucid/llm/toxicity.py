@@ -56,7 +56,8 @@ def fold(text: str) -> str:
     text = text.lower()
     if any(x in text for x in _SIGNS):
         text = _INSIDE.sub(lambda m: _SIGNS[m[0]], text)
-    return f" {_GAPS.sub(' ', text.translate(_table())).strip()} "
+    words = _GAPS.sub(" ", text.translate(_table())).strip()
+    return f" {words} " if words else " "
 
 
 @dataclass(frozen=True)
