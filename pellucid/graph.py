@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,15 +22,20 @@ class NodeSet:
     """Nodes of one table: `id` (string) and a column for each property; a null property does not exist.
 
     labels: those that every node has. Further labels stand in a column `labels` (array of strings), whose
-    possible values `optional` lists: the catalogue knows them even where no node carries them.
+    possible values `optional` lists: the catalogue knows them even where no node carries them. The table may
+    be given as a function: it is then opened only when a plan needs it.
     """
 
     labels: tuple[str, ...]
-    df: DataFrame
+    table: DataFrame | Callable[[], DataFrame]
     optional: tuple[str, ...] = ()
     keys: tuple[str, ...] = ()
 
-    @property
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.table() if callable(self.table) else self.table
+
+    @cached_property
     def properties(self) -> list[str]:
         return [c for c in self.df.columns if c not in NODE_OWN]
 
@@ -43,9 +49,13 @@ class RelSet:
     """Relationships of one type: `id`, `src`, `dst` (strings) and a column for each property."""
 
     type: str
-    df: DataFrame
+    table: DataFrame | Callable[[], DataFrame]
 
-    @property
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.table() if callable(self.table) else self.table
+
+    @cached_property
     def properties(self) -> list[str]:
         return [c for c in self.df.columns if c not in REL_OWN]
 
@@ -75,7 +85,10 @@ class PropertyGraph:
 
     def require(self, labels=(), types=(), properties=()) -> None:
         """Unknown names are an error, not an empty population; an empty graph lets them pass where allowed by the caller."""
-        missing = [[x for x in asked if x is not None and x not in known] for asked, known in ((labels, self.labels), (types, self.types), (properties, self.property_keys))]
+        missing = [[x for x in asked if x is not None and x not in known] for asked, known in ((labels, self.labels), (types, self.types))]
+        near = lambda s: not (set(getattr(s, "labels", ())) | set(getattr(s, "optional", ())) | {getattr(s, "type", None)}) & ({*labels, *types} - {None})
+        sets = sorted((*self.node_sets, *self.rel_sets), key=near)  # tables that are asked for first: others need not be opened
+        missing.append([p for p in properties if not any(p in s.properties for s in sets)])
         if any(missing):
             raise SchemaReferenceMissing(*missing)
 
