@@ -12,6 +12,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +118,17 @@ def sample_of(labels: DataFrame, label_col: str, most: int, id_col: str = "doc_i
     return rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def _families(batches):
+    """Two smallest word digests of each document: near copies share them, so that a group of copies counts about once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
+    for part in slices(batches):
+        found = []
+        for text in texts(part):
+            words = [w.encode() for w in set(fold(text).split())]
+            found.append([min((xxhash.xxh3_64_intdigest(w, seed) for w in words), default=0) - (1 << 63) for seed in (1, 2)])
+        yield to_batch(schema, {"doc_id": part.column(0), "f1": [a for a, _ in found], "f2": [b for _, b in found]})
+
+
 def _patterns(folded: str) -> set[str]:
     out = set()
     for w in set(folded.split()):
@@ -129,6 +141,7 @@ def _patterns(folded: str) -> set[str]:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", seeds=SEEDS, exceptions=EXCEPTIONS, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns weights from at most sample_rows labelled documents (a fixed bound; smallest id hashes).
 
+    Near copies count once: else a word of one toxic text that was copied often would look toxic itself.
     Words and word starts are counted by toxic and other documents where the texts lie; only entries whose
     evidence passes the threshold come to the driver (ENTRIES at most, the strongest). Phrases around hits in
     documents that are not toxic become exceptions. The score's curve over the length-normalised sum is
@@ -136,7 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """
     spark = docs.sparkSession
     chosen = F.broadcast(sample_of(labels, label_col, sample_rows))  # at most sample_rows pairs of numbers
-    rows = pick(docs, id_col, text_col).join(chosen, "doc_id").select("text", "y")
+    sampled = pick(docs, id_col, text_col).join(chosen, "doc_id").select("doc_id", "text", "y")
+    once = sampled.mapInArrow(_families, "doc_id long, f1 long, f2 long").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = sampled.join(F.broadcast(once), "doc_id", "left_semi").select("text", "y")  # sample_rows ids at most
     n, toxic = rows.agg(F.count("*"), F.sum("y")).first()
     seeded = {f" {fold(w).strip()} ": SEED_WEIGHT for w in seeds}
     if not n or not toxic or toxic == n:
