@@ -16,12 +16,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pellucid.llm._common import Stored, free_shuffles, pick, slices, texts, to_batch
 from pellucid.llm.components import components
 
+#: Documents of a block when a group is opened.
+BLOCK = 256
 #: Salts tried until a document's parts have few enough empty ones.
 SALTS = 24
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -66,28 +68,37 @@ class Shingler:
 
 
 @lru_cache(64)
-def levels(share: Fraction, most: int) -> list[tuple[int, int, int, int]]:
-    """(smallest size, largest size, parts, empty parts allowed) of each level of set sizes, as far as `most`."""
+def levels(share: Fraction, most: int) -> list[tuple[int, int, int]]:
+    """(smallest size, largest size, parts) of each level of set sizes, as far as `most`.
+
+    Two linked sets of a level differ in at most (1 - share) / (1 + share) of their sizes' sum; there are more
+    parts than that, by a tenth and one.
+    """
     out, low = [], 1
     while low <= most:
         high = max(low, int(low / share / share))
         differ = int((1 - share) / (1 + share) * 2 * high)
-        spare = 0 if differ < 8 else 1 + differ // 32
-        out.append((low, high, differ + 1 + spare, spare))
+        out.append((low, high, differ + 1 + differ // 10))
         low = high + 1
     return out
 
 
-def signatures(shingles: np.ndarray, share: Fraction) -> np.ndarray:
-    """Digests of a set's parts at its own level and, where a larger partner may be, at the next."""
+def signatures(shingles: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of a set's parts at its own level and, where a larger partner may be, at the next; and their rules.
+
+    Salts are tried until the set is sure to agree with every linked set in at least one part that is not
+    empty. A rule is 2 * (parts in which a linked set agrees at least) + (level modulo 2) under that last
+    salt, and 0 or 1 under the others.
+    """
     size = len(shingles)
-    out = []
+    out, rules = [], []
     table = levels(share, 1 << (max(1, size) * 2).bit_length())
-    for level, (low, high, parts, spare) in enumerate(table):
+    for level, (low, high, parts) in enumerate(table):
         if low > size / share:
             break
         if size > high or size < low and size < share * low:
             continue
+        differ = int((1 - share) / (1 + share) * (size + min(high, int(size / share))))
         for salt in range(SALTS):
             mixed = _mix(shingles + _salt(level * 1_000_003 + salt * 7919 + 1))
             part = (mixed >> np.uint64(33)) % np.uint64(parts)
@@ -96,17 +107,23 @@ def signatures(shingles: np.ndarray, share: Fraction) -> np.ndarray:
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             sums = np.add.reduceat(_mix(mixed[order] ^ _B), first)
             out.append(_mix(sums + (part[first] + np.uint64(1)) * _A + np.uint64(level * SALTS + salt)))
-            if parts - len(first) <= spare:
+            sure = len(first) - differ  # parts that agree, less the empty ones
+            rules.append(np.full(len(first), 2 * max(0, sure) + level % 2, np.int32))
+            if sure >= 1:
                 break
         else:  # no salt will do: the empty parts count as parts too, for the few documents that come this far
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
             out.append(_mix((empty + np.uint64(1)) * _A + np.uint64(level * SALTS + SALTS - 1)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            rules.append(np.full(len(empty), level % 2, np.int32))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    return np.concatenate(out), np.concatenate(rules)
 
 
 SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
-SIGNED = pa.schema([("sig", pa.int64()), ("doc", pa.int64())])
-MET = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("leader", pa.int64())])
+SIGNED = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("rule", pa.int32()), ("n", pa.int32())])
+SIGNED_SQL = "sig long, doc long, rule int, n int"
+MET = pa.schema([*SIGNED, ("leader", pa.int64())])
 TOKENS = pa.schema([("doc", pa.int64()), ("set", pa.list_(pa.int64()))])
 
 
@@ -127,12 +144,12 @@ def _sets(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _signed(rows: DataFrame, n: int, share: Fraction) -> DataFrame:
-    """sig, doc: a row for each part of each document, once for equal sets that lie close together."""
+    """sig, doc, rule, n: a row for each part of each document, once for equal sets that lie close together."""
 
     def run(batches):
         shingler, seen = Shingler(n), set()
         for part in slices(batches):
-            sigs, docs = [], []
+            sigs, docs, rules, sizes = [], [], [], []
             for doc, text in zip(part.column(0).to_pylist(), texts(part)):
                 s = shingler(text)
                 if doc is None or not len(s) or (print_ := _digest(s)) in seen:
@@ -140,27 +157,44 @@ def _signed(rows: DataFrame, n: int, share: Fraction) -> DataFrame:
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(print_)
-                sigs.append(signatures(s, share).view(np.int64))
-                docs.append(np.full(len(sigs[-1]), doc, np.int64))
+                sig, rule = signatures(s, share)
+                sigs.append(sig.view(np.int64))
+                rules.append(rule)
+                docs.append(np.full(len(sig), doc, np.int64))
+                sizes.append(np.full(len(sig), len(s), np.int32))
             if sigs:
-                yield to_batch(SIGNED, {"sig": np.concatenate(sigs), "doc": np.concatenate(docs)})
+                yield to_batch(SIGNED, {k: np.concatenate(x) for k, x in (("sig", sigs), ("doc", docs), ("rule", rules), ("n", sizes))})
 
-    return rows.mapInArrow(run, "sig long, doc long")
+    return rows.mapInArrow(run, SIGNED_SQL)
 
 
 def _meet(batches):
-    """Rows sorted by sig and doc: every row after the first of a sig, with the first as its leader."""
-    last_sig, leader = None, None
+    """Rows sorted by sig and doc: those whose sig another document has too, with the first document as leader."""
+    held, last_sig, leader = None, None, None  # the last row waits for the next one
+
+    def out(columns, upto):
+        nonlocal last_sig, leader
+        sig, doc = columns[0], columns[1]
+        begins = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
+        ends = np.concatenate([begins[1:], [True]])
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(sig)), -1))
+        lead = np.where(at >= 0, doc[np.maximum(at, 0)], leader if leader is not None else 0)
+        keep = ~(begins & ends)
+        keep[upto:] = False
+        if upto:
+            last_sig, leader = sig[upto - 1], lead[upto - 1]
+        return to_batch(MET, dict(zip(MET.names, (x[keep] for x in (*columns, lead)))))
+
     for part in batches:
         if not part.num_rows:
             continue
-        sig, doc = np.asarray(part.column(0)), np.asarray(part.column(1))
-        new = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        lead = np.where(at >= 0, doc[np.maximum(at, 0)], leader if leader is not None else 0)
-        last_sig, leader = sig[-1], lead[-1]
-        keep = ~new & (lead != doc)
-        yield to_batch(MET, {"sig": sig[keep], "doc": doc[keep], "leader": lead[keep]})
+        columns = [np.asarray(part.column(i)) for i in range(4)]
+        if held is not None:
+            columns = [np.concatenate([h, x]) for h, x in zip(held, columns)]
+        held = [x[-1:] for x in columns]
+        yield out(columns, len(columns[0]) - 1)
+    if held is not None:
+        yield out(held, 1)
 
 
 def _tokens(rows: DataFrame, n: int) -> DataFrame:
@@ -179,25 +213,105 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     return both.where(common * share.denominator >= (F.size("sa") + F.size("sb") - common) * share.numerator).select("a", "b")
 
 
+def _led(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a document and a leader that it meets in a good part of its places: likely links.
+
+    They only make the groups; links that are not among them are found between the groups.
+    """
+    often = met.groupBy("doc", "leader").agg(F.count("*").alias("times"), F.max("n").alias("n"))
+    return often.where("doc <> leader and times >= 4 and times * 20 >= n or doc <> leader and n < 40").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
+
+
+def _asking(open_: DataFrame) -> DataFrame:
+    """Places at which a document asks, with `sure`: how many of them a group with a linked member has at least.
+
+    A rule says in how many places of its level a linked document agrees. A document that meets others in fewer
+    asks nowhere. Of the rest half of that number may be left out, the most crowded ones first, as long as so
+    many fewer agreements are asked for: common passages then do not bring their documents together.
+    """
+    strong = F.col("rule") >= 2
+    own = ["doc", F.col("rule") % 2, strong]
+    need = F.floor(F.col("rule") / 2)
+    ranked = open_.withColumn("met", F.count("*").over(Window.partitionBy(*own))).withColumn("crowd", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("docs"), "sig")))
+    ranked = ranked.withColumn("left_out", F.floor(need / 2)).withColumn("sure", need - F.col("left_out"))
+    return ranked.where(~strong | ((F.col("met") >= need) & (F.col("crowd") > F.col("left_out")))).select("sig", "doc", "own", "n", "rule", "sure")
+
+
 def _across(met: DataFrame, labels: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """Links between documents of different groups that share a signature, by the groups' token unions."""
-    places = met.select("sig", "doc").unionByName(met.select("sig", F.col("leader").alias("doc"))).distinct()
-    placed = places.join(labels.select(F.col("id").alias("doc"), F.col("component").alias("own")), "doc", "left").withColumn("own", F.coalesce("own", "doc"))
-    mixed = placed.groupBy("sig").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("sig")
+    low, high = share.numerator, share.denominator
+    placed = met.select("sig", "doc", "rule", "n").join(labels.select(F.col("id").alias("doc"), F.col("component").alias("own")), "doc", "left").withColumn("own", F.coalesce("own", "doc"))
+    mixed = placed.groupBy("sig").agg(F.min("own").alias("one"), F.max("own").alias("other"), F.count("*").alias("docs")).where("one < other").select("sig", "docs")
     open_ = Stored(placed.join(mixed, "sig"), "ngram-open")
-    groups = open_.df.select("sig", F.col("own").alias("group")).distinct()
-    members = open_.df.select("doc", F.col("own").alias("group")).distinct()
-    # the matrix: for each group the union of its members' tokens
-    union = members.join(sets, "doc").select("group", F.explode("set").alias("token")).distinct().groupBy("group").agg(F.collect_list("token").alias("union"))
-    asked = open_.df.join(groups, "sig").where("own < group").select("doc", "group").distinct()
+    groups = open_.df.groupBy("sig", F.col("own").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    meets = _asking(open_.df).join(groups, "sig").where((F.col("own") < F.col("group")) & (F.col("most") * high >= F.col("n") * low) & (F.col("least") * low <= F.col("n") * high))
+    counted = meets.groupBy("doc", "group", (F.col("rule") % 2).alias("level")).agg(F.count("*").alias("times"), F.max("sure").alias("sure"), F.min("rule").alias("weakest"))
+    asked = Stored(counted.where("times >= sure or weakest < 2").select("doc", "group").distinct(), "ngram-asked")
+    # the matrix: for each group that is asked for, the union of its members' tokens (32 bits: a bound from above all the same)
+    wanted = asked.df.select("group").distinct()
+    members = open_.df.select("doc", F.col("own").alias("group")).distinct().join(wanted, "group")
+    short = F.transform("set", lambda x: F.pmod(x, F.lit(2_147_483_647)).cast("int"))
+    union = members.join(sets.select("doc", F.explode(short).alias("token")), "doc").select("group", "token").distinct().groupBy("group").agg(F.collect_list("token").alias("union"))
     bounded = (
-        asked.join(sets, "doc").join(union, "group")
-        .where(F.size(F.array_intersect("set", "union")) * share.denominator >= F.size("set") * share.numerator).select("doc", "group")
+        asked.df.join(sets.select("doc", short.alias("own")), "doc").join(union, "group")
+        .where((F.size(F.array_intersect("own", "union")) + F.size("own") - F.size(F.array_distinct("own"))) * high >= F.size("own") * low).select("doc", "group")
     )
     let = Stored(bounded, "ngram-bounded")
-    inside = open_.df.select("sig", F.col("doc").alias("b"), F.col("own").alias("group"))
-    pairs = let.df.join(open_.df.select("doc", "sig"), "doc").join(inside, ["sig", "group"]).select(F.col("doc").alias("a"), "b").distinct()
-    return _verified(pairs, sets, share)
+    asked.drop()
+    free_shuffles(met.sparkSession)
+    return _opened(let.df, open_.df.select("doc", F.col("own").alias("group")).distinct(), sets, share)
+
+
+def _opened(let: DataFrame, members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """Links of documents with members of the groups that they were let into.
+
+    Members and asking documents of a group are both cut into blocks; a task holds one block of each, so the
+    size of a group bounds the number of tasks and not a task. Only links leave a task.
+    """
+    place = lambda id_, n: F.pmod(F.xxhash64(id_, "group"), n).cast("int")
+    sides = let.groupBy("group").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("q_blocks"))
+    sides = members.join(sides, "group").groupBy("group").agg(F.max("q_blocks").alias("q_blocks"), (F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("m_blocks"))
+    sides = Stored(sides, "ngram-sides")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = let.join(sides.df, "group").select("doc", "group", place("doc", F.col("q_blocks")).alias("q"), every("m_blocks").alias("m"), F.lit(True).alias("asks"))
+    inside = members.join(sides.df, "group").select("doc", "group", every("q_blocks").alias("q"), place("doc", F.col("m_blocks")).alias("m"), F.lit(False).alias("asks"))
+    dealt = asking.unionByName(inside).join(sets, "doc").select("group", "q", "m", "doc", "asks", "set")
+    low, high = share.numerator, share.denominator
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(batches):
+        """Rows sorted by block pair: each pair's documents are gathered, then held against each other."""
+        key, docs, asks, held = None, [], [], []
+        for part in batches:
+            for g, q, m, doc, ask, own in zip(*(part.column(i).to_pylist() for i in range(5)), (x.values.to_numpy() for x in part.column(5))):
+                if (g, q, m) != key:
+                    yield _pairs(docs, asks, held, low, high, schema)
+                    key, docs, asks, held = (g, q, m), [], [], []
+                docs.append(doc), asks.append(ask), held.append(own)
+        yield _pairs(docs, asks, held, low, high, schema)
+
+    return dealt.repartition("group", "q", "m").sortWithinPartitions("group", "q", "m").mapInArrow(links, "a long, b long")
+
+
+def _pairs(docs: list, asks: list, held: list, low: int, high: int, schema: pa.Schema) -> pa.RecordBatch:
+    """Counts common tokens of every asking document with all members of the block at once."""
+    asks = np.array(asks, bool)
+    inside = np.flatnonzero(~asks)
+    a, b = [], []
+    if len(inside) and asks.any():
+        size = np.array([len(held[i]) for i in inside])
+        tokens, owner = np.concatenate([held[i] for i in inside]), np.repeat(np.arange(len(inside)), size)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        for i in np.flatnonzero(asks):
+            own = held[i]
+            first, stop = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+            n = stop - first
+            at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(inside))
+            for k in np.flatnonzero(common * high >= (len(own) + size - common) * low):
+                a.append(docs[i]), b.append(docs[inside[k]])
+    return to_batch(schema, {"a": a, "b": b})
 
 
 def ngram_components(docs: DataFrame, n: int = 5, share: Fraction | float = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,19 +332,19 @@ def ngram_components(docs: DataFrame, n: int = 5, share: Fraction | float = Frac
     whole = table.df.where("n > 0 and doc_id is not null")
     first = whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1").select("f1", "f2", "b")
     copies = whole.join(first, ["f1", "f2"]).select(F.col("doc_id").alias("a"), "b")
-    met = Stored(_signed(rows, n, share).repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(_meet, "sig long, doc long, leader long"), "ngram-met")
+    met = Stored(_signed(rows, n, share).repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(_meet, SIGNED_SQL + ", leader long"), "ngram-met")
     free_shuffles(spark)
-    needed = met.df.select("doc").unionByName(met.df.select(F.col("leader").alias("doc"))).distinct()
-    sets = Stored(_tokens(rows.join(needed.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), n).dropDuplicates(["doc"]), "ngram-tokens")
+    needed = met.df.select(F.col("doc").alias("doc_id")).distinct()
+    sets = Stored(_tokens(rows.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n), "ngram-tokens")
     free_shuffles(spark)
-    led = Stored(copies.unionByName(_verified(met.df.select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), sets.df, share)), "ngram-links")
+    led = Stored(copies.unionByName(_verified(_led(met.df), sets.df, share)), "ngram-links")
     labels = components(led.df)
     more = Stored(_across(met.df, labels.df, sets.df, share), "ngram-more")
-    if more.df.limit(1).count():
-        labels = components(led.df.unionByName(more.df))
     met.drop()
     sets.drop()
     free_shuffles(spark)
+    if more.df.limit(1).count():
+        labels = components(led.df.unionByName(more.df))
     named = labels.df.select(F.col("id").alias("doc_id"), "component")
     return table.df.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
