@@ -107,6 +107,12 @@ class PropertyGraph:
             return self.spark.createDataFrame([], schema)
         return reduce(DataFrame.unionByName, parts)
 
+    def nodes_of_any(self, *labels: str) -> DataFrame:
+        """id and labels of the nodes that carry one of the labels; tables that cannot hold them are not opened."""
+        own = [s for s in self.node_sets if set(labels) & {*s.labels, *s.optional}]
+        rows = PropertyGraph(self.spark, own, []).nodes(with_labels=True)
+        return rows.where(F.arrays_overlap("labels", F.array(*map(F.lit, labels))))
+
     def property_type(self, label: str | None, name: str) -> str:
         """The Spark type of a property; string where no table of the label has it."""
         for s in self.node_sets:
@@ -151,17 +157,25 @@ class PropertyGraph:
             "capabilities": dict(self.capabilities), "nodes": nodes, "relationships": rels, "labels": self.labels, "relationship_types": self.types,
         }
 
-    def register_views(self) -> None:
-        """Temporary views node_<Label>, rel_<TYPE>, graph_nodes and graph_rels for SQL competency queries."""
+    def register_views(self, query: str | None = None) -> None:
+        """Temporary views node_<Label>, rel_<TYPE>, graph_nodes and graph_rels for SQL competency queries; with a
+        query, only those whose names stand in it (in any case)."""
+        asked = lambda name: query is None or name.lower() in query.lower()
         for label in self.labels:
+            if not asked(f"node_{label}"):
+                continue
             own = [s for s in self.node_sets if label in s.labels or label in s.optional]
             props = sorted({p for s in own for p in s.properties})
             self.nodes(label, props, True).withColumn("node_element_id", F.col("id")).createOrReplaceTempView(f"node_{label}")
         for r in self.rel_sets:
+            if not asked(f"rel_{r.type}"):
+                continue
             same = [x for x in self.rel_sets if x.type == r.type]
             self.rels(r.type, sorted({p for x in same for p in x.properties})).withColumn("rel_element_id", F.col("id")).createOrReplaceTempView(f"rel_{r.type}")
-        self.nodes(with_labels=True).createOrReplaceTempView("graph_nodes")
-        self.rels().createOrReplaceTempView("graph_rels")
+        if asked("graph_nodes"):
+            self.nodes(with_labels=True).createOrReplaceTempView("graph_nodes")
+        if asked("graph_rels"):
+            self.rels().createOrReplaceTempView("graph_rels")
 
     def match(self, from_label: str, type_: str, to_label: str, from_props=(), to_props=()) -> DataFrame:
         """Node, relationship, node: columns a_id, r_id, b_id and the properties as a_<name>, b_<name>."""

@@ -212,8 +212,8 @@ def label_cooccurrence(graph: PropertyGraph, label_a: str, label_b: str) -> Chec
         raise _invalid("the two labels must differ")
     graph.require((label_a, label_b))
     has = lambda x: F.array_contains("labels", x)
-    base = graph.nodes(with_labels=True)
-    return predicate_plan("label_cooccurrence", base, ("nodes", None, ()), has(label_a) | has(label_b), has(label_a) & has(label_b), node_evidence)
+    base = graph.nodes_of_any(label_a, label_b)
+    return predicate_plan("label_cooccurrence", base, ("any", label_a, label_b), has(label_a) | has(label_b), has(label_a) & has(label_b), node_evidence)
 
 
 def rel_direction(graph: PropertyGraph, from_label: str, to_label: str, rel_type: str) -> CheckPlan:
@@ -223,7 +223,7 @@ def rel_direction(graph: PropertyGraph, from_label: str, to_label: str, rel_type
         raise _invalid("the two labels must differ")
     graph.require((from_label, to_label), (rel_type,))
     rels = graph.rels(rel_type).select("id", "type", "src", "dst")
-    side = lambda end: graph.nodes(with_labels=True).select(F.col("id").alias(end), F.array_contains("labels", from_label).alias(f"{end}_from"), F.array_contains("labels", to_label).alias(f"{end}_to")).where(F.col(f"{end}_from") | F.col(f"{end}_to"))
+    side = lambda end: graph.nodes_of_any(from_label, to_label).select(F.col("id").alias(end), F.array_contains("labels", from_label).alias(f"{end}_from"), F.array_contains("labels", to_label).alias(f"{end}_to"))
     base = rels.join(side("src"), "src").join(side("dst"), "dst")
     right, wrong = F.col("src_from") & F.col("dst_to"), F.col("src_to") & F.col("dst_from")
     return predicate_plan("rel_direction", base, ("direction", from_label, to_label, rel_type), right | wrong, wrong, rel_evidence)

@@ -190,8 +190,8 @@ def competency_sql(spark, sf_dir):
     from pellucid.sqlguard import require_read_only
 
     graph = load_graph(spark, sf_dir)
-    graph.register_views()
     text = "SELECT c.c_custkey, count(*) AS n_orders FROM node_Customer c JOIN rel_PLACED r ON r.src = c.id WHERE c.c_mktsegment = :segment GROUP BY 1"
+    graph.register_views(text)
     require_read_only(spark, text)
     return spark.sql(text, args=comp.bind(graph, text, {"segment": "BUILDING"}))
 

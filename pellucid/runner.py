@@ -187,7 +187,7 @@ def _competency(graph, suite, check, options):
     spec = check.spec
     params = comp.bind(graph, spec.query, spec.params)
     require_read_only(graph.spark, spec.query)
-    graph.register_views()
+    graph.register_views(spec.query)
     try:
         df = graph.spark.sql(spec.query, args=params)
         df.schema  # noqa: B018 - analysis happens here
