@@ -15,9 +15,9 @@ def line_key(line):
 
 def _hashed(rows: DataFrame, min_chars: int) -> DataFrame:
     """rows with `lines` and `hashes`: a 128-bit digest of each line's key, null where the key is too short."""
-    key = lambda line: line_key(line)
     rows = rows.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    return rows.withColumn("hashes", F.transform("lines", lambda x: F.when(F.char_length(key(x)) >= min_chars, F.unhex(F.md5(key(x).cast("binary"))))))
+    keys = F.transform("lines", lambda x: F.when(F.octet_length(x) >= min_chars, line_key(x)))  # fewer bytes are fewer characters
+    return rows.withColumn("hashes", F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.unhex(F.md5(k.cast("binary"))))))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, carry: bool = False) -> DataFrame:
