@@ -287,13 +287,13 @@ def diff_coverage(spark, sf_dir):
     return diff.coverage_diff(cover(F.col("quality")), cover(F.when(F.col("quality") == 1, 1)))
 
 
-def _results(spark, sf_dir) -> DataFrame:
-    """Orders as check results: a history of one run for each market segment's customers."""
+def _results(spark, sf_dir, *more: str) -> DataFrame:
+    """Orders as check results: a history of one run for each market segment's customers. more: further columns of orders."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     verdict = F.element_at(F.array(*map(F.lit, ("pass", "pass", "fail", "warn", "errored", "skipped"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
     return orders.select(
         (F.col("o_custkey") % 50).cast("string").alias("run_id"), F.concat(F.lit("s"), (F.col("o_custkey") % 3).cast("string")).alias("suite_id"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("id"),
-        F.when(F.col("o_orderkey") % 2 == 0, "error").otherwise("warn").alias("severity"), verdict.alias("verdict"),
+        F.when(F.col("o_orderkey") % 2 == 0, "error").otherwise("warn").alias("severity"), verdict.alias("verdict"), *more,
     )
 
 
@@ -330,6 +330,17 @@ def run_comparison(spark, sf_dir):
     return history.compare_frames(rows.where("id < '000009000'"), rows.where("id >= '000003000'").withColumn("verdict", moved))
 
 
+_DATED = RESULTS.replace(" FROM orders)", ", o_orderdate FROM orders)")
+
+
+@query(f"WITH a AS (SELECT * FROM {_DATED} WHERE o_orderdate < DATE '2001-01-01'), b AS (SELECT suite_id, id, severity, CASE WHEN verdict = 'fail' THEN 'pass' WHEN verdict = 'pass' THEN 'warn' ELSE verdict END AS verdict FROM {_DATED} WHERE o_orderdate >= DATE '1996-01-01') SELECT suite_id, id, a.verdict AS v_from, b.verdict AS v_to, CASE WHEN a.verdict IS NULL THEN 'added' WHEN b.verdict IS NULL THEN 'removed' WHEN a.verdict = b.verdict THEN 'same' WHEN {_RANK.format(x='b')} > {_RANK.format(x='a')} THEN 'regression' WHEN {_RANK.format(x='b')} < {_RANK.format(x='a')} THEN 'improvement' ELSE 'other' END AS change FROM a FULL JOIN b USING (suite_id, id)")
+def run_comparison_all(spark, sf_dir):
+    """All orders: the first year's were removed, the last year's added, all between are in both runs."""
+    rows = _results(spark, sf_dir, "o_orderdate")
+    moved = F.when(F.col("verdict") == "fail", "pass").when(F.col("verdict") == "pass", "warn").otherwise(F.col("verdict"))
+    return history.compare_frames(rows.where("o_orderdate < DATE '2001-01-01'"), rows.where("o_orderdate >= DATE '1996-01-01'").withColumn("verdict", moved))
+
+
 @query("SELECT CASE WHEN n = 0 THEN '0' WHEN n <= 5 THEN '1-5' WHEN n <= 20 THEN '6-20' WHEN n <= 100 THEN '21-100' ELSE '101+' END AS band, count(*) AS customers FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) GROUP BY 1")
 def count_bands(spark, sf_dir):
     rows = c.with_degrees(load_graph(spark, sf_dir), "Customer", "PLACED", "out")

@@ -31,6 +31,24 @@ def test_graph_queries_equal_duckdb(spark):
         assert rows(run(spark, str(DATA)).toPandas()) == rows(con.sql(SQL[name]).df()), name
 
 
+def test_run_comparison_all_compares_orders_of_all_ids(spark, tmp_path):
+    from pellucid.queries import QUERIES, SQL
+
+    day = lambda i: f"{1995 + i % 7}-06-01"
+    spark.createDataFrame([(i, i % 11, day(i)) for i in range(0, 1_000_000, 997)], "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "CAST(d AS timestamp_ntz) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["run_comparison_all"](spark, str(tmp_path)).toPandas()
+    both = found[~found.change.isin(["added", "removed"])]
+    years = [i % 7 for i in range(0, 1_000_000, 997)]
+    assert len(found) == len(years) and len(both) == sum(0 < y < 6 for y in years)
+    assert both.id.astype(int).max() > 990_000 and {"regression", "improvement", "same"} == set(both.change)
+
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert rows(found) == rows(con.sql(SQL["run_comparison_all"]).df())
+
+
 def test_entry_imports_without_the_llm_part():
     import subprocess
     import sys
