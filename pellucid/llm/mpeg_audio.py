@@ -7,16 +7,14 @@ checksums and returns the exact duration as a fraction and the byte offset of ev
 
 from __future__ import annotations
 
-import hashlib
-import json
 import math
 import struct
-import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pellucid.llm._common import pick, ship, slices, texts, to_batch
 
@@ -212,19 +210,12 @@ def _xing(raw: bytes) -> dict:
     return out
 
 
-def feature(s: Stream) -> str:
-    """Duration, frame figures and seek points of a stream as JSON with sorted keys."""
-    a, b = s.duration
-    points = [s.offsets[len(s.offsets) * i // 4] for i in range(4)] if s.offsets else []
-    offsets = hashlib.md5(struct.pack(f"<{len(s.offsets)}Q", *s.offsets)).hexdigest()
-    return json.dumps(
-        {"bad_checksums": s.bad_checksums, "duration": f"{a}/{b}", "frames": s.frames, "kbps": {str(k): v for k, v in sorted(s.kbps.items())}, "offsets_md5": offsets, "rate": s.rate, "samples": s.samples, "seek": points, "skipped": s.skipped, "vbr_frames": (s.xing or {}).get("frames")},
-        sort_keys=True, separators=(",", ":"),
-    )
-
-
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-SUMMARY = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("duration_num", pa.int64()), ("duration_den", pa.int64()), ("n_frames", pa.int64())])
+STREAM = pa.schema([
+    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("tags", pa.map_(pa.string(), pa.string())), ("rate", pa.int32()), ("samples", pa.int64()), ("duration_num", pa.int64()), ("duration_den", pa.int64()), ("n_frames", pa.int64()),
+    ("bad_checksums", pa.int64()), ("skipped", pa.int64()), ("kbps", pa.map_(pa.int32(), pa.int64())), ("xing", pa.struct([("frames", pa.int64()), ("bytes", pa.int64()), ("toc", pa.binary())])), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary()),
+])
+_STREAM_DDL = "doc_id long, n_bytes long, media binary, tags map<string, string>, rate int, samples long, duration_num long, duration_den long, n_frames long, bad_checksums long, skipped long, kbps map<int, long>, xing struct<frames: bigint, bytes: bigint, toc: binary>, offsets array<long>, payload binary"
 
 
 def media_of(text: str) -> tuple[int, bytes]:
@@ -247,23 +238,45 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return pick(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """Reads streams back: digests of payload and stream, exact duration, frames, feature. Null: empty stream."""
-    from pyspark.sql import functions as F
+def read_streams(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """Reads streams back, all that the reader finds: tags, exact duration (duration_num / duration_den seconds), the Xing
+    table, the byte offset of every frame, the payload, and the stream itself. Null: empty stream."""
 
     def run(batches):
         for part in slices(batches, "media"):
-            rows = [_summary(m or b"") for m in part.column(2).to_pylist()]
-            yield to_batch(SUMMARY, {"doc_id": part.column(0), "n_bytes": part.column(1)} | {k: [r[k] for r in rows] for k in SUMMARY.names[2:]})
+            rows = [_columns(read_mpeg(m or b"")) for m in part.column(2).to_pylist()]
+            yield to_batch(STREAM, {k: part.column(i) for i, k in enumerate(STREAM.names[:3])} | {k: [r[k] for r in rows] for k in STREAM.names[3:]})
 
     ship(media.sparkSession)
-    return media.select("doc_id", "n_bytes", F.col(media_col).alias("media")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_num long, duration_den long, n_frames long")
+    return media.select("doc_id", "n_bytes", F.col(media_col).alias("media")).mapInArrow(run, _STREAM_DDL)
 
 
-def _summary(media: bytes) -> dict:
-    s = read_mpeg(media)
+def _columns(s: Stream) -> dict:
     a, b = s.duration
     return {
-        "payload_bytes": len(s.payload), "payload_sha256": hashlib.sha256(s.payload).hexdigest(), "tail_crc32": zlib.crc32(s.payload[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-        "feature": feature(s), "duration_num": a, "duration_den": b, "n_frames": s.frames,
+        "tags": list(s.tags.items()), "rate": s.rate, "samples": s.samples, "duration_num": a, "duration_den": b, "n_frames": s.frames, "bad_checksums": s.bad_checksums, "skipped": s.skipped, "kbps": sorted(s.kbps.items()),
+        "xing": s.xing, "offsets": s.offsets, "payload": s.payload,
     }
+
+
+def feature():
+    """Column: duration, frame figures and seek points of what read_streams returns as JSON with sorted keys."""
+    n = F.size("offsets")
+    points = F.when(n > 0, F.array(*[F.get("offsets", F.floor(n * i / 4).cast("int")) for i in range(4)])).otherwise(F.array().cast("array<long>"))
+    swapped = lambda x: F.concat(*[F.substring(F.lpad(F.hex(x), 16, "0"), i, 2) for i in range(15, 0, -2)])
+    listed = lambda xs: F.array_join(F.transform(xs, lambda x: x.cast("string")), ",")
+    rates = F.array_sort(F.transform(F.map_entries("kbps"), lambda x: F.concat(F.lit('"'), x["key"].cast("string"), F.lit('":'), x["value"].cast("string"))))
+    offsets = F.md5(F.unhex(F.array_join(F.transform("offsets", swapped), "")))
+    return F.format_string(
+        '{"bad_checksums":%d,"duration":"%d/%d","frames":%d,"kbps":{%s},"offsets_md5":"%s","rate":%d,"samples":%d,"seek":[%s],"skipped":%d,"vbr_frames":%s}',
+        "bad_checksums", "duration_num", "duration_den", "n_frames", F.array_join(rates, ","), offsets, "rate", "samples", listed(points), "skipped", F.coalesce(F.col("xing.frames").cast("string"), F.lit("null")),
+    )
+
+
+def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """What read_streams finds, with the sizes and digests of payload and stream and the feature beside."""
+    stream = F.coalesce("media", F.lit(b""))
+    return read_streams(media, media_col).withColumns({
+        "payload_bytes": F.octet_length("payload").cast("long"), "payload_sha256": F.sha2("payload", 256), "tail_crc32": F.crc32(F.substring("payload", -16, 16)),
+        "media_bytes": F.octet_length(stream).cast("long"), "media_sha256": F.sha2(stream, 256), "feature": feature(),
+    })

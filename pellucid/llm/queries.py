@@ -51,9 +51,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pellucid.llm.mpeg_audio import encode_media, read_media
+    from pellucid.llm.mpeg_audio import encode_media, feature, read_streams
 
-    return read_media(encode_media(_table(spark, sf_dir, "documents")))
+    found = read_streams(encode_media(_table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature().alias("feature"), "duration_num", "duration_den", "n_frames",
+    )
 
 
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,22 @@ def test_media_columns(spark, corpus):
     assert all(json.loads(r["feature"])["frames"] == r["n_frames"] == r["payload_bytes"] // 192 for r in rows)
 
 
+def test_media_keeps_what_the_reader_finds(spark, corpus):
+    made = {(r["doc_id"], r["media"]) for r in mpeg_audio.encode_media(frame(spark, corpus)).collect()}
+    rows = mpeg_audio.read_media(mpeg_audio.encode_media(frame(spark, corpus))).collect()
+    assert any(len(r["offsets"]) > 4 for r in rows) and {(r["doc_id"], r["media"]) for r in rows} == made
+    for r in rows:
+        s = mpeg_audio.read_mpeg(bytes(r["media"]))
+        assert (r["offsets"], r["tags"], bytes(r["payload"]), r["kbps"]) == (s.offsets, s.tags, s.payload, s.kbps)
+        assert all(mpeg_audio.parse_header(bytes(r["media"][o : o + 4])) for o in r["offsets"])
+        assert (r["duration_num"], r["duration_den"]) == s.duration and r["xing"].asDict() == s.xing
+        f = json.loads(r["feature"])
+        assert f["seek"] == [s.offsets[len(s.offsets) * i // 4] for i in range(4)] and f["kbps"] == {str(k): v for k, v in s.kbps.items()}
+        assert f["offsets_md5"] == hashlib.md5(b"".join(o.to_bytes(8, "little") for o in s.offsets)).hexdigest()
+    empty = mpeg_audio.read_media(spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")).first()
+    assert (empty["offsets"], empty["xing"], empty["media_bytes"], json.loads(empty["feature"])["seek"]) == ([], None, 0, [])
+
+
 @pytest.fixture(scope="module")
 def reference_encoder():
     import public_tokenizers
