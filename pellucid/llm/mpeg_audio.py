@@ -1,8 +1,9 @@
 """MPEG audio columns: a Layer III writer for byte payloads and a reader that trusts nothing.
 
 The writer keeps a payload of bytes losslessly in the ancillary data of silent MPEG-1 Layer III frames.
-The reader takes any stream: it skips tags, resynchronises on frame headers, reads the Xing table, verifies
-checksums and returns the exact duration as a fraction and the byte offset of every frame.
+The reader takes any stream but free-format ones: it skips tags, resynchronises on frame headers, reads the Xing or
+VBRI table, verifies the checksums of all three layers and returns the exact duration as a fraction and the byte
+offset of every frame. Frames with a bad checksum count on, as they sound for their time, and are listed by number.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BITRATES = {
     (False, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (False, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+#: Layer II: bits of a subband's allocation, by subband, for MPEG-1, for MPEG-1 under 56 kbit/s a channel and for MPEG-2.
+ALLOCATION = (4,) * 11 + (3,) * 12 + (2,) * 7, (4,) * 2 + (3,) * 10, (4,) * 4 + (3,) * 7 + (2,) * 19
 SAMPLE_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
 #: What the writer makes: MPEG-1 Layer III with checksum, 80 kbit/s, 48 kHz, one channel: 240 bytes a frame,
@@ -68,16 +71,41 @@ def parse_header(raw: bytes) -> Header | None:
 
 
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
-    """The checksum of MPEG audio: polynomial 0x8005, start 0xFFFF, most significant bit first."""
-    crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The checksum of MPEG audio over all or the first `bits` bits: polynomial 0x8005, start 0xFFFF, most significant bit first."""
+    crc, bits = 0xFFFF, 8 * len(data) if bits is None else bits
+    for i, byte in enumerate(data):
+        n = min(8, bits - 8 * i)
+        crc ^= (byte >> 8 - n << 8 - n) << 8
+        for _ in range(n):
             crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
     return crc
 
 
+def _guarded(h: Header, raw: bytes, body: bytes) -> int:
+    """How many bits of a frame's body its checksum covers: side information (III), allocation (I, II) and scfsi (II)."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels, joint = 1 if h.mono else 2, raw[3] >> 6 == 1
+    bound = 4 * (raw[3] >> 4 & 3) + 4 if joint else 32
+    if h.layer == 1:
+        return 4 * (32 if h.mono else 32 + bound)
+    kbps, widths = h.kbps // channels, ALLOCATION[0 if h.version == 3 else 2]
+    if h.version == 3:
+        if kbps < 56:
+            widths = ALLOCATION[1][: 12 if h.rate == 32000 else 8]
+        elif kbps < 96 or h.rate == 48000:
+            widths = widths[:27]
+    value, size, at, used = int.from_bytes(body[:48], "big"), 8 * len(body[:48]), 0, 0
+    for band, width in enumerate(widths):
+        shared = channels == 2 and band >= bound
+        for _ in range(1 if shared else channels):
+            if value >> max(0, size - at - width) & (1 << width) - 1:
+                used += 2 if shared else 1
+            at += width
+    return at + 2 * used
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -109,15 +137,18 @@ def write_mpeg(payload: bytes, unpadded: int | None = None) -> bytes:
 
 @dataclass
 class Stream:
-    """What the reader finds. duration is samples / rate exactly; offsets are those of sound frames."""
+    """What the reader finds. duration is samples / rate exactly; offsets are those of all frames, bad_frames the
+    numbers of those whose checksum is wrong (their payload is not covered by it and stays)."""
 
     tags: dict = field(default_factory=dict)
     rate: int = 0
     samples: int = 0
     frames: int = 0
     bad_checksums: int = 0
+    bad_frames: list = field(default_factory=list)
     skipped: int = 0
     xing: dict | None = None
+    vbri: dict | None = None
     offsets: list = field(default_factory=list)
     kbps: dict = field(default_factory=dict)
     payload: bytes = b""
@@ -180,12 +211,20 @@ def read_mpeg(data: bytes) -> Stream:
         locked = True
         head = 6 if h.checked else 4
         side = data[at + head : at + head + h.side] if h.layer == 3 else b""
-        if h.layer == 3 and h.checked and crc16(data[at + 2 : at + 4] + side) != data[at + 4] << 8 | data[at + 5]:
-            out.bad_checksums += 1
+        bad = False
+        if h.checked:
+            guarded = side if h.layer == 3 else data[at + 6 : after]
+            bits = _guarded(h, data[at : at + 4], guarded)
+            bad = crc16(data[at + 2 : at + 4] + guarded[: (bits + 7) // 8], 16 + bits) != data[at + 4] << 8 | data[at + 5]
+            out.bad_checksums += bad
         body = at + head + len(side)
         if out.xing is None and not out.frames and data[body : body + 4] in (b"Xing", b"Info"):
             out.xing = _xing(data[body : min(after, body + 120)])
+        elif out.vbri is None and not out.frames and h.layer == 3 and data[at + 36 : at + 40] == b"VBRI" and after >= at + 62:
+            out.vbri = _vbri(data[at + 36 : after])
         else:
+            if bad:
+                out.bad_frames.append(out.frames)
             out.offsets.append(at)
             out.frames += 1
             out.samples += h.samples
@@ -210,12 +249,19 @@ def _xing(raw: bytes) -> dict:
     return out
 
 
+def _vbri(raw: bytes) -> dict:
+    """stretches: bytes of each stretch of frames_each frames, multiplied out."""
+    size, frames, n, scale, width, each = struct.unpack(">IIHHHH", raw[10:26])
+    stretches = [int.from_bytes(raw[a : a + width], "big") * scale for a in range(26, min(len(raw), 26 + n * width) - width + 1, width)] if 0 < width <= 4 else []
+    return {"frames": frames, "bytes": size, "frames_each": each, "stretches": stretches}
+
+
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 STREAM = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("tags", pa.map_(pa.string(), pa.string())), ("rate", pa.int32()), ("samples", pa.int64()), ("duration_num", pa.int64()), ("duration_den", pa.int64()), ("n_frames", pa.int64()),
-    ("bad_checksums", pa.int64()), ("skipped", pa.int64()), ("kbps", pa.map_(pa.int32(), pa.int64())), ("xing", pa.struct([("frames", pa.int64()), ("bytes", pa.int64()), ("toc", pa.binary())])), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary()),
+    ("bad_checksums", pa.int64()), ("bad_frames", pa.list_(pa.int64())), ("skipped", pa.int64()), ("kbps", pa.map_(pa.int32(), pa.int64())), ("xing", pa.struct([("frames", pa.int64()), ("bytes", pa.int64()), ("toc", pa.binary())])), ("vbri", pa.struct([("frames", pa.int64()), ("bytes", pa.int64()), ("frames_each", pa.int64()), ("stretches", pa.list_(pa.int64()))])), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary()),
 ])
-_STREAM_DDL = "doc_id long, n_bytes long, media binary, tags map<string, string>, rate int, samples long, duration_num long, duration_den long, n_frames long, bad_checksums long, skipped long, kbps map<int, long>, xing struct<frames: bigint, bytes: bigint, toc: binary>, offsets array<long>, payload binary"
+_STREAM_DDL = "doc_id long, n_bytes long, media binary, tags map<string, string>, rate int, samples long, duration_num long, duration_den long, n_frames long, bad_checksums long, bad_frames array<long>, skipped long, kbps map<int, long>, xing struct<frames: bigint, bytes: bigint, toc: binary>, vbri struct<frames: bigint, bytes: bigint, frames_each: bigint, stretches: array<bigint>>, offsets array<long>, payload binary"
 
 
 def media_of(text: str) -> tuple[int, bytes]:
@@ -240,7 +286,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def read_streams(media: DataFrame, media_col: str = "media") -> DataFrame:
     """Reads streams back, all that the reader finds: tags, exact duration (duration_num / duration_den seconds), the Xing
-    table, the byte offset of every frame, the payload, and the stream itself. Null: empty stream."""
+    or VBRI table, the byte offset of every frame, the numbers of those with a bad checksum, the payload, and the stream itself. Null: empty stream."""
 
     def run(batches):
         for part in slices(batches, "media"):
@@ -254,8 +300,8 @@ def read_streams(media: DataFrame, media_col: str = "media") -> DataFrame:
 def _columns(s: Stream) -> dict:
     a, b = s.duration
     return {
-        "tags": list(s.tags.items()), "rate": s.rate, "samples": s.samples, "duration_num": a, "duration_den": b, "n_frames": s.frames, "bad_checksums": s.bad_checksums, "skipped": s.skipped, "kbps": sorted(s.kbps.items()),
-        "xing": s.xing, "offsets": s.offsets, "payload": s.payload,
+        "tags": list(s.tags.items()), "rate": s.rate, "samples": s.samples, "duration_num": a, "duration_den": b, "n_frames": s.frames, "bad_checksums": s.bad_checksums, "bad_frames": s.bad_frames, "skipped": s.skipped, "kbps": sorted(s.kbps.items()),
+        "xing": s.xing, "vbri": s.vbri, "offsets": s.offsets, "payload": s.payload,
     }
 
 
@@ -269,7 +315,7 @@ def feature():
     offsets = F.md5(F.unhex(F.array_join(F.transform("offsets", swapped), "")))
     return F.format_string(
         '{"bad_checksums":%d,"duration":"%d/%d","frames":%d,"kbps":{%s},"offsets_md5":"%s","rate":%d,"samples":%d,"seek":[%s],"skipped":%d,"vbr_frames":%s}',
-        "bad_checksums", "duration_num", "duration_den", "n_frames", F.array_join(rates, ","), offsets, "rate", "samples", listed(points), "skipped", F.coalesce(F.col("xing.frames").cast("string"), F.lit("null")),
+        "bad_checksums", "duration_num", "duration_den", "n_frames", F.array_join(rates, ","), offsets, "rate", "samples", listed(points), "skipped", F.coalesce(F.coalesce("xing.frames", "vbri.frames").cast("string"), F.lit("null")),
     )
 
 

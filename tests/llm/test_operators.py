@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
@@ -113,6 +114,52 @@ def test_mpeg_damage():
     assert mpeg_audio.crc16(b"123456789") == 0xAEE7  # the published check value of this CRC
 
 
+def plain_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        top = crc >> 15 ^ int(b)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return crc
+
+
+def protected(header, body, covered):
+    """A frame whose checksum covers the first bits of its body."""
+    bits = "".join(f"{b:08b}" for b in header[2:4] + body)[: 16 + covered]
+    size = mpeg_audio.parse_header(header).size
+    return (header + plain_crc(bits).to_bytes(2, "big") + body).ljust(size, b"\x55")
+
+
+@pytest.mark.parametrize("header, body, covered", [
+    (b"\xff\xfe\x90\xc0", "1" * 128, 128),  # Layer I, mono
+    (b"\xff\xfe\x90\x00", "10" * 128, 256),  # Layer I, stereo
+    (b"\xff\xfe\x90\x50", "10" * 80, 160),  # Layer I, joint from subband 8
+    (b"\xff\xfc\x90\xc0", "0001" + "1111" + "0" * 86 + "0110", 98),  # Layer II, mono, 160 kbit/s at 44.1 kHz: 30 subbands
+    (b"\xff\xfc\x20\xc0", "0001" + "0" * 22 + "01", 28),  # mono, 48 kbit/s at 44.1 kHz: 8 subbands
+    (b"\xff\xfc\xa4\x00", "0" * 4 + "1" * 4 + "0" * 168 + "11", 178),  # stereo, 192 kbit/s at 48 kHz: 27 subbands
+    (b"\xff\xfc\xa4\x40", "0" * 32 + "0001" + "0" * 68 + "0011", 108),  # joint from subband 4: both channels' scfsi
+    (b"\xff\xf4\x80\xc0", "0" * 75 + "", 75),  # MPEG-2 Layer II, mono
+])
+def test_mpeg_checksums_of_all_layers(header, body, covered):
+    bits = body + "01" * 40
+    body = bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+    sound = protected(header, body, covered)
+    read = lambda at: mpeg_audio.read_mpeg(sound + bytes(b ^ (1 << 7 - at % 8 if i == 6 + at // 8 else 0) for i, b in enumerate(sound)) + sound)
+    assert mpeg_audio.read_mpeg(sound * 3).bad_checksums == 0 and read(covered).bad_checksums == 0
+    for at in range(covered):
+        assert (read(at).bad_checksums, read(at).bad_frames, read(at).frames) == (1, [1], 3), at
+
+
+def test_mpeg_vbri(spark):
+    frame_of = lambda body: b"\xff\xfb\x90\x00" + body.ljust(413, b"\x00")
+    table = bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 4 * 417, 3, 2, 10, 2, 2) + struct.pack(">HH", 83, 42)
+    media = frame_of(table) + frame_of(b"") * 3
+    s = mpeg_audio.read_mpeg(media)
+    assert (s.frames, s.samples, s.offsets, s.xing) == (3, 3 * 1152, [417, 834, 1251], None)
+    assert s.vbri == {"frames": 3, "bytes": 1668, "frames_each": 2, "stretches": [830, 420]}
+    row = mpeg_audio.read_media(spark.createDataFrame([(1, 0, media)], "doc_id long, n_bytes long, media binary")).first()
+    assert row["vbri"].asDict() == s.vbri and json.loads(row["feature"])["vbr_frames"] == 3 and row["bad_frames"] == []
+
+
 def test_mpeg_headers_of_other_kinds():
     sizes = {b"\xff\xfb\x90\x00": (417, 1152), b"\xff\xfd\x90\x00": (522, 1152), b"\xff\xff\x90\x00": (312, 384), b"\xff\xf3\x80\x00": (208, 576)}
     for raw, (size, samples) in sizes.items():
