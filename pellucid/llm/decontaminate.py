@@ -1,4 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, rare or many, then Smith-Waterman alignment of words.
+
+A copy that counts has at least so many matches more than edits as its least score. Its matches lie in one run more
+than it has edits at most, so that it holds (least score - 1) word pairs of the item, on diagonals that differ by
+half of the item's words at most. Documents that do so are aligned however common the words are; none is missed.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +24,8 @@ SEED_WORDS, RARE_BITS, LEAST_SEEDS = 3, 18.0, 3
 MATCH, MISMATCH, GAP, LEAST_SHARE, LEAST_WORDS = 1, -1, -1, 0.5, 5
 #: Test items are taken in blocks of at most so many bytes of text; each block is broadcast for itself.
 BLOCK_BYTES = 16 << 20
+#: Word pairs that a document shares with items are counted in parts of about so many.
+HITS_AT_ONCE = 1 << 20
 
 _WORD = re.compile(r"\w+")
 
@@ -36,27 +43,65 @@ class Items:
     words: list[np.ndarray]
     seeds: np.ndarray
     places: dict[int, list[tuple[int, int]]]
+    pairs: np.ndarray
+    pair_from: np.ndarray
+    pair_item: np.ndarray
+    pair_offset: np.ndarray
+    least: np.ndarray
 
     def find(self, words: list[str]) -> list[tuple[int, float, int, int]]:
         """(item, share, first word, word after the last) of every leak in a document."""
         get = self.vocabulary.get
         own = np.array([get(w, -1) for w in words], np.int64)
         keys = seed_keys(own)
-        if not len(keys) or not len(self.seeds):
+        if not len(keys) or not len(self.pairs):
             return []
         at = np.searchsorted(self.seeds, keys)
         hits = np.flatnonzero(self.seeds[np.minimum(at, len(self.seeds) - 1)] == keys)
-        starts = defaultdict(list)
+        starts = self._crowded(own)
         for p in hits.tolist():
             for item, offset in self.places[int(keys[p])]:
                 starts[item].append(p - offset)
         out = []
         for item, diagonals in starts.items():
             best = max((self._align(item, own, a, b) for a, b in _windows(diagonals, len(self.words[item]), len(own))), default=None)
-            if best and best[0] >= max(LEAST_SHARE * len(self.words[item]) * MATCH, min(LEAST_WORDS, len(self.words[item]) * MATCH)):
+            if best and best[0] >= self.least[item]:
                 out.append((item, best[0] / (len(self.words[item]) * MATCH), best[1], best[2]))
         return out
 
+    def _crowded(self, own: np.ndarray) -> defaultdict:
+        """Diagonals of every item of which the document holds as many word pairs, close together, as a copy must."""
+        starts = defaultdict(list)
+        keys = seed_keys(own, 2)
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        hits = np.flatnonzero(self.pairs[at] == keys)
+        first, n = self.pair_from[at[hits]], np.diff(self.pair_from)[at[hits]]
+        count, parts = np.zeros(len(self.ids), np.int64), np.cumsum(n) // HITS_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(hits)]
+        spread = lambda a, b: np.repeat(first[a:b] - np.cumsum(n[a:b]) + n[a:b], n[a:b]) + np.arange(n[a:b].sum())
+        for a, b in zip(cuts, cuts[1:]):
+            count += np.bincount(self.pair_item[spread(a, b)], minlength=len(count))
+        able = count >= self.least - 1
+        if not able.any():
+            return starts
+        found = []
+        for a, b in zip(cuts, cuts[1:]):
+            where = spread(a, b)
+            keep = able[self.pair_item[where]]
+            found.append(np.stack([self.pair_item[where], np.repeat(hits[a:b], n[a:b]) - self.pair_offset[where]])[:, keep])
+        item, diagonal = np.concatenate(found, axis=1)
+        order = np.lexsort((diagonal, item))
+        item, diagonal = item[order], diagonal[order]
+        for own_item, a, b in zip(*np.unique(item, return_index=True), [*np.flatnonzero(np.diff(item)) + 1, len(item)]):
+            d, need = diagonal[a:b], int(self.least[own_item]) - 1
+            near = np.flatnonzero(d[need - 1 :] - d[: len(d) - need + 1] <= len(self.words[own_item]) // 2)
+            if len(near):
+                mark = np.zeros(len(d) + 1, np.int64)
+                np.add.at(mark, near, 1)
+                np.add.at(mark, near + need, -1)
+                starts[int(own_item)] += d[np.cumsum(mark[:-1]) > 0].tolist()
+        return starts
+
     def _align(self, item: int, own: np.ndarray, a: int, b: int) -> tuple[int, int, int]:
         score, first, after = smith_waterman(self.words[item], own[a:b])
         return score, a + first, a + after
@@ -74,13 +119,13 @@ def _windows(diagonals: list[int], n: int, size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def seed_keys(ids: np.ndarray) -> np.ndarray:
-    """A number for every run of SEED_WORDS words; -1 where a word is not in the vocabulary."""
-    n = len(ids) - SEED_WORDS + 1
+def seed_keys(ids: np.ndarray, size: int = SEED_WORDS) -> np.ndarray:
+    """A number for every run of `size` words; -1 where a word is not in the vocabulary."""
+    n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     key, known = np.zeros(n, np.int64), np.ones(n, bool)
-    for i in range(SEED_WORDS):
+    for i in range(size):
         part = ids[i : i + n]
         known &= part >= 0
         key = key * (1 << 21) + part  # a block has fewer than 2^21 words
@@ -148,7 +193,16 @@ def _block(docs: DataFrame, rows: list) -> Items:
             places[int(keys[p])].append((len(ids), p))
         ids.append(item)
         arrays.append(own)
-    return Items(ids, vocabulary, arrays, np.array(sorted(places), np.int64), dict(places))
+    sizes = np.array([len(x) for x in arrays], np.int64)
+    # alignment scores are whole numbers; items of fewer words than a seed match nothing
+    least = np.maximum(np.ceil(LEAST_SHARE * sizes * MATCH), np.minimum(LEAST_WORDS, sizes * MATCH)).astype(np.int64)
+    listed = [(seed_keys(x, 2), i) for i, x in enumerate(arrays) if len(x) >= SEED_WORDS]
+    key = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in listed)])
+    item = np.repeat([i for _, i in listed], [len(k) for k, _ in listed]).astype(np.int64)
+    offset = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(k)) for k, _ in listed)])
+    order = np.argsort(key, kind="stable")
+    pairs, first = np.unique(key[order], return_index=True)
+    return Items(ids, vocabulary, arrays, np.array(sorted(places), np.int64), dict(places), pairs, np.append(first, len(key)), item[order], offset[order], least)
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
@@ -168,8 +222,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """A row for each document and test item of which it holds an exact, edited or paraphrased copy.
 
     Seeds are runs of three words of an item that are rare by the frequencies of their words in all documents
-    (an item without rare seeds keeps its rarest). A document that holds a seed is aligned with the item there
-    (Smith-Waterman over words); the pair counts if the alignment scores at least half of the item's own score.
+    (an item without rare seeds keeps its rarest). A document that holds a seed, or as many word pairs of the item
+    as any copy must hold, is aligned with the item there (Smith-Waterman over words); the pair counts if the alignment scores at least half of the item's own score.
     Columns: doc_id, item_id, share (of the item's own score), start_char, end_char (in the text).
 
     Null or empty texts have no leaks; items of fewer than three words have no seeds and match nothing;

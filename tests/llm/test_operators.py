@@ -361,6 +361,30 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in rows if i not in {d for d, _ in want})
 
 
+def test_decontaminate_edited_copies_of_common_items(spark):
+    """Items whose own copies make all their words common: edited copies are found as the full alignment finds them."""
+    rng = random.Random(9)
+    items = {i: [f"w{i}x{k}" for k in range(17)] for i in range(2)}
+    rows = [(n, " ".join(items[n % 2])) for n in range(60)]
+    rows += [(100, " ".join("zz" if k == 2 else w for k, w in enumerate(items[0])))]
+    rows += [(101, " ".join(w if k % 2 else f"{w} zz" if k else w for k, w in enumerate(items[0])))]
+    rows += [(102, " ".join(x for k, w in enumerate(items[1]) for x in ([w, "zz"] if k % 2 else [w])))]  # inserted after each two words
+    for n in range(150):
+        own, out = items[n % 2], []
+        for w in own:
+            out += {0: [], 1: ["zz"], 2: [w, "zz"]}.get(rng.randrange(7), [w])
+        rows.append((200 + n, " ".join(["zz"] * rng.randrange(9) + out)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id long, text string")
+    number = {w: k for k, w in enumerate(sorted({w for _, t in rows for w in t.split()}))}
+    at = lambda ws: np.array([number[w] for w in ws], np.int64)
+    scores = {(n, i): decontaminate.smith_waterman(at(ws), at(t.split()))[0] for n, t in rows for i, ws in items.items()}
+    want = {k: s / 17 for k, s in scores.items() if s >= 8.5}
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == want and {(100, 0), (102, 1)} <= got.keys() and 60 < len(got) < len(rows)
+
+
+
 def test_lm_scores(spark, corpus):
     rows = {r["doc_id"]: r for r in lm_scoring.score_texts(frame(spark, [(i, t) for i, t in corpus if i is not None and i != 8])).collect()}
     words = {i: (t or "").encode().lower().split() + [b""] for i, t in corpus if i is not None and i != 8}
