@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,6 +17,8 @@ from pellucid.graph import PropertyGraph
 from pellucid.plans.base import CheckPlan
 
 DEFAULT_SAMPLE = 1_000
+#: The sample size that takes every occurrence, however many there are.
+ALL = sys.maxsize
 #: Occurrences that a task may hold while it looks for the smallest ranks.
 HEAP = 100_000
 
@@ -95,7 +98,9 @@ def _population(rows: DataFrame) -> DataFrame:
 
 
 def _sampled(rows: DataFrame, size: int, seed: int) -> DataFrame:
-    """The `size` occurrences of the smallest rank; a sample beyond HEAP first looks whether it is all of them."""
+    """The `size` occurrences of the smallest rank, or ALL; a sample beyond HEAP first looks whether it is all of them."""
+    if size == ALL:
+        return rows
     if size > HEAP and rows.limit(size + 1).count() <= size:
         return rows
     key = F.pmod(F.pmod(F.xxhash64("id"), F.lit(2_147_483_647)) * 1_103_515_245 + F.col("at"), F.lit(2_147_483_647))

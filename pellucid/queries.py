@@ -63,8 +63,8 @@ _summary_query("uniqueness_part_name", lambda g: c.uniqueness(g, "Part", "p_name
 _summary_query("label_cooccurrence", lambda g: c.label_cooccurrence(g, "Quality", "Toxic"), _node_sql(DOCS, "quality = 1 OR toxic = 1", "quality = 1 AND toxic = 1"))
 _summary_query("temporal_sanity", lambda g: c.temporal_sanity(g, "LineItem", "o_orderdate", "l_shipdate"), _node_sql("lineitem JOIN orders ON l_orderkey = o_orderkey", "o_orderdate IS NOT NULL AND l_shipdate IS NOT NULL", "l_shipdate < o_orderdate"))
 _summary_query("rel_direction", lambda g: c.rel_direction(g, "Nation", "Customer", "IN_NATION"), "SELECT count(*) AS population, count(*) AS violation_count FROM customer JOIN nation ON c_nationkey = n_nationkey")
-_summary_query("pii_name_match", lambda g: pii.pii_name_match(g, "Page", 10_000), "SELECT (count(page_id) + count(url) + count(html))::BIGINT AS population, 0::BIGINT AS violation_count FROM pages")
-_summary_query("pii_value_match", lambda g: pii.pii_value_match(g, "Document", 10_000, ["email"], ["text"]), _node_sql("documents", "text IS NOT NULL", "regexp_full_match(text, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+')"))
+_summary_query("pii_name_match", lambda g: pii.pii_name_match(g, "Page", pii.ALL), "SELECT (count(page_id) + count(url) + count(html))::BIGINT AS population, 0::BIGINT AS violation_count FROM pages")
+_summary_query("pii_value_match", lambda g: pii.pii_value_match(g, "Document", pii.ALL, ["email"], ["text"]), _node_sql("documents", "text IS NOT NULL", "regexp_full_match(text, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+')"))
 
 
 @query(f"SELECT population, violation_count, population - violation_count AS conforming_count, CASE WHEN population = 0 THEN 1.0 ELSE (population - violation_count) / population END AS coverage FROM ({_node_sql(DOCS, 'true', 'quality IS NULL')})")

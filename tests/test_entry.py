@@ -49,6 +49,23 @@ def test_run_comparison_all_compares_orders_of_all_ids(spark, tmp_path):
     assert rows(found) == rows(con.sql(SQL["run_comparison_all"]).df())
 
 
+def test_pii_queries_look_at_whole_tables(spark, tmp_path):
+    from pellucid.queries import QUERIES, SQL
+
+    n = 12_000
+    spark.range(n).selectExpr("id AS doc_id", "concat('a', id, '@b.co') AS text", "'en' AS lang", "'s' AS source", "9L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(n).selectExpr("id AS page_id", "'u' AS url", "'h' AS html", "'x' AS email").write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["pii_value_match"](spark, str(tmp_path)).toPandas()
+
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(found) == rows(con.sql(SQL["pii_value_match"]).df()) and found.violation_count[0] == n
+    assert QUERIES["pii_name_match"](spark, str(tmp_path)).first()["violation_count"] == n  # the column email
+
+
 def test_entry_imports_without_the_llm_part():
     import subprocess
     import sys
