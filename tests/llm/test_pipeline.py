@@ -73,3 +73,14 @@ def test_stages_keep_the_columns(spark, folder):
         docs = stage(spark, docs, folder[0])
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert docs.where("n_chars <> char_length(text)").count() == 0
+
+
+def test_each_stage_reads_what_the_last_one_wrote(spark, folder, monkeypatch):
+    seen = []
+    stages = [(name, lambda s, docs, d, f=stage: seen.append(docs.inputFiles()) or f(s, docs, d)) for name, stage in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    out = corpus_pipeline.run(spark, folder[0])
+    assert all(f.startswith(f"file://{folder[0]}/documents") for f in seen[0])
+    for (name, _), files in zip(stages, [*seen[1:], out.inputFiles()]):
+        assert files and all(f"/pipeline-{name}-" in f for f in files), name
+    assert out.count() > 10
