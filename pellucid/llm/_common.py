@@ -6,7 +6,6 @@ import atexit
 import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -50,39 +49,6 @@ def _delete(spark: SparkSession, path: str) -> None:
 _paths: set[str] = set()
 
 
-class Stored:
-    """A frame cut from its lineage: written once as Parquet to the shared folder and read back.
-
-    An executor that is lost later takes nothing with it. drop() deletes the files as soon as no later
-    step reads them; the rest goes when the session ends.
-    """
-
-    def __init__(self, frame: DataFrame, name: str):
-        self.spark = frame.sparkSession
-        self.path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        frame.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(frame.schema).parquet(self.path)
-        _paths.add(self.path)
-
-    def drop(self) -> None:
-        _paths.discard(self.path)
-        _delete(self.spark, self.path)
-
-
-@atexit.register
-def _drop_all() -> None:
-    try:
-        spark = SparkSession.getActiveSession()
-        for path in list(_paths):
-            if spark is not None:
-                _delete(spark, path)
-    except Exception:  # the session is already gone; the folder's owner cleans it
-        return
-
-
-_paths: set[str] = set()
-
-
 class Stored:
     """A frame cut from its lineage: written once as Parquet to the shared folder and read back.
 
@@ -115,10 +81,8 @@ def _drop_all() -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's context cleaner remove shuffle files of frames that nothing refers to any more."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 _shipped: set[str] = set()

@@ -1,38 +1,42 @@
 """N-gram Jaccard join with a token-group matrix.
 
-Which documents are near a group is found by signatures: the shingles of a document fall into more parts than
-two linked documents can differ in, so two linked documents agree in at least one part that is not empty, and
-a digest of each part brings them together. Documents that meet are first held against the leader of their
-meeting place, which makes groups of similar documents; then each group's token union is stored, a document
-is bounded against the union of every other group that it meets, and only groups that the bound lets through
-are opened. Every link between documents of different groups is found; inside a group none is needed.
+All documents agree on one order of the shingles, from rare to common. Two linked sets share a shingle among
+the first few of each (all but the size that they must have in common, and one), so only those few are dealt
+over the cluster, and what is common to many documents brings hardly any of them together. Documents that
+meet at a shingle are first held against one of them, which links most copies. The rest are partitioned into
+groups of similar documents (by their most crowded meeting place, linked class and size); each group's token
+union is stored; a document that meets members of a group is bounded against that union, and only groups that
+the bound lets through are opened. Every link between different classes is found; inside a class none is
+needed.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pellucid.llm._common import Stored, free_shuffles, pick, slices, texts, to_batch
 from pellucid.llm.components import components
 
-#: Documents of a block when a group is opened.
-BLOCK = 256
-#: Salts tried until a document's parts have few enough empty ones.
-SALTS = 24
+#: Buckets of the counts that order the shingles: fixed, so that the table (one number each) may be broadcast at any size.
+BUCKETS = 1 << 18
+#: Counts in a row on their way to the sum.
+STRETCH = 4096
+#: Shingles of a group's members together, and documents that ask a group in one task.
+GROUP_TOKENS, ASKING = 1 << 16, 2048
+#: Members from which a linked class has groups of its own.
+CLASS = 64
+#: Sets that a task remembers so as to deal equal ones once.
+REMEMBERED = 200_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _salt(n: int) -> np.uint64:
-    return np.uint64(n * int(_A) & 2**64 - 1)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _B
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -67,289 +71,383 @@ class Shingler:
         return np.unique(out)
 
 
-@lru_cache(64)
-def levels(share: Fraction, most: int) -> list[tuple[int, int, int]]:
-    """(smallest size, largest size, parts) of each level of set sizes, as far as `most`.
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
-    Two linked sets of a level differ in at most (1 - share) / (1 + share) of their sizes' sum; there are more
-    parts than that, by a tenth and one.
-    """
-    out, low = [], 1
-    while low <= most:
-        high = max(low, int(low / share / share))
-        differ = int((1 - share) / (1 + share) * 2 * high)
-        out.append((low, high, differ + 1 + differ // 10))
-        low = high + 1
-    return out
 
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
 
-def signatures(shingles: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of a set's parts at its own level and, where a larger partner may be, at the next; and their rules.
 
-    Salts are tried until the set is sure to agree with every linked set in at least one part that is not
-    empty. A rule is 2 * (parts in which a linked set agrees at least) + (level modulo 2) under that last
-    salt, and 0 or 1 under the others.
-    """
-    size = len(shingles)
-    out, rules = [], []
-    table = levels(share, 1 << (max(1, size) * 2).bit_length())
-    for level, (low, high, parts) in enumerate(table):
-        if low > size / share:
-            break
-        if size > high or size < low and size < share * low:
-            continue
-        differ = int((1 - share) / (1 + share) * (size + min(high, int(size / share))))
-        for salt in range(SALTS):
-            mixed = _mix(shingles + _salt(level * 1_000_003 + salt * 7919 + 1))
-            part = (mixed >> np.uint64(33)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            sums = np.add.reduceat(_mix(mixed[order] ^ _B), first)
-            out.append(_mix(sums + (part[first] + np.uint64(1)) * _A + np.uint64(level * SALTS + salt)))
-            sure = len(first) - differ  # parts that agree, less the empty ones
-            rules.append(np.full(len(first), 2 * max(0, sure) + level % 2, np.int32))
-            if sure >= 1:
-                break
-        else:  # no salt will do: the empty parts count as parts too, for the few documents that come this far
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-            out.append(_mix((empty + np.uint64(1)) * _A + np.uint64(level * SALTS + SALTS - 1)))
-            rules.append(np.full(len(empty), level % 2, np.int32))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    return np.concatenate(out), np.concatenate(rules)
-
-
-SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
-SIGNED = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("rule", pa.int32()), ("n", pa.int32())])
-SIGNED_SQL = "sig long, doc long, rule int, n int"
-MET = pa.schema([*SIGNED, ("leader", pa.int64())])
-TOKENS = pa.schema([("doc", pa.int64()), ("set", pa.list_(pa.int64()))])
+SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("stretch", pa.int32()), ("counts", pa.binary())])
+SET_SQL = "doc_id long, n long, f1 long, f2 long, stretch int, counts binary"
+PLACE = pa.schema([("tok", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
+MET = pa.schema([("list", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()), ("l1", pa.int64()), ("l2", pa.int64()), ("ln", pa.int64())])
+MET_SQL = "list long, f1 long, f2 long, n long, l1 long, l2 long, ln long"
+TOKENS = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("set", pa.list_(pa.int64()))])
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(s.tobytes())
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+class _Remembered(set):
+    """Prints seen by a task; forgets all when it is full, which only costs repetition."""
+
+    def new(self, print_: tuple[int, int]) -> bool:
+        if print_ in self:
+            return False
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self.add(print_)
+        return True
 
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:
+    """Size and 128-bit print of each row's set; and from each task its counts of shingles by bucket, in stretches."""
+
     def run(batches):
-        shingler = Shingler(n)
+        shingler, seen, counts = Shingler(n), _Remembered(), np.zeros(BUCKETS, np.uint32)
         for part in slices(batches):
             found = [shingler(t) for t in texts(part)]
             prints = [_digest(s) for s in found]
-            yield to_batch(SET, {"doc_id": part.column(0), "n": [len(s) for s in found], "f1": [a for a, _ in prints], "f2": [b for _, b in prints]})
+            fresh = [s for s, f in zip(found, prints) if len(s) and seen.new(f)]
+            if fresh:
+                counts += np.bincount(_bucket(np.concatenate(fresh)), minlength=BUCKETS).astype(np.uint32)
+            none = pa.nulls(part.num_rows)
+            yield to_batch(SET, {"doc_id": part.column(0), "n": [len(s) for s in found], "f1": [a for a, _ in prints], "f2": [b for _, b in prints], "stretch": none.cast(pa.int32()), "counts": none.cast(pa.binary())})
+        at = [k for k in range(0, BUCKETS, STRETCH) if counts[k : k + STRETCH].any()]
+        none = pa.nulls(len(at), pa.int64())
+        yield to_batch(SET, {"doc_id": none, "n": none, "f1": none, "f2": none, "stretch": at, "counts": [counts[k : k + STRETCH].tobytes() for k in at]})
+
+    return rows.mapInArrow(run, SET_SQL)
+
+
+def _crowds(table: DataFrame) -> np.ndarray:
+    """The counts of all tasks together; BUCKETS numbers come to the driver."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for part in batches:
+            for k, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["stretch", "counts"])
+
+    out = np.zeros(BUCKETS, np.uint64)
+    for r in table.where("stretch is not null").select("stretch", "counts").repartition("stretch").mapInArrow(run, "stretch int, counts binary").collect():
+        out[r["stretch"] : r["stretch"] + STRETCH] = np.frombuffer(r["counts"], np.uint64)
+    return np.minimum(out, 2**32 - 1).astype(np.uint32)
 
-    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
 
+def first_places(tokens: np.ndarray, crowds: np.ndarray, share: Fraction) -> np.ndarray:
+    """The rarest shingles of a set, as many as it has above what a linked set must share with it, and one.
+
+    Ties fall to the smaller shingle, so all sets agree on the order, and two linked sets have their rarest
+    common shingle among the first places of both.
+    """
+    n = len(tokens)
+    must = -(-n * share.numerator // share.denominator)
+    return tokens[np.argsort(crowds[_bucket(tokens)], kind="stable")[: n - must + 1]]
 
-def _signed(rows: DataFrame, n: int, share: Fraction) -> DataFrame:
-    """sig, doc, rule, n: a row for each part of each document, once for equal sets that lie close together."""
+
+def _places(rows: DataFrame, n: int, share: Fraction, crowds: np.ndarray) -> DataFrame:
+    """tok, n, f1, f2: the first places of each set, once for the equal sets of a task."""
+    sent = rows.sparkSession.sparkContext.broadcast(crowds)  # BUCKETS numbers of 4 bytes
 
     def run(batches):
-        shingler, seen = Shingler(n), set()
+        shingler, seen = Shingler(n), _Remembered()
         for part in slices(batches):
-            sigs, docs, rules, sizes = [], [], [], []
+            toks, sizes, prints = [], [], []
             for doc, text in zip(part.column(0).to_pylist(), texts(part)):
                 s = shingler(text)
-                if doc is None or not len(s) or (print_ := _digest(s)) in seen:
+                if doc is None or not len(s) or not seen.new(f := _digest(s)):
                     continue
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(print_)
-                sig, rule = signatures(s, share)
-                sigs.append(sig.view(np.int64))
-                rules.append(rule)
-                docs.append(np.full(len(sig), doc, np.int64))
-                sizes.append(np.full(len(sig), len(s), np.int32))
-            if sigs:
-                yield to_batch(SIGNED, {k: np.concatenate(x) for k, x in (("sig", sigs), ("doc", docs), ("rule", rules), ("n", sizes))})
-
-    return rows.mapInArrow(run, SIGNED_SQL)
-
-
-def _meet(batches):
-    """Rows sorted by sig and doc: those whose sig another document has too, with the first document as leader."""
-    held, last_sig, leader = None, None, None  # the last row waits for the next one
-
-    def out(columns, upto):
-        nonlocal last_sig, leader
-        sig, doc = columns[0], columns[1]
-        begins = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
-        ends = np.concatenate([begins[1:], [True]])
-        at = np.maximum.accumulate(np.where(begins, np.arange(len(sig)), -1))
-        lead = np.where(at >= 0, doc[np.maximum(at, 0)], leader if leader is not None else 0)
-        keep = ~(begins & ends)
-        keep[upto:] = False
-        if upto:
-            last_sig, leader = sig[upto - 1], lead[upto - 1]
-        return to_batch(MET, dict(zip(MET.names, (x[keep] for x in (*columns, lead)))))
+                toks.append(first_places(s, sent.value, share))
+                sizes.append(len(s)), prints.append(f)
+            if toks:
+                many = [len(t) for t in toks]
+                f = np.repeat(np.array(prints, np.int64), many, axis=0)
+                yield to_batch(PLACE, {"tok": np.concatenate(toks).view(np.int64), "n": np.repeat(np.array(sizes, np.int64), many), "f1": f[:, 0], "f2": f[:, 1]})
 
-    for part in batches:
-        if not part.num_rows:
-            continue
-        columns = [np.asarray(part.column(i)) for i in range(4)]
-        if held is not None:
-            columns = [np.concatenate([h, x]) for h, x in zip(held, columns)]
-        held = [x[-1:] for x in columns]
-        yield out(columns, len(columns[0]) - 1)
-    if held is not None:
-        yield out(held, 1)
+    return rows.mapInArrow(run, "tok long, n long, f1 long, f2 long")
+
+
+def _meet(low: int, high: int):
+    """Rows sorted by tok, n, f1, f2: those that share a tok with another set, with the first one as leader.
+
+    Equal sets count once. A list ends where the next size is out of reach of the last. One row is held back.
+    """
+
+    def run(batches):
+        held = lead = None  # the last row, and (begins, list, l1, l2, ln) of it
+        for part in batches:
+            if not part.num_rows:
+                continue
+            tok, n, f1, f2 = (np.asarray(part.column(i)) if held is None else np.concatenate([held[i], np.asarray(part.column(i))]) for i in range(4))
+            same = (tok[1:] == tok[:-1]) & (f1[1:] == f1[:-1]) & (f2[1:] == f2[:-1]) & (n[1:] == n[:-1])
+            tok, n, f1, f2 = (x[np.concatenate([[True], ~same])] for x in (tok, n, f1, f2))
+            begins = np.concatenate([[held is None or lead[0]], (tok[1:] != tok[:-1]) | (n[:-1] * high < n[1:] * low)])
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(tok)), 0))
+            name = _mix(tok.view(np.uint64) + n.astype(np.uint64) * _A).view(np.int64)
+            led = [x[at] for x in (name, f1, f2, n)]
+            if not begins[0]:
+                for x, v in zip(led, lead[1:]):
+                    x[at == 0] = v
+            keep = ~(begins[:-1] & begins[1:])
+            yield to_batch(MET, dict(zip(MET.names, (x[:-1][keep] for x in (led[0], f1, f2, n, *led[1:])))))
+            held, lead = [x[-1:] for x in (tok, n, f1, f2)], (bool(begins[-1]), *(x[-1] for x in led))
+        if held is not None and not lead[0]:
+            yield to_batch(MET, dict(zip(MET.names, ([lead[1]], held[2], held[3], held[1], *([x] for x in lead[2:])))))
+
+    return run
+
+
+def _node():
+    return F.struct("f1", "f2")
 
 
 def _tokens(rows: DataFrame, n: int) -> DataFrame:
+    """node and set of rows doc_id, text, node; equal sets of a task once."""
+
     def run(batches):
-        shingler = Shingler(n)
+        shingler, seen = Shingler(n), _Remembered()
         for part in slices(batches):
-            yield to_batch(TOKENS, {"doc": part.column(0), "set": [shingler(t).view(np.int64) for t in texts(part)]})
+            found = [shingler(t) for t in texts(part)]
+            prints = [_digest(s) for s in found]
+            keep = [k for k, (f, node) in enumerate(zip(prints, part.column(2).to_pylist())) if f == (node["f1"], node["f2"]) and seen.new(f)]
+            yield to_batch(TOKENS, {"f1": [prints[k][0] for k in keep], "f2": [prints[k][1] for k in keep], "set": [found[k].view(np.int64) for k in keep]})
 
-    return rows.mapInArrow(run, "doc long, set array<bigint>")
+    return rows.mapInArrow(run, "f1 long, f2 long, set array<bigint>").select(_node().alias("node"), "set")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """The pairs (a, b) of documents whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
+    """The pairs (a, b) whose sets are similar enough."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common * share.denominator >= (F.size("sa") + F.size("sb") - common) * share.numerator).select("a", "b")
 
 
-def _led(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a document and a leader that it meets in a good part of its places: likely links.
+def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """list, docs, node, n, own (linked class), members (of that class) at the places where different classes meet."""
+    many = labels.groupBy("component").agg(F.count("*").alias("members"))
+    classes = labels.join(many, "component").select(F.col("id").alias("node"), "component", "members")
+    placed = met.join(classes, "node", "left").select("list", "node", "n", F.coalesce("component", "node").alias("own"), F.coalesce("members", F.lit(1)).alias("members"))
+    ends = [f(f"own.{c}").alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("f1", "f2")]
+    lists = placed.groupBy("list").agg(F.count("*").alias("docs"), *ends).where("min_f1 <> max_f1 or min_f2 <> max_f2").select("list", "docs")
+    return placed.join(lists, "list")
 
-    They only make the groups; links that are not among them are found between the groups.
+
+def _grouped(mixed: DataFrame, share: Fraction) -> DataFrame:
+    """node, n, own, members, block of every document at a mixed place: each document is in one group.
+
+    Similar documents have the most crowded place in common; large linked classes stand apart, and a group's
+    sizes lie within what can link. Groups of more than GROUP_TOKENS shingles are cut by hash.
     """
-    often = met.groupBy("doc", "leader").agg(F.count("*").alias("times"), F.max("n").alias("n"))
-    return often.where("doc <> leader and times >= 4 and times * 20 >= n or doc <> leader and n < 40").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
+    home = mixed.groupBy("node").agg(F.max(F.struct("docs", "list")).alias("top"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("members").alias("members"))
+    level = F.floor(F.log(F.col("n")) / -math.log(share) + 1e-9)
+    keyed = home.withColumn("key", F.xxhash64("top.list", F.when(F.col("members") >= CLASS, F.col("own")), level))
+    parts = keyed.groupBy("key").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts"))
+    return keyed.join(parts, "key").select("node", "n", "own", "members", F.xxhash64("key", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
 
 
-def _asking(open_: DataFrame) -> DataFrame:
-    """Places at which a document asks, with `sure`: how many of them a group with a linked member has at least.
+def _asked(mixed: DataFrame, grouped: DataFrame, share: Fraction) -> DataFrame:
+    """node, own, n, block: the groups that a document meets, as far as their sizes can link.
 
-    A rule says in how many places of its level a linked document agrees. A document that meets others in fewer
-    asks nowhere. Of the rest half of that number may be left out, the most crowded ones first, as long as so
-    many fewer agreements are asked for: common passages then do not bring their documents together.
+    Of two classes the smaller one asks (ties: the one of the smaller print), so that a large linked class never does.
     """
-    strong = F.col("rule") >= 2
-    own = ["doc", F.col("rule") % 2, strong]
-    need = F.floor(F.col("rule") / 2)
-    ranked = open_.withColumn("met", F.count("*").over(Window.partitionBy(*own))).withColumn("crowd", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("docs"), "sig")))
-    ranked = ranked.withColumn("left_out", F.floor(need / 2)).withColumn("sure", need - F.col("left_out"))
-    return ranked.where(~strong | ((F.col("met") >= need) & (F.col("crowd") > F.col("left_out")))).select("sig", "doc", "own", "n", "rule", "sure")
+    low, high = share.numerator, share.denominator
+    at = mixed.select("list", "node").join(grouped, "node").withColumn("rank", F.struct("members", "own"))
+    groups = at.groupBy("list", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rank").alias("top"))
+    meets = at.join(groups.withColumnRenamed("block", "other"), "list").where((F.col("rank") < F.col("top")) & (F.col("most") * high >= F.col("n") * low) & (F.col("least") * low <= F.col("n") * high))
+    return meets.select("node", "own", "n", F.col("other").alias("block")).distinct()
 
 
-def _across(met: DataFrame, labels: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """Links between documents of different groups that share a signature, by the groups' token unions."""
-    low, high = share.numerator, share.denominator
-    placed = met.select("sig", "doc", "rule", "n").join(labels.select(F.col("id").alias("doc"), F.col("component").alias("own")), "doc", "left").withColumn("own", F.coalesce("own", "doc"))
-    mixed = placed.groupBy("sig").agg(F.min("own").alias("one"), F.max("own").alias("other"), F.count("*").alias("docs")).where("one < other").select("sig", "docs")
-    open_ = Stored(placed.join(mixed, "sig"), "ngram-open")
-    groups = open_.df.groupBy("sig", F.col("own").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    meets = _asking(open_.df).join(groups, "sig").where((F.col("own") < F.col("group")) & (F.col("most") * high >= F.col("n") * low) & (F.col("least") * low <= F.col("n") * high))
-    counted = meets.groupBy("doc", "group", (F.col("rule") % 2).alias("level")).agg(F.count("*").alias("times"), F.max("sure").alias("sure"), F.min("rule").alias("weakest"))
-    asked = Stored(counted.where("times >= sure or weakest < 2").select("doc", "group").distinct(), "ngram-asked")
-    # the matrix: for each group that is asked for, the union of its members' tokens (32 bits: a bound from above all the same)
-    wanted = asked.df.select("group").distinct()
-    members = open_.df.select("doc", F.col("own").alias("group")).distinct().join(wanted, "group")
-    short = F.transform("set", lambda x: F.pmod(x, F.lit(2_147_483_647)).cast("int"))
-    union = members.join(sets.select("doc", F.explode(short).alias("token")), "doc").select("group", "token").distinct().groupBy("group").agg(F.collect_list("token").alias("union"))
-    bounded = (
-        asked.df.join(sets.select("doc", short.alias("own")), "doc").join(union, "group")
-        .where((F.size(F.array_intersect("own", "union")) + F.size("own") - F.size(F.array_distinct("own"))) * high >= F.size("own") * low).select("doc", "group")
-    )
-    let = Stored(bounded, "ngram-bounded")
-    asked.drop()
-    free_shuffles(met.sparkSession)
-    return _opened(let.df, open_.df.select("doc", F.col("own").alias("group")).distinct(), sets, share)
+DEALT = ["block", "q", "asks", "node", "own", "set"]
 
 
-def _opened(let: DataFrame, members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """Links of documents with members of the groups that they were let into.
+def _dealt(asked: DataFrame, held: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of DEALT sorted so that what a group holds comes before the documents that ask it.
 
-    Members and asking documents of a group are both cut into blocks; a task holds one block of each, so the
-    size of a group bounds the number of tasks and not a task. Only links leave a task.
+    asked: node, own, block; held: block, node, own, set. A group that many documents ask is sent to several tasks.
     """
-    place = lambda id_, n: F.pmod(F.xxhash64(id_, "group"), n).cast("int")
-    sides = let.groupBy("group").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("q_blocks"))
-    sides = members.join(sides, "group").groupBy("group").agg(F.max("q_blocks").alias("q_blocks"), (F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("m_blocks"))
-    sides = Stored(sides, "ngram-sides")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = let.join(sides.df, "group").select("doc", "group", place("doc", F.col("q_blocks")).alias("q"), every("m_blocks").alias("m"), F.lit(True).alias("asks"))
-    inside = members.join(sides.df, "group").select("doc", "group", every("q_blocks").alias("q"), place("doc", F.col("m_blocks")).alias("m"), F.lit(False).alias("asks"))
-    dealt = asking.unionByName(inside).join(sets, "doc").select("group", "q", "m", "doc", "asks", "set")
-    low, high = share.numerator, share.denominator
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    many = Stored(asked.groupBy("block").agg(F.ceil(F.count("*") / ASKING).alias("parts")), "ngram-parts").df
+    asking = asked.join(many, "block").join(sets, "node").select("block", F.pmod(F.xxhash64("node", "block"), "parts").alias("q"), F.lit(True).alias("asks"), "node", "own", "set")
+    each = held.join(many, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"), F.lit(False).alias("asks"), "node", "own", "set")
+    return asking.unionByName(each).select(DEALT).repartition("block", "q").sortWithinPartitions("block", "q", "asks")
 
-    def links(batches):
-        """Rows sorted by block pair: each pair's documents are gathered, then held against each other."""
-        key, docs, asks, held = None, [], [], []
+
+def _rows(batches):
+    """(block, q), asks, node, own, set of each row of DEALT."""
+    for part in batches:
+        names = [list(zip(x.field(0).to_pylist(), x.field(1).to_pylist())) for x in (part.column(3), part.column(4))]
+        tokens, at = part.column(5).values.to_numpy(), part.column(5).offsets.to_numpy()
+        for i, (block, q, asks) in enumerate(zip(*(part.column(k).to_pylist() for k in range(3)))):
+            yield (block, q), asks, names[0][i], names[1][i], tokens[at[i] : at[i + 1]]
+
+
+PAIR = pa.struct([("f1", pa.int64()), ("f2", pa.int64())])
+
+
+def _named(found: list[tuple[int, int]]) -> pa.Array:
+    return pa.array([{"f1": a, "f2": b} for a, b in found], PAIR)
+
+
+def _unions(members: DataFrame) -> DataFrame:
+    """The matrix: block and the union of its members' tokens, GROUP_TOKENS of them or one set's."""
+    schema = pa.schema([("block", pa.int64()), ("set", pa.list_(pa.int64()))])
+
+    def run(batches):
+        block, own = None, []
         for part in batches:
-            for g, q, m, doc, ask, own in zip(*(part.column(i).to_pylist() for i in range(5)), (x.values.to_numpy() for x in part.column(5))):
-                if (g, q, m) != key:
-                    yield _pairs(docs, asks, held, low, high, schema)
-                    key, docs, asks, held = (g, q, m), [], [], []
-                docs.append(doc), asks.append(ask), held.append(own)
-        yield _pairs(docs, asks, held, low, high, schema)
-
-    return dealt.repartition("group", "q", "m").sortWithinPartitions("group", "q", "m").mapInArrow(links, "a long, b long")
-
-
-def _pairs(docs: list, asks: list, held: list, low: int, high: int, schema: pa.Schema) -> pa.RecordBatch:
-    """Counts common tokens of every asking document with all members of the block at once."""
-    asks = np.array(asks, bool)
-    inside = np.flatnonzero(~asks)
-    a, b = [], []
-    if len(inside) and asks.any():
-        size = np.array([len(held[i]) for i in inside])
-        tokens, owner = np.concatenate([held[i] for i in inside]), np.repeat(np.arange(len(inside)), size)
+            tokens, at = part.column(1).values.to_numpy(), part.column(1).offsets.to_numpy()
+            for i, key in enumerate(part.column(0).to_pylist()):
+                if key != block and own:
+                    yield to_batch(schema, {"block": [block], "set": [np.unique(np.concatenate(own))]})
+                    own = []
+                block = key
+                own.append(tokens[at[i] : at[i + 1]])
+        if own:
+            yield to_batch(schema, {"block": [block], "set": [np.unique(np.concatenate(own))]})
+
+    return members.select("block", "set").repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, set array<bigint>")
+
+
+def _bound(low: int, high: int):
+    """Of the documents that ask a group those that have enough tokens in common with its union."""
+    schema = pa.schema([("node", PAIR), ("own", PAIR), ("block", pa.int64())])
+
+    def run(batches):
+        key = union = None
+        out: list[tuple] = []
+        for at, asks, node, own, tokens in _rows(batches):
+            if not asks:
+                key, union = at, tokens
+            elif at == key:
+                near = np.searchsorted(union, tokens)
+                common = int(np.count_nonzero(union[np.minimum(near, len(union) - 1)] == tokens))
+                if common * high >= len(tokens) * low:
+                    out.append((node, own, at[0]))
+            if len(out) >= 10_000:
+                yield to_batch(schema, {"node": _named([x[0] for x in out]), "own": _named([x[1] for x in out]), "block": [x[2] for x in out]})
+                out = []
+        yield to_batch(schema, {"node": _named([x[0] for x in out]), "own": _named([x[1] for x in out]), "block": [x[2] for x in out]})
+
+    return run
+
+
+class Opened:
+    """Members of a group by token."""
+
+    def __init__(self, nodes: list, owns: list, sets: list[np.ndarray]):
+        self.nodes, self.owns, self.size = nodes, owns, np.array([len(s) for s in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
         order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        for i in np.flatnonzero(asks):
-            own = held[i]
-            first, stop = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
-            n = stop - first
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            common = np.bincount(owner[at], minlength=len(inside))
-            for k in np.flatnonzero(common * high >= (len(own) + size - common) * low):
-                a.append(docs[i]), b.append(docs[inside[k]])
-    return to_batch(schema, {"a": a, "b": b})
+        self.tokens, self.owner = tokens[order], owner[order]
+
+    def linked(self, tokens: np.ndarray, own, low: int, high: int) -> list:
+        """A linked member of each class other than `own`."""
+        first, stop = np.searchsorted(self.tokens, tokens), np.searchsorted(self.tokens, tokens, side="right")
+        n = stop - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.nodes))
+        hits = np.flatnonzero(common * high >= (len(tokens) + self.size - common) * low)
+        return list({self.owns[k]: self.nodes[k] for k in hits if self.owns[k] != own}.values())
+
+
+def _links(low: int, high: int):
+    """Links of asking documents with members of the groups that they were let into."""
+    schema = pa.schema([("a", PAIR), ("b", PAIR)])
+
+    def run(batches):
+        key, opened, nodes, owns, sets = None, None, [], [], []
+        for at, asks, node, own, tokens in _rows(batches):
+            if at != key:
+                key, opened, nodes, owns, sets = at, None, [], [], []
+            if not asks:
+                nodes.append(node), owns.append(own), sets.append(tokens)
+            elif nodes:
+                opened = opened or Opened(nodes, owns, sets)
+                found = opened.linked(tokens, own, low, high)
+                if found:
+                    yield to_batch(schema, {"a": _named([node] * len(found)), "b": _named(found)})
+
+    return run
+
+
+def _across(met: DataFrame, labels: DataFrame, sets: DataFrame, share: Fraction) -> Stored | None:
+    """Links between documents of different classes that meet, by the groups' token unions; None where none can be."""
+    low, high = share.numerator, share.denominator
+    mixed = Stored(_mixed(met, labels), "ngram-mixed")
+    if not mixed.df.limit(1).count():
+        return None
+    grouped = Stored(_grouped(mixed.df, share), "ngram-groups")
+    asked = Stored(_asked(mixed.df, grouped.df, share), "ngram-asked")
+    mixed.drop()
+    members = grouped.df.join(asked.df.select("block").distinct(), "block", "left_semi").join(sets, "node").select("block", "node", "own", "set")
+    matrix = Stored(_unions(members), "ngram-matrix")
+    nobody = F.lit(None).cast("struct<f1:bigint,f2:bigint>")
+    bounds = _dealt(asked.df, matrix.df.select("block", nobody.alias("node"), nobody.alias("own"), "set"), sets)
+    let = Stored(bounds.mapInArrow(_bound(low, high), "node struct<f1:bigint,f2:bigint>, own struct<f1:bigint,f2:bigint>, block long"), "ngram-let")
+    matrix.drop()
+    asked.drop()
+    free_shuffles(met.sparkSession)
+    opened = grouped.df.join(let.df.select("block").distinct(), "block", "left_semi").join(sets, "node").select("block", "node", "own", "set")
+    links = Stored(_dealt(let.df, opened, sets).mapInArrow(_links(low, high), "a struct<f1:bigint,f2:bigint>, b struct<f1:bigint,f2:bigint>"), "ngram-more")
+    grouped.drop()
+    let.drop()
+    return links
 
 
 def ngram_components(docs: DataFrame, n: int = 5, share: Fraction | float = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every row.
 
     A document's set: distinct word n-grams after lower-casing A-Z and splitting at ASCII white space; a
-    text of fewer words is one shingle; null or empty texts have none and link with nothing. Two documents
-    link when intersection / union >= share. All links that join different groups are verified exactly on
-    64-bit digests of the shingles.
-
-    Rows with the same id are one document; a null id links with nothing and has a null component. Repeated
-    rows are returned as often as they occur.
+    text of fewer words is one shingle; null or empty texts have none and link with nothing (their component
+    is their own id). Two documents link when intersection / union >= share. Links are verified exactly on
+    64-bit digests of the shingles; sets are told apart by 128-bit prints.
+
+    Each row is judged by its own text: rows with the same id and text get equal results, rows with one id and
+    different texts link separately. A null id links with nothing and has a null component. Very long texts
+    are shingled whole; one set is held in memory at a time, and a group holds one long set or GROUP_TOKENS
+    shingles. Ties in the order of shingles and of classes are broken by digests. Other columns of the input
+    are not looked at, whatever their names. An empty table gives an empty result.
     """
     share = share if isinstance(share, Fraction) else Fraction(str(share))
+    low, high = share.numerator, share.denominator
     spark = docs.sparkSession
     rows = pick(docs, id_col, text_col)
     table = Stored(_sets(rows, n), "ngram-sets")
-    whole = table.df.where("n > 0 and doc_id is not null")
-    first = whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1").select("f1", "f2", "b")
-    copies = whole.join(first, ["f1", "f2"]).select(F.col("doc_id").alias("a"), "b")
-    met = Stored(_signed(rows, n, share).repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(_meet, SIGNED_SQL + ", leader long"), "ngram-met")
+    every = table.df.where("stretch is null").select("doc_id", "n", "f1", "f2")
+    places = _places(rows, n, share, _crowds(table.df)).repartition("tok").sortWithinPartitions("tok", "n", "f1", "f2")
+    met = Stored(places.mapInArrow(_meet(low, high), MET_SQL).select("list", _node().alias("node"), "n", F.struct(F.col("l1").alias("f1"), F.col("l2").alias("f2")).alias("leader"), "ln"), "ngram-met")
     free_shuffles(spark)
-    needed = met.df.select(F.col("doc").alias("doc_id")).distinct()
-    sets = Stored(_tokens(rows.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n), "ngram-tokens")
+    first = every.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).select(_node().alias("node"), "first", "copies")
+    needed = met.df.select("node").distinct().join(first, "node").select(F.col("first").alias("doc_id"), "node")
+    sets = Stored(_tokens(rows.join(needed, "doc_id").select("doc_id", "text", "node"), n), "ngram-tokens")
     free_shuffles(spark)
-    led = Stored(copies.unionByName(_verified(_led(met.df), sets.df, share)), "ngram-links")
+    pairs = met.df.where((F.col("node") != F.col("leader")) & (F.col("ln") * high >= F.col("n") * low)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    led = Stored(_verified(pairs, sets.df, share), "ngram-links")
     labels = components(led.df)
-    more = Stored(_across(met.df, labels.df, sets.df, share), "ngram-more")
+    more = _across(met.df.select("list", "node", "n"), labels.df, sets.df, share)
     met.drop()
     sets.drop()
     free_shuffles(spark)
-    if more.df.limit(1).count():
+    if more is not None and more.df.limit(1).count():
+        labels.drop()
         labels = components(led.df.unionByName(more.df))
-    named = labels.df.select(F.col("id").alias("doc_id"), "component")
-    return table.df.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    linked = first.join(labels.df.withColumnRenamed("id", "node"), "node", "left")
+    least = linked.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    named = linked.where("component is not null or copies > 1").join(least, "component", "left").select("node", F.coalesce("least", "first").alias("least"))
+    keyed = every.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), _node()))
+    return keyed.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, share: Fraction | float = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that of the smallest id, with all its columns; rows with a null id stay."""
-    found = ngram_components(docs, n, share, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("__copy"), "left_anti")
+    """The rows of one document of each component, that of the smallest id, with all their columns.
+
+    Rows with a null id, a null or an empty text stay. Rows repeated with one id are one document and stay or go
+    together: they stay if any of them leads its component. Columns of any name are carried along; an empty
+    table gives an empty result.
+    """
+    found = ngram_components(docs, n, share, id_col, text_col).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("leads"))
+    name = "copy"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.join(found.where("not leads").select(F.col("doc_id").alias(name)), F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

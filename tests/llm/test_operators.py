@@ -255,21 +255,37 @@ def plain_components(corpus, n, low, high):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("n", "share", "low", "block"), [(4, 0.85, 85, 256), (5, 0.8, 80, 3)])
-def test_ngram_components(spark, corpus, n, share, low, block, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize(("n", "share", "low", "small"), [(4, 0.85, 85, False), (5, 0.8, 80, True)])
+def test_ngram_components(spark, corpus, n, share, low, small, monkeypatch):
+    if small:  # groups of a document or two, each asked in several tasks; classes apart from two members on
+        for name, value in (("GROUP_TOKENS", 100), ("ASKING", 2), ("CLASS", 2), ("REMEMBERED", 3)):
+            monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(n)
-    family = [(5000 + i, t) for i, t in enumerate(drift_family(rng))]
+    family = [(5000 + i, t) for i, t in enumerate(drift_family(rng))] + [(6000 + i, t) for i, t in enumerate(cloud(rng))]
     rows = ngram_join.ngram_components(frame(spark, corpus + family), n, share).collect()
     want = plain_components(corpus + family, n, low, 100)
     assert len(rows) == len(corpus) + len(family)
     for r in rows:
         assert r["doc_id"] is None and r["component_id"] is None or (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
-    kept = ngram_join.keep_one(frame(spark, corpus), n, share).collect()
+    kept = ngram_join.keep_one(frame(spark, corpus).withColumn("copy", ngram_join.F.lit(1)), n, share).collect()
     plain = plain_components(corpus, n, low, 100)
     assert sorted(repr(r["doc_id"]) for r in kept) == sorted(repr(i) for i, _ in corpus if i is None or plain[i][1] == i)
 
 
+def test_ngram_rows_of_one_id_link_by_their_own_texts(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "u v w x y z"), (3, "u v w x y z"), (2, "u v w x y z"), (4, "a b")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.ngram_components(frame(spark, rows), 4, 0.85).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (2, 2), (3, 2), (4, 4)]
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one(frame(spark, rows), 4, 0.85).collect()) == [1, 2, 2, 2, 4]
+
+
+def cloud(rng):
+    """Documents that share a long passage, some of which link and some of which do not."""
+    passage = prose(rng, 80)
+    for _ in range(50):
+        yield f"{passage} {prose(rng, rng.randint(1, 25))}"
+
+
 def drift_family(rng):
     """A chain of copies, each edited from the last: neighbours link, ends do not; and copies that stay under the bound."""
     words = prose(rng, 150).split()
@@ -278,17 +294,19 @@ def drift_family(rng):
         yield " ".join(words)
 
 
-def test_signatures_bring_every_link_together():
+def test_first_places_bring_every_link_together():
     rng = np.random.default_rng(3)
-    share = ngram_join.Fraction(85, 100)
+    share, crowds = ngram_join.Fraction(85, 100), rng.integers(0, 5, ngram_join.BUCKETS)
+    linked = 0
     for _ in range(300):
         n = int(rng.integers(1, 400))
-        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
         b = np.unique(np.concatenate([a[int(len(a) * rng.uniform(0, 0.16)) :], rng.integers(0, 2**63, int(n * rng.uniform(0, 0.1))).astype(np.uint64)]))
         common = len(np.intersect1d(a, b))
         if len(b) and 100 * common >= 85 * (len(a) + len(b) - common):
-            (sa, ra), (sb, rb) = ngram_join.signatures(a, share), ngram_join.signatures(b, share)
-            assert np.intersect1d(sa, sb).size >= 1
+            linked += 1
+            assert np.intersect1d(ngram_join.first_places(a, crowds, share), ngram_join.first_places(b, crowds, share)).size >= 1
+    assert linked > 50
 
 
 def plain_repeats(docs):
