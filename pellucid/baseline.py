@@ -20,21 +20,34 @@ def target_key(target: dict) -> str:
 
 
 def lookup(baseline, metric: str, target: dict):
-    """A metric's value in a scalar, a {metric: ...} mapping (flat, keyed or nested by owner) or a profile; None if absent."""
+    """A metric's value in a scalar, a {metric: ...} mapping (flat, keyed or nested by owner) or a profile; None if absent.
+
+    An entry may be the value itself or a mapping with the keys value and, if wanted, evidence.
+    """
+    found = _entry(baseline, metric, target)
+    return found.get("value") if isinstance(found, dict) else found
+
+
+def entry_evidence(baseline, metric: str, target: dict) -> list[dict]:
+    """Elements that a baseline entry names as evidence."""
+    found = _entry(baseline, metric, target)
+    listed = found.get("evidence") or [] if isinstance(found, dict) else []
+    return [{"kind": e["kind"], "id": str(e["id"]), "labels": e.get("labels"), "type": e.get("type")} for e in listed]
+
+
+def _entry(baseline, metric: str, target: dict):
     if isinstance(baseline, dict) and "statistics" in baseline and "schema" in baseline:
         return _from_profile(baseline, metric, target)
-    if not isinstance(baseline, dict):
+    if not isinstance(baseline, dict) or set(baseline) <= {"value", "evidence"} and "value" in baseline:
         return baseline
     found = baseline.get(metric)
-    if not isinstance(found, dict):
-        return found
-    if (key := target_key(target)) in found:
+    if isinstance(found, dict) and (key := target_key(target)) in found:
         return found[key]
     for part in [target[k] for k in ("label", "type", "property") if k in target]:
-        if not isinstance(found, dict):
-            return None
+        if not isinstance(found, dict) or "value" in found:
+            break
         found = found.get(part)
-    return None if isinstance(found, dict) else found
+    return None if isinstance(found, dict) and "value" not in found else found
 
 
 def _from_profile(p: dict, metric: str, target: dict):
@@ -85,9 +98,14 @@ class Snapshots:
         if not path.is_file():
             raise CheckError("baseline.not_found", f"no snapshot {name}")
         try:
-            return json.loads(path.read_text())
+            found = json.loads(path.read_text())
         except ValueError:
             raise CheckError("baseline.invalid", f"{name} is no JSON") from None
+        if isinstance(found, dict) and {"schema", "statistics", "fingerprint"} <= found.keys():
+            from pellucid.profiler import check_profile
+
+            check_profile(found)
+        return found
 
     def set_current(self, name: str) -> None:
         if name not in self.names():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 from pathlib import Path
 
 from pellucid.errors import CheckError
@@ -45,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     command("init", folder("--checks", "checks"))
     command("debug", data, folder("--checks", "checks"))
     command("profile", data, folder("--baselines", "baselines"))
-    command("monitor", data, (("--rounds",), {"type": int, "default": 1}))
+    command("monitor", data, (("--rounds",), {"type": int, "default": 1}), (("--interval",), {"type": float, "default": 15.0}))
     command("baseline", (("name",), {}), folder("--baselines", "baselines"))
     command("diff", folder("--baselines", "baselines"), (("--from",), {"dest": "a"}), (("--to",), {"dest": "b"}), (("--json",), {"action": "store_true"}))
     command("run", data, folder("--checks", "checks"), folder("--runs", "runs"), folder("--baselines", "baselines"), (("--select",), {}), (("--suite",), {}), (("--fail-fast",), {"action": "store_true"}), (("--seed",), {"default": 0}), (("--concurrency",), {"type": int, "default": 1}))
@@ -90,8 +91,11 @@ def _monitor(args) -> int:
     from pellucid.streaming.monitor import Metrics, check_health
 
     graph, metrics = _graph(args), Metrics()
-    for _ in range(args.rounds):
-        metrics.record(check_health(graph.spark), 0.0)
+    for i in range(args.rounds):
+        if i:
+            time.sleep(args.interval)
+        began = time.monotonic()
+        metrics.record(check_health(graph.spark), time.monotonic() - began)
     print(metrics.text(), end="")
     return 0 if metrics.connected else 1
 
@@ -118,11 +122,11 @@ def _run(args) -> int:
     from pellucid.history import Runs
     from pellucid.report import headline, html
     from pellucid.runner import Options, run_suites
-    from pellucid.sources.suites import load_suites, parse_selector
+    from pellucid.sources.suites import load_what_can_be, parse_selector
 
     tag = parse_selector(args.select) if args.select else None
-    suites = load_suites(args.checks, suite=args.suite)
-    results = run_suites(_graph(args), suites, Options(tags=(tag,) if tag else (), fail_fast=args.fail_fast, seed=args.seed, concurrency=args.concurrency, baselines=Snapshots(args.baselines)))
+    suites, broken = load_what_can_be(args.checks, args.suite)
+    results = run_suites(_graph(args), suites, Options(tags=(tag,) if tag else (), fail_fast=args.fail_fast, seed=args.seed, concurrency=args.concurrency, baselines=Snapshots(args.baselines)), broken)
     Runs(args.runs).write(results, html(results))
     print(headline(results))
     return results["run"]["exit_code"]

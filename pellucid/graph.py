@@ -130,6 +130,10 @@ class PropertyGraph:
             return self.spark.createDataFrame([], "id string, type string, src string, dst string" + "".join(f", `{p}` string" for p in properties or ()))
         return reduce(DataFrame.unionByName, parts)
 
+    def copies(self, *labels: str) -> int:
+        """How often a node may come where these labels are looked up together: once for each table that can hold it."""
+        return max(1, sum(bool(set(labels) & {*s.labels, *s.optional}) for s in self.node_sets))
+
     def counts(self) -> tuple[int, int]:
         """Nodes and relationships, counted once in one job without reading a column."""
         if self._counts is None:

@@ -59,17 +59,15 @@ class Verdict:
     complete: bool
 
 
-def needs_all(expect: Expect) -> bool:
-    """unique: true, equals and an upper bound must see every row."""
-    r = expect.rows
-    return bool(expect.unique or expect.equals is not None or r and (r.max is not None or r.exactly is not None))
+#: Rows of the first read of a result that may be decided early, and the growth of each further one.
+FIRST_READ, GROWTH = 1_000, 10
 
 
 def rows_needed(expect: Expect, ceiling: int = ROW_CEILING) -> int:
     """Rows to fetch so that every assertion is decided, the ceiling and one more at most.
 
     A lower bound needs that many rows, an upper bound one more; a bare `empty` or `columns` needs one. Only
-    what must see a whole result (or find its pinned values) reads up to the ceiling.
+    what must see a whole result (or find its pinned values) may have to read up to the ceiling.
     """
     if expect.unique is not None or expect.contains is not None or expect.equals is not None:
         return ceiling + 1
@@ -80,26 +78,49 @@ def rows_needed(expect: Expect, ceiling: int = ROW_CEILING) -> int:
 
 
 def fetch(df: DataFrame, expect: Expect, ceiling: int = ROW_CEILING) -> tuple[list[dict], bool]:
-    """The rows that decide, and whether they are all: a limit that Spark pushes into the plan."""
+    """The rows that decide, and whether they are all: limits that Spark pushes into the plan.
+
+    Reads grow from FIRST_READ until the rows that came decide (a row that stands twice, all pinned values, a
+    broken bound) or the ceiling is passed; each read opens only as many partitions as it takes to fill it.
+    """
     need = rows_needed(expect, ceiling)
-    rows = [r.asDict() for r in df.limit(need).collect()]
-    return rows, len(rows) < need
+    size = min(need, FIRST_READ)
+    while True:
+        rows = [r.asDict() for r in df.limit(size).collect()]
+        complete = len(rows) < size
+        if complete or size == need or decides(df.columns, rows, expect):
+            return rows, complete
+        size = min(need, size * GROWTH)
+
+
+def decides(columns: list[str], rows: list[dict], expect: Expect) -> bool:
+    """Whether a result that goes on is settled by its first rows."""
+    try:
+        judge(columns, rows, False, expect)
+    except CheckError:
+        return False
+    return True
 
 
 def judge(columns: list[str], rows: list[dict], complete: bool, expect: Expect) -> Verdict:
-    """Holds a result against its assertions. Rows compare as bags; pinned values are scalars for one column, else maps."""
+    """Holds a result against its assertions. Rows compare as bags; pinned values are scalars for one column, else maps.
+
+    Rows of a result that is not complete only decide what further rows cannot change: a lower bound that is
+    reached, an upper one that is passed. What they leave open raises engine.result_limit_exceeded, unless
+    another assertion has failed already.
+    """
     n, failures, measured = len(rows), [], {"columns": list(columns), "empty": len(rows) == 0}
     measured["rows" if complete else "observed_rows_at_least"] = n
     undecided = False
     r = expect.rows
     if r is not None:
-        if r.min is not None and n < r.min:
-            failures.append(f"{n} rows, at least {r.min} expected")
-        for bound, what in ((r.max, "at most"), (r.exactly, "exactly")):
-            if bound is not None and n > bound:
+        for bound, what, short, over in ((r.min, "at least", True, False), (r.max, "at most", False, True), (r.exactly, "exactly", True, True)):
+            if bound is None:
+                continue
+            if over and n > bound or short and n < bound and complete:
                 failures.append(f"{n} rows, {what} {bound} expected")
-        if r.exactly is not None and complete and n < r.exactly:
-            failures.append(f"{n} rows, exactly {r.exactly} expected")
+            elif not complete and (over or n < bound):
+                undecided = True
     if expect.columns is not None and list(columns) != expect.columns:
         failures.append(f"columns {list(columns)}, {expect.columns} expected")
     if expect.unique is not None:

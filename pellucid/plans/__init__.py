@@ -1,5 +1,5 @@
 """Checks as lazy DataFrame plans."""
 
-from pellucid.plans.base import CheckPlan, fuse
+from pellucid.plans.base import CheckPlan, SharedScan, fuse
 
-__all__ = ["CheckPlan", "fuse"]
+__all__ = ["CheckPlan", "SharedScan", "fuse"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ class CheckPlan:
 
     evidence: kind, id, labels, type of the violating elements, unordered and unlimited; capped() bounds it.
     It is only run for a check that fails. base and aggregates stand for the summary where other checks may
-    share its scan.
+    share its scan. repeats: how often an element may come at most, where several tables or properties give it.
     """
 
     name: str
@@ -26,10 +27,21 @@ class CheckPlan:
     base_key: tuple | None = None
     aggregates: list[Column] = field(default_factory=list)
     columns: dict[str, Column] = field(default_factory=dict)
+    repeats: int = 1
+    #: What the summary has besides the two counts, from them.
+    derived: Callable[[dict], dict] | None = None
+
+    def row(self, counts: dict | None = None) -> dict:
+        """The summary; with counts from a shared scan nothing is run."""
+        return self.summary.first().asDict() if counts is None else counts | (self.derived(counts) if self.derived else {})
 
     def capped(self, cap: int) -> DataFrame:
-        """The first `cap` elements by id: a heap of that size in each partition, no sort of the table."""
-        return self.evidence.dropDuplicates(["kind", "id"]).orderBy("id").limit(cap)
+        """The first `cap` elements by id: a heap of that size in each partition, no sort or shuffle of the rest.
+
+        Where an element may come several times, so many more are taken first; the few that are left are made distinct.
+        """
+        first = self.evidence.orderBy("id").limit(cap * self.repeats)
+        return first if self.repeats == 1 else first.dropDuplicates(["kind", "id"]).orderBy("id").limit(cap)
 
 
 def node_evidence(rows: DataFrame) -> DataFrame:
@@ -40,11 +52,30 @@ def rel_evidence(rows: DataFrame) -> DataFrame:
     return rows.select(F.lit("rel").alias("kind"), "id", F.lit(None).cast("array<string>").alias("labels"), "type")
 
 
-def predicate_plan(name: str, base: DataFrame, base_key: tuple, population: Column, violation: Column, evidence: Callable[[DataFrame], DataFrame], extra: list[Column] = ()) -> CheckPlan:
+def predicate_plan(name: str, base: DataFrame, base_key: tuple, population: Column, violation: Column, evidence: Callable[[DataFrame], DataFrame], extra: list[Column] = (), repeats: int = 1) -> CheckPlan:
     """Counts rows in the population and violations among them in one scan of the base."""
     bad = F.coalesce(population & violation, F.lit(False))
     aggregates = [F.count_if(F.coalesce(population, F.lit(False))).alias("population"), F.count_if(bad).alias("violation_count"), *extra]
-    return CheckPlan(name, base.agg(*aggregates), evidence(base.where(bad)), base=base, base_key=base_key, aggregates=aggregates)
+    return CheckPlan(name, base.agg(*aggregates), evidence(base.where(bad)), base=base, base_key=base_key, aggregates=aggregates, repeats=repeats)
+
+
+class SharedScan:
+    """Summaries of several predicate checks over one base, computed together when the first of them is asked for."""
+
+    def __init__(self, plans: dict):
+        self.plans, self.rows, self.lock = plans, None, threading.Lock()
+
+    def row(self, key) -> dict | None:
+        """population and violation_count of a check; None if the common scan failed and each must see for itself."""
+        with self.lock:
+            if self.rows is None:
+                names = {f"c{i}": k for i, k in enumerate(self.plans)}
+                try:
+                    found = fuse({n: self.plans[k] for n, k in names.items()}).collect()  # a row for each check
+                    self.rows = {names[r["check"]]: {"population": r["population"], "violation_count": r["violation_count"]} for r in found}
+                except Exception:  # one faulty check must not take the others with it: they run alone, and it fails alone
+                    self.rows = {}
+            return self.rows.get(key)
 
 
 def fuse(plans: dict[str, CheckPlan]) -> DataFrame:

@@ -44,11 +44,12 @@ def completeness(graph: PropertyGraph, label: str, property: str, threshold: flo
     if isinstance(threshold, bool) or not isinstance(threshold, (int, float)) or not 0 < threshold <= 1:
         raise _invalid("threshold must be over 0 and at most 1")
     base, key = _scan(graph, label, [property])
-    plan = predicate_plan("completeness", base, key, F.lit(True), _col(property).isNull(), node_evidence)
+    plan = predicate_plan("completeness", base, key, F.lit(True), _col(property).isNull(), node_evidence, repeats=graph.copies(label))
     conforming = F.col("population") - F.col("violation_count")
     coverage = F.when(F.col("population") == 0, F.lit(1.0)).otherwise(conforming / F.col("population"))
     plan.summary = plan.summary.withColumn("conforming_count", conforming).withColumn("coverage", coverage)
     plan.measured = {"threshold": threshold}
+    plan.derived = lambda c: {"conforming_count": c["population"] - c["violation_count"], "coverage": (c["population"] - c["violation_count"]) / c["population"] if c["population"] else 1.0}
     return plan
 
 
@@ -82,7 +83,7 @@ def cardinality(graph: PropertyGraph, from_label: str, rel_type: str, to_label:
         raise _invalid("exactly must be a whole number of 0 or more")
     graph.require((from_label, to_label), (rel_type,))
     base = with_degrees(graph, from_label, rel_type, direction, to_label)
-    return predicate_plan("cardinality", base, ("degree", from_label, rel_type, direction, to_label), F.lit(True), F.col("degree") != exactly, node_evidence)
+    return predicate_plan("cardinality", base, ("degree", from_label, rel_type, direction, to_label), F.lit(True), F.col("degree") != exactly, node_evidence, repeats=graph.copies(from_label))
 
 
 def no_orphans(graph: PropertyGraph, label: str, rel_type: str | None = None, direction: str = "any") -> CheckPlan:
@@ -96,7 +97,7 @@ def no_orphans(graph: PropertyGraph, label: str, rel_type: str | None = None, di
     alone = graph.nodes(label, with_labels=True).join(ends, "id", "left_anti")
     population = graph.nodes(label).agg(F.count("*").alias("population"))
     summary = population.crossJoin(alone.agg(F.count("*").alias("violation_count")))  # one row by one row
-    return CheckPlan("no_orphans", summary, node_evidence(alone))
+    return CheckPlan("no_orphans", summary, node_evidence(alone), repeats=graph.copies(label))
 
 
 def dangling_rels(graph: PropertyGraph, rel_type: str | None = None) -> CheckPlan:
@@ -118,7 +119,7 @@ def property_type(graph: PropertyGraph, label: str, property: str, type: str) ->
         raise _invalid(f"type must be one of {', '.join(DECLARED)}")
     base, key = _scan(graph, label, [property])
     col = _col(property)
-    return predicate_plan("property_type", base, key, col.isNotNull(), ~has_type(col, base.schema[property].dataType, type), node_evidence)
+    return predicate_plan("property_type", base, key, col.isNotNull(), ~has_type(col, base.schema[property].dataType, type), node_evidence, repeats=graph.copies(label))
 
 
 def whole_match(col: Column, regex: str) -> Column:
@@ -146,7 +147,7 @@ def property_format(graph: PropertyGraph, label: str, property: str, regex: str)
         violation = (F.schema_of_variant(col) != "STRING") | ~whole_match(text, regex)
     else:
         violation = ~whole_match(text, regex) if kind == "string" else F.lit(True)
-    return predicate_plan("property_format", base, key, col.isNotNull(), violation, node_evidence)
+    return predicate_plan("property_format", base, key, col.isNotNull(), violation, node_evidence, repeats=graph.copies(label))
 
 
 def value_in_set(graph: PropertyGraph, label: str, property: str, values: list) -> CheckPlan:
@@ -158,7 +159,7 @@ def value_in_set(graph: PropertyGraph, label: str, property: str, values: list)
     col, kind = _col(property), family(base.schema[property].dataType)
     number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
     fits = [v for v in values if (kind == "string" and isinstance(v, str)) or (kind == "boolean" and isinstance(v, bool)) or (kind in ("integer", "float") and number(v))]
-    return predicate_plan("value_in_set", base, key, col.isNotNull(), ~col.isin(fits) if fits else F.lit(True), node_evidence)
+    return predicate_plan("value_in_set", base, key, col.isNotNull(), ~col.isin(fits) if fits else F.lit(True), node_evidence, repeats=graph.copies(label))
 
 
 def uniqueness(graph: PropertyGraph, label: str, property: str) -> CheckPlan:
@@ -169,10 +170,12 @@ def uniqueness(graph: PropertyGraph, label: str, property: str) -> CheckPlan:
     rows = base.where(col.isNotNull())
     kind = base.schema[property].dataType
     value = F.concat_ws("|", F.schema_of_variant(col), F.to_json(col)) if isinstance(kind, T.VariantType) else col
-    groups = rows.groupBy(value.alias("value")).agg(F.count("*").alias("n"))
+    # long values travel as 256-bit digests: what is shuffled does not grow with the texts
+    key = F.unhex(F.sha2(value.cast("binary"), 256)) if isinstance(kind, (T.StringType, T.BinaryType, T.VariantType)) else value
+    groups = rows.groupBy(key.alias("value")).agg(F.count("*").alias("n"))
     summary = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("population"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("violation_count"))
-    twins = rows.withColumn("value", value).join(groups.where("n > 1").select("value"), "value", "left_semi")
-    return CheckPlan("uniqueness", summary, node_evidence(twins))
+    twins = rows.select("id", "labels", key.alias("value")).join(groups.where("n > 1").select("value"), "value", "left_semi")
+    return CheckPlan("uniqueness", summary, node_evidence(twins), repeats=graph.copies(label))
 
 
 def hub_outlier(graph: PropertyGraph, label: str, rel_type: str | None = None, direction: str = "any", z_threshold: float = 3.0, sample_size: int | None = None, exhaustive_limit: int = 100_000, seed: int = 0, key: Column | None = None) -> CheckPlan:
@@ -193,7 +196,8 @@ def hub_outlier(graph: PropertyGraph, label: str, rel_type: str | None = None, d
     if sample_size is not None:
         population = nodes.count()
         if population > exhaustive_limit:
-            nodes = bottom_k(nodes, F.xxhash64("id") if key is None else key, sample_size, seed)
+            rows = nodes if key is None else _scan(graph, label, [])[0]
+            nodes = bottom_k(rows, F.xxhash64("id") if key is None else key, sample_size, seed).select("id", "labels")
     found = degrees(graph, rel_type, direction)
     if population is not None and population > exhaustive_limit:
         found = found.join(nodes.select("id"), "id", "left_semi")
@@ -202,7 +206,7 @@ def hub_outlier(graph: PropertyGraph, label: str, rel_type: str | None = None, d
     hubs = rows.crossJoin(F.broadcast(stats)).where((F.col("degree_stddev") > 0) & (F.col("degree") > F.col("mean_degree") + F.lit(float(z_threshold)) * F.col("degree_stddev")))  # stats is one row
     size = F.col("sample_size") if population is None else F.lit(population)
     summary = stats.crossJoin(hubs.agg(F.count("*").alias("violation_count"))).select(size.cast("long").alias("population"), "sample_size", "violation_count", "mean_degree", "degree_stddev")
-    return CheckPlan("hub_outlier", summary, node_evidence(hubs), {"z_threshold": z_threshold})
+    return CheckPlan("hub_outlier", summary, node_evidence(hubs), {"z_threshold": z_threshold}, repeats=graph.copies(label))
 
 
 def label_cooccurrence(graph: PropertyGraph, label_a: str, label_b: str) -> CheckPlan:
@@ -213,7 +217,7 @@ def label_cooccurrence(graph: PropertyGraph, label_a: str, label_b: str) -> Chec
     graph.require((label_a, label_b))
     has = lambda x: F.array_contains("labels", x)
     base = graph.nodes_of_any(label_a, label_b)
-    return predicate_plan("label_cooccurrence", base, ("any", label_a, label_b), has(label_a) | has(label_b), has(label_a) & has(label_b), node_evidence)
+    return predicate_plan("label_cooccurrence", base, ("any", label_a, label_b), has(label_a) | has(label_b), has(label_a) & has(label_b), node_evidence, repeats=graph.copies(label_a, label_b))
 
 
 def rel_direction(graph: PropertyGraph, from_label: str, to_label: str, rel_type: str) -> CheckPlan:
@@ -226,7 +230,7 @@ def rel_direction(graph: PropertyGraph, from_label: str, to_label: str, rel_type
     side = lambda end: graph.nodes_of_any(from_label, to_label).select(F.col("id").alias(end), F.array_contains("labels", from_label).alias(f"{end}_from"), F.array_contains("labels", to_label).alias(f"{end}_to"))
     base = rels.join(side("src"), "src").join(side("dst"), "dst")
     right, wrong = F.col("src_from") & F.col("dst_to"), F.col("src_to") & F.col("dst_from")
-    return predicate_plan("rel_direction", base, ("direction", from_label, to_label, rel_type), right | wrong, wrong, rel_evidence)
+    return predicate_plan("rel_direction", base, ("direction", from_label, to_label, rel_type), right | wrong, wrong, rel_evidence, repeats=graph.copies(from_label, to_label) ** 2)
 
 
 def temporal_sanity(graph: PropertyGraph, label: str, start_property: str, end_property: str) -> CheckPlan:
@@ -238,4 +242,4 @@ def temporal_sanity(graph: PropertyGraph, label: str, start_property: str, end_p
     start, end = _col(start_property), _col(end_property)
     kinds = [base.schema[p].dataType for p in (start_property, end_property)]
     same = kinds[0] == kinds[1] or {family(k) for k in kinds} <= {"integer", "float"}
-    return predicate_plan("temporal_sanity", base, key, start.isNotNull() & end.isNotNull(), end < start if same else F.lit(False), node_evidence)
+    return predicate_plan("temporal_sanity", base, key, start.isNotNull() & end.isNotNull(), end < start if same else F.lit(False), node_evidence, repeats=graph.copies(label))

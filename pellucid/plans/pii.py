@@ -93,6 +93,11 @@ def occurrences(graph: PropertyGraph, label: str | None, strings_only: bool, pro
     return reduce(DataFrame.unionByName, parts)
 
 
+def _repeats(graph: PropertyGraph, label: str | None) -> int:
+    """Occurrences that a node may have: the properties of the tables that can hold it."""
+    return max(1, sum(len(s.properties) for s in graph.node_sets if label is None or label in s.labels or label in s.optional))
+
+
 def _population(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("population"))
 
@@ -107,7 +112,7 @@ def _sampled(rows: DataFrame, size: int, seed: int) -> DataFrame:
     return rows.withColumn("rank", hash_rank(key, hash_coefficients(seed))).orderBy("rank", "id", "property").limit(size)
 
 
-def _plan(name: str, rows: DataFrame, size: int, seed: int, tests: dict[str, Column], confidence: str) -> PiiPlan:
+def _plan(name: str, rows: DataFrame, size: int, seed: int, tests: dict[str, Column], confidence: str, repeats: int) -> PiiPlan:
     sample = _sampled(rows, size, seed)
     hits = F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())
     marked = sample.withColumn("patterns", hits).withColumn("hit", F.size("patterns") > 0)
@@ -115,7 +120,7 @@ def _plan(name: str, rows: DataFrame, size: int, seed: int, tests: dict[str, Col
     summary = _population(rows).crossJoin(counts)  # one row by one row
     findings = marked.where("hit").select(F.explode("patterns").alias("pattern"), "property", "labels").groupBy("pattern", "property", "labels").agg(F.count("*").alias("observed"))
     evidence = marked.where("hit").select(F.lit("node").alias("kind"), "id", "labels", F.lit(None).cast("string").alias("type"))
-    return PiiPlan(name, summary, evidence, {"confidence": confidence}, findings=findings)
+    return PiiPlan(name, summary, evidence, {"confidence": confidence}, findings=findings, repeats=repeats)
 
 
 def pii_name_match(graph: PropertyGraph, label: str | None = None, sample_size: int | None = None, patterns=None, seed: int = 0) -> PiiPlan:
@@ -123,7 +128,7 @@ def pii_name_match(graph: PropertyGraph, label: str | None = None, sample_size:
     names = _chosen(patterns, NAME_PATTERNS)
     graph.require((label,))
     rows = occurrences(graph, label, False, values=False)
-    return _plan("pii_name_match", rows, _size(sample_size), seed, {n: F.lower("property").isin(list(NAME_PATTERNS[n])) for n in names}, "name-match")
+    return _plan("pii_name_match", rows, _size(sample_size), seed, {n: F.lower("property").isin(list(NAME_PATTERNS[n])) for n in names}, "name-match", _repeats(graph, label))
 
 
 def value_test(col: Column, name: str) -> Column:
@@ -141,4 +146,4 @@ def pii_value_match(graph: PropertyGraph, label: str | None = None, sample_size:
         raise CheckError("engine.invalid_check", "properties must be a non-empty list without repeats")
     graph.require((label,), (), properties or ())
     rows = occurrences(graph, label, True, properties)
-    return _plan("pii_value_match", rows, _size(sample_size), seed, {n: value_test(F.col("value"), n) for n in names}, "value-match")
+    return _plan("pii_value_match", rows, _size(sample_size), seed, {n: value_test(F.col("value"), n) for n in names}, "value-match", _repeats(graph, label))

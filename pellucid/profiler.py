@@ -117,6 +117,30 @@ def profile(graph: PropertyGraph, budget: float = BUDGET_SECONDS, constraints: l
     return out
 
 
+def check_profile(p: dict) -> None:
+    """What a stored profile must satisfy when it is read: reasons, counts, order, and its own fingerprint."""
+    wrong, schema, stats = [], p["schema"], p["statistics"]
+    if (p["status"] == "complete") != (p["partial_reason"] is None) or p["status"] == "partial" and not p["partial_reason"]:
+        wrong.append("partial_reason does not fit status")
+    wrong += [f"label {x['name']} has more nodes than there are" for x in schema["labels"] if x["count"] > stats["node_count"]]
+    if p["status"] == "complete":
+        wrong += [f"type {x['name']} has more relationships than there are" for x in schema["relationship_types"] if x["count"] > stats["relationship_count"]]
+        wrong += [f"label {x['name']} has no degrees" for x in schema["labels"] if x.get("degree_distribution") is None]
+    for x in schema["labels"]:
+        d = x.get("degree_distribution")
+        if d is not None and not 0 <= d["median"] <= d["p95"] <= d["p99"] <= d["maximum"]:
+            wrong.append(f"the degrees of {x['name']} are out of order")
+    lists = {f"{k} by name": [x["name"] for x in schema[k]] for k in ("labels", "relationship_types", "constraints", "indexes")}
+    lists |= {f"properties of {x['name']}": [q["name"] for q in x["properties"]] for x in schema["labels"]}
+    lists |= {f"{k} of {x['name']}": list(x.get(k) or ()) for g in ("constraints", "indexes") for x in schema[g] for k in ("labels_or_types", "properties")}
+    lists["property_coverage"] = [(x["owner"], x["owner_name"], x["property"]) for x in stats["property_coverage"]]
+    wrong += [f"{k} are not sorted and distinct" for k, v in lists.items() if v != sorted(set(v))]
+    if p["fingerprint"] != fingerprint(p):
+        wrong.append("the fingerprint is another's")
+    if wrong:
+        raise CheckError("profile.invalid", "; ".join(wrong))
+
+
 def percent(part: int, whole: int) -> float:
     return round(100 * part / whole, 2) if whole else 0.0
 

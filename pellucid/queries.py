@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pellucid import diff, history, profiler, scoring
+from pellucid import baseline, diff, history, profiler, report, scoring
+from pellucid.errors import CheckError
 from pellucid.functions import checksums, sampling
+from pellucid.graph import NodeSet, PropertyGraph
 from pellucid.operators import competency as comp
 from pellucid.plans import conformance as c
 from pellucid.plans import fuse, pii
 from pellucid.plans.drift import drift_metric
+from pellucid.sources.suites import Expect, Rows
 from pellucid.sources.tables import load_graph
 
 QUERIES: dict = {}
@@ -63,8 +66,70 @@ _summary_query("uniqueness_part_name", lambda g: c.uniqueness(g, "Part", "p_name
 _summary_query("label_cooccurrence", lambda g: c.label_cooccurrence(g, "Quality", "Toxic"), _node_sql(DOCS, "quality = 1 OR toxic = 1", "quality = 1 AND toxic = 1"))
 _summary_query("temporal_sanity", lambda g: c.temporal_sanity(g, "LineItem", "o_orderdate", "l_shipdate"), _node_sql("lineitem JOIN orders ON l_orderkey = o_orderkey", "o_orderdate IS NOT NULL AND l_shipdate IS NOT NULL", "l_shipdate < o_orderdate"))
 _summary_query("rel_direction", lambda g: c.rel_direction(g, "Nation", "Customer", "IN_NATION"), "SELECT count(*) AS population, count(*) AS violation_count FROM customer JOIN nation ON c_nationkey = n_nationkey")
-_summary_query("pii_name_match", lambda g: pii.pii_name_match(g, "Page", pii.ALL), "SELECT (count(page_id) + count(url) + count(html))::BIGINT AS population, 0::BIGINT AS violation_count FROM pages")
-_summary_query("pii_value_match", lambda g: pii.pii_value_match(g, "Document", pii.ALL, ["email"], ["text"]), _node_sql("documents", "text IS NOT NULL", "regexp_full_match(text, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+')"))
+
+
+def _contacts(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Customers with made-up personal data: a value of each format for some of them, and columns with telling names."""
+    key = F.col("c_custkey")
+    digits = lambda n, k: F.lpad((key * k % 10**n).cast("string"), n, "3")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.concat(F.lit("Contact:"), key.cast("string")).alias("id"), "c_name",
+        F.when(key % 3 == 0, F.concat(F.lit("c"), key.cast("string"), F.lit("@mail.example"))).otherwise("no mail").alias("Email"),
+        F.when(key % 5 != 0, F.concat(F.lit("+4"), digits(9, 7919))).alias("phone_number"),
+        F.when(key % 2 == 0, F.concat(F.lit("S"), digits(7, 104729), F.lit("Q"))).otherwise("S12Q").alias("nric"),
+        digits(12, 2363).alias("note_a"), F.regexp_replace(digits(16, 4111111), r"(.{4})(?=.)", "$1-").alias("note_b"),
+    )
+    return PropertyGraph(spark, [NodeSet(("Contact",), rows)], [])
+
+
+_DIGITS = "lpad((c_custkey * {k} % {m})::VARCHAR, {n}, '3')"
+CONTACTS = f"""(SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'c' || c_custkey || '@mail.example' ELSE 'no mail' END AS email, CASE WHEN c_custkey % 5 <> 0 THEN '+4' || {_DIGITS.format(k=7919, m=10**9, n=9)} END AS phone,
+CASE WHEN c_custkey % 2 = 0 THEN 'S' || {_DIGITS.format(k=104729, m=10**7, n=7)} || 'Q' ELSE 'S12Q' END AS nric, {_DIGITS.format(k=2363, m=10**12, n=12)} AS a, {_DIGITS.format(k=4111111, m=10**16, n=16)} AS b FROM customer)"""
+
+
+@query(f"SELECT count(c_name) + count(email) + count(phone) + count(nric) + count(a) + count(b) AS population, count(email) + count(phone) + count(nric) AS violation_count FROM {CONTACTS}")
+def pii_name_match(spark, sf_dir):
+    return _summary(pii.pii_name_match(_contacts(spark, sf_dir), "Contact", pii.ALL))
+
+
+@query(f"SELECT 'email' AS pattern, 'Email' AS property, count(email) AS observed FROM {CONTACTS} UNION ALL SELECT 'phone', 'phone_number', count(phone) FROM {CONTACTS} UNION ALL SELECT 'nric', 'nric', count(nric) FROM {CONTACTS}")
+def pii_name_findings(spark, sf_dir):
+    return pii.pii_name_match(_contacts(spark, sf_dir), "Contact", pii.ALL).findings.select("pattern", "property", "observed")
+
+
+LUHN = "list_sum([CASE WHEN i % 2 = 1 THEN d ELSE CASE WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END END FOR d, i IN [s[len(s) - j]::INT FOR j IN range(len(s))]]) % 10 = 0"
+# Fixed values of the Verhoeff scheme, written out: the product table of the dihedral group, and the eight digit permutations.
+_VERHOEFF_D = """0123456789 1234067895 2340178956 3401289567 4012395678 5987604321 6598710432 7659821043 8765932104 9876543210"""
+_VERHOEFF_P = """0123456789 1576283094 5803796142 8916043527 9453126870 4286573901 2793806415 7046913258"""
+
+
+def _verhoeff_ok(s: str) -> str:
+    """SQL that looks digit after digit up in the written-out tables."""
+    d, p = (x.replace(" ", "") for x in (_VERHOEFF_D, _VERHOEFF_P))
+    digits = f"[0] || [{s}[len({s}) - i]::INT + 10 * (i % 8) FOR i IN range(len({s}))]"
+    return f"list_reduce({digits}, lambda a, x: '{d}'[a * 10 + '{p}'[x + 1]::INT + 1]::INT) = 0"
+
+
+_VALUE_HITS = f"""SELECT 'email' AS pattern, 'Email' AS property, count(*) FILTER (regexp_full_match(email, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+')) AS observed FROM {CONTACTS}
+UNION ALL SELECT 'e164_phone', 'phone_number', count(*) FILTER (regexp_full_match(phone, '\\+[1-9][0-9]{{1,14}}')) FROM {CONTACTS}
+UNION ALL SELECT 'nric', 'nric', count(*) FILTER (regexp_full_match(nric, '[STFGM][0-9]{{7}}[A-Z]')) FROM {CONTACTS}
+UNION ALL SELECT 'aadhaar', 'note_a', count(*) FILTER ({_verhoeff_ok('a')}) FROM {CONTACTS}
+UNION ALL SELECT 'credit_card', 'note_b', count(*) FILTER ({LUHN.replace('len(s)', 'len(b)').replace('s[', 'b[')}) FROM {CONTACTS}"""
+
+
+@query(_VALUE_HITS)
+def pii_value_findings(spark, sf_dir):
+    return pii.pii_value_match(_contacts(spark, sf_dir), "Contact", pii.ALL).findings.select("pattern", "property", "observed")
+
+
+@query(f"SELECT (SELECT (count(c_name) + count(email) + count(phone) + count(nric) + count(a) + count(b))::BIGINT FROM {CONTACTS}) AS population, (SELECT sum(observed)::BIGINT FROM ({_VALUE_HITS})) AS violation_count")
+def pii_value_match(spark, sf_dir):
+    return _summary(pii.pii_value_match(_contacts(spark, sf_dir), "Contact", pii.ALL))
+
+
+@query(_node_sql("documents", "text IS NOT NULL", "regexp_full_match(text, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+')"))
+def pii_value_match_texts(spark, sf_dir):
+    return _summary(pii.pii_value_match(load_graph(spark, sf_dir), "Document", pii.ALL, ["email"], ["text"]))
 
 
 @query(f"SELECT population, violation_count, population - violation_count AS conforming_count, CASE WHEN population = 0 THEN 1.0 ELSE (population - violation_count) / population END AS coverage FROM ({_node_sql(DOCS, 'true', 'quality IS NULL')})")
@@ -115,9 +180,6 @@ def fused_checks(spark, sf_dir):
     return fuse(plans).withColumnRenamed("check", "what")
 
 
-LUHN = "list_sum([CASE WHEN i % 2 = 1 THEN d ELSE CASE WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END END FOR d, i IN [s[len(s) - j]::INT FOR j IN range(len(s))]]) % 10 = 0"
-
-
 @query(f"SELECT c_custkey, {LUHN} AS ok FROM (SELECT c_custkey, lpad((c_custkey * 7919 + 4111111)::VARCHAR, 16, '4') AS s FROM customer)")
 def pii_luhn(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -125,13 +187,7 @@ def pii_luhn(spark, sf_dir):
     return rows.select("c_custkey", checksums.luhn_ok(spaced).alias("ok"))
 
 
-def _verhoeff_sql() -> str:
-    p, d = checksums.PERMUTATIONS, checksums.PRODUCTS
-    digits = "[0] || [s[len(s) - i]::INT + 10 * (i % 8) FOR i IN range(len(s))]"
-    return f"SELECT c_custkey, list_reduce({digits}, lambda a, x: {d}[a * 10 + {p}[x + 1] + 1]) = 0 AS ok FROM (SELECT c_custkey, lpad((c_custkey * 104729 + 2363)::VARCHAR, 12, '3') AS s FROM customer)"
-
-
-@query(_verhoeff_sql())
+@query(f"SELECT c_custkey, {_verhoeff_ok('s')} AS ok FROM (SELECT c_custkey, lpad((c_custkey * 104729 + 2363)::VARCHAR, 12, '3') AS s FROM customer)")
 def pii_verhoeff(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return rows.select("c_custkey", checksums.verhoeff_ok(F.lpad((F.col("c_custkey") * 104729 + 2363).cast("string"), 12, "3")).alias("ok"))
@@ -152,37 +208,87 @@ def drift_property_coverage(spark, sf_dir):
     return drift_metric(load_graph(spark, sf_dir), "property_coverage", {"label": "Document", "property": "quality"}).summary
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS current, (count(*) + 100)::BIGINT AS baseline, -100::BIGINT AS delta, 100.0 * 100 / (count(*) + 100) > 5 AS max_drop_broken FROM orders GROUP BY 1")
+_TOLERANCES = {"max_drop_pct": 0.5, "max_increase_pct": 0.5, "max_change_pct": 0.2, "max_delta": 99, "absolute": 100, "min": 5_000, "max": 5_000}
+_BROKEN = {
+    "max_drop_pct": "d < 0 AND 100.0 * abs(d) / b > 0.5", "max_increase_pct": "d > 0 AND 100.0 * abs(d) / b > 0.5", "max_change_pct": "100.0 * abs(d) / b > 0.2", "max_delta": "abs(d) > 99", "absolute": "abs(d) > 100",
+    "min": "b + d < 5000", "max": "b + d > 5000",
+}
+_MOVES = "(SELECT o_orderstatus AS status, CASE o_orderstatus WHEN 'F' THEN -100 WHEN 'O' THEN 100 ELSE 0 END AS d, count(*) - CASE o_orderstatus WHEN 'F' THEN -100 WHEN 'O' THEN 100 ELSE 0 END AS b FROM orders GROUP BY 1)"
+
+
+@query(" UNION ALL ".join(f"SELECT status, '{k}' AS tolerance, {v} AS broken FROM {_MOVES}" for k, v in _BROKEN.items()))
 def drift_tolerances(spark, sf_dir):
-    now = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("current"))
-    rows = now.withColumn("baseline", F.col("current") + 100).withColumn("delta", F.col("current") - F.col("baseline"))
-    return rows.withColumn("max_drop_broken", (F.col("delta") < 0) & (100.0 * F.abs("delta") / F.col("baseline") > 5))
+    """Each tolerance on its own over counts that fell, rose and stayed; a row for each status and tolerance."""
+    move = {"F": -100, "O": 100}
+    counts = load_graph(spark, sf_dir).nodes("Order", ["o_orderstatus"]).groupBy("o_orderstatus").agg(F.count("*").alias("n")).collect()  # a row for each status
+    found = [(r[0], k, bool(baseline.within({k: v}, r["n"], r["n"] - move.get(r[0], 0)))) for r in counts for k, v in _TOLERANCES.items()]
+    return spark.createDataFrame(found, "status string, tolerance string, broken boolean")
+
+
+def _judged(spark: SparkSession, cases: dict[str, tuple[DataFrame, Expect, int]]) -> DataFrame:
+    """case_name, passed, code: what the assertions say of each result; passed is null where the ceiling came first."""
+    out = []
+    for name, (df, expect, ceiling) in cases.items():
+        try:
+            out.append((name, comp.judge(df.columns, *comp.fetch(df, expect, ceiling), expect).passed, None))
+        except CheckError as e:
+            out.append((name, None, e.code))
+    return spark.createDataFrame(out, "case_name string, passed boolean, code string")
+
+
+def _case_sql(table: str, cases: dict[str, str], over: str = "false") -> str:
+    """A row for each condition; `over`: the condition under which it is undecided."""
+    return " UNION ALL ".join(f"SELECT '{k}' AS case_name, CASE WHEN {over} THEN NULL ELSE {v} END AS passed, CASE WHEN {over} THEN 'engine.result_limit_exceeded' END AS code FROM {table}" for k, v in cases.items())
+
 
+_BOUNDS = {"at most 30": Rows(max=30), "at most 24": Rows(max=24), "exactly 25": Rows(exactly=25), "at least 26": Rows(min=26), "at least 3 and at most 25": Rows(min=3, max=25)}
 
-@query("SELECT count(*) AS n_rows, count(*) <= 30 AS within FROM nation")
+
+@query(_case_sql("nation JOIN region ON n_regionkey = r_regionkey", {"at most 30": "count(*) <= 30", "at most 24": "count(*) <= 24", "exactly 25": "count(*) = 25", "at least 26": "count(*) >= 26", "at least 3 and at most 25": "count(*) BETWEEN 3 AND 25"}))
 def competency_rows(spark, sf_dir):
-    graph = load_graph(spark, sf_dir)
-    rows = graph.match("Nation", "IN_REGION", "Region")
-    return rows.agg(F.count("*").alias("n_rows"), (F.count("*") <= 30).alias("within"))
+    rows = load_graph(spark, sf_dir).match("Nation", "IN_REGION", "Region")
+    return _judged(spark, {k: (rows, Expect(rows=r), comp.ROW_CEILING) for k, r in _BOUNDS.items()})
+
 
+@query(_case_sql("customer", {"at most 500": "count(*) <= 500", "exactly 500": "count(*) = 500", "at least 500": "count(*) >= 500"}, "count(*) > 10") + " UNION ALL " + _case_sql("customer", {"at least 7": "count(*) >= 7", "at most 7": "count(*) <= 7"}))
+def competency_row_ceiling(spark, sf_dir):
+    """Bounds beyond a ceiling of 10 rows stay open; those within are decided by the rows that were read."""
+    rows = load_graph(spark, sf_dir).nodes("Customer")
+    bounds = {"at most 500": Rows(max=500), "exactly 500": Rows(exactly=500), "at least 500": Rows(min=500), "at least 7": Rows(min=7), "at most 7": Rows(max=7)}
+    return _judged(spark, {k: (rows, Expect(rows=r), 10) for k, r in bounds.items()})
 
-@query("SELECT c_mktsegment, count(*) AS n, count(*) > 1 AS repeated FROM customer GROUP BY 1")
+
+@query(_case_sql("customer", {"segments are unique": "count(*) = count(DISTINCT c_mktsegment)", "segments repeat": "count(*) > count(DISTINCT c_mktsegment)", "keys are unique": "count(*) = count(DISTINCT c_custkey)"}))
 def competency_unique(spark, sf_dir):
-    rows = load_graph(spark, sf_dir).nodes("Customer", ["c_mktsegment"])
-    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n")).withColumn("repeated", F.col("n") > 1)
+    rows = load_graph(spark, sf_dir).nodes("Customer", ["c_mktsegment", "c_custkey"])
+    segments, keys = rows.select("c_mktsegment"), rows.select("c_custkey")
+    return _judged(spark, {"segments are unique": (segments, Expect(unique=True), comp.ROW_CEILING), "segments repeat": (segments, Expect(unique=False), comp.ROW_CEILING), "keys are unique": (keys, Expect(unique=True), comp.ROW_CEILING)})
 
 
-@query("SELECT r_name AS pinned FROM region WHERE r_name IN ('ASIA', 'EUROPE')")
+@query(_case_sql("region", {"two": "count(DISTINCT r_name) FILTER (r_name IN ('ASIA', 'EUROPE')) = 2", "one too many": "count(DISTINCT r_name) FILTER (r_name IN ('ASIA', 'ATLANTIS')) = 2", "pairs": "count(*) FILTER (r_name = 'ASIA' AND r_regionkey = 2) > 0"}))
 def competency_contains(spark, sf_dir):
-    pinned = spark.createDataFrame([("ASIA",), ("EUROPE",), ("ATLANTIS",)], "pinned string")
-    return pinned.join(load_graph(spark, sf_dir).nodes("Region", ["r_name"]).withColumnRenamed("r_name", "pinned"), "pinned", "left_semi")
+    rows = load_graph(spark, sf_dir).nodes("Region", ["r_name", "r_regionkey"])
+    names, pairs = rows.select("r_name"), rows.select("r_name", "r_regionkey")
+    asked = {"two": (names, ["ASIA", "EUROPE"]), "one too many": (names, ["ASIA", "ATLANTIS"]), "pairs": (pairs, [{"r_name": "ASIA", "r_regionkey": 2}])}
+    return _judged(spark, {k: (df, Expect(contains=v), comp.ROW_CEILING) for k, (df, v) in asked.items()})
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT n_regionkey FROM nation EXCEPT ALL SELECT r_regionkey FROM region))::BIGINT AS extra, (SELECT count(*) FROM (SELECT r_regionkey FROM region EXCEPT ALL SELECT n_regionkey FROM nation))::BIGINT AS missing")
+@query(_case_sql("region", {"regions": "list_sort(list(r_regionkey)) = [0, 1, 2, 3, 4]", "fewer": "list_sort(list(r_regionkey)) = [0, 1, 2, 3]"}) + " UNION ALL " + _case_sql("nation", {"nations": "list_sort(list(n_regionkey)) = [0, 1, 2, 3, 4]"}))
 def competency_equals_bag(spark, sf_dir):
     graph = load_graph(spark, sf_dir)
-    a, b = graph.nodes("Nation", ["n_regionkey"]).select("n_regionkey"), graph.nodes("Region", ["r_regionkey"]).select("r_regionkey")
-    return a.exceptAll(b).agg(F.count("*").alias("extra")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("missing")))  # one row by one row
+    regions, nations = graph.nodes("Region", ["r_regionkey"]).select("r_regionkey"), graph.nodes("Nation", ["n_regionkey"]).select("n_regionkey")
+    asked = {"regions": (regions, [4, 2, 0, 1, 3]), "fewer": (regions, [0, 1, 2, 3]), "nations": (nations, [0, 1, 2, 3, 4])}
+    return _judged(spark, {k: (df, Expect(equals=v), comp.ROW_CEILING) for k, (df, v) in asked.items()})
+
+
+@query(_case_sql("nation", {"is empty": "count(*) = 0", "is not empty": "count(*) > 0", "none is nameless": "count(*) FILTER (n_name IS NULL) = 0"}) + " UNION ALL SELECT 'columns', true, NULL UNION ALL SELECT 'columns in another order', false, NULL")
+def competency_empty_and_columns(spark, sf_dir):
+    rows = load_graph(spark, sf_dir).nodes("Nation", ["n_name", "n_nationkey"])
+    asked = {
+        "is empty": (rows, Expect(empty=True)), "is not empty": (rows, Expect(empty=False)), "none is nameless": (rows.where("n_name IS NULL"), Expect(empty=True)),
+        "columns": (rows, Expect(columns=["id", "n_name", "n_nationkey"])), "columns in another order": (rows, Expect(columns=["n_name", "id", "n_nationkey"])),
+    }
+    return _judged(spark, {k: (df, e, comp.ROW_CEILING) for k, (df, e) in asked.items()})
 
 
 @query("SELECT c.c_custkey, count(*) AS n_orders FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING' GROUP BY 1")
@@ -214,13 +320,27 @@ _Z = sampling.Z95
 _WILSON = f"((p + {_Z * _Z} / (2 * n)) {{}} {_Z} * sqrt((p * (1 - p) + {_Z * _Z} / (4 * n)) / n)) / (1 + {_Z * _Z} / n)"
 
 
-@query(f"SELECT c_mktsegment, n, round({_WILSON.format('-')}, 9) AS low, round({_WILSON.format('+')}, 9) AS high FROM (SELECT c_mktsegment, count(*) AS n, count(*) FILTER (c_acctbal > 0) / count(*) AS p FROM customer GROUP BY 1)")
+@query(f"SELECT c_mktsegment, n AS sample_size, 10 * n AS population, round({_WILSON.format('-')}, 9) AS low, round({_WILSON.format('+')}, 9) AS high FROM (SELECT c_mktsegment, count(*) AS n, count(*) FILTER (c_acctbal > 0) / count(*) AS p FROM customer GROUP BY 1)")
 def wilson_interval(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_mktsegment").agg(F.count("*").alias("n"), (F.count_if(F.col("c_acctbal") > 0) / F.count("*")).alias("p"))
-    z2 = _Z * _Z
-    middle, half = F.col("p") + z2 / (2 * F.col("n")), _Z * F.sqrt((F.col("p") * (1 - F.col("p")) + z2 / (4 * F.col("n"))) / F.col("n"))
-    scale = 1 + z2 / F.col("n")
-    return rows.select("c_mktsegment", "n", F.round((middle - half) / scale, 9).alias("low"), F.round((middle + half) / scale, 9).alias("high"))
+    """The interval of each segment's share, as if it were a tenth of its population."""
+    counts = load_graph(spark, sf_dir).nodes("Customer", ["c_mktsegment", "c_acctbal"]).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 0).alias("hits")).collect()  # a row for each segment
+    found = [(r["c_mktsegment"], sampling.wilson(r["hits"], r["n"], 10 * r["n"])) for r in counts]
+    return spark.createDataFrame([(name, w["sample_size"], w["population"], round(w["ci"][0], 9), round(w["ci"][1], 9)) for name, w in found], "c_mktsegment string, sample_size long, population long, low double, high double")
+
+
+@query(f"SELECT 'Order:' || o_orderkey AS id FROM (SELECT o_orderkey, (o_orderkey % {sampling.MODULUS})::BIGINT AS k FROM orders) ORDER BY {_HASH.replace(' k ', ' k ')}, 1 LIMIT 500")
+def hub_sample(spark, sf_dir):
+    """The nodes that a sampled hub check looks at: those of the smallest ranks."""
+    return sampling.bottom_k(load_graph(spark, sf_dir).nodes("Order", ["o_orderkey"]), F.col("o_orderkey"), 500, 42).select("id")
+
+
+_SAMPLED = f"(SELECT c_custkey, count(o_orderkey) AS degree FROM (SELECT c_custkey FROM (SELECT c_custkey, (c_custkey % {sampling.MODULUS})::BIGINT AS k FROM customer) ORDER BY {_HASH}, 'Customer:' || c_custkey LIMIT 100) LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"
+
+
+@query(f"WITH s AS (SELECT avg(degree) AS m, stddev_pop(degree) AS d FROM {_SAMPLED}) SELECT (SELECT count(*) FROM customer) AS population, 100::BIGINT AS sample_size, (SELECT count(*) FROM {_SAMPLED}, s WHERE d > 0 AND degree > m + 1.5 * d) AS violation_count, round(m, 6) AS mean_degree, round(d, 6) AS degree_stddev FROM s")
+def hub_outlier_sampled(spark, sf_dir):
+    found = c.hub_outlier(load_graph(spark, sf_dir), "Customer", "PLACED", "out", 1.5, sample_size=100, exhaustive_limit=99, seed=42, key=F.col("c_custkey")).summary
+    return found.withColumn("mean_degree", F.round("mean_degree", 6)).withColumn("degree_stddev", F.round("degree_stddev", 6))
 
 
 _LABELS = "SELECT 'Customer' AS label, (SELECT count(*) FROM customer) AS n UNION ALL SELECT 'Order', (SELECT count(*) FROM orders) UNION ALL SELECT 'Document', (SELECT count(*) FROM documents) UNION ALL SELECT 'Quality', (SELECT count(*) FROM labels JOIN documents USING (doc_id) WHERE quality = 1)"
@@ -307,10 +427,10 @@ def score_by_suite(spark, sf_dir):
     return scoring.score_frame(_results(spark, sf_dir), "suite_id").select("suite_id", "earned", "possible", "score")
 
 
-@query(f"""WITH t AS (SELECT run_id, sum(e)::BIGINT AS earned, sum(w)::BIGINT AS possible FROM {_POINTS} GROUP BY 1),
-b AS (SELECT run_id, suite_id, id, (100 * w) // possible AS q, (100 * w) % possible AS r, 100 - {_EVEN.format(a='(100 * earned)', b='possible')} AS lost FROM {_POINTS} JOIN t USING (run_id) WHERE verdict NOT IN ('pass', 'skipped')),
-o AS (SELECT *, lost - sum(q) OVER (PARTITION BY run_id) AS rest, row_number() OVER (PARTITION BY run_id ORDER BY r DESC, suite_id, id) AS place, count(*) OVER (PARTITION BY run_id) AS n FROM b)
-SELECT run_id, suite_id, id AS check_id, (q + CASE WHEN rest > 0 AND place <= rest THEN 1 WHEN rest < 0 AND n - place < -rest THEN -1 ELSE 0 END)::BIGINT AS points FROM o""")
+@query(f"""WITH t AS (SELECT run_id, 100 - {_EVEN.format(a='(100 * sum(e))', b='sum(w)')}::BIGINT AS lost, sum(w - e)::BIGINT AS missed FROM {_POINTS} GROUP BY 1),
+f AS (SELECT run_id, suite_id, id, lost, lost * w AS num, missed FROM {_POINTS} JOIN t USING (run_id) WHERE verdict NOT IN ('pass', 'skipped')),
+g AS (SELECT *, num // missed AS base, rank() OVER (PARTITION BY run_id ORDER BY num % missed DESC, suite_id, id) AS turn, lost - sum(num // missed) OVER (PARTITION BY run_id) AS spare FROM f)
+SELECT run_id, suite_id, id AS check_id, (base + (turn <= spare)::INT)::BIGINT AS points FROM g""")
 def score_deductions(spark, sf_dir):
     return scoring.deduction_frame(_results(spark, sf_dir))
 
@@ -323,18 +443,11 @@ def totals_by_verdict(spark, sf_dir):
 _RANK = "CASE WHEN {x}.verdict = 'errored' AND {x}.severity = 'error' THEN 4 WHEN {x}.verdict = 'pass' THEN 0 WHEN {x}.verdict = 'skipped' THEN 1 WHEN {x}.verdict = 'warn' THEN 2 WHEN {x}.verdict = 'errored' THEN 3 ELSE 4 END"
 
 
-@query(f"WITH a AS (SELECT * FROM {RESULTS} WHERE id < '000009000'), b AS (SELECT suite_id, id, severity, CASE WHEN verdict = 'fail' THEN 'pass' WHEN verdict = 'pass' THEN 'warn' ELSE verdict END AS verdict FROM {RESULTS} WHERE id >= '000003000') SELECT suite_id, id, a.verdict AS v_from, b.verdict AS v_to, CASE WHEN a.verdict IS NULL THEN 'added' WHEN b.verdict IS NULL THEN 'removed' WHEN a.verdict = b.verdict THEN 'same' WHEN {_RANK.format(x='b')} > {_RANK.format(x='a')} THEN 'regression' WHEN {_RANK.format(x='b')} < {_RANK.format(x='a')} THEN 'improvement' ELSE 'other' END AS change FROM a FULL JOIN b USING (suite_id, id)")
-def run_comparison(spark, sf_dir):
-    rows = _results(spark, sf_dir)
-    moved = F.when(F.col("verdict") == "fail", "pass").when(F.col("verdict") == "pass", "warn").otherwise(F.col("verdict"))
-    return history.compare_frames(rows.where("id < '000009000'"), rows.where("id >= '000003000'").withColumn("verdict", moved))
-
-
 _DATED = RESULTS.replace(" FROM orders)", ", o_orderdate FROM orders)")
 
 
 @query(f"WITH a AS (SELECT * FROM {_DATED} WHERE o_orderdate < DATE '2001-01-01'), b AS (SELECT suite_id, id, severity, CASE WHEN verdict = 'fail' THEN 'pass' WHEN verdict = 'pass' THEN 'warn' ELSE verdict END AS verdict FROM {_DATED} WHERE o_orderdate >= DATE '1996-01-01') SELECT suite_id, id, a.verdict AS v_from, b.verdict AS v_to, CASE WHEN a.verdict IS NULL THEN 'added' WHEN b.verdict IS NULL THEN 'removed' WHEN a.verdict = b.verdict THEN 'same' WHEN {_RANK.format(x='b')} > {_RANK.format(x='a')} THEN 'regression' WHEN {_RANK.format(x='b')} < {_RANK.format(x='a')} THEN 'improvement' ELSE 'other' END AS change FROM a FULL JOIN b USING (suite_id, id)")
-def run_comparison_all(spark, sf_dir):
+def run_comparison(spark, sf_dir):
     """All orders: the first year's were removed, the last year's added, all between are in both runs."""
     rows = _results(spark, sf_dir, "o_orderdate")
     moved = F.when(F.col("verdict") == "fail", "pass").when(F.col("verdict") == "pass", "warn").otherwise(F.col("verdict"))
@@ -347,11 +460,10 @@ def count_bands(spark, sf_dir):
     return rows.groupBy(history.count_band(F.col("degree")).alias("band")).agg(F.count("*").alias("customers"))
 
 
-@query("SELECT verdict, severity, count(*) AS n FROM " + RESULTS + " WHERE verdict IN ('fail', 'warn', 'errored') GROUP BY 1, 2")
+@query(f"SELECT run_id, suite_id, id, verdict, row_number() OVER (PARTITION BY run_id ORDER BY {_RANK.format(x='r')} DESC, severity <> 'error', suite_id, id) AS place FROM {RESULTS} r WHERE verdict IN ('fail', 'warn', 'errored')")
 def failures_report(spark, sf_dir):
-    from pellucid.report import FAILURES
-
-    return _results(spark, sf_dir).where(F.col("verdict").isin(*FAILURES)).groupBy("verdict", "severity").agg(F.count("*").alias("n"))
+    """The failures of every run in the order in which a report lists them."""
+    return report.ordered_frame(_results(spark, sf_dir), report.FAILURES).select("run_id", "suite_id", "id", "verdict", "place")
 
 
 @query("""WITH RECURSIVE m AS (SELECT conv_id, turn FROM conversations), p AS (SELECT conv_id, turn AS a, turn + 1 AS b, 1 AS hops FROM m WHERE EXISTS (SELECT 1 FROM m x WHERE x.conv_id = m.conv_id AND x.turn = m.turn + 1)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from html import escape
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from pellucid import scoring
 from pellucid.history import rank
 
@@ -15,6 +18,15 @@ def ordered(checks: list[dict], verdicts=None) -> list[dict]:
     return sorted((c for c in checks if verdicts is None or c["verdict"] in verdicts), key=lambda c: (-rank(c), c["severity"] != "error", c["suite_id"], c["id"]))
 
 
+def ordered_frame(results: DataFrame, verdicts=None, run: str = "run_id") -> DataFrame:
+    """ordered() for every run of a history: `place` counts the checks of a run from the worst on."""
+    from pellucid.history import rank_column
+
+    kept = results if verdicts is None else results.where(F.col("verdict").isin(*verdicts))
+    order = Window.partitionBy(run).orderBy(F.desc(rank_column()), F.col("severity") != "error", "suite_id", "id")
+    return kept.withColumn("place", F.row_number().over(order).cast("long"))
+
+
 def not_evaluated(results: dict) -> list[dict]:
     return [{"suite_id": c["suite_id"], "id": c["id"], "reason": c["skip_reason"]} for c in sorted(results["checks"], key=lambda c: (c["suite_id"], c["id"])) if c["verdict"] == "skipped"]
 

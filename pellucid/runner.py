@@ -17,6 +17,7 @@ from pellucid.functions.sampling import check_seed, half_even, wilson
 from pellucid.graph import PropertyGraph
 from pellucid.operators import CHECKS
 from pellucid.operators import competency as comp
+from pellucid.plans import SharedScan
 from pellucid.plans.drift import drift_metric
 from pellucid.plans.pii import DEFAULT_SAMPLE, PiiPlan
 from pellucid.sources.suites import Competency, Conformance, Drift, LoadedCheck, Suite
@@ -49,17 +50,19 @@ class _Run:
     deadline: float
     partial: list[str] = field(default_factory=list)
     stop: threading.Event = field(default_factory=threading.Event)
+    shared: dict = field(default_factory=dict)
 
 
 def _now() -> str:
     return dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def run_suites(graph: PropertyGraph, suites: Iterable[Suite], options: Options | None = None) -> dict:
+def run_suites(graph: PropertyGraph, suites: Iterable[Suite], options: Options | None = None, broken: Iterable[str] = ()) -> dict:
     """Runs every selected check and returns the results (schema 1.2).
 
     A check that raises is errored and the rest goes on; a graph that cannot be probed fails the run. Checks
-    whose capability is absent are skipped and make the run partial; so do those that the deadline leaves.
+    whose capability is absent are skipped and make the run partial; so do those that the deadline leaves, and
+    suites that could not be loaded (broken: why). Predicate checks over one table share a scan.
     """
     options = options or Options()
     suites, began = list(suites), _now()
@@ -70,10 +73,11 @@ def run_suites(graph: PropertyGraph, suites: Iterable[Suite], options: Options |
         graph.counts()
     except Exception as e:
         return _results(None, suites, [], options, began, "failed", error={"code": getattr(e, "code", "engine.target_missing"), "message": str(e).splitlines()[0]})
-    state = _Run(graph, options, options.clock() + options.wall_seconds)
+    state = _Run(graph, options, options.clock() + options.wall_seconds, list(broken))
     tasks = [(s, c) for s in suites for c in s.checks if not options.tags or set(options.tags) & set(c.tags)]
+    if not options.fail_fast:  # a run that may stop early computes nothing ahead
+        state.shared = _shared_scans(state, tasks)
     if options.concurrency > 1 and not options.fail_fast:
-        graph.spark.sparkContext.setLocalProperty("spark.scheduler.pool", "checks")
         with ThreadPoolExecutor(options.concurrency) as pool:
             found = list(pool.map(lambda t: _one(state, *t), tasks))
     else:
@@ -84,7 +88,22 @@ def run_suites(graph: PropertyGraph, suites: Iterable[Suite], options: Options |
                 state.stop.set()
                 found += [_skipped(s, c, "not_run") for s, c in tasks[len(found) :]]
                 break
-    return _results(graph, suites, found, options, began, "partial" if state.partial else "complete", reason=state.partial[0] if state.partial else None)
+    return _results(graph, suites, found, options, began, "partial" if state.partial else "complete", reason="; ".join(dict.fromkeys(state.partial)) or None)
+
+
+def _shared_scans(state: _Run, tasks: list) -> dict:
+    """The scan that a check shares with others, by suite and check id; only plans of two checks and more over one base."""
+    bases: dict[tuple, dict] = {}
+    for suite, check in tasks:
+        if check.generated or not isinstance(check.spec, Conformance) or CHECKS[check.spec.check].sampled or not all(state.graph.capabilities.get(c) for c in CHECKS[check.spec.check].requires):
+            continue
+        try:
+            plan = CHECKS[check.spec.check].plan(state.graph, **check.spec.with_)
+        except Exception:  # the check will say so itself
+            continue
+        if plan.base_key is not None:
+            bases.setdefault(plan.base_key, {})[suite.id, check.id] = plan
+    return {key: scan for plans in bases.values() if len(plans) > 1 for scan in [SharedScan(plans)] for key in plans}
 
 
 def _base(suite: Suite, check: LoadedCheck) -> dict:
@@ -111,12 +130,14 @@ def _one(state: _Run, suite: Suite, check: LoadedCheck) -> dict:
         return _skipped(suite, check, "not_run")
     out, began = _base(suite, check) | {"started_at": _now()}, time.monotonic()
     sc, tag = state.graph.spark.sparkContext, f"check-{uuid.uuid4().hex}"
+    if options.concurrency > 1:
+        sc.setLocalProperty("spark.scheduler.pool", "checks")  # holds for this worker thread alone
     timer = threading.Timer(max(0.0, state.deadline - clock()), lambda: sc.cancelJobsWithTag(tag))
     timer.daemon = True
     sc.addJobTag(tag)
     timer.start()
     try:
-        out |= evaluate(state.graph, suite, check, options)
+        out |= evaluate(state.graph, suite, check, options, state.shared)
     except CheckError as e:
         out |= {"verdict": "errored", "error": {"code": e.code, "message": e.message}}
     except Exception as e:
@@ -135,14 +156,16 @@ def _verdict(passed: bool, severity: str) -> str:
     return "pass" if passed else "fail" if severity == "error" else "warn"
 
 
-def evaluate(graph: PropertyGraph, suite: Suite, check: LoadedCheck, options: Options) -> dict:
-    """Measures one check; evidence is collected only if it fails."""
-    run = {Conformance: _conformance, Competency: _competency, Drift: _drift}[type(check.spec)]
-    passed, rest = run(graph, suite, check, options)
+def evaluate(graph: PropertyGraph, suite: Suite, check: LoadedCheck, options: Options, shared: dict | None = None) -> dict:
+    """Measures one check; evidence is collected only if it fails. shared: scans that other checks take part in."""
+    if isinstance(check.spec, Conformance):
+        passed, rest = _conformance(graph, suite, check, options, (shared or {}).get((suite.id, check.id)))
+    else:
+        passed, rest = (_competency if isinstance(check.spec, Competency) else _drift)(graph, suite, check, options)
     return rest | {"verdict": _verdict(passed, check.severity)}
 
 
-def _conformance(graph, suite, check, options):
+def _conformance(graph, suite, check, options, scan=None):
     spec, entry = check.spec, CHECKS[check.spec.check]
     given, sampled = dict(spec.with_), {}
     if entry.sampled:
@@ -157,7 +180,7 @@ def _conformance(graph, suite, check, options):
         if not graph.is_empty():
             raise
         return True, {"params": given, "measured": {"population": 0, "violations": 0, "violation_count": 0}, "expected": {"violations": 0}}
-    row = plan.summary.first().asDict()
+    row = plan.row(scan.row((suite.id, check.id)) if scan is not None else None)
     population, bad = row["population"], row["violation_count"]
     measured = {"population": population, "violations": bad, "violation_count": bad} | {k: row[k] for k in _EXTRA if k in row}
     expected = {"violations": 0}
@@ -223,7 +246,9 @@ def _drift(graph, suite, check, options):
     out = {"params": dict(spec.target), "measured": bl.drift_measured(now, before), "expected": dict(spec.tolerance)}
     if broken:
         key = f"{spec.metric}:{bl.target_key(spec.target)}"
-        out["evidence"] = comp.evidence([{"kind": "aggregate", "id": key, "labels": None, "type": None}], "; ".join(broken), options.evidence_cap, 1)
+        label = spec.target.get("label")
+        own = {"kind": "aggregate", "id": key, "labels": None if label is None else [label], "type": spec.target.get("type")}
+        out["evidence"] = comp.evidence([own, *bl.entry_evidence(base, spec.metric, spec.target)], "; ".join(broken), options.evidence_cap)
     return not broken, out
 
 

@@ -48,16 +48,22 @@ def by_suite(checks: list[dict]) -> dict[str, Score]:
 
 
 def deductions(checks: list[dict]) -> list[dict]:
-    """Points lost by each failed check: whole parts first, what is left to the largest remainders (ties by suite, check)."""
+    """The points that the rounded score lost, dealt out to the failed checks in proportion to their weights.
+
+    Each check gets the whole part of its share; the points that are left go to the largest remainders (ties by
+    suite and check), so the parts always sum to 100 less the score. Two checks of one suite and id are an error.
+    """
     total = score(checks)
+    if len({(c["suite_id"], c["id"]) for c in checks}) < len(checks):
+        raise ValueError("a check stands twice")
     bad = sorted((c for c in checks if c["verdict"] not in ("pass", "skipped")), key=lambda c: (c["suite_id"], c["id"]))
     if total.value is None or not bad:
         return []
-    shares = [divmod(100 * _weight(c), total.possible) for c in bad]
-    left = 100 - total.value - sum(q for q, _ in shares)
-    first = sorted(range(len(bad)), key=lambda i: (-shares[i][1], i))
-    extra = Counter(first[:left]) if left > 0 else Counter({i: -1 for i in list(reversed(first))[:-left or None]}) if left < 0 else Counter()
-    return [{"suite_id": c["suite_id"], "check_id": c["id"], "points": q + extra[i]} for i, (c, (q, _)) in enumerate(zip(bad, shares))]
+    lost, whole = 100 - total.value, sum(map(_weight, bad))
+    points = [lost * _weight(c) // whole for c in bad]
+    for i in sorted(range(len(bad)), key=lambda i: (-(lost * _weight(bad[i]) % whole), i))[: lost - sum(points)]:
+        points[i] += 1
+    return [{"suite_id": c["suite_id"], "check_id": c["id"], "points": p} for c, p in zip(bad, points)]
 
 
 def totals(checks: list[dict]) -> dict[str, int]:
@@ -98,14 +104,12 @@ def score_frame(results: DataFrame, *by: str) -> DataFrame:
 
 
 def deduction_frame(results: DataFrame, run: str = "run_id") -> DataFrame:
-    """deductions() for every run of a history: windows over the runs, no row leaves the executors."""
+    """deductions() for every run of a history: windows over a run's checks, no row leaves the executors."""
     whole = Window.partitionBy(run)
     rows = _points(results).withColumn("possible", F.sum("weight").over(whole)).withColumn("total", F.sum("earned").over(whole))
     bad = rows.where(~F.col("verdict").isin("pass", "skipped") & (F.col("possible") > 0))
-    bad = bad.withColumn("q", F.expr("100 * weight div possible")).withColumn("r", F.expr("100 * weight % possible"))
-    left = 100 - half_even_column((100 * F.col("total")).cast("long"), F.col("possible").cast("long")) - F.sum("q").over(whole)
-    order = F.row_number().over(Window.partitionBy(run).orderBy(F.desc("r"), "suite_id", "id"))
-    n = F.count("*").over(whole)
-    bad = bad.withColumn("left", left).withColumn("place", order).withColumn("n", n)
-    extra = F.when((F.col("left") > 0) & (F.col("place") <= F.col("left")), 1).when((F.col("left") < 0) & (F.col("n") - F.col("place") < -F.col("left")), -1).otherwise(0)
-    return bad.select(run, "suite_id", F.col("id").alias("check_id"), (F.col("q") + extra).cast("long").alias("points"))
+    bad = bad.withColumn("lost", 100 - half_even_column((100 * F.col("total")).cast("long"), F.col("possible").cast("long"))).withColumn("failed", F.sum("weight").over(whole))
+    bad = bad.withColumn("part", F.expr("lost * weight div failed")).withColumn("rest", F.expr("lost * weight % failed"))
+    place = F.row_number().over(Window.partitionBy(run).orderBy(F.desc("rest"), "suite_id", "id"))
+    extra = F.when(place <= F.col("lost") - F.sum("part").over(whole), 1).otherwise(0)
+    return bad.select(run, "suite_id", F.col("id").alias("check_id"), (F.col("part") + extra).cast("long").alias("points"))

@@ -42,12 +42,20 @@ class Rows(Strict):
     def consistent(self):
         if self.min is self.max is self.exactly is None:
             raise ValueError("rows needs min, max or exactly")
-        if self.exactly is not None and (self.min is not None or self.max is not None):
-            raise ValueError("exactly stands alone")
+        if self.exactly is not None and not (self.min or 0) <= self.exactly <= (self.exactly if self.max is None else self.max):
+            raise ValueError("exactly lies outside min and max")
         if self.min is not None and self.max is not None and self.min > self.max:
             raise ValueError("min is over max")
         return self
 
+    def takes(self, n: int) -> bool:
+        return (self.min or 0) <= n and (self.max is None or n <= self.max) and self.exactly in (None, n)
+
+    @property
+    def takes_some(self) -> bool:
+        """Whether a result with rows can satisfy the bounds."""
+        return self.exactly != 0 and self.max != 0
+
 
 class Expect(Strict):
     rows: Rows | None = None
@@ -63,17 +71,13 @@ class Expect(Strict):
             raise ValueError("expect needs at least one assertion")
         if self.contains is not None and not self.contains:
             raise ValueError("contains must not be empty")
-        if self.contains is not None and self.equals is not None:
-            raise ValueError("contains and equals exclude each other")
-        least = max((self.rows and (self.rows.min or self.rows.exactly)) or 0, len(self.contains or ()) and 1)
-        if self.empty is True and (least or self.equals):
+        bounds = self.rows or Rows(min=0)
+        if self.empty is True and (self.contains or self.equals or not bounds.takes(0)) or self.empty is False and (self.equals == [] or not bounds.takes_some):
             raise ValueError("empty contradicts the other assertions")
-        if self.empty is False and (self.equals == [] or self.rows and (self.rows.max == 0 or self.rows.exactly == 0)):
-            raise ValueError("empty contradicts the other assertions")
-        if self.equals is not None and self.rows is not None:
-            n, r = len(self.equals), self.rows
-            if (r.exactly is not None and n != r.exactly) or (r.min is not None and n < r.min) or (r.max is not None and n > r.max):
-                raise ValueError("equals contradicts rows")
+        if self.equals is not None and not bounds.takes(len(self.equals)) or self.contains and not bounds.takes_some:
+            raise ValueError("rows contradicts the pinned values")
+        if self.contains and self.equals is not None and any(v not in self.equals for v in self.contains):
+            raise ValueError("contains has a value that equals has not")
         return self
 
 
@@ -194,6 +198,21 @@ def load_suites(path: str | Path, tag: str | None = None, suite: str | None = No
     return [s for s in found if suite is None or s.id == suite]
 
 
+def load_what_can_be(path: str | Path, suite: str | None = None) -> tuple[list[Suite], list[str]]:
+    """All suites under a folder that load, and for each file that does not why; a folder without files is an error."""
+    found, broken = [], []
+    path = Path(path)
+    files = [path] if path.is_file() else sorted(p for p in path.rglob("*") if p.suffix in (".yml", ".yaml"))
+    if not files:
+        raise CheckError("run.checks_missing", f"no suites at {path}")
+    for p in files:
+        try:
+            found.append(load_suite(p.read_text(), p.stem))
+        except (CheckError, OSError, UnicodeDecodeError) as e:
+            broken.append(f"{p} could not be loaded ({str(e).splitlines()[0]})")
+    return [s for s in found if suite is None or s.id == suite], broken
+
+
 def parse_selector(text: str) -> str:
     """tag:<name> to the name."""
     m = re.fullmatch(r"tag:(\S.*)", text)

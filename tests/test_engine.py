@@ -6,19 +6,21 @@ import json
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pellucid import baseline as bl
-from pellucid import diff, report, scoring
+from pellucid import diff, report, scoring, tools
 from pellucid.errors import CheckError
 from pellucid.functions import sampling
 from pellucid.functions.checksums import luhn_ok, verhoeff_ok
 from pellucid.graph import NodeSet, PropertyGraph, RelSet
 from pellucid.history import Runs, compare_runs
+from pellucid.operators import CHECKS
 from pellucid.operators import competency as comp
 from pellucid.profiler import profile
 from pellucid.redaction import redact, secrets
 from pellucid.runner import Options, blocked_checks, check_results, run_suites
-from pellucid.sources.suites import Expect, Rows, load_suite, load_suites, parse_selector
+from pellucid.sources.suites import Expect, Rows, load_suite, load_suites, load_what_can_be, parse_selector
 from pellucid.sqlguard import require_read_only
 
 
@@ -67,7 +69,7 @@ def test_a_run_isolates_failures(results):
     assert by["named-all"]["evidence"]["elements"][0]["id"] == "P:3"
     assert by["linked"]["measured"]["violations"] == 1
     assert by["shrunk"]["measured"] == {"current": 3, "baseline": 5, "delta": -2, "change_pct": -40.0}
-    assert by["shrunk"]["evidence"]["elements"][0] == {"kind": "aggregate", "id": "node_count:label=Customer", "labels": None, "type": None}
+    assert by["shrunk"]["evidence"]["elements"][0] == {"kind": "aggregate", "id": "node_count:label=Customer", "labels": ["Customer"], "type": None}
     assert by["few"]["params"] == {"who": "P:1"}
     check_results(results)
 
@@ -107,6 +109,181 @@ def test_suites_of_a_folder(tmp_path):
         parse_selector("suite:a")
 
 
+@pytest.mark.parametrize("expect", ["{rows: {exactly: 3, min: 1, max: 9}}", "{equals: [a, b], contains: [b]}", "{empty: false, rows: {min: 0}}", "{empty: true, equals: []}"])
+def test_consistent_overlays_are_taken(expect):
+    assert load_suite(f"competency: [{{id: x, question: q, query: s, expect: {expect}}}]").checks
+
+
+@pytest.mark.parametrize("expect", ["{rows: {exactly: 3, min: 4}}", "{equals: [a], contains: [b]}", "{empty: true, rows: {min: 1}}", "{empty: true, rows: {exactly: 2, min: 0}}", "{empty: false, rows: {max: 0}}", "{equals: [a], rows: {max: 0}}", "{contains: [a], rows: {exactly: 0}}", "{empty: false, equals: []}"])
+def test_contradictions_are_rejected(expect):
+    with pytest.raises(CheckError, match="suite_invalid"):
+        load_suite(f"competency: [{{id: x, question: q, query: s, expect: {expect}}}]")
+
+
+def test_a_suite_that_does_not_load_makes_the_run_partial(graph, tmp_path):
+    (tmp_path / "a.yml").write_text("suite: good\nconformance: [{id: x, check: no_orphans, with: {label: Customer}, severity: warn}]")
+    (tmp_path / "b.yml").write_text("suite: bad\nwhat: 1")
+    suites, broken = load_what_can_be(tmp_path)
+    found = run_suites(graph, suites, broken=broken)
+    assert [s["id"] for s in found["suites"]] == ["good"] and found["checks"][0]["verdict"] == "warn"
+    assert found["run"]["status"] == "partial" and "b.yml could not be loaded" in found["run"]["partial_reason"]
+
+
+@pytest.mark.parametrize(("rows", "n", "want"), [(Rows(max=5), 50, None), (Rows(exactly=5), 50, None), (Rows(min=5), 50, None), (Rows(min=3), 50, True), (Rows(max=2), 50, False), (Rows(min=2, max=9), 50, None), (Rows(max=3), 3, True), (Rows(exactly=3), 3, True), (Rows(min=4), 3, False)])
+def test_row_bounds_and_the_ceiling(spark, rows, n, want):
+    expect = Expect(rows=rows)
+    found = comp.fetch(spark.range(n), expect, 3)
+    if want is None:
+        with pytest.raises(CheckError, match="result_limit_exceeded"):
+            comp.judge(["id"], *found, expect)
+    else:
+        assert comp.judge(["id"], *found, expect).passed is want
+
+
+def test_a_result_is_read_until_it_is_decided(spark, monkeypatch):
+    monkeypatch.setattr(comp, "FIRST_READ", 4)
+    read = lambda expect, df: len(comp.fetch(df, expect, 1000)[0])
+    ids, twice = spark.range(0, 600, 1, 1), spark.range(0, 600, 1, 1).selectExpr("id DIV 2 AS id")
+    assert read(Expect(unique=True), twice) == read(Expect(unique=False), twice) == 4 and read(Expect(unique=True), ids) == 600
+    assert read(Expect(contains=[1, 3]), ids) == 4 and read(Expect(contains=[17]), ids) == 40 and read(Expect(contains=[-1]), ids) == 600
+    assert read(Expect(contains=[1], rows=Rows(min=30)), ids) == 40 and read(Expect(equals=[1]), ids) == 600
+    with pytest.raises(CheckError, match="result_limit_exceeded"):
+        comp.judge(["id"], *comp.fetch(ids, Expect(contains=[-1]), 50), Expect(contains=[-1]))
+
+
+def test_checks_of_one_table_share_a_scan(graph, monkeypatch):
+    from pellucid.plans import base
+
+    alone = []
+    monkeypatch.setattr(base.CheckPlan, "row", lambda self, counts=None, f=base.CheckPlan.row: (alone.append(self.name) if counts is None else None) or f(self, counts))
+    suite = load_suite("""
+suite: s
+conformance:
+  - {id: a, check: completeness, with: {label: Customer, property: name, threshold: 0.5}}
+  - {id: b, check: property_format, with: {label: Customer, property: name, regex: "A.*"}}
+  - {id: c, check: no_orphans, with: {label: Customer}}
+""")
+    found = run_suites(graph, [suite])
+    assert alone == ["no_orphans"] and [(c["verdict"], c["measured"]["population"], c["measured"]["violations"]) for c in found["checks"]] == [("pass", 3, 1), ("fail", 2, 1), ("fail", 3, 1)]
+    monkeypatch.setattr(base, "fuse", lambda plans: 1 / 0)
+    again = run_suites(graph, [suite])
+    assert [c["verdict"] for c in again["checks"]] == ["pass", "fail", "fail"] and len(alone) == 4
+
+
+def test_tools(graph, results, tmp_path):
+    (tmp_path / "checks").mkdir()
+    (tmp_path / "checks/people.yml").write_text(SUITE)
+    listed = tools.list_checks(tmp_path / "checks")["suites"]
+    assert listed[0]["suite"] == "people" and listed[0]["checks"][1] == {"id": "named-all", "kind": "conformance", "severity": "error", "tags": ["prod", "strict"], "generated": False}
+    with pytest.raises(CheckError, match="suite_unknown"):
+        tools.run_suite(graph, tmp_path / "checks", tmp_path / "runs", "nobody")
+    ran = tools.run_suite(graph, tmp_path / "checks", tmp_path / "runs", "people", Options(tags=("strict",)))
+    assert tools.get_results(tmp_path / "runs")["run"]["id"] == tools.get_results(tmp_path / "runs", ran["run"]["id"])["run"]["id"] == ran["run"]["id"]
+    for name, code in (("../x", "invalid_run_id"), ("a\\b", "invalid_run_id"), ("", "invalid_run_id"), ("none", "results_not_found")):
+        with pytest.raises(CheckError, match=code):
+            tools.get_results(tmp_path / "runs", name)
+    (tmp_path / "runs/latest/results.json").write_text("{}")
+    with pytest.raises(CheckError, match="results_unreadable") as e:
+        tools.get_results(tmp_path / "runs")
+    assert str(tmp_path) not in str(e.value)
+
+
+def test_profile_invariants(graph):
+    from pellucid.profiler import check_profile, fingerprint
+
+    def broken(change):
+        p = json.loads(json.dumps(profile(graph)))
+        change(p)
+        p["fingerprint"] = fingerprint(p) if p["fingerprint"] != "x" else "x"
+        with pytest.raises(CheckError, match="profile.invalid"):
+            check_profile(p)
+
+    check_profile(profile(graph))
+    for change in (
+        lambda p: p.update(partial_reason="late"), lambda p: p.update(status="partial"), lambda p: p.update(fingerprint="x"), lambda p: p["schema"]["labels"][0].update(count=99),
+        lambda p: p["schema"]["labels"][0]["degree_distribution"].update(median=99), lambda p: p["schema"]["labels"][0].pop("degree_distribution"), lambda p: p["schema"]["relationship_types"][0].update(count=9),
+        lambda p: p["statistics"]["property_coverage"].reverse(), lambda p: p["schema"]["labels"].append(dict(p["schema"]["labels"][0])),
+    ):
+        broken(change)
+
+
+def test_baseline_entries_with_evidence():
+    entry = {"value": 7, "evidence": [{"kind": "node", "id": "P:1"}]}
+    for source in (entry, {"node_count": entry}, {"node_count": {"label=A": entry}}, {"node_count": {"A": entry}}):
+        assert bl.require(source, "node_count", {"label": "A"}) == 7
+        assert bl.entry_evidence(source, "node_count", {"label": "A"}) == [{"kind": "node", "id": "P:1", "labels": None, "type": None}]
+    assert bl.entry_evidence({"node_count": 3}, "node_count", {}) == []
+
+
+def test_deductions_share_out_the_rounded_loss(spark):
+    from fractions import Fraction
+    from itertools import product
+
+    kinds = [("error", "pass"), ("error", "fail"), ("warn", "warn"), ("warn", "pass"), ("error", "errored"), ("warn", "skipped")]
+    rows, want = [], {}
+    for run, mix in enumerate(product(range(3), repeat=len(kinds))):
+        checks = [{"suite_id": f"s{i % 2}", "id": f"{k}-{i}", "severity": kinds[k][0], "verdict": kinds[k][1]} for k, n in enumerate(mix) for i in range(n)]
+        got = scoring.deductions(checks)
+        rows += [(run, c["suite_id"], c["id"], c["severity"], c["verdict"]) for c in checks]
+        want |= {(run, d["suite_id"], d["check_id"]): d["points"] for d in got}
+        bad = [c for c in checks if c["verdict"] not in ("pass", "skipped")]
+        if bad:
+            lost = 100 - scoring.score(checks).value
+            weight = {(c["suite_id"], c["id"]): scoring.WEIGHTS[c["severity"]] for c in bad}
+            share = {k: Fraction(lost * w, sum(weight.values())) for k, w in weight.items()}
+            points = {(d["suite_id"], d["check_id"]): d["points"] for d in got}
+            assert sum(points.values()) == lost and all(abs(points[k] - share[k]) < 1 for k in share)
+            up = [share[k] % 1 for k in share if points[k] > share[k]]
+            down = [share[k] % 1 for k in share if points[k] <= share[k] and share[k] % 1]
+            assert not up or not down or min(up) >= max(down)
+    frame = scoring.deduction_frame(spark.createDataFrame(rows, "run_id int, suite_id string, id string, severity string, verdict string"))
+    assert {(r["run_id"], r["suite_id"], r["check_id"]): r["points"] for r in frame.collect()} == want
+    one = {"suite_id": "s", "id": "x", "severity": "error", "verdict": "fail"}
+    with pytest.raises(ValueError):
+        scoring.deductions([one, one])
+
+
+def test_report_order_of_frames_and_lists_agree(spark):
+    from itertools import product
+
+    checks = [{"suite_id": s, "id": f"{v}{e}", "severity": e, "verdict": v} for s, e, v in product(("b", "a"), ("warn", "error"), scoring.VERDICTS)]
+    frame = spark.createDataFrame([("r", *c.values()) for c in checks], "run_id string, suite_id string, id string, severity string, verdict string")
+    for only in (None, report.FAILURES):
+        got = [(r["suite_id"], r["id"]) for r in report.ordered_frame(frame, only).orderBy("place").collect()]
+        assert got == [(c["suite_id"], c["id"]) for c in report.ordered(checks, only)]
+
+
+def test_evidence_of_elements_that_come_twice(spark):
+    rows = spark.createDataFrame([(f"N:{i}", None if i % 2 else "x") for i in range(8)], "id string, p string")
+    twice = PropertyGraph(spark, [NodeSet(("A",), rows), NodeSet(("A", "B"), rows)], [])
+    plan = CHECKS["completeness"].plan(twice, label="A", property="p")
+    assert plan.repeats == 2 and [r["id"] for r in plan.capped(3).collect()] == ["N:1", "N:3", "N:5"]
+    assert CHECKS["completeness"].plan(twice, label="B", property="p").repeats == 1
+
+
+def test_windows_over_a_stream(spark, tmp_path):
+    from pellucid.streaming.monitor import start_monitor_stream, violation_counts
+
+    folder, seen = tmp_path / "in", []
+    schema = "ts timestamp, value double"
+    put = lambda rows: spark.createDataFrame([(dt.datetime(2024, 1, 1, h, m), v) for h, m, v in rows], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    put([(0, 5, 1.0), (0, 50, -1.0), (1, 10, None)])
+    stream = spark.readStream.schema(schema).parquet(str(folder))
+    counts = violation_counts(stream, F.col("value").isNull() | (F.col("value") < 0), "ts", "1 hour", "10 minutes")
+
+    def go():
+        running = start_monitor_stream(counts, lambda rows, _: seen.extend((r["window_start"].hour, r["population"], r["violation_count"]) for r in rows.collect()), str(tmp_path / "state"))
+        running.processAllAvailable()
+        running.stop()
+
+    go()
+    put([(3, 0, 2.0)])
+    go()  # goes on from the checkpoint
+    put([(0, 1, -5.0), (5, 0, 2.0)])  # the first one is too late for its window
+    go()
+    assert sorted(seen) == [(0, 2, 1), (1, 1, 1), (3, 1, 0)]
+
+
 def test_guard(spark):
     for ok in ("SELECT 1", "WITH a AS (SELECT 1 x) SELECT * FROM a WHERE x IN (SELECT 2)", "SELECT x, count(*) FROM VALUES (1) t(x) GROUP BY x HAVING count(*) > 0 ORDER BY 1 LIMIT 3", "SELECT 1 UNION ALL SELECT 2"):
         require_read_only(spark, ok)
