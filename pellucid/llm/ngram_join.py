@@ -3,7 +3,7 @@
 All documents agree on one order of the shingles, from rare to common. Two linked sets share a shingle among
 the first few of each (all but the size that they must have in common, and one), so only those few are dealt
 over the cluster, and what is common to many documents brings hardly any of them together. Documents that
-meet at a shingle are first held against one of them, which links most copies. The rest are partitioned into
+meet at enough shingles are first held against one of them, which links most copies. The rest are partitioned into
 groups of similar documents (by their most crowded meeting place, linked class and size); each group's token
 union is stored; a document that meets members of a group is bounded against that union, and only groups that
 the bound lets through are opened. Every link between different classes is found; inside a class none is
@@ -32,6 +32,8 @@ STRETCH = 4096
 GROUP_TOKENS, ASKING = 1 << 16, 2048
 #: Members from which a linked class has groups of its own.
 CLASS = 64
+#: Bits of the table by which a scan passes over documents that nothing asks for: fixed as well.
+BITS = 1 << 23
 #: Sets that a task remembers so as to deal equal ones once.
 REMEMBERED = 200_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -203,20 +205,72 @@ def _node():
     return F.struct("f1", "f2")
 
 
-def _tokens(rows: DataFrame, n: int) -> DataFrame:
-    """node and set of rows doc_id, text, node; equal sets of a task once."""
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A table of BITS bits, set for the digests of the ids; its bytes (a megabyte) come to the driver."""
+
+    def run(batches):
+        table = np.zeros(BITS, bool)
+        for part in batches:
+            table[_places_of(np.asarray(part.column(0)))] = True
+        packed = np.packbits(table)
+        at = [k for k in range(0, len(packed), 4 * STRETCH) if packed[k : k + 4 * STRETCH].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([packed[k : k + 4 * STRETCH].tobytes() for k in at], pa.binary())], ["stretch", "bits"])
+
+    def merge(batches):
+        total: dict[int, np.ndarray] = {}
+        for part in batches:
+            for k, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                total[k] = total.get(k, 0) | np.frombuffer(raw, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["stretch", "bits"])
+
+    out = np.zeros(BITS // 8, np.uint8)
+    schema = "stretch int, bits binary"
+    for r in ids.mapInArrow(run, schema).repartition("stretch").mapInArrow(merge, schema).collect():
+        out[r["stretch"] : r["stretch"] + 4 * STRETCH] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _places_of(ids: np.ndarray) -> np.ndarray:
+    return (_mix(ids.astype(np.int64).view(np.uint64) * _A) >> np.uint64(64 - (BITS.bit_length() - 1))).astype(np.int64)
+
+
+def _tokens(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """node and set of the nodes asked for (node, first: a document that has the set), and of a few more.
+
+    The texts are scanned where they lie and only documents whose bit is set are shingled, so no text is
+    shuffled; equal sets come once from a task. Rows that nothing asked for fall out of the joins that follow.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(_bits(nodes.select("first")))  # BITS bits
 
     def run(batches):
         shingler, seen = Shingler(n), _Remembered()
         for part in slices(batches):
-            found = [shingler(t) for t in texts(part)]
-            prints = [_digest(s) for s in found]
-            keep = [k for k, (f, node) in enumerate(zip(prints, part.column(2).to_pylist())) if f == (node["f1"], node["f2"]) and seen.new(f)]
-            yield to_batch(TOKENS, {"f1": [prints[k][0] for k in keep], "f2": [prints[k][1] for k in keep], "set": [found[k].view(np.int64) for k in keep]})
+            ids = part.column(0)
+            at = _places_of(np.asarray(ids.fill_null(0)))
+            asked = part.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) & np.asarray(ids.is_valid())))
+            found = [s for s in map(shingler, texts(asked)) if len(s)]
+            fresh = [(f, s) for s in found if seen.new(f := _digest(s))]
+            yield to_batch(TOKENS, {"f1": [f[0] for f, _ in fresh], "f2": [f[1] for f, _ in fresh], "set": [s.view(np.int64) for _, s in fresh]})
 
     return rows.mapInArrow(run, "f1 long, f2 long, set array<bigint>").select(_node().alias("node"), "set")
 
 
+def _spare(n, other, share: Fraction):
+    """What two linked sets of these sizes must have in common among their first places, less one: they share
+    share / (1 + share) of their sizes' sum, and behind the first places of the larger one lie share of its size at most."""
+    return F.lit(float(share / (1 + share))) * (n + other) - F.lit(float(share)) * F.greatest(n, other) - F.lit(1e-6)
+
+
+def _likely(met: DataFrame, share: Fraction) -> DataFrame:
+    """Pairs (a, b) of a set and a leader that it meets in half of the places in which linked sets meet, or more.
+
+    They only make the classes; links that are not among them are found between the groups.
+    """
+    low, high = share.numerator, share.denominator
+    pairs = met.where((F.col("node") != F.col("leader")) & (F.col("ln") * high >= F.col("n") * low)).groupBy("node", "leader").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("ln").alias("ln"))
+    return pairs.where(2 * F.col("times") > _spare(F.col("n"), F.col("ln"), share)).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
@@ -248,15 +302,18 @@ def _grouped(mixed: DataFrame, share: Fraction) -> DataFrame:
 
 
 def _asked(mixed: DataFrame, grouped: DataFrame, share: Fraction) -> DataFrame:
-    """node, own, n, block: the groups that a document meets, as far as their sizes can link.
+    """node, own, n, block: the groups that a document meets in as many places as it would meet a linked member.
 
     Of two classes the smaller one asks (ties: the one of the smaller print), so that a large linked class never does.
     """
     low, high = share.numerator, share.denominator
     at = mixed.select("list", "node").join(grouped, "node").withColumn("rank", F.struct("members", "own"))
-    groups = at.groupBy("list", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rank").alias("top"))
-    meets = at.join(groups.withColumnRenamed("block", "other"), "list").where((F.col("rank") < F.col("top")) & (F.col("most") * high >= F.col("n") * low) & (F.col("least") * low <= F.col("n") * high))
-    return meets.select("node", "own", "n", F.col("other").alias("block")).distinct()
+    groups = at.groupBy("list", F.col("block").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rank").alias("top"))
+    meets = at.join(groups, "list").where((F.col("rank") < F.col("top")) & (F.col("most") * high >= F.col("n") * low) & (F.col("least") * low <= F.col("n") * high))
+    found = meets.groupBy("node", "own", "n", F.col("other").alias("block")).agg(F.count("*").alias("times"), F.min("least").alias("least"), F.max("most").alias("most"))
+    n = F.col("n")  # the fewest places are shared at one of the two ends of the sizes that a linked member may have
+    ends = F.greatest("least", n * float(share)), F.least("most", n / float(share))
+    return found.where(F.col("times") > F.least(*[_spare(n, e, share) for e in ends])).select("node", "own", "n", "block")
 
 
 DEALT = ["block", "q", "asks", "node", "own", "set"]
@@ -371,27 +428,33 @@ def _links(low: int, high: int):
     return run
 
 
-def _across(met: DataFrame, labels: DataFrame, sets: DataFrame, share: Fraction) -> Stored | None:
+def _across(met: DataFrame, labels: DataFrame, first: DataFrame, rows: DataFrame, n: int, share: Fraction) -> Stored | None:
     """Links between documents of different classes that meet, by the groups' token unions; None where none can be."""
     low, high = share.numerator, share.denominator
     mixed = Stored(_mixed(met, labels), "ngram-mixed")
     if not mixed.df.limit(1).count():
+        mixed.drop()
         return None
     grouped = Stored(_grouped(mixed.df, share), "ngram-groups")
     asked = Stored(_asked(mixed.df, grouped.df, share), "ngram-asked")
     mixed.drop()
-    members = grouped.df.join(asked.df.select("block").distinct(), "block", "left_semi").join(sets, "node").select("block", "node", "own", "set")
+    groups = Stored(grouped.df.join(asked.df.select("block").distinct(), "block", "left_semi").select("block", "node", "own"), "ngram-members")
+    grouped.drop()
+    free_shuffles(met.sparkSession)
+    needed = groups.df.select("node").union(asked.df.select("node")).distinct().join(first, "node")
+    sets = Stored(_tokens(rows, needed, n), "ngram-tokens")
+    members = groups.df.join(sets.df, "node").select("block", "node", "own", "set")
     matrix = Stored(_unions(members), "ngram-matrix")
     nobody = F.lit(None).cast("struct<f1:bigint,f2:bigint>")
-    bounds = _dealt(asked.df, matrix.df.select("block", nobody.alias("node"), nobody.alias("own"), "set"), sets)
+    bounds = _dealt(asked.df, matrix.df.select("block", nobody.alias("node"), nobody.alias("own"), "set"), sets.df)
     let = Stored(bounds.mapInArrow(_bound(low, high), "node struct<f1:bigint,f2:bigint>, own struct<f1:bigint,f2:bigint>, block long"), "ngram-let")
     matrix.drop()
     asked.drop()
     free_shuffles(met.sparkSession)
-    opened = grouped.df.join(let.df.select("block").distinct(), "block", "left_semi").join(sets, "node").select("block", "node", "own", "set")
-    links = Stored(_dealt(let.df, opened, sets).mapInArrow(_links(low, high), "a struct<f1:bigint,f2:bigint>, b struct<f1:bigint,f2:bigint>"), "ngram-more")
-    grouped.drop()
-    let.drop()
+    opened = groups.df.join(let.df.select("block").distinct(), "block", "left_semi").join(sets.df, "node").select("block", "node", "own", "set")
+    links = Stored(_dealt(let.df, opened, sets.df).mapInArrow(_links(low, high), "a struct<f1:bigint,f2:bigint>, b struct<f1:bigint,f2:bigint>"), "ngram-more")
+    for stored in (groups, let, sets):
+        stored.drop()
     return links
 
 
@@ -419,15 +482,16 @@ def ngram_components(docs: DataFrame, n: int = 5, share: Fraction | float = Frac
     met = Stored(places.mapInArrow(_meet(low, high), MET_SQL).select("list", _node().alias("node"), "n", F.struct(F.col("l1").alias("f1"), F.col("l2").alias("f2")).alias("leader"), "ln"), "ngram-met")
     free_shuffles(spark)
     first = every.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).select(_node().alias("node"), "first", "copies")
-    needed = met.df.select("node").distinct().join(first, "node").select(F.col("first").alias("doc_id"), "node")
-    sets = Stored(_tokens(rows.join(needed, "doc_id").select("doc_id", "text", "node"), n), "ngram-tokens")
+    likely = Stored(_likely(met.df, share), "ngram-likely")
+    needed = likely.df.select(F.col("a").alias("node")).union(likely.df.select("b")).distinct().join(first, "node")
+    sets = Stored(_tokens(rows, needed, n), "ngram-tokens")
+    led = Stored(_verified(likely.df, sets.df, share), "ngram-links")
+    sets.drop()
+    likely.drop()
     free_shuffles(spark)
-    pairs = met.df.where((F.col("node") != F.col("leader")) & (F.col("ln") * high >= F.col("n") * low)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    led = Stored(_verified(pairs, sets.df, share), "ngram-links")
     labels = components(led.df)
-    more = _across(met.df.select("list", "node", "n"), labels.df, sets.df, share)
+    more = _across(met.df.select("list", "node", "n"), labels.df, first, rows, n, share)
     met.drop()
-    sets.drop()
     free_shuffles(spark)
     if more is not None and more.df.limit(1).count():
         labels.drop()
