@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,56 +27,43 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Only a local master may do without one: it gets a temporary folder."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors and the driver share")
     if sc.applicationId not in _own_dirs:
         _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="pellucid-")
         sc.setCheckpointDir(_own_dirs[sc.applicationId])
     return _own_dirs[sc.applicationId]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-_paths: set[str] = set()
-
-
 class Stored:
     """A frame cut from its lineage: written once as Parquet to the shared folder and read back.
 
     An executor that is lost later takes nothing with it. drop() deletes the files as soon as no later
-    step reads them; the rest goes when the session ends.
+    step reads them; what is still there when the driver's JVM ends goes then, after the session.
     """
 
     def __init__(self, frame: DataFrame, name: str):
         self.spark = frame.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        where, files = self._place()
+        files.deleteOnExit(where)
         frame.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(frame.schema).parquet(self.path)
-        _paths.add(self.path)
+
+    def _place(self):
+        sc = self.spark.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where, where.getFileSystem(sc._jsc.hadoopConfiguration())
 
     def drop(self) -> None:
-        _paths.discard(self.path)
-        _delete(self.spark, self.path)
-
-
-@atexit.register
-def _drop_all() -> None:
-    spark = SparkSession.getActiveSession()
-    for path in list(_paths):
-        try:
-            if spark is not None:
-                _delete(spark, path)
-        except Exception:  # the session is already gone; the folder's owner cleans it
-            return
+        where, files = self._place()
+        files.delete(where, True)
+        files.cancelDeleteOnExit(where)
 
 
 def free_shuffles(spark: SparkSession) -> None:

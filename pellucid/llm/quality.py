@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pellucid.llm._common import pick, ship, slices, texts, to_batch
-from pellucid.llm.toxicity import sample_of
+from pellucid.llm.toxicity import sample_of, texts_of
 
 #: Labelled rows at most (a fixed bound of the training and of what is broadcast), latent dimensions, neighbours.
 SAMPLE_ROWS, DIMS, NEIGHBOURS = 4_000, 64, 15
@@ -110,17 +110,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """Latent-semantic vectors of at most sample_rows labelled documents (a fixed bound; smallest id hashes).
 
     Terms are made where the texts lie; their sparse weights come to the driver, where idf and the truncated
-    singular value decomposition are computed. Without labels every score is one half.
+    singular value decomposition are computed. Without labels every score is one half. An id is one row of the
+    sample however often it is repeated (the larger of its labels, the smallest of its texts); null ids and
+    labels teach nothing; null texts count as empty, very long ones are read whole; other columns are not looked at.
     """
-    chosen = F.broadcast(sample_of(labels, label_col, sample_rows))  # at most sample_rows pairs of numbers
-    rows = pick(docs, id_col, text_col).join(chosen, "doc_id").select("text", "y", "doc_id")
+    rows = texts_of(docs, sample_of(labels, label_col, sample_rows), id_col, text_col).select("text", "y", "doc_id")
 
     def run(batches):
         for part in slices(batches):
             found = [terms(x) for x in texts(part)]
             yield to_batch(SPARSE, {"y": part.column(1), "at": [a for a, _ in found], "w": [w for _, w in found]})
 
-    found = rows.sortWithinPartitions("doc_id").mapInArrow(run, "y int, at array<int>, w array<float>").collect()
+    found = rows.orderBy("doc_id").mapInArrow(run, "y int, at array<int>, w array<float>").collect()  # sample_rows rows at most
     dense = np.zeros((len(found), TERMS), np.float32)
     for i, r in enumerate(found):
         dense[i, r["at"]] = r["w"]
@@ -152,7 +153,11 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 
 def keep_quality(docs: DataFrame, model: Model, least: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows that score at least `least`, with all their columns; nothing is shuffled."""
+    """The rows that score at least `least`, with all their columns of whatever names; nothing is shuffled.
+
+    Null and empty texts are scored like others (from their figures); repeated rows stay or go together; very
+    long texts are scored whole; ties with `least` stay. An empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -23,8 +23,8 @@ SEEDS = ("idiot", "moron", "imbecile", "stupid", "scum", "trash", "loser", "path
 #: Phrases in which a lexicon word means no abuse.
 EXCEPTIONS = ("trash can", "trash bin", "sore loser rule", "clown fish", "rodeo clown", "class clown", "idiot proof", "stupid question", "pathetic fallacy", "flame retard")
 SEED_WEIGHT, DEFAULT_FIT = 4.0, (-3.0, 2.0, 0.2)
-#: Learning: rows at most, least evidence (log-likelihood ratio in nats), least share of toxic documents, entries at most.
-SAMPLE_ROWS, LEAST_EVIDENCE, LEAST_RATE, ENTRIES = 16_000, 14.0, 0.5, 5_000
+#: Learning: rows at most, least evidence (log-likelihood ratio in nats), least share of toxic documents.
+SAMPLE_ROWS, LEAST_EVIDENCE, LEAST_RATE = 16_000, 14.0, 0.5
 PREFIXES = range(4, 9)
 
 # Look-alikes: Cyrillic and Greek letters by the Latin letter that they resemble, digits and signs by the letter they stand for.
@@ -118,6 +118,15 @@ def sample_of(labels: DataFrame, label_col: str, most: int, id_col: str = "doc_i
     return rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, y: one row for each chosen id, however often documents has it (the smallest of its texts).
+
+    chosen: doc_id, y, of a fixed number of rows. Repeated rows are folded before anything is shuffled.
+    """
+    found = pick(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
+
+
 def _families(batches):
     """Two smallest word digests of each document: near copies share them, so that a group of copies counts about once."""
     schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
@@ -132,9 +141,8 @@ def _families(batches):
 def _patterns(folded: str) -> set[str]:
     out = set()
     for w in set(folded.split()):
-        if 3 <= len(w) <= 40:
-            out.add(f" {w} ")
-            out.update(f" {w[:n]}" for n in PREFIXES if n < len(w))
+        out.add(f" {w} ")
+        out.update(f" {w[:n]}" for n in PREFIXES if n < len(w))
     return out
 
 
@@ -142,14 +150,19 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """Learns weights from at most sample_rows labelled documents (a fixed bound; smallest id hashes).
 
     Near copies count once: else a word of one toxic text that was copied often would look toxic itself.
-    Words and word starts are counted by toxic and other documents where the texts lie; only entries whose
-    evidence passes the threshold come to the driver (ENTRIES at most, the strongest). Phrases around hits in
+    Words and word starts of any length are counted by toxic and other documents where the texts lie; all
+    entries whose evidence passes the threshold come to the driver. Each of them stands in several toxic rows
+    of the sample, so the sample's bound is theirs too, however large the corpus. Phrases around hits in
     documents that are not toxic become exceptions. The score's curve over the length-normalised sum is
     fitted by logistic regression on the sample. Without labels the seeds and a fixed curve hold.
+
+    Null ids and labels teach nothing; of several labels of one id the larger counts, and of several texts the
+    smallest, so an id is one row of the sample however often it is repeated. Null texts count as empty.
+    Columns of any other name are not looked at.
     """
     spark = docs.sparkSession
-    chosen = F.broadcast(sample_of(labels, label_col, sample_rows))  # at most sample_rows pairs of numbers
-    sampled = pick(docs, id_col, text_col).join(chosen, "doc_id").select("doc_id", "text", "y")
+    chosen = sample_of(labels, label_col, sample_rows)
+    sampled = texts_of(docs, chosen, id_col, text_col)
     once = sampled.mapInArrow(_families, "doc_id long, f1 long, f2 long").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     rows = sampled.join(F.broadcast(once), "doc_id", "left_semi").select("text", "y")  # sample_rows ids at most
     n, toxic = rows.agg(F.count("*"), F.sum("y")).first()
@@ -177,8 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     evidence = F.col("t") * F.log(p / base) + (F.col("n") - F.col("t")) * F.log((1 - p) / (1 - base))
     found = (
         rows.mapInArrow(count, "pattern string, t long, n long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-        .where(F.col("t") / F.col("n") >= LEAST_RATE).withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE)
-        .orderBy(F.desc("evidence"), "pattern").limit(ENTRIES).collect()
+        .where(F.col("t") / F.col("n") >= LEAST_RATE).withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE).collect()
     )
     odds = (n - toxic) / toxic
     learnt = {r["pattern"]: math.log((r["t"] + 0.5) / (r["n"] - r["t"] + 0.5) * odds) for r in found}
@@ -206,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     seen = rows.mapInArrow(examine, "y int, total double, words long, near array<string>")
     near = seen.select("y", F.explode("near").alias("phrase")).groupBy("phrase").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
-    learnt_exceptions = [r["phrase"] for r in near.where("n >= 4 and t <= n / 10").orderBy(F.desc("n"), "phrase").limit(ENTRIES).collect()]
+    learnt_exceptions = [r["phrase"] for r in near.where("n >= 4 and t <= n / 10").orderBy("phrase").collect()]
     points = seen.select("y", "total", "words").toPandas()  # sample_rows rows of three numbers at most
     return Model(entries, (*exceptions, *learnt_exceptions), _logistic(points))
 
@@ -231,7 +243,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     Null or empty text: no hits, the score of a document without any. Repeated rows get equal results,
     null ids stay null, other columns are not looked at, an empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # ENTRIES entries and exceptions at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # entries and exceptions of a sample of fixed size
 
     def run(batches):
         matcher = sent.value.matcher()

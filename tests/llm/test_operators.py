@@ -1,6 +1,7 @@
 """The training-data operators against plain versions, at small size."""
 
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -403,40 +404,96 @@ def test_decontaminate_edited_copies_of_common_items(spark):
 
 
 
-def test_lm_scores(spark, corpus):
-    rows = {r["doc_id"]: r for r in lm_scoring.score_texts(frame(spark, [(i, t) for i, t in corpus if i is not None and i != 8])).collect()}
-    words = {i: (t or "").encode().lower().split() + [b""] for i, t in corpus if i is not None and i != 8}
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in words}
-    c = Counter(w for i, ws in words.items() if not held[i] for w in ws)
+def test_lm_scores(spark, corpus, monkeypatch):
+    """Scores against sums over all segmentations, kinds and documents, with fixed weights of the pieces."""
+    found, _ = lm_scoring.pieces("piece_bpe_32k.model")
+    p = np.random.default_rng(2).random((2, len(found))) ** 8
+    p, weights = p / p.sum(1, keepdims=True), np.log([0.3, 0.7])
+    monkeypatch.setattr(lm_scoring, "_estimate", lambda words, path, kinds: (p, weights))
+    rows = [(i, t) for i, t in corpus if i is not None and i != 8 and len(t or "") < 3000] + [(70_000, "same text ß"), (70_000, "same text ß"), (70_001, "x" * 40)]
+    got = {}
+    for r in lm_scoring.score_texts(frame(spark, rows), kinds=2).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    words = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    c = Counter(w for i, ws in words if not held[i] for w in [*ws, b""])
     total, v = sum(c.values()), len(c)
-    for i, ws in words.items():
-        r = rows[i]
-        base = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (v + 1))) for w in ws)
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(c[w] > 0 for w in ws), total)
-        assert r["base_score"] == pytest.approx(base) and r["score"] < 0
+    share, at = [dict(zip(found, q)) for q in p], {}
+
+    def inner(word):
+        if word not in at:
+            at[word] = [sum_long(q, b" " + word) for q in share]
+        return at[word]
+
+    once, twice = sum(n == 1 for w, n in c.items() if w), sum(n == 2 for w, n in c.items() if w)
+    discount, end = once / (once + 2 * twice), c[b""] / total
+    split = {w: [math.exp(weights[k]) * x / sum(math.exp(weights[m]) * y for m, y in enumerate(inner(w))) for k, x in enumerate(inner(w))] for w in c if w}
+    n_of = [sum(c[w] * r[k] for w, r in split.items()) for k in (0, 1)]
+    r_of = [sum(r[k] for r in split.values()) for k in (0, 1)]
+
+    def word(w, k):
+        whole = (c[w] - discount) * split[w][k] / n_of[k] if w in split else 0.0
+        return (1 - end) * (whole + discount * r_of[k] / n_of[k] * inner(w)[k])
+
+    for i, ws in words:
+        assert len(got[i]) == (2 if i == 70_000 else 1)
+        for r in got[i]:
+            base = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (v + 1))) for w in [*ws, b""])
+            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws) + 1, sum(c[w] > 0 for w in [*ws, b""]), total)
+            logs = [math.log(n_of[k] + 1) - math.log(sum(n_of) + 2) + math.log(end) + sum(math.log(word(w, k)) for w in ws) for k in (0, 1)]
+            assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(np.logaddexp(*logs) / math.log(10), rel=1e-5), i
+            assert r["piece_score"] < 0 and r["cached_score"] < 0
+
+
+def test_lm_words_are_a_distribution():
+    """All words over two letters: their probabilities approach one, known words and new ones together."""
+    found, p = (b" ", b" a", b"a", b"b", b"ab"), np.array([[0.2, 0.3, 0.2, 0.2, 0.1], [0.3, 0.2, 0.1, 0.3, 0.1]])
+    words = [bytes(x) for n in range(13) for x in itertools.product(b"ab", repeat=n)]
+    weights = np.log([0.4, 0.6])
+    inner = lm_scoring.Lattice(found, p).score(words)
+    assert np.all(np.exp(inner).sum(0) <= 1 + 1e-9) and np.all(np.exp(inner).sum(0) > 0.95)
+    c = np.zeros(len(words))
+    c[[1, 2, 5, 40]] = 7, 1, 2, 1
+    own = np.exp(lm_scoring._normal(inner + weights))
+    model = lm_scoring.Mixture(13, 5, 2, 0.6, weights, (c[:, None] * own).sum(0), own[c > 0].sum(0))
+    chance = np.exp(model.words(c, inner, np.zeros(len(words), bool)))
+    assert np.all(chance.sum(0) + model.end <= 1 + 1e-9) and np.all(chance.sum(0) + model.end > 0.97)
+    assert np.exp(model.kinds).sum() == pytest.approx(1)
 
 
 def test_lattice_sums_all_segmentations():
     found = (b"a", b"b", b"ab", b"ba", b" ", b" a", b"bab")
-    p = np.arange(1, 8) / 28
-    lattice, prob = lm_scoring.Lattice(found, p), dict(zip(found, p))
+    p = np.stack([np.arange(1, 8) / 28, np.arange(7, 0, -1) / 28])
+    lattice = lm_scoring.Lattice(found, p)
 
-    def plain(word):
-        return 1.0 if not word else sum(prob[x] * plain(word[len(x) :]) for x in found if word.startswith(x))
+    def plain(prob, word):
+        return 1.0 if not word else sum(prob[x] * plain(prob, word[len(x) :]) for x in found if word.startswith(x))
 
-    words = [b"a", b"ab", b"abab", b"bbbb", b"babab", b"ab" * 40]
-    counts = np.zeros(len(p))
-    assert np.exp(lattice.score(words[:5], counts)) == pytest.approx([plain(b" " + w) for w in words[:5]])
-    assert sum(len(x) * n for x, n in zip(found, counts)) == pytest.approx(sum(len(w) + 1 for w in words[:5]))
-    assert lattice.score([words[5]])[0] == pytest.approx(math.log(sum_long(prob, b" " + words[5])))
+    words = [b"a", b"ab", b"abab", b"bbbb", b"babab", b"ab" * 40, b"b" * 200]
+    weights, counts, shares = np.log([0.5, 0.5]), np.zeros(p.shape), np.zeros(2)
+    got = lattice.score(words[:5], weights, counts, shares)
+    want = np.array([[plain(dict(zip(found, q)), b" " + w) for q in p] for w in words[:5]])
+    assert np.exp(got) == pytest.approx(want) and shares == pytest.approx((want / want.sum(1, keepdims=True)).sum(0))
+    assert sum(len(x) * n for x, n in zip(found, counts.sum(0))) == pytest.approx(sum(len(w) + 1 for w in words[:5]))
+    for w in words[5:]:
+        assert np.exp(lattice.score([w])[0]) == pytest.approx([sum_long(dict(zip(found, q)), b" " + w) for q in p])
+
+
+def test_lm_learns_kinds_and_beats_the_base(spark):
+    rng = random.Random(3)
+    tongues = [[a + b for a in x for b in y] for x, y in (("bdg", "aeo"), ("klm", "iuy"), ("prs", "äöü"))]
+    rows = [(i, " ".join("".join(rng.choice(rng_t) for _ in range(rng.randint(1, 3))) for _ in range(60))) for i in range(500) for rng_t in [tongues[i % 3]]]
+    found = [r for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["held_out"]]
+    assert len(found) > 30 and sum(r["score"] for r in found) > 0.95 * sum(r["base_score"] for r in found) and all(r["score"] > r["piece_score"] for r in found)
 
 
 def sum_long(prob, word):
+    longest = max(map(len, prob))
     a = [1.0] + [0.0] * len(word)
     for i in range(len(word)):
-        for x, q in prob.items():
-            if word.startswith(x, i):
-                a[i + len(x)] += a[i] * q
+        for j in range(i + 1, min(len(word), i + longest) + 1):
+            if word[i:j] in prob:
+                a[j] += a[i] * prob[word[i:j]]
     return a[-1]
 
 
@@ -479,6 +536,10 @@ def test_learnt_scores(spark):
     assert sum((scores[i] >= 0.7) == y for i, y in quality if i % 5 == 0) >= 0.95 * 120
     kept = keep_quality(table, model)
     assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in scores.items() if s >= 0.7}
+    again = labels.crossJoin(spark.range(3)).drop("id")  # an id that stands often is one row of the sample all the same
+    assert len(train_quality(table.union(table), again, sample_rows=7).labels) == 7
+    twice = toxicity.train(table.union(table), again.where("doc_id % 5 <> 0"))
+    assert twice.entries == toxicity.train(table, labels.where("doc_id % 5 <> 0")).entries
     none = labels.limit(0)
     assert toxicity.train(table, none).fit == toxicity.DEFAULT_FIT and score_quality(table, train_quality(table, none)).first()["score"] == 0.5
 
