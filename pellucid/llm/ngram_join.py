@@ -271,13 +271,6 @@ def _likely(met: DataFrame, share: Fraction) -> DataFrame:
     return pairs.where(2 * F.col("times") > _spare(F.col("n"), F.col("ln"), share)).select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * share.denominator >= (F.size("sa") + F.size("sb") - common) * share.numerator).select("a", "b")
-
-
 def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
     """list, docs, node, n, own (linked class), members (of that class) at the places where different classes meet."""
     many = labels.groupBy("component").agg(F.count("*").alias("members"))
@@ -316,121 +309,101 @@ def _asked(mixed: DataFrame, grouped: DataFrame, share: Fraction) -> DataFrame:
     return found.where(F.col("times") > F.least(*[_spare(n, e, share) for e in ends])).select("node", "own", "n", "block")
 
 
-DEALT = ["block", "q", "asks", "node", "own", "set"]
-
+class Group:
+    """Documents of a group: the union of their tokens, and the documents by token."""
 
-def _dealt(asked: DataFrame, held: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of DEALT sorted so that what a group holds comes before the documents that ask it.
-
-    asked: node, own, block; held: block, node, own, set. A group that many documents ask is sent to several tasks.
-    """
-    many = Stored(asked.groupBy("block").agg(F.ceil(F.count("*") / ASKING).alias("parts")), "ngram-parts").df
-    asking = asked.join(many, "block").join(sets, "node").select("block", F.pmod(F.xxhash64("node", "block"), "parts").alias("q"), F.lit(True).alias("asks"), "node", "own", "set")
-    each = held.join(many, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"), F.lit(False).alias("asks"), "node", "own", "set")
-    return asking.unionByName(each).select(DEALT).repartition("block", "q").sortWithinPartitions("block", "q", "asks")
+    def __init__(self, owns: list, sets: list[np.ndarray]):
+        self.owns, self.size = owns, np.array([len(s) for s in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
+        self.union = np.unique(self.tokens)
 
+    def may_hold(self, tokens: np.ndarray, low: int, high: int) -> bool:
+        """Whether the union has enough of a set's tokens for any member to be linked with it."""
+        near = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        return int(np.count_nonzero(self.union[near] == tokens)) * high >= len(tokens) * low
 
-def _rows(batches):
-    """(block, q), asks, node, own, set of each row of DEALT."""
-    for part in batches:
-        names = [list(zip(x.field(0).to_pylist(), x.field(1).to_pylist())) for x in (part.column(3), part.column(4))]
-        tokens, at = part.column(5).values.to_numpy(), part.column(5).offsets.to_numpy()
-        for i, (block, q, asks) in enumerate(zip(*(part.column(k).to_pylist() for k in range(3)))):
-            yield (block, q), asks, names[0][i], names[1][i], tokens[at[i] : at[i + 1]]
+    def linked(self, tokens: np.ndarray, low: int, high: int) -> set:
+        """Classes of the members that a set is linked with: all members are counted at once."""
+        first, stop = np.searchsorted(self.tokens, tokens), np.searchsorted(self.tokens, tokens, side="right")
+        n = stop - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.size))
+        return {self.owns[k] for k in np.flatnonzero(common * high >= (len(tokens) + self.size - common) * low)}
 
 
-PAIR = pa.struct([("f1", pa.int64()), ("f2", pa.int64())])
+class _Joined(dict):
+    """Classes that links of this task have joined so far, as parents."""
 
+    def root(self, x):
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
 
-def _named(found: list[tuple[int, int]]) -> pa.Array:
-    return pa.array([{"f1": a, "f2": b} for a, b in found], PAIR)
+    def join(self, a, b) -> bool:
+        """False if the two were joined already."""
+        a, b = self.root(a), self.root(b)
+        self[a] = b
+        return a != b
 
 
-def _unions(members: DataFrame) -> DataFrame:
-    """The matrix: block and the union of its members' tokens, GROUP_TOKENS of them or one set's."""
-    schema = pa.schema([("block", pa.int64()), ("set", pa.list_(pa.int64()))])
+PAIR = pa.struct([("f1", pa.int64()), ("f2", pa.int64())])
 
-    def run(batches):
-        block, own = None, []
-        for part in batches:
-            tokens, at = part.column(1).values.to_numpy(), part.column(1).offsets.to_numpy()
-            for i, key in enumerate(part.column(0).to_pylist()):
-                if key != block and own:
-                    yield to_batch(schema, {"block": [block], "set": [np.unique(np.concatenate(own))]})
-                    own = []
-                block = key
-                own.append(tokens[at[i] : at[i + 1]])
-        if own:
-            yield to_batch(schema, {"block": [block], "set": [np.unique(np.concatenate(own))]})
 
-    return members.select("block", "set").repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, set array<bigint>")
+def _open(low: int, high: int):
+    """Rows sorted by block, q and asks, so that a group's members come before the documents that ask it.
 
+    A document is bounded against the group's union; only if that lets it through is the group opened for it.
+    Of the links that are found those leave the task that join classes which no earlier link of it has joined.
+    """
+    schema = pa.schema([("a", PAIR), ("b", PAIR)])
 
-def _bound(low: int, high: int):
-    """Of the documents that ask a group those that have enough tokens in common with its union."""
-    schema = pa.schema([("node", PAIR), ("own", PAIR), ("block", pa.int64())])
+    def named(found):
+        return pa.array([{"f1": a, "f2": b} for a, b in found], PAIR)
 
     def run(batches):
-        key = union = None
-        out: list[tuple] = []
-        for at, asks, node, own, tokens in _rows(batches):
-            if not asks:
-                key, union = at, tokens
-            elif at == key:
-                near = np.searchsorted(union, tokens)
-                common = int(np.count_nonzero(union[np.minimum(near, len(union) - 1)] == tokens))
-                if common * high >= len(tokens) * low:
-                    out.append((node, own, at[0]))
-            if len(out) >= 10_000:
-                yield to_batch(schema, {"node": _named([x[0] for x in out]), "own": _named([x[1] for x in out]), "block": [x[2] for x in out]})
-                out = []
-        yield to_batch(schema, {"node": _named([x[0] for x in out]), "own": _named([x[1] for x in out]), "block": [x[2] for x in out]})
+        key, group, owns, sets, joined = None, None, [], [], _Joined()
+        for part in batches:
+            own = list(zip(part.column(3).field(0).to_pylist(), part.column(3).field(1).to_pylist()))
+            tokens, at = part.column(4).values.to_numpy(), part.column(4).offsets.to_numpy()
+            found = []
+            for i, (block, q, asks) in enumerate(zip(*(part.column(k).to_pylist() for k in range(3)))):
+                if (block, q) != key:
+                    key, group, owns, sets, joined = (block, q), None, [], [], _Joined()
+                mine = tokens[at[i] : at[i + 1]]
+                if not asks:
+                    owns.append(own[i]), sets.append(mine)
+                elif sets:
+                    group = group or Group(owns, sets)
+                    if group.may_hold(mine, low, high):
+                        found += [(own[i], x) for x in sorted(group.linked(mine, low, high) - {own[i]}) if joined.join(own[i], x)]
+            if found:
+                yield to_batch(schema, {"a": named([a for a, _ in found]), "b": named([b for _, b in found])})
 
     return run
 
 
-class Opened:
-    """Members of a group by token."""
-
-    def __init__(self, nodes: list, owns: list, sets: list[np.ndarray]):
-        self.nodes, self.owns, self.size = nodes, owns, np.array([len(s) for s in sets])
-        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
-        order = np.argsort(tokens, kind="stable")
-        self.tokens, self.owner = tokens[order], owner[order]
-
-    def linked(self, tokens: np.ndarray, own, low: int, high: int) -> list:
-        """A linked member of each class other than `own`."""
-        first, stop = np.searchsorted(self.tokens, tokens), np.searchsorted(self.tokens, tokens, side="right")
-        n = stop - first
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        common = np.bincount(self.owner[at], minlength=len(self.nodes))
-        hits = np.flatnonzero(common * high >= (len(tokens) + self.size - common) * low)
-        return list({self.owns[k]: self.nodes[k] for k in hits if self.owns[k] != own}.values())
-
-
-def _links(low: int, high: int):
-    """Links of asking documents with members of the groups that they were let into."""
-    schema = pa.schema([("a", PAIR), ("b", PAIR)])
-
-    def run(batches):
-        key, opened, nodes, owns, sets = None, None, [], [], []
-        for at, asks, node, own, tokens in _rows(batches):
-            if at != key:
-                key, opened, nodes, owns, sets = at, None, [], [], []
-            if not asks:
-                nodes.append(node), owns.append(own), sets.append(tokens)
-            elif nodes:
-                opened = opened or Opened(nodes, owns, sets)
-                found = opened.linked(tokens, own, low, high)
-                if found:
-                    yield to_batch(schema, {"a": _named([node] * len(found)), "b": _named(found)})
+def _linked(asked: DataFrame, held: DataFrame, first: DataFrame, rows: DataFrame, n: int, share: Fraction, name: str) -> Stored:
+    """Links (a, b) between classes: asked (node, own, block) are held against the members held (node, own, block) of their group.
 
-    return run
+    Sets are made where the texts lie and sent to the groups once: a group that many documents ask is sent to
+    several tasks, a document to each group that it asks.
+    """
+    many = asked.groupBy("block").agg(F.ceil(F.count("*") / ASKING).alias("parts"))
+    asking = asked.join(many, "block").select("node", "own", "block", F.pmod(F.xxhash64("node", "block"), "parts").alias("q"), F.lit(True).alias("asks"))
+    each = held.join(many, "block").select("node", "own", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"), F.lit(False).alias("asks"))
+    routes = Stored(asking.unionByName(each), "ngram-routes")
+    sets = _tokens(rows, routes.df.select("node").distinct().join(first, "node"), n)
+    dealt = sets.join(routes.df, "node").select("block", "q", "asks", "own", "set").repartition("block", "q").sortWithinPartitions("block", "q", "asks")
+    links = Stored(dealt.mapInArrow(_open(share.numerator, share.denominator), "a struct<f1:bigint,f2:bigint>, b struct<f1:bigint,f2:bigint>"), name)
+    routes.drop()
+    free_shuffles(rows.sparkSession)
+    return links
 
 
 def _across(met: DataFrame, labels: DataFrame, first: DataFrame, rows: DataFrame, n: int, share: Fraction) -> Stored | None:
-    """Links between documents of different classes that meet, by the groups' token unions; None where none can be."""
-    low, high = share.numerator, share.denominator
+    """Links between classes whose documents meet, by the groups' token unions; None where none can be."""
     mixed = Stored(_mixed(met, labels), "ngram-mixed")
     if not mixed.df.limit(1).count():
         mixed.drop()
@@ -438,23 +411,11 @@ def _across(met: DataFrame, labels: DataFrame, first: DataFrame, rows: DataFrame
     grouped = Stored(_grouped(mixed.df, share), "ngram-groups")
     asked = Stored(_asked(mixed.df, grouped.df, share), "ngram-asked")
     mixed.drop()
-    groups = Stored(grouped.df.join(asked.df.select("block").distinct(), "block", "left_semi").select("block", "node", "own"), "ngram-members")
-    grouped.drop()
     free_shuffles(met.sparkSession)
-    needed = groups.df.select("node").union(asked.df.select("node")).distinct().join(first, "node")
-    sets = Stored(_tokens(rows, needed, n), "ngram-tokens")
-    members = groups.df.join(sets.df, "node").select("block", "node", "own", "set")
-    matrix = Stored(_unions(members), "ngram-matrix")
-    nobody = F.lit(None).cast("struct<f1:bigint,f2:bigint>")
-    bounds = _dealt(asked.df, matrix.df.select("block", nobody.alias("node"), nobody.alias("own"), "set"), sets.df)
-    let = Stored(bounds.mapInArrow(_bound(low, high), "node struct<f1:bigint,f2:bigint>, own struct<f1:bigint,f2:bigint>, block long"), "ngram-let")
-    matrix.drop()
+    held = grouped.df.join(asked.df.select("block").distinct(), "block", "left_semi").select("node", "own", "block")
+    links = _linked(asked.df.select("node", "own", "block"), held, first, rows, n, share, "ngram-more")
+    grouped.drop()
     asked.drop()
-    free_shuffles(met.sparkSession)
-    opened = groups.df.join(let.df.select("block").distinct(), "block", "left_semi").join(sets.df, "node").select("block", "node", "own", "set")
-    links = Stored(_dealt(let.df, opened, sets.df).mapInArrow(_links(low, high), "a struct<f1:bigint,f2:bigint>, b struct<f1:bigint,f2:bigint>"), "ngram-more")
-    for stored in (groups, let, sets):
-        stored.drop()
     return links
 
 
@@ -483,20 +444,20 @@ def ngram_components(docs: DataFrame, n: int = 5, share: Fraction | float = Frac
     free_shuffles(spark)
     first = every.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).select(_node().alias("node"), "first", "copies")
     likely = Stored(_likely(met.df, share), "ngram-likely")
-    needed = likely.df.select(F.col("a").alias("node")).union(likely.df.select("b")).distinct().join(first, "node")
-    sets = Stored(_tokens(rows, needed, n), "ngram-tokens")
-    led = Stored(_verified(likely.df, sets.df, share), "ngram-links")
-    sets.drop()
+    # a leader is a group of its own at first, and every set a class
+    block = F.xxhash64("b").alias("block")
+    held = likely.df.select(F.col("b").alias("node"), F.col("b").alias("own"), block).distinct()
+    led = _linked(likely.df.select(F.col("a").alias("node"), F.col("a").alias("own"), block), held, first, rows, n, share, "ngram-links")
     likely.drop()
-    free_shuffles(spark)
     labels = components(led.df)
+    led.drop()
     more = _across(met.df.select("list", "node", "n"), labels.df, first, rows, n, share)
     met.drop()
-    free_shuffles(spark)
-    if more is not None and more.df.limit(1).count():
-        labels.drop()
-        labels = components(led.df.unionByName(more.df))
-    linked = first.join(labels.df.withColumnRenamed("id", "node"), "node", "left")
+    linked = first.join(labels.df.select(F.col("id").alias("node"), "component"), "node", "left")
+    if more is not None and more.df.limit(1).count():  # these links join classes
+        joined = components(more.df)
+        linked = linked.withColumn("class", F.coalesce("component", "node")).join(joined.df.select(F.col("id").alias("class"), F.col("component").alias("joined")), "class", "left")
+        linked = linked.select("node", "first", "copies", F.coalesce("joined", "component").alias("component"))
     least = linked.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     named = linked.where("component is not null or copies > 1").join(least, "component", "left").select("node", F.coalesce("least", "first").alias("least"))
     keyed = every.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), _node()))
