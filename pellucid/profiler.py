@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import json
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +23,6 @@ def _quoted(p: str):
     return F.col(f"`{p}`")
 
 
-def label_counts(graph: PropertyGraph, label: str) -> DataFrame:
-    """One row: n and, for each property, the nodes that have it; a single scan of the label's tables."""
-    props = sorted({p for s in graph.node_sets if label in s.labels or label in s.optional for p in s.properties})
-    return graph.nodes(label, props).agg(F.count("*").alias("n"), *[F.count(_quoted(p)).alias(f"p_{p}") for p in props])
-
-
 def degree_frame(graph: PropertyGraph) -> DataFrame:
     """label, median, p95, p99, maximum of the degrees over all relationships of both directions, for every label.
 
@@ -38,27 +33,44 @@ def degree_frame(graph: PropertyGraph) -> DataFrame:
     return found.select("label", F.element_at("p", 1).alias("median"), F.element_at("p", 2).alias("p95"), F.element_at("p", 3).alias("p99"), "maximum")
 
 
-def coverage_frame(graph: PropertyGraph, owner: str = "node") -> DataFrame:
-    """owner_name, property, total, populated for every label (or type) and property that occurs."""
+def tally(graph: PropertyGraph, owner: str = "node") -> DataFrame:
+    """owner_name, property, total, populated for every label (or type) and each of its properties.
+
+    A row with a null property carries the total alone. One aggregation for each table, whatever the number of
+    its labels, and all tables in one job; a label that several tables hold is summed over them.
+    """
+    sets = graph.node_sets if owner == "node" else graph.rel_sets
+    names_of = lambda s: (*s.labels, *s.optional) if owner == "node" else (s.type,)
+    props_of: dict[str, set] = {}
+    for s in sets:
+        for name in names_of(s):
+            props_of.setdefault(name, set()).update(s.properties)
     parts = []
-    if owner == "node":
-        names = [(x, label_counts(graph, x)) for x in graph.labels]
-    else:
-        names = []
-        for t in graph.types:
-            props = sorted({p for r in graph.rel_sets if r.type == t for p in r.properties})
-            names.append((t, graph.rels(t, props).agg(F.count("*").alias("n"), *[F.count(_quoted(p)).alias(f"p_{p}") for p in props])))
-    for name, row in names:
-        props = [c for c in row.columns if c.startswith("p_")]
-        if props:
-            cells = F.array(*[F.struct(F.lit(name).alias("owner_name"), F.lit(c[2:]).alias("property"), F.col("n").alias("total"), _quoted(c).alias("populated")) for c in props])
-            parts.append(row.select(F.explode(cells).alias("x")).select("x.*"))
+    for s in sets:
+        sums, cells = [], []
+
+        def count(what, sums=sums):
+            sums.append(what.alias(f"n{len(sums)}"))
+            return F.col(f"n{len(sums) - 1}")
+
+        for name in names_of(s):
+            whole = owner != "node" or name in s.labels
+            carries = None if whole else F.array_contains("labels", name)
+            total = count(F.count("*") if whole else F.count_if(carries))
+            cells.append((name, None, total, total))
+            for p in sorted(props_of[name]):
+                there = _quoted(p) if whole else F.when(carries, _quoted(p))
+                cells.append((name, p, total, count(F.count(there)) if p in s.properties else F.lit(0)))
+        listed = F.array(*[F.struct(F.lit(n).alias("owner_name"), F.lit(p).cast("string").alias("property"), t.cast("long").alias("total"), c.cast("long").alias("populated")) for n, p, t, c in cells])
+        parts.append(s.df.agg(*sums).select(F.explode(listed).alias("x")).select("x.*"))
     if not parts:
         return graph.spark.createDataFrame([], "owner_name string, property string, total long, populated long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where("populated > 0")
+    return reduce(DataFrame.unionByName, parts).groupBy("owner_name", "property").agg(F.sum("total").alias("total"), F.sum("populated").alias("populated"))
+
+
+def coverage_frame(graph: PropertyGraph, owner: str = "node") -> DataFrame:
+    """owner_name, property, total, populated for every label (or type) and property that occurs."""
+    return tally(graph, owner).where("property IS NOT NULL AND populated > 0")
 
 
 def profile(graph: PropertyGraph, budget: float = BUDGET_SECONDS, constraints: list[dict] = (), indexes: list[dict] = (), version: str = "0.1.0") -> dict:
@@ -82,29 +94,32 @@ def profile(graph: PropertyGraph, budget: float = BUDGET_SECONDS, constraints: l
 
     degrees_of: dict[str, dict] = {}
     stage(lambda: degrees_of.update({r["label"]: r.asDict() for r in degree_frame(graph).collect()}))
-    for label in graph.labels:
 
-        def one(label=label):
-            row = label_counts(graph, label).first()
+    def counted(owner: str) -> dict[str, tuple[int, dict[str, int]]]:
+        out: dict[str, tuple[int, dict[str, int]]] = {}
+        rows = tally(graph, owner).collect()  # a row for each name and property of the catalogue
+        for r in rows:
+            if r["property"] is None:
+                out[r["owner_name"]] = r["total"], {q["property"]: q["populated"] for q in rows if q["owner_name"] == r["owner_name"] and q["property"] is not None and q["populated"]}
+        return out
+
+    def of_nodes():
+        for label, (n, props) in sorted(counted("node").items()):
             d = degrees_of.get(label, {})
-            props = {c[2:]: row[c] for c in row.asDict() if c.startswith("p_") and row[c]}
             kinds = {p: profile_name(next(s.df.schema[p].dataType for s in graph.node_sets if p in s.properties and (label in s.labels or label in s.optional))) for p in props}
             labels.append({
-                "name": label, "count": row["n"], "properties": [{"name": p, "type": kinds[p]} for p in sorted(props)],
+                "name": label, "count": n, "properties": [{"name": p, "type": kinds[p]} for p in sorted(props)],
                 "degree_distribution": {"median": round(d.get("median") or 0.0, 2), "p95": round(d.get("p95") or 0.0, 2), "p99": round(d.get("p99") or 0.0, 2), "maximum": int(d.get("maximum") or 0)},
             })
-            coverage.extend({"owner": "node", "owner_name": label, "property": p, "coverage": percent(n, row["n"])} for p, n in props.items())
-
-        stage(one)
-    for type_ in graph.types:
+            coverage.extend({"owner": "node", "owner_name": label, "property": p, "coverage": percent(k, n)} for p, k in props.items())
 
-        def one(type_=type_):
-            props = sorted({p for r in graph.rel_sets if r.type == type_ for p in r.properties})
-            row = graph.rels(type_, props).agg(F.count("*").alias("n"), *[F.count(_quoted(p)).alias(f"p_{p}") for p in props]).first()
-            types.append({"name": type_, "count": row["n"]})
-            coverage.extend({"owner": "relationship", "owner_name": type_, "property": p, "coverage": percent(row[f"p_{p}"], row["n"])} for p in props if row[f"p_{p}"])
+    def of_rels():
+        for type_, (n, props) in sorted(counted("relationship").items()):
+            types.append({"name": type_, "count": n})
+            coverage.extend({"owner": "relationship", "owner_name": type_, "property": p, "coverage": percent(k, n)} for p, k in props.items())
 
-        stage(one)
+    stage(of_nodes)
+    stage(of_rels)
     coverage.sort(key=lambda x: (x["owner"], x["owner_name"], x["property"]))
     listed = lambda xs: sorted(({k: sorted(v) if isinstance(v, (list, tuple)) else v or [] for k, v in x.items()} for x in xs), key=lambda x: x["name"])
     out = {

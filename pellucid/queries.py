@@ -343,16 +343,38 @@ def hub_outlier_sampled(spark, sf_dir):
     return found.withColumn("mean_degree", F.round("mean_degree", 6)).withColumn("degree_stddev", F.round("degree_stddev", 6))
 
 
-_LABELS = "SELECT 'Customer' AS label, (SELECT count(*) FROM customer) AS n UNION ALL SELECT 'Order', (SELECT count(*) FROM orders) UNION ALL SELECT 'Document', (SELECT count(*) FROM documents) UNION ALL SELECT 'Quality', (SELECT count(*) FROM labels JOIN documents USING (doc_id) WHERE quality = 1)"
+_COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "events": "event_id ts user_id event_type value props",
+    "pages": "page_id url html", "conversations": "conv_id turn role text",
+}
+#: What holds the nodes of each label and the relationships of each type, and their properties, in SQL.
+_NODES = {
+    "Region": ("region", _COLUMNS["region"]), "Nation": ("nation", _COLUMNS["nation"]), "Customer": ("customer", _COLUMNS["customer"]), "Supplier": ("supplier", _COLUMNS["supplier"]), "Part": ("part", _COLUMNS["part"]),
+    "Order": ("orders", _COLUMNS["orders"]), "LineItem": ("(SELECT lineitem.*, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", _COLUMNS["lineitem"] + " o_orderdate"),
+    "User": ("(SELECT DISTINCT user_id FROM events)", "user_id"), "Event": ("events", _COLUMNS["events"]), "Page": ("pages", _COLUMNS["pages"]), "Conversation": ("(SELECT DISTINCT conv_id FROM conversations)", "conv_id"),
+    "Message": ("conversations", _COLUMNS["conversations"]), **{label: (f"(SELECT * FROM {DOCS} WHERE {test})", "doc_id text lang source n_chars quality toxic") for label, test in (("Document", "true"), ("Quality", "quality = 1"), ("Toxic", "toxic = 1"))},
+}
+_RELS = {
+    "IN_REGION": ("nation", "n_nationkey n_regionkey"), "PLACED": ("orders", "o_orderkey o_custkey"), "CONTAINS": ("lineitem", _COLUMNS["lineitem"]), "PERFORMED": ("events", "event_id user_id"),
+    "IN_NATION": ("(SELECT c_custkey, c_nationkey, NULL AS s_suppkey, NULL AS s_nationkey FROM customer UNION ALL SELECT NULL, NULL, s_suppkey, s_nationkey FROM supplier)", "c_custkey c_nationkey s_suppkey s_nationkey"),
+}
+
 
+def _coverage_sql(held: dict) -> str:
+    parts = [f"SELECT '{name}' AS owner_name, '{p}' AS property, count(*) AS total, count({p}) AS populated FROM {table}" for name, (table, props) in held.items() for p in props.split()]
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE populated > 0"
 
-@query(_LABELS)
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS label, count(*) AS n FROM {table}" for name, (table, _) in _NODES.items()))
 def profile_labels(spark, sf_dir):
-    graph, out = load_graph(spark, sf_dir), None
-    for label in ("Customer", "Order", "Document", "Quality"):
-        part = profiler.label_counts(graph, label).select(F.lit(label).alias("label"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return profiler.tally(load_graph(spark, sf_dir)).where("property IS NULL").select(F.col("owner_name").alias("label"), F.col("total").alias("n"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS type, count(*) AS n FROM {table}" for name, (table, _) in _RELS.items()) + " UNION ALL SELECT 'NEXT', count(*) FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def profile_types(spark, sf_dir):
+    return profiler.tally(load_graph(spark, sf_dir), "relationship").where("property IS NULL").select(F.col("owner_name").alias("type"), F.col("total").alias("n"))
 
 
 _DEGREE_SQL = """
@@ -363,29 +385,36 @@ WITH e AS (
   UNION ALL SELECT 'Customer:' || o_custkey FROM orders UNION ALL SELECT 'Order:' || o_orderkey FROM orders
   UNION ALL SELECT 'Order:' || l_orderkey FROM lineitem UNION ALL SELECT 'Part:' || l_partkey FROM lineitem
   UNION ALL SELECT 'User:' || user_id FROM events UNION ALL SELECT 'Event:' || event_id FROM events
+  UNION ALL SELECT 'Message:' || a.conv_id || '/' || a.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+  UNION ALL SELECT 'Message:' || b.conv_id || '/' || b.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
 ), d AS (SELECT id, count(*) AS degree FROM e GROUP BY id),
-n AS (SELECT 'Customer' AS label, 'Customer:' || c_custkey AS id FROM customer UNION ALL SELECT 'User', 'User:' || user_id FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT 'Nation', 'Nation:' || n_nationkey FROM nation UNION ALL SELECT 'Part', 'Part:' || p_partkey FROM part)
+n AS (SELECT 'Customer' AS label, 'Customer:' || c_custkey AS id FROM customer UNION ALL SELECT 'User', 'User:' || user_id FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT 'Nation', 'Nation:' || n_nationkey FROM nation
+  UNION ALL SELECT 'Part', 'Part:' || p_partkey FROM part UNION ALL SELECT 'Region', 'Region:' || r_regionkey FROM region UNION ALL SELECT 'Supplier', 'Supplier:' || s_suppkey FROM supplier UNION ALL SELECT 'Order', 'Order:' || o_orderkey FROM orders
+  UNION ALL SELECT 'Event', 'Event:' || event_id FROM events UNION ALL SELECT 'Message', 'Message:' || conv_id || '/' || turn FROM conversations UNION ALL SELECT 'Page', 'Page:' || page_id FROM pages
+  UNION ALL SELECT 'Conversation', 'Conversation:' || conv_id FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT 'Document', 'Document:' || doc_id FROM documents
+  UNION ALL SELECT 'Quality', 'Document:' || doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 UNION ALL SELECT 'Toxic', 'Document:' || doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1
+  UNION ALL SELECT 'LineItem', 'LineItem:' || l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT label, quantile_cont(coalesce(degree, 0)::DOUBLE, 0.5) AS median, round(quantile_cont(coalesce(degree, 0)::DOUBLE, 0.95), 6) AS p95, round(quantile_cont(coalesce(degree, 0)::DOUBLE, 0.99), 6) AS p99, max(coalesce(degree, 0)) AS maximum FROM n LEFT JOIN d USING (id) GROUP BY label
 """
 
 
 @query(_DEGREE_SQL)
 def profile_degrees(spark, sf_dir):
-    found = profiler.degree_frame(load_graph(spark, sf_dir)).where(F.col("label").isin("Customer", "User", "Nation", "Part"))
+    found = profiler.degree_frame(load_graph(spark, sf_dir))
     return found.select("label", "median", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"), "maximum")
 
 
-@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT 'Document' AS owner_name, '{p}' AS property, count(*) AS total, count({p}) AS populated FROM {DOCS}" for p in ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")) + ") WHERE populated > 0")
+@query(_coverage_sql(_NODES))
 def profile_coverage_nodes(spark, sf_dir):
-    return profiler.coverage_frame(load_graph(spark, sf_dir)).where("owner_name = 'Document'")
+    return profiler.coverage_frame(load_graph(spark, sf_dir))
 
 
-@query("SELECT 'IN_REGION' AS owner_name, p AS property, count(*) AS total, count(*) AS populated FROM nation, (VALUES ('n_nationkey'), ('n_regionkey')) t(p) GROUP BY p")
+@query(_coverage_sql(_RELS))
 def profile_coverage_rels(spark, sf_dir):
-    return profiler.coverage_frame(load_graph(spark, sf_dir), "relationship").where("owner_name = 'IN_REGION'")
+    return profiler.coverage_frame(load_graph(spark, sf_dir), "relationship")
 
 
-@query("SELECT * FROM (VALUES ('c_acctbal', 'FLOAT'), ('c_custkey', 'INTEGER'), ('c_mktsegment', 'STRING'), ('c_name', 'STRING'), ('c_nationkey', 'INTEGER')) t(property, type)")
+@query("SELECT column_name AS property, CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'INTEGER' WHEN column_type = 'DOUBLE' THEN 'FLOAT' WHEN column_type = 'VARCHAR' THEN 'STRING' WHEN column_type LIKE 'TIMESTAMP%' THEN 'DATETIME' ELSE column_type END AS type FROM (DESCRIBE customer)")
 def profile_property_types(spark, sf_dir):
     return spark.createDataFrame(sorted(profiler.property_types(load_graph(spark, sf_dir), "Customer").items()), "property string, type string")
 
