@@ -24,6 +24,8 @@ SEED_WORDS, RARE_BITS, LEAST_SEEDS = 3, 18.0, 3
 MATCH, MISMATCH, GAP, LEAST_SHARE, LEAST_WORDS = 1, -1, -1, 0.5, 5
 #: Test items are taken in blocks of at most so many bytes of text; each block is broadcast for itself.
 BLOCK_BYTES = 16 << 20
+#: Words that the items of a block have on average (with repeats), and different words that it may not reach: three numbers below make a 64-bit key.
+BLOCK_WORDS, MOST_WORDS = 1 << 20, 1 << 21
 #: Word pairs that a document shares with items are counted in parts of about so many.
 HITS_AT_ONCE = 1 << 20
 
@@ -128,7 +130,7 @@ def seed_keys(ids: np.ndarray, size: int = SEED_WORDS) -> np.ndarray:
     for i in range(size):
         part = ids[i : i + n]
         known &= part >= 0
-        key = key * (1 << 21) + part  # a block has fewer than 2^21 words
+        key = key * MOST_WORDS + part
     return np.where(known, key, -1)
 
 
@@ -178,6 +180,8 @@ def _block(docs: DataFrame, rows: list) -> Items:
     listed = [(r["item_id"], words_of(r["text"] or "")) for r in rows]
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in listed for w in ws}))}
     counts, total = _counts(docs, set(vocabulary))
+    if len(vocabulary) >= MOST_WORDS:
+        raise ValueError(f"a block of test items has {len(vocabulary)} different words, fewer than {MOST_WORDS} are needed")
     bits = np.zeros(len(vocabulary))
     for w, i in vocabulary.items():
         bits[i] = -np.log2((counts.get(w, 0) + 1) / (total + len(vocabulary) + 1))
@@ -206,10 +210,10 @@ def _block(docs: DataFrame, rows: list) -> Items:
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Blocks of distinct test items, each small enough to broadcast (about BLOCK_BYTES of text)."""
+    """Blocks of distinct test items, each small enough to broadcast (about BLOCK_BYTES of text and BLOCK_WORDS words)."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).distinct()
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = size // BLOCK_BYTES + 1
+    size, words = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.sum(F.size(F.split("text", r"\W+")))).first())
+    n = max(size // BLOCK_BYTES, words // BLOCK_WORDS) + 1
     for i in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
         yield _block(docs, sorted(part, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or "")))
@@ -228,6 +232,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Null or empty texts have no leaks; items of fewer than three words have no seeds and match nothing;
     repeated rows give repeated results; null ids stay null. However often an item occurs, no pair is dropped.
+    Very long texts are searched whole, around their seeds. Ties between places fall to the last of them. Other
+    columns are not looked at, whatever their names; an empty table on either side gives an empty result.
     """
     rows = pick(docs, id_col, text_col)
     out = None
@@ -255,7 +261,11 @@ def _spans(text: str) -> list[tuple[int, int]]:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that hold no copy of a test item, with all their columns; nothing is shuffled."""
+    """The documents that hold no copy of a test item, with all their columns of whatever names; nothing is shuffled.
+
+    Null and empty texts stay; repeated rows stay or go together; very long texts are searched whole; without
+    test items all documents stay; an empty table gives an empty result.
+    """
     ship(docs.sparkSession)
     rows = docs
     for items in blocks(pick(docs, docs.columns[0], text_col) if "doc_id" not in docs.columns else pick(docs, "doc_id", text_col), benchmark):
