@@ -20,8 +20,8 @@ from pellucid.llm._common import Stored, free_shuffles, pick, slices, to_batch
 
 #: Bytes of a repeat, and of the strings whose digests deal the suffixes.
 LENGTH, GRAM = 100, 24
-#: Letters sorted at once; distinct units from which a place of the deal is dealt again by two more digests.
-SORTED_AT_ONCE, HOT_UNITS = 2_000_000, 20_000
+#: Letters sorted at once; distinct units from which a place of the deal is dealt again by two more digests, and how often.
+SORTED_AT_ONCE, HOT_UNITS, ROUNDS = 2_000_000, 20_000, 4
 #: Mark of a run that may repeat itself, above any number of starts.
 SELF = 1 << 31
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -143,10 +143,11 @@ def _place(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return start.astype(np.int64) << 32 | n
 
 
-UNIT = pa.schema([("key", pa.int64()), ("uh", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
-SETTLED = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
-TEXT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("data", pa.binary())])
-RUN = pa.schema([("doc", pa.int64()), ("place", pa.int64())])
+UNIT = pa.schema([("key", pa.int64()), ("uh", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("place", pa.int64())])
+SETTLED = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("place", pa.int64())])
+TEXT = pa.schema([*SETTLED, ("data", pa.binary())])
+RUN = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("place", pa.int64())])
+SETTLED_SQL, RUN_SQL = "key long, doc long, th long, place long", "doc long, th long, place long"
 
 
 def _bytes(part: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -154,48 +155,67 @@ def _bytes(part: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 def _find_units(batches):
-    """Units of every document; of equal units in one slice only the earliest counts on, later ones have ~place for place."""
+    """Units of every document (doc, th, text)."""
     for part in slices(batches):
         data = _bytes(part)
         at, start, n, key = units_of(data)
-        if not len(at):
-            continue
-        digest = xxhash.xxh3_64_intdigest
-        uh = np.array([digest(data[i][a : a + k + LENGTH - 1]) for i, a, k in zip(at.tolist(), start.tolist(), (n & SELF - 1).tolist())], np.uint64).view(np.int64)
-        doc = np.asarray(part.column(0))[at]
-        place = _place(start, n)
-        order = np.lexsort((place, doc, uh, key))
-        key, uh, doc, place = key[order], uh[order], doc[order], place[order]
-        same = np.concatenate([[False], (key[1:] == key[:-1]) & (uh[1:] == uh[:-1])])
-        twin = same & np.concatenate([[False], (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])])  # a row that is repeated
-        place = np.where(same, ~place, place)
-        keep = ~twin
-        yield to_batch(UNIT, {"key": key[keep], "uh": uh[keep], "doc": doc[keep], "place": place[keep]})
+        if len(at):
+            doc, th = (np.asarray(part.column(i))[at] for i in (0, 1))
+            yield _collapsed(key, doc, th, start, n, [data[i] for i in at.tolist()])
+
+
+def _divide(round_: int):
+    """Units of hot places (doc, th, text, units) cut where the smallest digest under two more salts changes."""
+
+    def run(batches):
+        for part in slices(batches):
+            keys, docs, ths, starts, ns, data = [], [], [], [], [], []
+            for text, doc, th, units in zip(_bytes(part), part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()):
+                for u in units:
+                    start, n = u["place"] >> 32, u["place"] & SELF - 1
+                    for a, b, self_, k in _again(text[start : start + n + LENGTH - 1], u["key"], 2 * round_):
+                        keys.append(k), docs.append(doc), ths.append(th), starts.append(start + a), ns.append(b - a + self_), data.append(text)
+            if keys:
+                yield _collapsed(*(np.array(x, np.int64) for x in (keys, docs, ths, starts, ns)), data)
+
+    return run
+
+
+def _collapsed(key: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray, n: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+    """Rows of UNIT; of equal units in one slice only the earliest counts on, later ones have ~place for place."""
+    digest = xxhash.xxh3_64_intdigest
+    uh = np.array([digest(t[a : a + k + LENGTH - 1]) for t, a, k in zip(data, start.tolist(), (n & SELF - 1).tolist())], np.uint64).view(np.int64)
+    place = _place(start, n)
+    order = np.lexsort((place, th, doc, uh, key))
+    key, uh, doc, th, place = (x[order] for x in (key, uh, doc, th, place))
+    same = np.concatenate([[False], (key[1:] == key[:-1]) & (uh[1:] == uh[:-1])])
+    twin = same & np.concatenate([[False], (doc[1:] == doc[:-1]) & (th[1:] == th[:-1]) & (place[1:] == place[:-1])])  # a row that is repeated
+    place = np.where(same, ~place, place)
+    keep = ~twin
+    return to_batch(UNIT, {"key": key[keep], "uh": uh[keep], "doc": doc[keep], "th": th[keep], "place": place[keep]})
 
 
 def _settle(batches):
-    """Rows sorted by key, uh, doc, place. Later occurrences of a unit come out with a null key: repeats as they are.
+    """Rows sorted by key, uh, doc, th, place. Later occurrences of a unit come out with a null key: repeats as they are.
     The earliest of each unit comes out with its key where the key has other units too; one row is held back at most."""
     last, held, several = None, None, False
     for part in batches:
         if not part.num_rows:
             continue
-        key, uh, doc, place = (np.asarray(part.column(i)) for i in range(4))
+        key, uh, doc, th, place = (np.asarray(part.column(i)) for i in range(5))
         known = place < 0
         if known.any():
-            yield to_batch(SETTLED, {"key": pa.nulls(int(known.sum()), pa.int64()), "doc": doc[known], "place": ~place[known]})
-            key, uh, doc, place = key[~known], uh[~known], doc[~known], place[~known]
+            yield to_batch(SETTLED, {"key": pa.nulls(int(known.sum()), pa.int64()), "doc": doc[known], "th": th[known], "place": ~place[known]})
+            key, uh, doc, th, place = (x[~known] for x in (key, uh, doc, th, place))
             if not len(key):
                 continue
-        if last is None:
-            prev = [np.concatenate([[~x[0]], x[:-1]]) for x in (key, uh, doc, place)]
-        else:
-            prev = [np.concatenate([[v], x[:-1]]) for v, x in zip(last, (key, uh, doc, place))]
+        columns = (key, uh, doc, th, place)
+        prev = [np.concatenate([[~x[0] if last is None else v], x[:-1]]) for v, x in zip(last or columns, columns)]
         rep = (key != prev[0]) | (uh != prev[1])
-        later = ~rep & ((doc != prev[2]) | (place != prev[3]))
-        k, d, p = key[rep], doc[rep], place[rep]
+        later = ~rep & ((doc != prev[2]) | (th != prev[3]) | (place != prev[4]))
+        k, d, t, p = (x[rep] for x in (key, doc, th, place))
         if held is not None:
-            k, d, p = (np.concatenate([[v], x]) for v, x in zip(held, (k, d, p)))
+            k, d, t, p = (np.concatenate([[v], x]) for v, x in zip(held, (k, d, t, p)))
         many = np.zeros(len(k), bool)
         if len(k):
             many[1:] |= k[1:] == k[:-1]
@@ -205,53 +225,45 @@ def _settle(batches):
             many |= (p & SELF) > 0
             # the last one waits for another unit of its key, unless it has come out by now
             several = bool(many[-1])
-            held = None if several else (k[-1], d[-1], p[-1])
-        last = (key[-1], uh[-1], doc[-1], place[-1])
-        columns = {"key": pa.array(np.concatenate([k[many], np.zeros(later.sum(), np.int64)]), mask=np.concatenate([np.zeros(many.sum(), bool), np.ones(later.sum(), bool)])), "doc": np.concatenate([d[many], doc[later]]), "place": np.concatenate([p[many], place[later]])}
-        yield to_batch(SETTLED, columns)
+            held = None if several else (k[-1], d[-1], t[-1], p[-1])
+        last = tuple(x[-1] for x in columns)
+        out = {"key": pa.array(np.concatenate([k[many], np.zeros(later.sum(), np.int64)]), mask=np.concatenate([np.zeros(many.sum(), bool), np.ones(later.sum(), bool)]))}
+        yield to_batch(SETTLED, out | {name: np.concatenate([x[many], y[later]]) for name, x, y in (("doc", d, doc), ("th", t, th), ("place", p, place))})
 
 
 def _cut_out(batches):
-    """Texts of units; those of a hot key are cut again where the smallest digest under two more salts changes."""
+    """Texts of units (doc, th, text, units)."""
     for part in slices(batches):
-        keys, docs, places, data = [], [], [], []
-        for text, doc, units in zip(_bytes(part), part.column(0).to_pylist(), part.column(2).to_pylist()):
-            for u in units or ():
+        out: list[tuple] = []
+        for text, doc, th, units in zip(_bytes(part), part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()):
+            for u in units:
                 start, n = u["place"] >> 32, u["place"] & SELF - 1
-                piece = text[start : start + n + LENGTH - 1]
-                if len(piece) < n + LENGTH - 1:
-                    continue
-                if not u["hot"]:
-                    keys.append(u["key"]), docs.append(doc), places.append(start << 32 | n), data.append(piece)
-                    continue
-                for a, b, k in _again(piece, u["key"]):
-                    keys.append(k), docs.append(doc), places.append(start + a << 32 | b - a), data.append(piece[a : b + LENGTH - 1])
-        yield to_batch(TEXT, {"key": keys, "doc": docs, "place": places, "data": data})
-
-
-def _again(piece: bytes, key: int) -> list[tuple[int, int, int]]:
-    cuts: dict[int, int] = {}
-    parts = [units_of([piece], salt) for salt in (2, 3)]
-    for _, start, _n, low in parts:
-        for a in start.tolist():
-            cuts[a] = 0
-    edges = [*sorted(cuts), len(piece) - LENGTH + 1]
+                out.append((u["key"], doc, th, start << 32 | n, text[start : start + n + LENGTH - 1]))
+        yield to_batch(TEXT, {k: [x[i] for x in out] for i, k in enumerate(TEXT.names)})
+
+
+def _again(piece: bytes, key: int, salt: int) -> list[tuple[int, int, int, int]]:
+    """Parts of a unit: first start, end, SELF or 0, key."""
+    parts = [units_of([piece], salt + i) for i in (0, 1)]
+    edges = [*sorted({a for _, start, _n, _low in parts for a in start.tolist()}), len(piece) - LENGTH + 1]
     out = []
     for a, b in zip(edges, edges[1:]):
-        mark = [int(low[np.searchsorted(start, a, side="right") - 1]) for _, start, _n, low in parts]
-        out.append((a, b, xxhash.xxh3_64_intdigest(np.array([key, *mark], np.int64).tobytes()) - (1 << 63)))
+        at = [int(np.searchsorted(start, a, side="right")) - 1 for _, start, _n, _low in parts]
+        mark = [int(low[i]) for i, (_, _start, _n, low) in zip(at, parts)]
+        self_ = SELF if all(int(n[i]) & SELF for i, (_, _start, n, _low) in zip(at, parts)) else 0
+        out.append((a, b, self_, xxhash.xxh3_64_intdigest(np.array([key, *mark], np.int64).tobytes()) - (1 << 63)))
     return out
 
 
-def repeats(units: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, starts): runs of starts whose 100 bytes occur earlier among the units (doc, start, starts, text)."""
-    size = np.array([len(u[3]) for u in units])
+def repeats(units: list[tuple[int, int, int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    """(doc, th, start, starts): runs of starts whose 100 bytes occur earlier among the units (doc, th, start, starts, text)."""
+    size = np.array([len(u[4]) for u in units])
     begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    raw = b"\x00".join(u[3] for u in units) + bytes(8)
+    raw = b"\x00".join(u[4] for u in units) + bytes(8)
     letters = np.frombuffer(raw, np.uint8)[: int(size.sum()) + len(units)].astype(np.int64) + 2
     letters[begin + size] = 1  # between units; the last one ends the string
     rank = suffix_ranks(letters, LENGTH)
-    doc, start, n = (np.array([u[i] for u in units], np.int64) for i in range(3))
+    doc, th, start, n = (np.array([u[i] for u in units], np.int64) for i in range(4))
     owner = np.repeat(np.arange(len(units)), n)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     at = begin[owner] + offset
@@ -265,35 +277,36 @@ def repeats(units: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.nd
         open_ = np.flatnonzero(same)
         same[open_] = words[at[open_] + o] == words[at[open_ + 1] + o]
     heads = np.flatnonzero(np.concatenate([[True], ~same]))
-    when = np.unique(doc, return_inverse=True)[1].astype(np.int64)[owner] << 32 | (start[owner] + offset)
+    turn = np.unique(np.stack([doc, th], axis=1), axis=0, return_inverse=True)[1].astype(np.int64).ravel()
+    when = turn[owner] << 32 | (start[owner] + offset)
     earliest = np.repeat(np.minimum.reduceat(when, heads), np.diff(np.append(heads, len(at))))
     gone = np.flatnonzero(when > earliest)
     if not len(gone):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     owner, offset = owner[gone], offset[gone]
     order = np.lexsort((offset, owner))
     owner, offset = owner[order], offset[order]
     cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)]))
-    return doc[owner[cut]], start[owner[cut]] + offset[cut], np.diff(np.append(cut, len(owner)))
+    return doc[owner[cut]], th[owner[cut]], start[owner[cut]] + offset[cut], np.diff(np.append(cut, len(owner)))
 
 
 def _sort_parts(batches):
     """Units sorted by key: whole keys are gathered up to SORTED_AT_ONCE letters and sorted together."""
-    held: list[tuple[int, int, int, bytes]] = []
+    held: list[tuple[int, int, int, int, bytes]] = []
     done, size, last = 0, 0, None  # units of keys that are complete
 
     def emit(units):
-        doc, start, n = repeats(units)
-        return to_batch(RUN, {"doc": doc, "place": _place(start, n)})
+        doc, th, start, n = repeats(units)
+        return to_batch(RUN, {"doc": doc, "th": th, "place": _place(start, n)})
 
     for part in slices(batches, "data"):
-        for key, doc, place, data in zip(*(part.column(i).to_pylist() for i in range(4))):
+        for key, doc, th, place, data in zip(*(part.column(i).to_pylist() for i in range(5))):
             if key != last:
                 done, last = len(held), key
                 if size > SORTED_AT_ONCE:
                     yield emit(held)
                     held, done, size = [], 0, 0
-            held.append((doc, place >> 32, place & SELF - 1, data))
+            held.append((doc, th, place >> 32, place & SELF - 1, data))
             size += len(data)
     if held:
         yield emit(held)
@@ -303,7 +316,7 @@ def _remove(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     for part in slices(batches):
         out = []
-        for doc, text, runs in zip(part.column(1).to_pylist(), _bytes(part), part.column(3).to_pylist()):
+        for doc, text, runs in zip(part.column(2).to_pylist(), _bytes(part), part.column(4).to_pylist()):
             spans = []
             for place in sorted(runs or ()):
                 a, b = place >> 32, min(len(text), (place >> 32) + (place & SELF - 1) + LENGTH - 1)
@@ -323,21 +336,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a 100-byte string over it also starts earlier: in a document of a smaller id, or earlier in
     the same one. Matches never cross documents; strings are judged on the input. Null or empty texts, and
     texts under 100 bytes, lose nothing. A null id comes before all others. Rows repeated with one id and text
-    are one document and get the same result; one id stands for one text. Other columns are not looked at.
+    are one document and get the same result; rows of one id with different texts are documents of their own, in
+    the order of their texts' digests. Ties do not arise: a start is earlier or later. Very long texts are read
+    whole. Other columns are not looked at, whatever their names; an empty table gives an empty result.
+
+    A place of the deal with HOT_UNITS distinct units or more is dealt again by two more digests, its equal parts
+    collapse again, and so on for ROUNDS rounds.
     """
     spark = docs.sparkSession
-    rows = pick(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "doc_id", F.col("text").cast("binary").alias("text"))
-    plain = rows.select("doc", "text")
-    dealt = plain.mapInArrow(_find_units, "key long, uh long, doc long, place long").repartition("key").sortWithinPartitions("key", "uh", "doc", "place")
-    settled = Stored(dealt.mapInArrow(_settle, "key long, doc long, place long"), "suffix-settled")
-    free_shuffles(spark)
-    first = settled.df.where("key is not null")
-    hot = first.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_UNITS).select("key", F.lit(True).alias("hot"))
-    marked = first.join(hot, "key", "left").select("doc", F.struct("key", "place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("unit"))
-    listed = marked.groupBy("doc").agg(F.collect_list("unit").alias("units"))
-    pieces = plain.join(listed, "doc").select("doc", "text", "units").mapInArrow(_cut_out, "key long, doc long, place long, data binary")
-    found = Stored(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_parts, "doc long, place long"), "suffix-runs")
+    rows = pick(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("th"), "doc_id", F.col("text").cast("binary").alias("text"))
+    plain = rows.select("doc", "th", "text")
+
+    def settled(units: DataFrame, name: str) -> Stored:
+        dealt = units.repartition("key").sortWithinPartitions("key", "uh", "doc", "th", "place")
+        out = Stored(dealt.mapInArrow(_settle, SETTLED_SQL), name)
+        free_shuffles(spark)
+        return out
+
+    def with_texts(units: DataFrame) -> DataFrame:
+        listed = units.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "place")).alias("units"))
+        return plain.join(listed, ["doc", "th"]).select("doc", "th", "text", "units")
+
+    unit_sql = "key long, uh long, doc long, th long, place long"
+    found = settled(plain.mapInArrow(_find_units, unit_sql), "suffix-settled")
+    gone, open_, stored = found.df.where("key is null").select("doc", "th", "place"), found.df.where("key is not null"), [found]
+    for round_ in range(1, ROUNDS + 1):
+        hot = Stored(open_.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_UNITS).select("key"), "suffix-hot")
+        stored.append(hot)
+        if not hot.df.limit(1).count():
+            break
+        again = settled(with_texts(open_.join(hot.df, "key", "left_semi")).mapInArrow(_divide(round_), unit_sql), "suffix-settled")
+        stored.append(again)
+        gone = gone.unionByName(again.df.where("key is null").select("doc", "th", "place"))
+        open_ = open_.join(hot.df, "key", "left_anti").unionByName(again.df.where("key is not null"))
+    pieces = with_texts(open_).mapInArrow(_cut_out, SETTLED_SQL + ", data binary")
+    runs = Stored(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_parts, RUN_SQL), "suffix-runs")
     free_shuffles(spark)
-    gone = found.df.unionByName(settled.df.where("key is null").select("doc", "place"))
-    gone = gone.groupBy("doc").agg(F.collect_list("place").alias("runs"))
-    return rows.join(gone, "doc", "left").select("doc", "doc_id", "text", "runs").mapInArrow(_remove, "doc_id long, n_bytes long, kept binary, spans array<struct<start: bigint, end: bigint>>")
+    listed = runs.df.unionByName(gone).groupBy("doc", "th").agg(F.collect_list("place").alias("runs"))
+    return rows.join(listed, ["doc", "th"], "left").select("doc", "th", "doc_id", "text", "runs").mapInArrow(_remove, "doc_id long, n_bytes long, kept binary, spans array<struct<start: bigint, end: bigint>>")
