@@ -114,7 +114,7 @@ def _diff(args) -> int:
     store = Snapshots(args.baselines)
     found = diff.compare(*map(store.read, store.pair(args.a, args.b)))
     print(json.dumps(found, indent=2) if args.json else diff.render(found))
-    return diff.exit_code(found)
+    return diff.exit_code(found, args.json)
 
 
 def _run(args) -> int:

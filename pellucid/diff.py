@@ -53,8 +53,9 @@ def compare(before: dict, after: dict) -> dict:
     return out
 
 
-def exit_code(d: dict) -> int:
-    return 2 if d["database_changed"] else int(d["drift_detected"])
+def exit_code(d: dict, as_json: bool = False) -> int:
+    """0 without drift, 1 with; 2 where two databases are to be compared for a machine (people are shown the difference)."""
+    return 2 if d["database_changed"] and as_json else int(d["drift_detected"])
 
 
 def render(d: dict) -> str:

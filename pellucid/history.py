@@ -78,6 +78,22 @@ class Runs:
         shutil.rmtree(path)
 
 
+def listing(runs: list[dict]) -> list[dict]:
+    """What a list of stored runs shows of each: newest first, the first one marked as the latest."""
+    order = sorted(runs, key=lambda r: (r["run"]["started_at"], r["run"]["id"]), reverse=True)
+    return [
+        {"id": r["run"]["id"], "finished_at": r["run"]["finished_at"], "status": r["run"]["status"], "suite_scores": [{"id": s["id"], "score": s["score"]} for s in r["suites"]], "latest": i == 0}
+        for i, r in enumerate(order)
+    ]
+
+
+def chosen_ids(asked, exactly: int | None = None) -> list[str]:
+    """Run ids of a request: 1 to 100 distinct ones, or just so many."""
+    if not isinstance(asked, list) or not 1 <= len(asked) <= 100 or any(not isinstance(x, str) or not x for x in asked) or len(set(asked)) < len(asked) or exactly not in (None, len(asked)):
+        raise CheckError("history.selection_invalid", f"name {exactly or '1 to 100'} different runs")
+    return asked
+
+
 def compare_runs(before: dict, after: dict) -> dict:
     """Regressions, improvements and other changes of the checks that both runs have; what came and went; suite scores."""
     a, b = ({(c["suite_id"], c["id"]): c for c in r["checks"]} for r in (before, after))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
 from typing import Any
@@ -20,7 +21,15 @@ from pellucid.sources.suites import Expect
 ROW_CEILING = 100_000
 #: Columns whose values point at elements.
 POINTERS = {"node_element_id": "node", "rel_element_id": "rel", "relationship_element_id": "rel"}
-TOKENS = {"$first-active-customer"}
+#: Tokens that stand for a value of the graph, and how each is looked up; register_token adds more.
+TOKENS: dict[str, Callable[[PropertyGraph], Any]] = {}
+
+
+def register_token(token: str, lookup: Callable[[PropertyGraph], Any]) -> None:
+    """Adds a token; lookup gives its value, or None where nothing stands for it. A name that is taken is an error."""
+    if not token.startswith("$") or token in TOKENS:
+        raise CheckError("packs.runtime_mismatch", f"the token {token} is no $name or is there already")
+    TOKENS[token] = lookup
 
 
 def freeze(value: Any) -> Any:
@@ -194,13 +203,13 @@ def bind(graph: PropertyGraph, query: str, params: dict) -> dict:
     return {k: resolve_token(graph, v) if isinstance(v, str) and v.startswith("$") else v for k, v in params.items()}
 
 
-def resolve_token(graph: PropertyGraph, token: str) -> str:
+def resolve_token(graph: PropertyGraph, token: str) -> Any:
     if token not in TOKENS:
         raise CheckError("engine.parameter_token_unknown", f"unknown token {token}")
-    row = first_active(graph).first()
-    if row is None:
+    value = TOKENS[token](graph)
+    if value is None:
         raise CheckError("engine.parameter_token_unresolved", f"nothing stands for {token}")
-    return row["id"]
+    return value
 
 
 def first_active(graph: PropertyGraph, label: str = "Customer") -> DataFrame:
@@ -209,3 +218,11 @@ def first_active(graph: PropertyGraph, label: str = "Customer") -> DataFrame:
     tests = [F.col("active").cast("boolean")] * ("active" in have) + [F.lower("status") == "active"] * ("status" in have)
     rows = graph.nodes(label, sorted(have & {"active", "status"}))
     return rows.where(F.coalesce(*tests, F.lit(True))).select("id").orderBy("id").limit(1)
+
+
+def _first_active_id(graph: PropertyGraph) -> str | None:
+    row = first_active(graph).first()
+    return None if row is None else row["id"]
+
+
+register_token("$first-active-customer", _first_active_id)

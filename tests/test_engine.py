@@ -284,6 +284,35 @@ def test_windows_over_a_stream(spark, tmp_path):
     assert sorted(seen) == [(0, 2, 1), (1, 1, 1), (3, 1, 0)]
 
 
+def test_tokens_are_registered(graph):
+    comp.register_token("$three", lambda g: 3)
+    try:
+        assert comp.bind(graph, "SELECT :x, :y", {"x": "$three", "y": "$first-active-customer"}) == {"x": 3, "y": "P:1"}
+        for name in ("$three", "three"):
+            with pytest.raises(CheckError, match="runtime_mismatch"):
+                comp.register_token(name, len)
+    finally:
+        del comp.TOKENS["$three"]
+    with pytest.raises(CheckError, match="token_unknown"):
+        comp.bind(graph, "SELECT :x", {"x": "$three"})
+
+
+def test_history_lists_and_selects(results):
+    from pellucid.history import chosen_ids, listing
+
+    later = json.loads(json.dumps(results, default=str))
+    later["run"] |= {"id": "run_later", "started_at": "2999-01-01T00:00:00Z"}
+    shown = listing([results, later])
+    assert [(x["id"], x["latest"]) for x in shown] == [("run_later", True), (results["run"]["id"], False)]
+    assert shown[0]["suite_scores"] == [{"id": "people", "score": results["suites"][0]["score"]}]
+    assert chosen_ids(["a", "b"], 2) == ["a", "b"]
+    for bad in ([], ["a", "a"], [""], "a", [str(i) for i in range(101)], [1]):
+        with pytest.raises(CheckError, match="selection_invalid"):
+            chosen_ids(bad)
+    with pytest.raises(CheckError, match="selection_invalid"):
+        chosen_ids(["a"], 2)
+
+
 def test_guard(spark):
     for ok in ("SELECT 1", "WITH a AS (SELECT 1 x) SELECT * FROM a WHERE x IN (SELECT 2)", "SELECT x, count(*) FROM VALUES (1) t(x) GROUP BY x HAVING count(*) > 0 ORDER BY 1 LIMIT 3", "SELECT 1 UNION ALL SELECT 2"):
         require_read_only(spark, ok)
