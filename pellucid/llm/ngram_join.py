@@ -402,16 +402,17 @@ def _linked(asked: DataFrame, held: DataFrame, first: DataFrame, rows: DataFrame
     return links
 
 
-def _across(met: DataFrame, labels: DataFrame, first: DataFrame, rows: DataFrame, n: int, share: Fraction) -> Stored | None:
+def _across(met: Stored, labels: DataFrame, first: DataFrame, rows: DataFrame, n: int, share: Fraction) -> Stored | None:
     """Links between classes whose documents meet, by the groups' token unions; None where none can be."""
-    mixed = Stored(_mixed(met, labels), "ngram-mixed")
+    mixed = Stored(_mixed(met.df.select("list", "node", "n"), labels), "ngram-mixed")
+    met.drop()
     if not mixed.df.limit(1).count():
         mixed.drop()
         return None
     grouped = Stored(_grouped(mixed.df, share), "ngram-groups")
     asked = Stored(_asked(mixed.df, grouped.df, share), "ngram-asked")
     mixed.drop()
-    free_shuffles(met.sparkSession)
+    free_shuffles(met.spark)
     held = grouped.df.join(asked.df.select("block").distinct(), "block", "left_semi").select("node", "own", "block")
     links = _linked(asked.df.select("node", "own", "block"), held, first, rows, n, share, "ngram-more")
     grouped.drop()
@@ -443,6 +444,7 @@ def ngram_components(docs: DataFrame, n: int = 5, share: Fraction | float = Frac
     met = Stored(places.mapInArrow(_meet(low, high), MET_SQL).select("list", _node().alias("node"), "n", F.struct(F.col("l1").alias("f1"), F.col("l2").alias("f2")).alias("leader"), "ln"), "ngram-met")
     free_shuffles(spark)
     first = every.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).select(_node().alias("node"), "first", "copies")
+    first = Stored(first, "ngram-first").df
     likely = Stored(_likely(met.df, share), "ngram-likely")
     # a leader is a group of its own at first, and every set a class
     block = F.xxhash64("b").alias("block")
@@ -451,8 +453,7 @@ def ngram_components(docs: DataFrame, n: int = 5, share: Fraction | float = Frac
     likely.drop()
     labels = components(led.df)
     led.drop()
-    more = _across(met.df.select("list", "node", "n"), labels.df, first, rows, n, share)
-    met.drop()
+    more = _across(met, labels.df, first, rows, n, share)
     linked = first.join(labels.df.select(F.col("id").alias("node"), "component"), "node", "left")
     if more is not None and more.df.limit(1).count():  # these links join classes
         joined = components(more.df)
