@@ -12,7 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pellucid.llm import byte_bpe, decontaminate, lm_scoring, mpeg_audio, ngram_join, suffix_dedup, toxicity
+from pellucid.llm import byte_bpe, decontaminate, lm_scoring, mpeg_audio, ngram_join, sharding, suffix_dedup, toxicity
 from pellucid.llm.line_dedup import dedup_lines
 from pellucid.llm.quality import keep_quality, score_quality
 from pellucid.llm.quality import train as train_quality
@@ -90,6 +90,30 @@ def test_kd_shards_are_even_and_split_heavy_groups(spark):
     assert max(sizes.values()) < 1.1 * min(sizes.values())
 
 
+def test_kd_tree_equals_a_plain_one(spark):
+    """The tree grown from refined histograms against recursion over sorted lists."""
+    rng = random.Random(14)
+    units = [(i, i, 0, float(rng.choice((16, 40, 300, 5000))), rng.random(), rng.random() ** 3, rng.random() * 0.9) for i in range(400)]
+    n_shards = 11
+
+    def plain(rows, first, k):
+        if k == 1 or not rows:
+            return dict.fromkeys((r[0] for r in rows), first)
+        dim = max(range(3), key=lambda i: max(r[4 + i] for r in rows) - min(r[4 + i] for r in rows))
+        rows = sorted(rows, key=lambda r: r[4 + dim])
+        target, at = sum(r[3] for r in rows) * (k // 2) / k, 0
+        while at < len(rows) - 1 and rows[at][3] < target:
+            target -= rows[at][3]
+            at += 1
+        at += target >= rows[at][3] / 2  # the row over which the share runs out goes where it fits better
+        return plain(rows[:at], first, k // 2) | plain(rows[at:], first + k // 2, k - k // 2)
+
+    frame_ = spark.createDataFrame(units, "h1 long, h2 long, part int, weight double, d0 double, d1 double, d2 double")
+    tree = sharding._grow(frame_, n_shards)
+    got = {r["h1"]: r["shard"] for r in frame_.select("h1", sharding._place(tree, 0, n_shards).alias("shard")).collect()}
+    assert got == plain(units, 0, n_shards)
+
+
 def test_mpeg_round_trip():
     for text in ("", "a", "é" * 1000, "\x00\xff\xfb" * 300, "x" * 192):
         n, media = mpeg_audio.media_of(text)
