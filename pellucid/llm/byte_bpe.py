@@ -198,7 +198,9 @@ def encode_texts(docs: DataFrame, path: str = "byte_bpe_multi_50k.tiktoken", pat
     """doc_id and ids (little-endian unsigned 32-bit integers) of every whole text; nothing is shuffled.
 
     Each match of the pattern is encoded by itself, without special tokens. Null text counts as empty: no
-    ids. Repeated rows get equal results; null ids stay null; other columns are not looked at.
+    ids. Very long texts are encoded whole, one match of the pattern after the other. Ties between merges do
+    not arise: ranks differ. Repeated rows get equal results; null ids stay null; other columns, whatever their
+    names, are not looked at; an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
@@ -223,7 +225,10 @@ def decode_ids(encoded: DataFrame, path: str = "byte_bpe_multi_50k.tiktoken") ->
 
 
 def roundtrip(docs: DataFrame, path: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes, then decodes the ids, in one pass: counts and digests of both for every row."""
+    """Encodes, then decodes the ids, in one pass: counts and digests of both for every row.
+
+    Nulls, empty and very long texts, repeated rows, other columns and empty tables as with encode_texts.
+    """
 
     def run(batches):
         codec = default_codec(path, pattern)

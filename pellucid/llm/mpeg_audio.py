@@ -273,7 +273,9 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Stores every text as MPEG audio: doc_id, n_bytes (before padding), media (the stream's bytes).
 
     Texts are padded with spaces to a positive multiple of 192 bytes; null counts as empty. A row's result
-    depends on its text alone, so repeated rows get equal streams and nothing is shuffled.
+    depends on its text alone, so repeated rows get equal streams and nothing is shuffled. Very long texts are
+    stored whole, in as many frames as they take; null ids stay null; other columns, whatever their names, are
+    not looked at; an empty table gives an empty result.
     """
 
     def run(batches):

@@ -34,7 +34,9 @@ def kd_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_
     Equal texts go together; a group heavier than 1 / parts_of_a_leaf of a leaf is dealt in parts of at most
     that size by id. Returns doc_id, size (UTF-8 bytes of the text plus overhead; null text: overhead alone),
     text_crc32, shard, slot (gapless from 0 in each shard). Null ids and repeated rows are rows like any
-    other; an empty table gives an empty result.
+    other; null and empty texts are one group of the smallest size; a text larger than a leaf takes a shard by
+    itself. Ties in a dimension are settled by the digest, ties in id by the text's checksum. Other columns,
+    whatever their names, are not looked at; an empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     rows = pick(docs, id_col, text_col).select(

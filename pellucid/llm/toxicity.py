@@ -241,7 +241,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """doc_id, score (0 to 1), weight, n_hits, n_words of every row; no shuffle.
 
     Null or empty text: no hits, the score of a document without any. Repeated rows get equal results,
-    null ids stay null, other columns are not looked at, an empty table gives an empty result.
+    null ids stay null, very long texts are matched whole, of several hits at one place the heaviest counts,
+    other columns of any name are not looked at, an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # entries and exceptions of a sample of fixed size
 
