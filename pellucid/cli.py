@@ -1,4 +1,4 @@
-"""Command line: init, debug, profile, monitor, baseline, diff, run, report, redact."""
+"""Command line: init, debug, profile, monitor, baseline, diff, run, report, redact, serve."""
 
 from __future__ import annotations
 
@@ -52,6 +52,7 @@ def main(argv: list[str] | None = None) -> int:
     command("run", data, folder("--checks", "checks"), folder("--runs", "runs"), folder("--baselines", "baselines"), (("--select",), {}), (("--suite",), {}), (("--fail-fast",), {"action": "store_true"}), (("--seed",), {"default": 0}), (("--concurrency",), {"type": int, "default": 1}))
     command("report", folder("--runs", "runs"), (("run",), {}), (("--failures-only",), {"action": "store_true"}))
     command("redact", folder("--runs", "runs"), (("run",), {}))
+    command("serve", data, folder("--checks", "checks"), folder("--runs", "runs"))
     args = top.parse_args(argv)
     try:
         return globals()[f"_{args.command}"](args)
@@ -140,6 +141,18 @@ def _report(args) -> int:
     return 0
 
 
+def _serve(args) -> int:
+    """Tools for agents over standard input and output, until the input ends."""
+    from functools import partial
+
+    from pellucid import tools
+    from pellucid.serve import Server
+
+    graph = _graph(args)
+    Server({"list_checks": partial(tools.list_checks, args.checks), "get_results": partial(tools.get_results, args.runs), "run_suite": lambda suite: tools.run_suite(graph, args.checks, args.runs, suite)}).run(sys.stdin, sys.stdout)
+    return 0
+
+
 def _redact(args) -> int:
     from pellucid.history import Runs
     from pellucid.redaction import redact

@@ -68,8 +68,28 @@ def hash_rank_of(value: int, coefficients: tuple[int, ...]) -> int:
     return out
 
 
-def bottom_k(df: DataFrame, key: Column, k: int, seed: int, order: str = "id") -> DataFrame:
-    """The k rows of the smallest hash rank: a bounded heap in each partition, one merge."""
+#: Rows that a gate lets through on average, for each one that is wanted.
+GATE_ROOM = 32
+
+
+def gate_limit(k: int, population: int) -> int:
+    """Hash values below this pass a gate before k of a population are picked; the whole range where they are few."""
+    return min(MODULUS, -(-MODULUS * k * GATE_ROOM // max(1, population)))
+
+
+def decide(population: int, sample_size: int, exhaustive_limit: int) -> str:
+    """exact where all are looked at anyway, else sampled."""
+    return "exact" if population <= max(exhaustive_limit, sample_size) else "sampled"
+
+
+def bottom_k(df: DataFrame, key: Column, k: int, seed: int, order: str = "id", population: int | None = None) -> DataFrame:
+    """The k rows of the smallest hash rank: a bounded heap in each partition, one merge.
+
+    With the population's size, a second hash (seed + 1) lets about GATE_ROOM * k rows through first, so that only
+    those are ranked; the choice is then among them.
+    """
+    if population is not None and (limit := gate_limit(k, population)) < MODULUS:
+        df = df.where(hash_rank(key, hash_coefficients(seed + 1)) < limit)
     return df.withColumn("__rank", hash_rank(key, hash_coefficients(seed))).orderBy("__rank", order).limit(k).drop("__rank")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pellucid.errors import CheckError
-from pellucid.functions.sampling import bottom_k
+from pellucid.functions.sampling import bottom_k, decide
 from pellucid.functions.types import DECLARED, family, has_type
 from pellucid.graph import PropertyGraph
 from pellucid.plans.base import CheckPlan, node_evidence, predicate_plan, rel_evidence
@@ -195,11 +195,11 @@ def hub_outlier(graph: PropertyGraph, label: str, rel_type: str | None = None, d
     population = None
     if sample_size is not None:
         population = nodes.count()
-        if population > exhaustive_limit:
+        if decide(population, sample_size, exhaustive_limit) == "sampled":
             rows = nodes if key is None else _scan(graph, label, [])[0]
             nodes = bottom_k(rows, F.xxhash64("id") if key is None else key, sample_size, seed).select("id", "labels")
     found = degrees(graph, rel_type, direction)
-    if population is not None and population > exhaustive_limit:
+    if population is not None and decide(population, sample_size, exhaustive_limit) == "sampled":
         found = found.join(nodes.select("id"), "id", "left_semi")
     rows = nodes.join(found, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     stats = rows.agg(F.count("*").alias("sample_size"), F.coalesce(F.avg("degree"), F.lit(0.0)).alias("mean_degree"), F.coalesce(F.stddev_pop("degree"), F.lit(0.0)).alias("degree_stddev"))

@@ -316,6 +316,16 @@ def sample_bottom_k(spark, sf_dir):
     return sampling.bottom_k(load_graph(spark, sf_dir).nodes("Customer", ["c_custkey"]), F.col("c_custkey"), 20, 42).select("id")
 
 
+_G = sampling.hash_coefficients(43)
+_GATE = f"((((({_G[0]} * k + {_G[1]}) % {sampling.MODULUS}) * k + {_G[2]}) % {sampling.MODULUS}) * k + {_G[3]}) % {sampling.MODULUS}"
+
+
+@query(f"SELECT 'Customer:' || c_custkey AS id FROM (SELECT c_custkey, (c_custkey % {sampling.MODULUS})::BIGINT AS k FROM customer) WHERE {_GATE} < least({sampling.MODULUS}, ceil({sampling.MODULUS}::DOUBLE * 3 * 32 / (SELECT count(*) FROM customer))) ORDER BY {_HASH}, 1 LIMIT 3")
+def sample_gated(spark, sf_dir):
+    rows = load_graph(spark, sf_dir).nodes("Customer", ["c_custkey"])
+    return sampling.bottom_k(rows, F.col("c_custkey"), 3, 42, population=rows.count()).select("id")
+
+
 _Z = sampling.Z95
 _WILSON = f"((p + {_Z * _Z} / (2 * n)) {{}} {_Z} * sqrt((p * (1 - p) + {_Z * _Z} / (4 * n)) / n)) / (1 + {_Z * _Z} / n)"
 

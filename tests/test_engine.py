@@ -188,6 +188,39 @@ def test_tools(graph, results, tmp_path):
     assert str(tmp_path) not in str(e.value)
 
 
+def test_server_answers_lines():
+    import io
+
+    from pellucid.serve import Server
+
+    def failing(suite):
+        raise CheckError("run.suite_unknown", suite)
+
+    server = Server({"list_checks": lambda: {"suites": []}, "get_results": lambda run_id="latest": 1 / 0, "run_suite": failing})
+    call = lambda i, name, **given: {"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": name, "arguments": given}}
+    asked = [{"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {}}, {"jsonrpc": "2.0", "method": "notifications/initialized"}, {"jsonrpc": "2.0", "id": 2, "method": "tools/list"},
+             call(3, "list_checks"), call(4, "run_suite", suite="x"), call(5, "get_results"), call(6, "run_suite"), call(7, "nothing"), {"jsonrpc": "2.0", "id": 8, "method": "what"}]
+    out = io.StringIO()
+    server.run(io.StringIO("\n".join([*map(json.dumps, asked), "no json", "[1]", ""])), out)
+    got = {r["id"] if r["id"] is not None else r["error"]["code"]: r for r in map(json.loads, out.getvalue().splitlines())}
+    assert len(got) == 10 and got[1]["result"]["capabilities"] == {"tools": {}}
+    assert [t["name"] for t in got[2]["result"]["tools"]] == ["list_checks", "get_results", "run_suite"]
+    assert json.loads(got[3]["result"]["content"][0]["text"]) == {"suites": []} and not got[3]["result"]["isError"]
+    assert got[4]["result"]["isError"] and json.loads(got[4]["result"]["content"][0]["text"]) == {"code": "run.suite_unknown", "message": "x"}
+    assert json.loads(got[5]["result"]["content"][0]["text"]) == {"code": "mcp.internal_error", "message": "ZeroDivisionError"}
+    assert got[6]["error"]["code"] == got[7]["error"]["code"] == -32602 and got[8]["error"]["code"] == -32601 and {-32700, -32600} <= got.keys()
+
+
+def test_gates_and_decisions(spark):
+    assert sampling.gate_limit(10, 320) == sampling.MODULUS and sampling.gate_limit(10, 3200) == -(-sampling.MODULUS // 10)
+    assert [sampling.decide(n, 10, 100) for n in (5, 100, 101)] == ["exact", "exact", "sampled"] and sampling.decide(150, 200, 100) == "exact"
+    rows = spark.range(5000).selectExpr("id", "cast(id as string) as name")
+    got = [r["id"] for r in sampling.bottom_k(rows, F.col("id"), 4, 9, population=5000).collect()]
+    gate, rank = sampling.hash_coefficients(10), sampling.hash_coefficients(9)
+    open_ = [i for i in range(5000) if sampling.hash_rank_of(i, gate) < sampling.gate_limit(4, 5000)]
+    assert 4 < len(open_) < 400 and sorted(got) == sorted(sorted(open_, key=lambda i: (sampling.hash_rank_of(i, rank), i))[:4])
+
+
 def test_profile_invariants(graph):
     from pellucid.profiler import check_profile, fingerprint
 
