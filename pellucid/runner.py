@@ -6,6 +6,7 @@ import datetime as dt
 import threading
 import time
 import uuid
+from collections import Counter
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -13,6 +14,7 @@ from dataclasses import dataclass, field
 from pellucid import baseline as bl
 from pellucid import scoring
 from pellucid.errors import CheckError, SchemaReferenceMissing
+from pellucid.events import EventLog, timed
 from pellucid.functions.sampling import check_seed, half_even, wilson
 from pellucid.graph import PropertyGraph
 from pellucid.operators import CHECKS
@@ -41,6 +43,8 @@ class Options:
     tags: tuple[str, ...] = ()
     baselines: object = None
     clock: object = time.monotonic
+    #: Gets every event of the run as it comes.
+    events: object = None
 
 
 @dataclass
@@ -51,6 +55,7 @@ class _Run:
     partial: list[str] = field(default_factory=list)
     stop: threading.Event = field(default_factory=threading.Event)
     shared: dict = field(default_factory=dict)
+    log: EventLog | None = None
 
 
 def _now() -> str:
@@ -69,25 +74,33 @@ def run_suites(graph: PropertyGraph, suites: Iterable[Suite], options: Options |
     ids = [s.id for s in suites]
     if twice := sorted({i for i in ids if ids.count(i) > 1}):
         return _results(graph, suites, [], options, began, "failed", error={"code": "engine.duplicate_suite", "message": f"suites stand twice: {', '.join(twice)}"})
+    probed = time.monotonic()
     try:
         graph.counts()
     except Exception as e:
         return _results(None, suites, [], options, began, "failed", error={"code": getattr(e, "code", "engine.target_missing"), "message": str(e).splitlines()[0]})
     state = _Run(graph, options, options.clock() + options.wall_seconds, list(broken))
     tasks = [(s, c) for s in suites for c in s.checks if not options.tags or set(options.tags) & set(c.tags)]
+    state.log = EventLog(f"run_{uuid.uuid4().hex[:12]}", options.events)
+    state.log.emit("run_started", selected=len(tasks))
+    state.log.emit("probe_finished", ms=round(1000 * (time.monotonic() - probed)))
     if not options.fail_fast:  # a run that may stop early computes nothing ahead
         state.shared = _shared_scans(state, tasks)
     if options.concurrency > 1 and not options.fail_fast:
         with ThreadPoolExecutor(options.concurrency) as pool:
-            found = list(pool.map(lambda t: _one(state, *t), tasks))
+            found = list(pool.map(lambda t: _logged(state, *t), enumerate(tasks, 1)))
     else:
         found = []
-        for t in tasks:
-            found.append(_one(state, *t))
+        for t in enumerate(tasks, 1):
+            found.append(_logged(state, *t))
             if options.fail_fast and (found[-1]["verdict"] == "fail" or found[-1]["verdict"] == "errored" and found[-1]["severity"] == "error"):
                 state.stop.set()
-                found += [_skipped(s, c, "not_run") for s, c in tasks[len(found) :]]
+                for i, (s, c) in enumerate(tasks[len(found) :], len(found) + 1):
+                    found.append(_skipped(s, c, "not_run"))
+                    state.log.processed(i, state.log.start(i), found[-1])
                 break
+    queries, verdicts = state.log.queries(), Counter(c["verdict"] for c in found)
+    state.log.emit("run_finished", queries=len(queries), query_ms=sum(e["ms"] for e in queries), verdicts=dict(verdicts))
     return _results(graph, suites, found, options, began, "partial" if state.partial else "complete", reason="; ".join(dict.fromkeys(state.partial)) or None)
 
 
@@ -152,6 +165,13 @@ def _one(state: _Run, suite: Suite, check: LoadedCheck) -> dict:
     return out
 
 
+def _logged(state: _Run, number: int, task: tuple) -> dict:
+    token = state.log.start(number)
+    out = _one(state, *task)
+    state.log.processed(number, token, out)
+    return out
+
+
 def _verdict(passed: bool, severity: str) -> str:
     return "pass" if passed else "fail" if severity == "error" else "warn"
 
@@ -180,7 +200,7 @@ def _conformance(graph, suite, check, options, scan=None):
         if not graph.is_empty():
             raise
         return True, {"params": given, "measured": {"population": 0, "violations": 0, "violation_count": 0}, "expected": {"violations": 0}}
-    row = plan.row(scan.row((suite.id, check.id)) if scan is not None else None)
+    row = timed(lambda: plan.row(scan.row((suite.id, check.id)) if scan is not None else None))
     population, bad = row["population"], row["violation_count"]
     measured = {"population": population, "violations": bad, "violation_count": bad} | {k: row[k] for k in _EXTRA if k in row}
     expected = {"violations": 0}
@@ -198,10 +218,10 @@ def _conformance(graph, suite, check, options, scan=None):
         # the matched values stay in the plan: a finding names a place, an extrapolated count and a confidence
         measured["findings"] = [
             {"pattern": r["pattern"], "location": {"labels": list(r["labels"]), "property": r["property"]}, "exposure_count": half_even(population * r["observed"], size), "confidence": plan.measured["confidence"]}
-            for r in plan.findings.orderBy("pattern", "property", "labels").collect()
+            for r in timed(plan.findings.orderBy("pattern", "property", "labels").collect)
         ]
     if not passed:
-        rows = [r.asDict() for r in plan.capped(options.evidence_cap).collect()]
+        rows = [r.asDict() for r in timed(plan.capped(options.evidence_cap).collect)]
         out["evidence"] = comp.evidence([r | {"labels": list(r["labels"]) if r["labels"] is not None else None} for r in rows], f"{bad} of {population} violate {spec.check}", options.evidence_cap, bad)
     return passed, out
 
@@ -221,7 +241,7 @@ def _competency(graph, suite, check, options):
         if "UNBOUND_SQL_PARAMETER" in text:
             raise CheckError("engine.parameter_missing", text.splitlines()[0]) from None
         raise
-    rows, complete = comp.fetch(df, spec.expect, options.row_ceiling)
+    rows, complete = timed(lambda: comp.fetch(df, spec.expect, options.row_ceiling))
     found = comp.judge(df.columns, rows, complete, spec.expect)
     out = {"compiled_query": spec.query, "params": params, "measured": found.measured, "expected": spec.expect.model_dump(exclude_none=True)}
     if not found.passed:
@@ -239,7 +259,7 @@ def _drift(graph, suite, check, options):
     base = source.resolve(spec.baseline) if hasattr(source, "resolve") else source.get(spec.baseline, source if "statistics" in source or spec.metric in source else None) if isinstance(source, dict) else source
     before = bl.require(base, spec.metric, spec.target)
     plan = drift_metric(graph, spec.metric, spec.target)
-    now = plan.summary.first()["current"]
+    now = timed(plan.summary.first)["current"]
     if spec.metric == "property_coverage" and not (0 <= now <= 100 and 0 <= before <= 100):
         raise CheckError("engine.baseline_invalid", "coverage is a percentage")
     broken = bl.within(spec.tolerance, now, before)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pellucid import baseline as bl
 from pellucid import diff, report, scoring, tools
 from pellucid.errors import CheckError
+from pellucid.events import reconcile
 from pellucid.functions import sampling
 from pellucid.functions.checksums import luhn_ok, verhoeff_ok
 from pellucid.graph import NodeSet, PropertyGraph, RelSet
@@ -221,6 +222,24 @@ def test_gates_and_decisions(spark):
     assert 4 < len(open_) < 400 and sorted(got) == sorted(sorted(open_, key=lambda i: (sampling.hash_rank_of(i, rank), i))[:4])
 
 
+@pytest.mark.parametrize("options", [{}, {"concurrency": 3}, {"fail_fast": True}])
+def test_events_of_a_run_add_up(graph, options):
+    seen = []
+    found = run_suites(graph, [load_suite(SUITE)], Options(events=seen.append, baselines={"node_count": 3}, **options))
+    reconcile(seen)
+    done = [e for e in seen if e["kind"] == "check_processed"]
+    assert sorted((e["id"], e["verdict"]) for e in done) == sorted((c["id"], c["verdict"]) for c in found["checks"])
+    assert {e["queries"] > 0 for e in done if e["verdict"] in ("pass", "fail")} == {True} and {e["queries"] for e in done if e["skip_reason"]} <= {0}
+    for change in (
+        lambda e: e.pop(2), lambda e: e[0].update(kind="check_processed"), lambda e: e[-1].update(queries=99), lambda e: e[-1].update(verdicts={}), lambda e: e.pop(), lambda e: e[3].update(run_id="x"), lambda e: e[0].update(selected=99),
+        lambda e: next(x for x in e if x["kind"] == "check_processed").update(queries=7), lambda e: next(x for x in e if x["kind"] == "query_finished").update(check=0), lambda e: e.append(e[-1] | {"sequence": len(e) + 1}),
+    ):
+        broken = [dict(e) for e in seen]
+        change(broken)
+        with pytest.raises(ValueError):
+            reconcile(broken)
+
+
 def test_profile_invariants(graph):
     from pellucid.profiler import check_profile, fingerprint
 
