@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
@@ -23,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: str.translate table that lower-cases A-Z and nothing else.
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER)}
 
+#: Spark's setting by which an execution removes its own shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dirs: dict[str, str] = {}
 
 
@@ -52,7 +53,12 @@ class Stored:
         self.path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         where, files = self._place()
         files.deleteOnExit(where)
-        frame.write.option("compression", "zstd").parquet(self.path)
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")  # the shuffle files of the write go as soon as it has ended
+        try:
+            frame.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            conf.set(CLEANUP, before)
         self.df = self.spark.read.schema(frame.schema).parquet(self.path)
 
     def _place(self):
@@ -66,12 +72,6 @@ class Stored:
         files.cancelDeleteOnExit(where)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner remove shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _shipped: set[str] = set()
 
 

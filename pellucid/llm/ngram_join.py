@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pellucid.llm._common import Stored, free_shuffles, pick, slices, texts, to_batch
+from pellucid.llm._common import Stored, pick, slices, texts, to_batch
 from pellucid.llm.components import components
 
 #: Buckets of the counts that order the shingles: fixed, so that the table (one number each) may be broadcast at any size.
@@ -398,7 +398,6 @@ def _linked(asked: DataFrame, held: DataFrame, first: DataFrame, rows: DataFrame
     dealt = sets.join(routes.df, "node").select("block", "q", "asks", "own", "set").repartition("block", "q").sortWithinPartitions("block", "q", "asks")
     links = Stored(dealt.mapInArrow(_open(share.numerator, share.denominator), "a struct<f1:bigint,f2:bigint>, b struct<f1:bigint,f2:bigint>"), name)
     routes.drop()
-    free_shuffles(rows.sparkSession)
     return links
 
 
@@ -412,7 +411,6 @@ def _across(met: Stored, labels: DataFrame, first: DataFrame, rows: DataFrame, n
     grouped = Stored(_grouped(mixed.df, share), "ngram-groups")
     asked = Stored(_asked(mixed.df, grouped.df, share), "ngram-asked")
     mixed.drop()
-    free_shuffles(met.spark)
     held = grouped.df.join(asked.df.select("block").distinct(), "block", "left_semi").select("node", "own", "block")
     links = _linked(asked.df.select("node", "own", "block"), held, first, rows, n, share, "ngram-more")
     grouped.drop()
@@ -436,13 +434,11 @@ def ngram_components(docs: DataFrame, n: int = 5, share: Fraction | float = Frac
     """
     share = share if isinstance(share, Fraction) else Fraction(str(share))
     low, high = share.numerator, share.denominator
-    spark = docs.sparkSession
     rows = pick(docs, id_col, text_col)
     table = Stored(_sets(rows, n), "ngram-sets")
     every = table.df.where("stretch is null").select("doc_id", "n", "f1", "f2")
     places = _places(rows, n, share, _crowds(table.df)).repartition("tok").sortWithinPartitions("tok", "n", "f1", "f2")
     met = Stored(places.mapInArrow(_meet(low, high), MET_SQL).select("list", _node().alias("node"), "n", F.struct(F.col("l1").alias("f1"), F.col("l2").alias("f2")).alias("leader"), "ln"), "ngram-met")
-    free_shuffles(spark)
     first = every.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).select(_node().alias("node"), "first", "copies")
     first = Stored(first, "ngram-first").df
     likely = Stored(_likely(met.df, share), "ngram-likely")

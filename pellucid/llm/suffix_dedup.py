@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pellucid.llm._common import Stored, free_shuffles, pick, slices, to_batch
+from pellucid.llm._common import Stored, pick, slices, to_batch
 
 #: Bytes of a repeat, and of the strings whose digests deal the suffixes.
 LENGTH, GRAM = 100, 24
@@ -343,14 +343,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A place of the deal with HOT_UNITS distinct units or more is dealt again by two more digests, its equal parts
     collapse again, and so on for ROUNDS rounds.
     """
-    spark = docs.sparkSession
     rows = pick(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("th"), "doc_id", F.col("text").cast("binary").alias("text"))
     plain = rows.select("doc", "th", "text")
 
     def settled(units: DataFrame, name: str) -> Stored:
         dealt = units.repartition("key").sortWithinPartitions("key", "uh", "doc", "th", "place")
         out = Stored(dealt.mapInArrow(_settle, SETTLED_SQL), name)
-        free_shuffles(spark)
         return out
 
     def with_texts(units: DataFrame) -> DataFrame:
@@ -371,6 +369,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         open_ = open_.join(hot.df, "key", "left_anti").unionByName(again.df.where("key is not null"))
     pieces = with_texts(open_).mapInArrow(_cut_out, SETTLED_SQL + ", data binary")
     runs = Stored(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_parts, RUN_SQL), "suffix-runs")
-    free_shuffles(spark)
     listed = runs.df.unionByName(gone).groupBy("doc", "th").agg(F.collect_list("place").alias("runs"))
     return rows.join(listed, ["doc", "th"], "left").select("doc", "th", "doc_id", "text", "runs").mapInArrow(_remove, "doc_id long, n_bytes long, kept binary, spans array<struct<start: bigint, end: bigint>>")
