@@ -49,7 +49,7 @@ class _Words(dict):
     """64-bit digests of words, kept for the words seen last."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
