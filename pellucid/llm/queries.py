@@ -100,5 +100,31 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), 4, 0.85)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_byte_bpe, op4_decontaminate, op5_mpeg_audio, op6_suffix_dedup, op7_kd_sharding, op8_lm_scoring, op9_quality, op10_ngram_join)}
-SQL = {"op2_line_dedup": OP2_SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pellucid.llm.vector_codes import compress
+
+    coded, books = compress(_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _vector_codes_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Each round is two common table expressions: a (assignments by the codebooks before it), b (the codebooks after it)."""
+    nearest = "SELECT vec_id, p, min(struct_pack(d := d, e := e)) AS best FROM (SELECT vec_id, x.p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts x JOIN b{r} b ON x.p = b.p) GROUP BY vec_id, p"
+    moved = "SELECT p, best.e AS e, j, sum(x[j]) AS s, count(*) AS n FROM a{r} JOIN parts USING (vec_id, p), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS j) GROUP BY ALL"
+    means = f"SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS c FROM ({moved}) GROUP BY p, e"
+    steps = [
+        "kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))",
+        f"parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) t(p))",
+        f"b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < {entries})",
+    ]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest.format(r=r)})")
+        steps.append(f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN ({means.format(r=r)}) m USING (p, e))")
+    steps.append(f"a{rounds} AS MATERIALIZED ({nearest.format(r=rounds)})")
+    steps.append(f"coded AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)")
+    sha = f"(SELECT sha256(string_agg(v, ',' ORDER BY p, e, j)) FROM (SELECT p, e, unnest(c)::VARCHAR AS v, unnest(range(len(c))) AS j FROM b{rounds}))"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, {sha} AS codebooks_sha256 FROM coded JOIN kept USING (vec_id)"
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_byte_bpe, op4_decontaminate, op5_mpeg_audio, op6_suffix_dedup, op7_kd_sharding, op8_lm_scoring, op9_quality, op10_ngram_join, op11_vector_codes)}
+SQL = {"op2_line_dedup": OP2_SQL, "op11_vector_codes": _vector_codes_sql()}
