@@ -126,5 +126,35 @@ def _vector_codes_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> st
     return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, {sha} AS codebooks_sha256 FROM coded JOIN kept USING (vec_id)"
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_byte_bpe, op4_decontaminate, op5_mpeg_audio, op6_suffix_dedup, op7_kd_sharding, op8_lm_scoring, op9_quality, op10_ngram_join, op11_vector_codes)}
-SQL = {"op2_line_dedup": OP2_SQL, "op11_vector_codes": _vector_codes_sql()}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pellucid.llm.prefix_trie import rebuilt, sequences, trie
+
+    return trie(rebuilt(sequences(_table(spark, sf_dir, "conversations"))))
+
+
+#: crc32 of a number's digits, bit after bit.
+_CRC32 = "xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"
+OP13_SQL = f"""
+WITH convs AS MATERIALIZED (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns, {_CRC32} % 4 AS h FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, turns[1:d] AS path, d, len(turns) = d AS is_end FROM rebuilt, LATERAL (SELECT unnest(range(len(turns) + 1)) AS d)
+), nodes AS MATERIALIZED (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(path[d].x, '[^\\x20\\x09-\\x0D]+')) END AS own,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends FROM prefixes GROUP BY path, d
+), children AS (
+  SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), whole AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.path = c.path
+), below AS (
+  SELECT path[1:d] AS path, sum(own)::BIGINT AS saved, count(*) FILTER (n_children = 0) AS leaves FROM whole, LATERAL (SELECT unnest(range(depth + 1)) AS d) GROUP BY 1
+)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n AS n_convs, w.n_children, b.leaves AS n_leaves, b.saved AS saved_tokens, w.ends AS ends_sha256
+FROM whole w JOIN below b ON w.path = b.path LEFT JOIN nodes p ON w.depth > 0 AND p.path = w.path[1:w.depth - 1]
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_byte_bpe, op4_decontaminate, op5_mpeg_audio, op6_suffix_dedup, op7_kd_sharding, op8_lm_scoring, op9_quality, op10_ngram_join, op11_vector_codes, op13_prefix_trie)}
+SQL = {"op2_line_dedup": OP2_SQL, "op11_vector_codes": _vector_codes_sql(), "op13_prefix_trie": OP13_SQL}
