@@ -126,6 +126,30 @@ def _vector_codes_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> st
     return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, {sha} AS codebooks_sha256 FROM coded JOIN kept USING (vec_id)"
 
 
+def op12_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pellucid.llm.window_dedup import remove_windows
+
+    found = remove_windows(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+WITH words AS MATERIALIZED (
+  SELECT doc_id, i, w[i] AS word, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)
+), starts AS MATERIALIZED (
+  SELECT doc_id, i, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS w FROM words QUALIFY i + 34 <= n
+), repeated AS (
+  SELECT doc_id, i FROM starts WHERE w IN (SELECT w FROM starts GROUP BY w HAVING count(*) > 1)
+), marked AS (
+  SELECT doc_id, words.i, word, max(r.i) OVER (PARTITION BY doc_id ORDER BY words.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS lost
+  FROM words LEFT JOIN repeated r USING (doc_id, i)
+)
+SELECT doc_id, count(word) AS n_words, count(*) FILTER (lost) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM documents LEFT JOIN marked USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pellucid.llm.prefix_trie import rebuilt, sequences, trie
 
@@ -156,5 +180,5 @@ FROM whole w JOIN below b ON w.path = b.path LEFT JOIN nodes p ON w.depth > 0 AN
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_byte_bpe, op4_decontaminate, op5_mpeg_audio, op6_suffix_dedup, op7_kd_sharding, op8_lm_scoring, op9_quality, op10_ngram_join, op11_vector_codes, op13_prefix_trie)}
-SQL = {"op2_line_dedup": OP2_SQL, "op11_vector_codes": _vector_codes_sql(), "op13_prefix_trie": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_byte_bpe, op4_decontaminate, op5_mpeg_audio, op6_suffix_dedup, op7_kd_sharding, op8_lm_scoring, op9_quality, op10_ngram_join, op11_vector_codes, op12_window_dedup, op13_prefix_trie)}
+SQL = {"op2_line_dedup": OP2_SQL, "op11_vector_codes": _vector_codes_sql(), "op12_window_dedup": OP12_SQL, "op13_prefix_trie": OP13_SQL}
