@@ -272,7 +272,7 @@ def _repeats(sent: DataFrame) -> DataFrame:
                 if not last[5]:
                     before = [last[2:5]]
             last = (g[-1], d[-1], did[-1], th[-1], start[-1], bool(twin[-1]))
-            a, b, c = (np.r_[[x[i] for x in before], col[twin]].astype(np.int64) for i, col in enumerate((did, th, start)))
+            a, b, c = (np.concatenate([np.array([x[i] for x in before], np.int64), col[twin]]) for i, col in enumerate((did, th, start)))
             if len(a):
                 yield rows(a, b, c)
 
