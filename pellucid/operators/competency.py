@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import datetime as dt
+import copy
 import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
-from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pellucid.errors import CheckError
+from pellucid.functions.canonical import canonical_of, digest, digest_of
+from pellucid.functions.consumption import Consumption, sieve
 from pellucid.graph import PropertyGraph
 from pellucid.sources.suites import Expect
+from pellucid.workers import ship
 
 #: Rows that a result may have before an assertion that needs all of them gives up.
 ROW_CEILING = 100_000
@@ -32,25 +35,9 @@ def register_token(token: str, lookup: Callable[[PropertyGraph], Any]) -> None:
     TOKENS[token] = lookup
 
 
-def freeze(value: Any) -> Any:
-    """A hashable form under which equal results are equal: booleans apart from numbers, maps without order."""
-    if isinstance(value, bool):
-        return "bool", value
-    if isinstance(value, (int, float, Decimal)):
-        return "number", value
-    if isinstance(value, Row):
-        value = value.asDict()
-    if isinstance(value, dict):
-        if value.get("kind") in ("node", "rel") and "id" in value:
-            return value["kind"], value["id"]
-        return "map", frozenset((str(k), freeze(v)) for k, v in value.items())
-    if isinstance(value, (set, frozenset)):
-        return "set", frozenset(map(freeze, value))
-    if isinstance(value, (list, tuple)):
-        return "list", tuple(map(freeze, value))
-    if isinstance(value, dt.datetime) and value.tzinfo is not None:
-        return "instant", value.astimezone(dt.timezone.utc)
-    return type(value).__name__, value
+def freeze(value: Any) -> str:
+    """A text under which equal results are equal: booleans apart from numbers, maps without order, instants in UTC."""
+    return canonical_of(value)
 
 
 def _cell(columns: list[str], row: dict) -> Any:
@@ -68,12 +55,8 @@ class Verdict:
     complete: bool
 
 
-#: Rows of the first read of a result that may be decided early, and the growth of each further one.
-FIRST_READ, GROWTH = 1_000, 10
-
-
 def rows_needed(expect: Expect, ceiling: int = ROW_CEILING) -> int:
-    """Rows to fetch so that every assertion is decided, the ceiling and one more at most.
+    """Rows that every assertion but `unique`, `contains` and `equals` needs, the ceiling and one more at most.
 
     A lower bound needs that many rows, an upper bound one more; a bare `empty` or `columns` needs one. Only
     what must see a whole result (or find its pinned values) may have to read up to the ceiling.
@@ -86,38 +69,107 @@ def rows_needed(expect: Expect, ceiling: int = ROW_CEILING) -> int:
     return min(most, ceiling + 1)
 
 
-def fetch(df: DataFrame, expect: Expect, ceiling: int = ROW_CEILING) -> tuple[list[dict], bool]:
-    """The rows that decide, and whether they are all: limits that Spark pushes into the plan.
+def _zone(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
+
+
+def _keys(df: DataFrame) -> tuple[Column, Column, T.DataType]:
+    """Digests of the whole row and of what a pinned value is held against, and the latter's type."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    whole = digest(row, df.schema)
+    return (whole, digest(F.col(f"`{df.columns[0]}`"), df.schema[0].dataType), df.schema[0].dataType) if len(df.columns) == 1 else (whole, whole, df.schema)
+
+
+def consume(df: DataFrame, expect: Expect, ceiling: int = ROW_CEILING) -> tuple[list[dict], bool, dict]:
+    """The rows that decide, whether they are all, and what is known then of `unique`, `contains` and `equals`.
 
-    Reads grow from FIRST_READ until the rows that came decide (a row that stands twice, all pinned values, a
-    broken bound) or the ceiling is passed; each read opens only as many partitions as it takes to fill it.
+    Where only counts and columns are asked for, a limit that Spark pushes into the plan. Else one lazy pass: a
+    task stops in the middle of its partition as soon as its own rows decide, and the next partitions (a few more
+    each time, as for a limit) are only opened while all rows so far do not. No partition is computed twice.
     """
     need = rows_needed(expect, ceiling)
-    size = min(need, FIRST_READ)
-    while True:
-        rows = [r.asDict() for r in df.limit(size).collect()]
-        complete = len(rows) < size
-        if complete or size == need or decides(df.columns, rows, expect):
-            return rows, complete
-        size = min(need, size * GROWTH)
+    if expect.unique is None and expect.contains is None and expect.equals is None:
+        rows = [r.asDict() for r in df.limit(need).collect()]
+        return rows, len(rows) < need, {}
+    ship(df.sparkSession)
+    whole, cell, kind = _keys(df)
+    zone = _zone(df)
+    state = Consumption(expect, df.columns, [digest_of(v, kind, zone) for v in expect.contains or ()])
+    blank, rows, cells = copy.deepcopy(state), [], Counter()
+    taken = df.select(whole.alias("whole"), cell.alias("cell"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).rdd
+    sc, size, at, step = df.sparkSession.sparkContext, taken.getNumPartitions(), 0, 1
+    while at < size and not state.decided and len(rows) < need:
+        left = need - len(rows)
+        for row in sc.runJob(taken, lambda part, left=left: list(sieve(part, copy.deepcopy(blank), left)), list(range(at, min(size, at + step)))):
+            rows.append(row[2].asDict())
+            cells[row[1]] += 1
+            if state.take(row[0], row[1]) or len(rows) == need:
+                break
+        at += step
+        step = step * 4 if not rows else max(1, min(4 * step, int(1.5 * at * (need - len(rows)) / len(rows))))
+    complete = at >= size and not state.decided and len(rows) < need
+    known = {}
+    if expect.unique is not None and (complete or state.repeated):
+        known["unique"] = not state.repeated
+    if expect.contains is not None and (complete or not state.open):
+        known["contains"] = not state.open
+    if expect.equals is not None and complete:
+        known["equals"] = cells == Counter(digest_of(v, kind, zone) for v in expect.equals)
+    return rows, complete, known
 
 
-def decides(columns: list[str], rows: list[dict], expect: Expect) -> bool:
-    """Whether a result that goes on is settled by its first rows."""
-    try:
-        judge(columns, rows, False, expect)
-    except CheckError:
-        return False
-    return True
+def fetch(df: DataFrame, expect: Expect, ceiling: int = ROW_CEILING) -> tuple[list[dict], bool]:
+    """The rows that decide, and whether they are all."""
+    return consume(df, expect, ceiling)[:2]
 
 
-def judge(columns: list[str], rows: list[dict], complete: bool, expect: Expect) -> Verdict:
+def settle(df: DataFrame, expect: Expect, evidence_cap: int = 100) -> tuple[dict, list[dict]]:
+    """`unique`, `contains` and `equals` of a result of any size, decided where it lies.
+
+    Rows are grouped by digests of their canonical text: a repeated row is a group of two, a pinned value that is
+    missing is an empty one, and bags are equal if all groups have the same size on both sides, compared both ways.
+    Returns what holds (None for what is not asked) and some rows that break it. Pinned values are as many as the suite holds.
+    """
+    spark, zone = df.sparkSession, _zone(df)
+    whole, cell, kind = _keys(df)
+    shown = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    found: dict[str, bool] = {}
+    rows: list[dict] = []
+
+    def pick(keys: DataFrame, key: Column) -> None:
+        hit = df.select(key.alias("key"), shown.alias("row")).join(keys.select("key"), "key", "left_semi").limit(evidence_cap)
+        rows.extend(r["row"].asDict() for r in hit.collect())
+
+    if expect.unique is not None:
+        twice = df.select(whole.alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(evidence_cap)
+        keys = spark.createDataFrame([(bytes(r["key"]),) for r in twice.collect()], "key binary")
+        found["unique"] = keys.isEmpty()
+        if expect.unique and not found["unique"]:
+            pick(keys, whole)
+    if expect.contains is not None:
+        pinned = {digest_of(v, kind, zone) for v in expect.contains}
+        keys = spark.createDataFrame([(k,) for k in pinned], "key binary")
+        there = df.select(cell.alias("key")).join(F.broadcast(keys), "key", "left_semi").distinct().count()  # the suite's own values
+        found["contains"] = there == len(pinned)
+    if expect.equals is not None:
+        asked = spark.createDataFrame(list(Counter(digest_of(v, kind, zone) for v in expect.equals).items()), "key binary, wanted long")
+        counts = df.select(cell.alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+        apart = counts.join(asked, "key", "full").where("NOT (n <=> wanted)").select("key").limit(evidence_cap)
+        keys = spark.createDataFrame([(bytes(r["key"]),) for r in apart.collect()], "key binary")
+        found["equals"] = keys.isEmpty()
+        if not found["equals"]:
+            pick(keys, cell)
+    return found, rows
+
+
+def judge(columns: list[str], rows: list[dict], complete: bool, expect: Expect, known: dict | None = None) -> Verdict:
     """Holds a result against its assertions. Rows compare as bags; pinned values are scalars for one column, else maps.
 
     Rows of a result that is not complete only decide what further rows cannot change: a lower bound that is
-    reached, an upper one that is passed. What they leave open raises engine.result_limit_exceeded, unless
-    another assertion has failed already.
+    reached, an upper one that is passed. known: what consume() or settle() found by digests. What is still open raises
+    engine.result_limit_exceeded, unless another assertion has failed already.
     """
+    known = known or {}
     n, failures, measured = len(rows), [], {"columns": list(columns), "empty": len(rows) == 0}
     measured["rows" if complete else "observed_rows_at_least"] = n
     undecided = False
@@ -133,8 +185,8 @@ def judge(columns: list[str], rows: list[dict], complete: bool, expect: Expect)
     if expect.columns is not None and list(columns) != expect.columns:
         failures.append(f"columns {list(columns)}, {expect.columns} expected")
     if expect.unique is not None:
-        repeated = max(Counter(freeze(x) for x in rows).values(), default=1) > 1
-        if repeated or complete:
+        repeated = not known["unique"] if "unique" in known else max(Counter(freeze(x) for x in rows).values(), default=1) > 1
+        if repeated or complete or "unique" in known:
             measured["unique"] = not repeated
             if repeated is expect.unique:
                 failures.append("a row stands more than once" if repeated else "no row stands more than once")
@@ -142,18 +194,19 @@ def judge(columns: list[str], rows: list[dict], complete: bool, expect: Expect)
             undecided = True
     if expect.empty is not None and (n == 0) is not expect.empty:
         failures.append("the result is empty" if n == 0 else "the result is not empty")
-    cells = Counter(freeze(_cell(columns, x)) for x in rows) if expect.contains is not None or expect.equals is not None else Counter()
+    asked = (expect.contains is not None and "contains" not in known) or (expect.equals is not None and "equals" not in known)
+    cells = Counter(canonical_of(_cell(columns, x)) for x in rows) if asked else Counter()
     if expect.contains is not None:
-        there = all(freeze(v) in cells for v in expect.contains)
-        if there or complete:
+        there = known["contains"] if "contains" in known else all(canonical_of(v) in cells for v in expect.contains)
+        if there or complete or "contains" in known:
             measured["contains"] = there
             if not there:
                 failures.append("a pinned value is missing")
         else:
             undecided = True
     if expect.equals is not None:
-        if complete:
-            measured["equals"] = cells == Counter(map(freeze, expect.equals))
+        if complete or "equals" in known:
+            measured["equals"] = known["equals"] if "equals" in known else cells == Counter(map(canonical_of, expect.equals))
             if not measured["equals"]:
                 failures.append("the result differs from the pinned values")
         else:
@@ -163,6 +216,25 @@ def judge(columns: list[str], rows: list[dict], complete: bool, expect: Expect)
     return Verdict(not failures, failures, measured, rows, complete)
 
 
+def assess(df: DataFrame, expect: Expect, ceiling: int = ROW_CEILING, evidence_cap: int = 100) -> Verdict:
+    """One lazy pass up to the ceiling; what a larger result leaves open of `unique`, `contains` and `equals` is settled in the cluster.
+
+    Bounds of rows beyond the ceiling stay open.
+    """
+    rows, complete, known = consume(df, expect, ceiling)
+    broken = []
+    try:
+        return judge(df.columns, rows, complete, expect, known)
+    except CheckError:
+        if expect.unique is None and expect.contains is None and expect.equals is None:
+            raise
+        known, broken = settle(df, expect, evidence_cap)
+    found = judge(df.columns, rows, complete, expect, known)
+    if broken:
+        found.rows = broken
+    return found
+
+
 def pointers(values: Any, column: str | None = None) -> list[dict]:
     """Elements that result values point at: {kind, id} maps at any depth and the pointer columns; plain ids never count."""
     if isinstance(values, Row):

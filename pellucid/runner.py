@@ -241,14 +241,13 @@ def _competency(graph, suite, check, options):
         if "UNBOUND_SQL_PARAMETER" in text:
             raise CheckError("engine.parameter_missing", text.splitlines()[0]) from None
         raise
-    rows, complete = timed(lambda: comp.fetch(df, spec.expect, options.row_ceiling))
-    found = comp.judge(df.columns, rows, complete, spec.expect)
+    found = timed(lambda: comp.assess(df, spec.expect, options.row_ceiling, options.evidence_cap))
     out = {"compiled_query": spec.query, "params": params, "measured": found.measured, "expected": spec.expect.model_dump(exclude_none=True)}
     if not found.passed:
         elements = comp.pointers(found.rows) + comp.pointers(params)
         if not elements:
             raise CheckError("engine.evidence_missing", "a failing result points at no element: project node_element_id or rel_element_id")
-        out["evidence"] = comp.evidence(elements, "; ".join(found.failures), options.evidence_cap, len(rows))
+        out["evidence"] = comp.evidence(elements, "; ".join(found.failures), options.evidence_cap, len(found.rows))
     return found.passed, out
 
 

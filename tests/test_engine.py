@@ -141,13 +141,13 @@ def test_row_bounds_and_the_ceiling(spark, rows, n, want):
         assert comp.judge(["id"], *found, expect).passed is want
 
 
-def test_a_result_is_read_until_it_is_decided(spark, monkeypatch):
-    monkeypatch.setattr(comp, "FIRST_READ", 4)
+def test_a_result_is_read_until_it_is_decided(spark):
     read = lambda expect, df: len(comp.fetch(df, expect, 1000)[0])
-    ids, twice = spark.range(0, 600, 1, 1), spark.range(0, 600, 1, 1).selectExpr("id DIV 2 AS id")
-    assert read(Expect(unique=True), twice) == read(Expect(unique=False), twice) == 4 and read(Expect(unique=True), ids) == 600
-    assert read(Expect(contains=[1, 3]), ids) == 4 and read(Expect(contains=[17]), ids) == 40 and read(Expect(contains=[-1]), ids) == 600
-    assert read(Expect(contains=[1], rows=Rows(min=30)), ids) == 40 and read(Expect(equals=[1]), ids) == 600
+    ids, twice = spark.range(0, 600, 1, 3), spark.range(0, 600, 1, 3).selectExpr("id DIV 2 AS id")
+    assert read(Expect(unique=True), twice) == read(Expect(unique=False), twice) == 2 and read(Expect(unique=True), ids) == 600
+    assert read(Expect(contains=[1, 3]), ids) == 4 and read(Expect(contains=[417]), ids) == 418 and read(Expect(contains=[-1]), ids) == 600
+    assert read(Expect(contains=[1], rows=Rows(min=30)), ids) == 30 and read(Expect(equals=[1]), ids) == 600 and read(Expect(contains=[1], rows=Rows(max=4)), ids) == 5
+    assert read(Expect(contains=[1], columns=["x"]), ids) <= 1 and read(Expect(unique=True, empty=True), ids) == 1
     with pytest.raises(CheckError, match="result_limit_exceeded"):
         comp.judge(["id"], *comp.fetch(ids, Expect(contains=[-1]), 50), Expect(contains=[-1]))
 
