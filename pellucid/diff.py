@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pellucid.errors import CheckError
 
@@ -83,3 +84,17 @@ def coverage_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     keys = ["owner_name", "property"]
     rows = before.select(*keys, F.col("coverage").alias("c_from")).join(after.select(*keys, F.col("coverage").alias("c_to")), keys, "full")
     return rows.withColumn("delta_pp", F.col("c_to") - F.col("c_from"))
+
+
+def definition_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """name, change and the definition for two frames of definitions (name and any further columns): a full outer join on all of them.
+
+    A definition that changed is removed and added; columns that are lists compare without order, nulls as a value.
+    """
+    columns = before.columns
+    flat = lambda df: df.select(*[(F.array_sort(c) if isinstance(df.schema[c].dataType, T.ArrayType) else F.col(c)).alias(c) for c in columns]).distinct()
+    a, b = flat(before).withColumn("before", F.lit(True)), flat(after).withColumn("after", F.lit(True))
+    same = [a[c].eqNullSafe(b[c]) for c in columns]
+    rows = a.join(b, same, "full").where(F.col("before").isNull() | F.col("after").isNull())
+    change = F.when(F.col("before").isNull(), "added").otherwise("removed").alias("change")
+    return rows.select(*[F.when(F.col("before").isNull(), b[c]).otherwise(a[c]).alias(c) for c in columns], change)

@@ -50,9 +50,18 @@ def timed(run: Callable[[], T]) -> T:
             at[0].emit("query_finished", check=at[1], ms=round(1000 * (time.monotonic() - began)))
 
 
-def reconcile(events: list[dict]) -> None:
-    """Raises ValueError with all that does not add up: order, one run, one end, each check once with its own queries, sums."""
+def reconcile(events: list[dict], results: dict | None = None) -> None:
+    """Raises ValueError with all that does not add up: order, one run, one end, each check once with its own queries, sums.
+
+    results: the stored run, whose id and verdicts must be those of the events.
+    """
     wrong = []
+    if results is not None:
+        if {e["run_id"] for e in events} - {results["run"]["id"]}:
+            wrong.append("events of another run than the results")
+        told = [(e["id"], e["verdict"], e["skip_reason"]) for e in sorted((e for e in events if e["kind"] == "check_processed"), key=lambda e: e["check"])]
+        if told != [(c["id"], c["verdict"], c["skip_reason"]) for c in results["checks"]]:
+            wrong.append("the results have other verdicts than the events")
     if [e["sequence"] for e in events] != list(range(1, len(events) + 1)):
         wrong.append("the sequence has gaps")
     if len({e["run_id"] for e in events}) > 1:

@@ -37,3 +37,10 @@ def has_type(col: Column, kind: T.DataType, declared: str) -> Column:
 def profile_name(kind: T.DataType) -> str:
     """Type names of a profile."""
     return {"string": "STRING", "integer": "INTEGER", "float": "FLOAT", "boolean": "BOOLEAN", "list": "LIST", "map": "MAP", "date": "Date", "datetime": "DateTime"}.get(family(kind), kind.simpleString())
+
+
+def variant_name(col: Column) -> Column:
+    """The type name of a profile for each value of mixed types; null for a null within it."""
+    seen = F.regexp_extract(F.schema_of_variant(col), r"^\w+", 0)
+    names = {"STRING": "STRING", "BOOLEAN": "BOOLEAN", "BIGINT": "INTEGER", "INT": "INTEGER", "SMALLINT": "INTEGER", "TINYINT": "INTEGER", "DOUBLE": "FLOAT", "FLOAT": "FLOAT", "DECIMAL": "FLOAT", "DATE": "Date", "TIMESTAMP": "DateTime", "TIMESTAMP_NTZ": "DateTime", "ARRAY": "LIST", "OBJECT": "MAP"}
+    return F.when(seen != "VOID", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), seen), seen))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pellucid.errors import SchemaReferenceMissing
+from pellucid.sources.metadata import metadata_counts
 
 #: Columns of a node or relationship table that are not properties.
 NODE_OWN, REL_OWN = ("id", "labels"), ("id", "src", "dst")
@@ -24,20 +25,41 @@ class NodeSet:
     labels: those that every node has. Further labels stand in a column `labels` (array of strings), whose
     possible values `optional` lists: the catalogue knows them even where no node carries them. The table may
     be given as a function: it is then opened only when a plan needs it.
+
+    beside: what adds the properties `beside_columns` and the column `labels` from another table; it is only called
+    for plans that ask for these. stored: the path of the Parquet table whose rows are the nodes, one for one, with its
+    columns as properties; counts then come from its metadata.
     """
 
     labels: tuple[str, ...]
     table: DataFrame | Callable[[], DataFrame]
     optional: tuple[str, ...] = ()
     keys: tuple[str, ...] = ()
+    beside: Callable[[DataFrame], DataFrame] | None = None
+    beside_columns: tuple[str, ...] = ()
+    stored: str | None = None
 
     @cached_property
-    def df(self) -> DataFrame:
+    def own(self) -> DataFrame:
+        """The table alone."""
         return self.table() if callable(self.table) else self.table
 
+    @cached_property
+    def df(self) -> DataFrame:
+        """The table with all properties and labels."""
+        return self.own if self.beside is None else self.beside(self.own)
+
+    def rows(self, properties=(), labelled: bool = False) -> DataFrame:
+        """The table, with what stands beside it only where it is asked for."""
+        return self.df if self.optional and labelled or set(properties) & set(self.beside_columns) else self.own
+
     @cached_property
     def properties(self) -> list[str]:
-        return [c for c in self.df.columns if c not in NODE_OWN]
+        return [c for c in (*self.own.columns, *self.beside_columns) if c not in NODE_OWN]
+
+    def kind(self, name: str):
+        """The Spark type of a property."""
+        return (self.df if name in self.beside_columns else self.own).schema[name].dataType
 
     def label_array(self):
         fixed = F.array(*[F.lit(x) for x in self.labels])
@@ -50,6 +72,7 @@ class RelSet:
 
     type: str
     table: DataFrame | Callable[[], DataFrame]
+    stored: str | None = None
 
     @cached_property
     def df(self) -> DataFrame:
@@ -70,6 +93,7 @@ class PropertyGraph:
     name: str = "graph"
     capabilities: dict[str, bool] = field(default_factory=lambda: {"read": True, "store_consistency": False})
     _counts: tuple[int, int] | None = None
+    _populations: dict = field(default_factory=dict)
 
     @property
     def labels(self) -> list[str]:
@@ -98,7 +122,9 @@ class PropertyGraph:
         for s in self.node_sets:
             if label is not None and label not in s.labels and label not in s.optional:
                 continue
-            df = s.df if label is None or label in s.labels else s.df.where(F.array_contains("labels", label))
+            everyone = label is None or label in s.labels
+            df = s.rows(properties or (), with_labels or not everyone)
+            df = df if everyone else df.where(F.array_contains("labels", label))
             types = {p: self.property_type(label, p) for p in properties or ()}
             cols = [F.col(p) if p in s.properties else F.lit(None).cast(types[p]).alias(p) for p in properties or ()]
             parts.append(df.select("id", *([s.label_array().alias("labels")] if with_labels else []), *cols))
@@ -117,7 +143,7 @@ class PropertyGraph:
         """The Spark type of a property; string where no table of the label has it."""
         for s in self.node_sets:
             if (label is None or label in s.labels or label in s.optional) and name in s.properties:
-                return s.df.schema[name].dataType.simpleString()
+                return s.kind(name).simpleString()
         return "string"
 
     def rels(self, type_: str | None = None, properties: list[str] | None = None) -> DataFrame:
@@ -134,11 +160,20 @@ class PropertyGraph:
         """How often a node may come where these labels are looked up together: once for each table that can hold it."""
         return max(1, sum(bool(set(labels) & {*s.labels, *s.optional}) for s in self.node_sets))
 
+    def population(self, label: str | None = None) -> int:
+        """Nodes of a label, asked once: from the metadata of stored tables, without reading a row group; else one count."""
+        if label not in self._populations:
+            own = [s for s in self.node_sets if label is None or label in s.labels or label in s.optional]
+            known = [metadata_counts(self.spark, s.stored) if s.stored is not None and (label is None or label in s.labels) else None for s in own]
+            rest = PropertyGraph(self.spark, [s for s, k in zip(own, known) if k is None], []).nodes(label)
+            self._populations[label] = sum(k["*"] for k in known if k is not None) + (rest.count() if None in known else 0)
+        return self._populations[label]
+
     def counts(self) -> tuple[int, int]:
         """Nodes and relationships, counted once in one job without reading a column."""
         if self._counts is None:
             one = lambda n, df: df.agg(F.count("*").alias("n")).withColumn("what", F.lit(n))
-            parts = [one("nodes", s.df) for s in self.node_sets] + [one("rels", r.df) for r in self.rel_sets]
+            parts = [one("nodes", s.own) for s in self.node_sets] + [one("rels", r.df) for r in self.rel_sets]
             found = {"nodes": 0, "rels": 0}
             if parts:
                 for row in reduce(DataFrame.unionByName, parts).collect():

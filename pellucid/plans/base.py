@@ -28,6 +28,8 @@ class CheckPlan:
     aggregates: list[Column] = field(default_factory=list)
     columns: dict[str, Column] = field(default_factory=dict)
     repeats: int = 1
+    #: What a table of degrees must answer, where this check can be read off one that others share.
+    degrees: object | None = None
     #: What the summary has besides the two counts, from them.
     derived: Callable[[dict], dict] | None = None
 
@@ -52,11 +54,11 @@ def rel_evidence(rows: DataFrame) -> DataFrame:
     return rows.select(F.lit("rel").alias("kind"), "id", F.lit(None).cast("array<string>").alias("labels"), "type")
 
 
-def predicate_plan(name: str, base: DataFrame, base_key: tuple, population: Column, violation: Column, evidence: Callable[[DataFrame], DataFrame], extra: list[Column] = (), repeats: int = 1) -> CheckPlan:
-    """Counts rows in the population and violations among them in one scan of the base."""
+def predicate_plan(name: str, base: DataFrame, base_key: tuple, population: Column, violation: Column, evidence: Callable[[DataFrame], DataFrame], extra: list[Column] = (), repeats: int = 1, labelled: DataFrame | None = None) -> CheckPlan:
+    """Counts rows in the population and violations among them in one scan of the base. labelled: the same rows with what only evidence needs."""
     bad = F.coalesce(population & violation, F.lit(False))
     aggregates = [F.count_if(F.coalesce(population, F.lit(False))).alias("population"), F.count_if(bad).alias("violation_count"), *extra]
-    return CheckPlan(name, base.agg(*aggregates), evidence(base.where(bad)), base=base, base_key=base_key, aggregates=aggregates, repeats=repeats)
+    return CheckPlan(name, base.agg(*aggregates), evidence((base if labelled is None else labelled).where(bad)), base=base, base_key=base_key, aggregates=aggregates, repeats=repeats)
 
 
 class SharedScan:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from pellucid.errors import CheckError
 from pellucid.functions.checksums import luhn_ok, verhoeff_ok
-from pellucid.functions.sampling import hash_coefficients, hash_rank
+from pellucid.functions.sampling import MODULUS, gate_limit, hash_coefficients, hash_rank
 from pellucid.functions.types import family
 from pellucid.graph import PropertyGraph
 from pellucid.plans.base import CheckPlan
+from pellucid.sources.metadata import metadata_counts
 
 DEFAULT_SAMPLE = 1_000
 #: The sample size that takes every occurrence, however many there are.
@@ -75,52 +76,99 @@ def _size(sample_size: int | None) -> int:
     return sample_size
 
 
+def _sets(graph: PropertyGraph, label: str | None) -> list:
+    return [s for s in graph.node_sets if label is None or label in s.labels or label in s.optional]
+
+
+def _listed(s, strings_only: bool, properties) -> list[tuple[int, str]]:
+    """Place (among all properties of the table) and name of the properties that count."""
+    return [(i, p) for i, p in enumerate(sorted(s.properties)) if (properties is None or p in properties) and (not strings_only or family(s.kind(p)) == "string")]
+
+
 def occurrences(graph: PropertyGraph, label: str | None, strings_only: bool, properties=None, values: bool = True) -> DataFrame:
-    """id, labels, property, at (place of the property in its table) and value for each non-null property of each node."""
+    """id, part (number of the table), property, at (place of the property in its table) and value for each non-null property of each node.
+
+    Labels are not among them: only hits need them, so a table that stands beside the nodes is not joined here for its labels.
+    """
     parts = []
-    for s in graph.node_sets:
-        if label is not None and label not in s.labels and label not in s.optional:
-            continue
-        df = s.df if label is None or label in s.labels else s.df.where(F.array_contains("labels", label))
-        listed = [(i, p) for i, p in enumerate(sorted(s.properties)) if (properties is None or p in properties) and (not strings_only or family(s.df.schema[p].dataType) == "string")]
+    for number, s in enumerate(_sets(graph, label)):
+        listed = _listed(s, strings_only, properties)
         if not listed:
             continue
+        everyone = label is None or label in s.labels
+        df = s.rows([p for _, p in listed], not everyone)
+        df = df if everyone else df.where(F.array_contains("labels", label))
         shown = lambda p: F.col(f"`{p}`") if strings_only and values else F.lit(None).cast("string")
         each = F.filter(F.array(*[F.when(F.col(f"`{p}`").isNotNull(), F.struct(F.lit(p).alias("property"), F.lit(i).alias("at"), shown(p).alias("value"))) for i, p in listed]), lambda x: x.isNotNull())
-        parts.append(df.select("id", s.label_array().alias("labels"), F.explode(each).alias("x")).select("id", "labels", "x.*"))
+        parts.append(df.select("id", F.lit(number).alias("part"), F.explode(each).alias("x")).select("id", "part", "x.*"))
     if not parts:
-        return graph.spark.createDataFrame([], "id string, labels array<string>, property string, at int, value string")
+        return graph.spark.createDataFrame([], "id string, part int, property string, at int, value string")
     return reduce(DataFrame.unionByName, parts)
 
 
-def _repeats(graph: PropertyGraph, label: str | None) -> int:
-    """Occurrences that a node may have: the properties of the tables that can hold it."""
-    return max(1, sum(len(s.properties) for s in graph.node_sets if label is None or label in s.labels or label in s.optional))
+def _with_labels(graph: PropertyGraph, label: str | None, hits: DataFrame) -> DataFrame:
+    """Hits with the labels of their nodes: fixed ones by the number of the table, others looked up for the hits alone."""
+    parts = []
+    for number, s in enumerate(_sets(graph, label)):
+        own = hits.where(F.col("part") == number)
+        if s.optional:
+            own = own.join(s.rows((), True).select("id", s.label_array().alias("labels")), "id")
+        else:
+            own = own.withColumn("labels", s.label_array())
+        parts.append(own.select("id", "labels", "property", "patterns"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _population(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count("*").alias("population"))
+def _repeats(graph: PropertyGraph, label: str | None) -> int:
+    """Occurrences that a node may have: the properties of the tables that can hold it."""
+    return max(1, sum(len(s.properties) for s in _sets(graph, label)))
 
 
-def _sampled(rows: DataFrame, size: int, seed: int) -> DataFrame:
-    """The `size` occurrences of the smallest rank, or ALL; a sample beyond HEAP first looks whether it is all of them."""
-    if size == ALL:
-        return rows
-    if size > HEAP and rows.limit(size + 1).count() <= size:
+def known_population(graph: PropertyGraph, label: str | None, strings_only: bool, properties=None) -> int | None:
+    """Occurrences by the metadata of stored tables, without reading a row group; None where a table does not tell."""
+    total = 0
+    for s in _sets(graph, label):
+        names = [p for _, p in _listed(s, strings_only, properties)]
+        if not names:
+            continue
+        if s.stored is None or label is not None and label not in s.labels or set(names) & set(s.beside_columns):
+            return None
+        counts = metadata_counts(graph.spark, s.stored, names)
+        if counts is None:
+            return None
+        total += sum(counts[p] for p in names)
+    return total
+
+
+def _sampled(rows: DataFrame, size: int, seed: int, population: int | None) -> DataFrame:
+    """The `size` occurrences of the smallest rank, or ALL. With a known population all of a smaller one are taken as they
+    are, and of a larger one the gate lets about GATE_ROOM times the sample through to be ranked."""
+    if size == ALL or population is not None and population <= size:
         return rows
-    key = F.pmod(F.pmod(F.xxhash64("id"), F.lit(2_147_483_647)) * 1_103_515_245 + F.col("at"), F.lit(2_147_483_647))
+    key = F.pmod(F.pmod(F.xxhash64("id"), F.lit(MODULUS)) * 1_103_515_245 + F.col("at"), F.lit(MODULUS))
+    if population is not None and (limit := gate_limit(size, population)) < MODULUS:
+        rows = rows.where(hash_rank(key, hash_coefficients(seed + 1)) < limit)
     return rows.withColumn("rank", hash_rank(key, hash_coefficients(seed))).orderBy("rank", "id", "property").limit(size)
 
 
-def _plan(name: str, rows: DataFrame, size: int, seed: int, tests: dict[str, Column], confidence: str, repeats: int) -> PiiPlan:
-    sample = _sampled(rows, size, seed)
+def _plan(name: str, graph: PropertyGraph, label: str | None, rows: DataFrame, size: int, seed: int, tests: dict[str, Column], confidence: str, strings_only: bool, properties=None) -> PiiPlan:
+    population = None if size == ALL else known_population(graph, label, strings_only, properties)
+    if size > HEAP and size != ALL and population is None:
+        population = rows.count()
+    sample = _sampled(rows, size, seed, population)
     hits = F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())
     marked = sample.withColumn("patterns", hits).withColumn("hit", F.size("patterns") > 0)
     counts = marked.agg(F.count("*").alias("sample_size"), F.count_if("hit").alias("violation_count"))
-    summary = _population(rows).crossJoin(counts)  # one row by one row
-    findings = marked.where("hit").select(F.explode("patterns").alias("pattern"), "property", "labels").groupBy("pattern", "property", "labels").agg(F.count("*").alias("observed"))
-    evidence = marked.where("hit").select(F.lit("node").alias("kind"), "id", "labels", F.lit(None).cast("string").alias("type"))
-    return PiiPlan(name, summary, evidence, {"confidence": confidence}, findings=findings, repeats=repeats)
+    if population is not None:
+        summary = counts.select(F.lit(population).cast("long").alias("population"), "sample_size", "violation_count")
+    elif size == ALL:
+        summary = counts.select(F.col("sample_size").alias("population"), "sample_size", "violation_count")
+    else:
+        summary = rows.agg(F.count("*").alias("population")).crossJoin(counts)  # one row by one row
+    found = _with_labels(graph, label, marked.where("hit").select("id", "part", "property", "patterns"))
+    findings = found.select(F.explode("patterns").alias("pattern"), "property", "labels").groupBy("pattern", "property", "labels").agg(F.count("*").alias("observed"))
+    evidence = found.select(F.lit("node").alias("kind"), "id", "labels", F.lit(None).cast("string").alias("type"))
+    return PiiPlan(name, summary, evidence, {"confidence": confidence}, findings=findings, repeats=_repeats(graph, label))
 
 
 def pii_name_match(graph: PropertyGraph, label: str | None = None, sample_size: int | None = None, patterns=None, seed: int = 0) -> PiiPlan:
@@ -128,7 +176,7 @@ def pii_name_match(graph: PropertyGraph, label: str | None = None, sample_size:
     names = _chosen(patterns, NAME_PATTERNS)
     graph.require((label,))
     rows = occurrences(graph, label, False, values=False)
-    return _plan("pii_name_match", rows, _size(sample_size), seed, {n: F.lower("property").isin(list(NAME_PATTERNS[n])) for n in names}, "name-match", _repeats(graph, label))
+    return _plan("pii_name_match", graph, label, rows, _size(sample_size), seed, {n: F.lower("property").isin(list(NAME_PATTERNS[n])) for n in names}, "name-match", False)
 
 
 def value_test(col: Column, name: str) -> Column:
@@ -146,4 +194,4 @@ def pii_value_match(graph: PropertyGraph, label: str | None = None, sample_size:
         raise CheckError("engine.invalid_check", "properties must be a non-empty list without repeats")
     graph.require((label,), (), properties or ())
     rows = occurrences(graph, label, True, properties)
-    return _plan("pii_value_match", rows, _size(sample_size), seed, {n: value_test(F.col("value"), n) for n in names}, "value-match", _repeats(graph, label))
+    return _plan("pii_value_match", graph, label, rows, _size(sample_size), seed, {n: value_test(F.col("value"), n) for n in names}, "value-match", True, properties)

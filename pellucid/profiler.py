@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pellucid.errors import CheckError
-from pellucid.functions.types import family, profile_name
+from pellucid.functions.types import family, profile_name, variant_name
 from pellucid.graph import PropertyGraph
-from pellucid.plans.conformance import degrees
+from pellucid.plans.degrees import degrees
+from pellucid.sources.catalogue import declared
 
 BUDGET_SECONDS = 60.0
 
@@ -68,13 +69,41 @@ def tally(graph: PropertyGraph, owner: str = "node") -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("owner_name", "property").agg(F.sum("total").alias("total"), F.sum("populated").alias("populated"))
 
 
+def observed_types(graph: PropertyGraph, label: str | None = None) -> DataFrame:
+    """label, property, types: the types that values of a property have, sorted, from the values themselves.
+
+    A column of one type is of that type where any value is there; of a column of mixed types (VARIANT) the values
+    are looked at one by one. A property without values has no row. One aggregation for each table.
+    """
+    parts = []
+    for s in graph.node_sets:
+        names = [x for x in (*s.labels, *s.optional) if label in (None, x)]
+        aggregates, cells = [], []
+        for name in names:
+            carries = F.lit(True) if name in s.labels else F.array_contains("labels", name)
+            for p in s.properties:
+                there, at = carries & _quoted(p).isNotNull(), f"t{len(cells)}"
+                mixed = family(s.kind(p)) == "variant"
+                aggregates.append((F.collect_set(F.when(there, variant_name(_quoted(p)))) if mixed else F.max(F.when(there, profile_name(s.kind(p))))).alias(at))  # a handful of type names at most
+                cells.append(F.struct(F.lit(name).alias("label"), F.lit(p).alias("property"), (F.col(at) if mixed else F.array_compact(F.array(at))).alias("types")))
+        if cells:
+            parts.append(s.rows(s.properties, bool(s.optional)).agg(*aggregates).select(F.explode(F.array(*cells)).alias("x")).select("x.*"))
+    if not parts:
+        return graph.spark.createDataFrame([], "label string, property string, types array<string>")
+    each = reduce(DataFrame.unionByName, parts).select("label", "property", F.explode("types").alias("type"))
+    return each.groupBy("label", "property").agg(F.array_sort(F.collect_set("type")).alias("types"))
+
+
 def coverage_frame(graph: PropertyGraph, owner: str = "node") -> DataFrame:
     """owner_name, property, total, populated for every label (or type) and property that occurs."""
     return tally(graph, owner).where("property IS NOT NULL AND populated > 0")
 
 
-def profile(graph: PropertyGraph, budget: float = BUDGET_SECONDS, constraints: list[dict] = (), indexes: list[dict] = (), version: str = "0.1.0") -> dict:
-    """A snapshot as a dictionary. After the budget, or where a stage fails, what is complete stays and status is partial."""
+def profile(graph: PropertyGraph, budget: float = BUDGET_SECONDS, constraints: list[dict] | None = None, indexes: list[dict] = (), version: str = "0.1.0") -> dict:
+    """A snapshot as a dictionary. After the budget, or where a stage fails, what is complete stays and status is partial.
+
+    constraints: those of a catalogue file; without any, what the tables declare themselves.
+    """
     began, reason = time.monotonic(), None
     try:
         nodes, rels = graph.counts()
@@ -95,6 +124,9 @@ def profile(graph: PropertyGraph, budget: float = BUDGET_SECONDS, constraints: l
     degrees_of: dict[str, dict] = {}
     stage(lambda: degrees_of.update({r["label"]: r.asDict() for r in degree_frame(graph).collect()}))
 
+    types_of: dict[tuple, list[str]] = {}
+    stage(lambda: types_of.update({(r["label"], r["property"]): r["types"] for r in observed_types(graph).collect()}))  # a row for each property of the catalogue
+
     def counted(owner: str) -> dict[str, tuple[int, dict[str, int]]]:
         out: dict[str, tuple[int, dict[str, int]]] = {}
         rows = tally(graph, owner).collect()  # a row for each name and property of the catalogue
@@ -106,7 +138,7 @@ def profile(graph: PropertyGraph, budget: float = BUDGET_SECONDS, constraints: l
     def of_nodes():
         for label, (n, props) in sorted(counted("node").items()):
             d = degrees_of.get(label, {})
-            kinds = {p: profile_name(next(s.df.schema[p].dataType for s in graph.node_sets if p in s.properties and (label in s.labels or label in s.optional))) for p in props}
+            kinds = {p: " | ".join(types_of.get((label, p), ["ANY"])) for p in props}
             labels.append({
                 "name": label, "count": n, "properties": [{"name": p, "type": kinds[p]} for p in sorted(props)],
                 "degree_distribution": {"median": round(d.get("median") or 0.0, 2), "p95": round(d.get("p95") or 0.0, 2), "p99": round(d.get("p99") or 0.0, 2), "maximum": int(d.get("maximum") or 0)},
@@ -124,7 +156,7 @@ def profile(graph: PropertyGraph, budget: float = BUDGET_SECONDS, constraints: l
     listed = lambda xs: sorted(({k: sorted(v) if isinstance(v, (list, tuple)) else v or [] for k, v in x.items()} for x in xs), key=lambda x: x["name"])
     out = {
         "schema_version": "1.0", "status": "partial" if reason else "complete", "partial_reason": reason, "target": {k: v for k, v in graph.target().items() if k in ("database", "server_version", "edition", "fingerprint", "capabilities")},
-        "schema": {"labels": labels, "relationship_types": types, "constraints": listed(constraints), "indexes": listed(indexes)},
+        "schema": {"labels": labels, "relationship_types": types, "constraints": listed(declared(graph) if constraints is None else constraints), "indexes": listed(indexes)},
         "statistics": {"node_count": nodes, "relationship_count": rels, "property_coverage": coverage},
         "metadata": {"generated_at": dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), "version": version},
     }
@@ -167,4 +199,4 @@ def fingerprint(p: dict) -> str:
 
 
 def property_types(graph: PropertyGraph, label: str) -> dict[str, str]:
-    return {p: profile_name(s.df.schema[p].dataType) for s in graph.node_sets if label in s.labels or label in s.optional for p in s.properties if family(s.df.schema[p].dataType)}
+    return {r["property"]: " | ".join(r["types"]) for r in observed_types(graph, label).collect()}

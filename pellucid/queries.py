@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from pellucid.functions import checksums, sampling
 from pellucid.graph import NodeSet, PropertyGraph
 from pellucid.operators import competency as comp
 from pellucid.plans import conformance as c
-from pellucid.plans import fuse, pii
+from pellucid.plans import drift, fuse, pii
+from pellucid.plans.degrees import SharedDegrees
 from pellucid.plans.drift import drift_metric
+from pellucid.sources import catalogue
 from pellucid.sources.suites import Expect, Rows
 from pellucid.sources.tables import load_graph
 
@@ -325,7 +329,8 @@ def first_active_token(spark, sf_dir):
     return comp.first_active(load_graph(spark, sf_dir))
 
 
-_A = sampling.hash_coefficients(42)
+# What SHA-256 gives for the seeds 42 and 43, written out so that a wrong derivation shows.
+_A = (2009566731, 811739796, 1225495611, 1953762775)
 _HASH = f"((((({_A[0]} * k + {_A[1]}) % {sampling.MODULUS}) * k + {_A[2]}) % {sampling.MODULUS}) * k + {_A[3]}) % {sampling.MODULUS}"
 
 
@@ -334,7 +339,7 @@ def sample_bottom_k(spark, sf_dir):
     return sampling.bottom_k(load_graph(spark, sf_dir).nodes("Customer", ["c_custkey"]), F.col("c_custkey"), 20, 42).select("id")
 
 
-_G = sampling.hash_coefficients(43)
+_G = (2073329003, 1617587024, 1167863393, 1032208260)
 _GATE = f"((((({_G[0]} * k + {_G[1]}) % {sampling.MODULUS}) * k + {_G[2]}) % {sampling.MODULUS}) * k + {_G[3]}) % {sampling.MODULUS}"
 
 
@@ -356,13 +361,13 @@ def wilson_interval(spark, sf_dir):
     return spark.createDataFrame([(name, w["sample_size"], w["population"], round(w["ci"][0], 9), round(w["ci"][1], 9)) for name, w in found], "c_mktsegment string, sample_size long, population long, low double, high double")
 
 
-@query(f"SELECT 'Order:' || o_orderkey AS id FROM (SELECT o_orderkey, (o_orderkey % {sampling.MODULUS})::BIGINT AS k FROM orders) ORDER BY {_HASH.replace(' k ', ' k ')}, 1 LIMIT 500")
+@query(f"SELECT 'Order:' || o_orderkey AS id FROM (SELECT o_orderkey, (o_orderkey % {sampling.MODULUS})::BIGINT AS k FROM orders) ORDER BY {_HASH}, 1 LIMIT 500")
 def hub_sample(spark, sf_dir):
     """The nodes that a sampled hub check looks at: those of the smallest ranks."""
     return sampling.bottom_k(load_graph(spark, sf_dir).nodes("Order", ["o_orderkey"]), F.col("o_orderkey"), 500, 42).select("id")
 
 
-_SAMPLED = f"(SELECT c_custkey, count(o_orderkey) AS degree FROM (SELECT c_custkey FROM (SELECT c_custkey, (c_custkey % {sampling.MODULUS})::BIGINT AS k FROM customer) ORDER BY {_HASH}, 'Customer:' || c_custkey LIMIT 100) LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"
+_SAMPLED = f"(SELECT c_custkey, count(o_orderkey) AS degree FROM (SELECT c_custkey FROM (SELECT c_custkey, (c_custkey % {sampling.MODULUS})::BIGINT AS k FROM customer) WHERE {_GATE} < least({sampling.MODULUS}, ceil({sampling.MODULUS}::DOUBLE * 100 * 32 / (SELECT count(*) FROM customer))) ORDER BY {_HASH}, 'Customer:' || c_custkey LIMIT 100) LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"
 
 
 @query(f"WITH s AS (SELECT avg(degree) AS m, stddev_pop(degree) AS d FROM {_SAMPLED}) SELECT (SELECT count(*) FROM customer) AS population, 100::BIGINT AS sample_size, (SELECT count(*) FROM {_SAMPLED}, s WHERE d > 0 AND degree > m + 1.5 * d) AS violation_count, round(m, 6) AS mean_degree, round(d, 6) AS degree_stddev FROM s")
@@ -442,9 +447,102 @@ def profile_coverage_rels(spark, sf_dir):
     return profiler.coverage_frame(load_graph(spark, sf_dir), "relationship")
 
 
-@query("SELECT column_name AS property, CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'INTEGER' WHEN column_type = 'DOUBLE' THEN 'FLOAT' WHEN column_type = 'VARCHAR' THEN 'STRING' WHEN column_type LIKE 'TIMESTAMP%' THEN 'DATETIME' ELSE column_type END AS type FROM (DESCRIBE customer)")
+_TYPE_NAMES = "CASE typeof({c}) WHEN 'BIGINT' THEN 'INTEGER' WHEN 'INTEGER' THEN 'INTEGER' WHEN 'DOUBLE' THEN 'FLOAT' WHEN 'VARCHAR' THEN 'STRING' ELSE 'DateTime' END"
+_MIXED = "(SELECT CASE p_size % 4 WHEN 0 THEN 'INTEGER' WHEN 1 THEN 'FLOAT' WHEN 2 THEN 'STRING' END AS type, CASE p_size % 4 WHEN 0 THEN p_size % 3 WHEN 1 THEN p_size % 3 END AS number, CASE p_size % 4 WHEN 2 THEN p_brand END AS word FROM part)"
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Parts with a property of mixed types: whole numbers, the same as floats, brands, or nothing."""
+    size = F.col("p_size")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.concat(F.lit("Thing:"), F.col("p_partkey").cast("string")).alias("id"), "p_name",
+        F.when(size % 4 == 0, (size % 3).cast("long").cast("variant")).when(size % 4 == 1, (size % 3).cast("double").cast("variant")).when(size % 4 == 2, F.col("p_brand").cast("variant")).alias("mixed"),
+    )
+    return PropertyGraph(spark, [NodeSet(("Thing",), rows)], [])
+
+
+@query(" UNION ALL ".join(
+    [f"SELECT '{label}' AS label, '{c}' AS property, max({_TYPE_NAMES.format(c=c)}) AS type FROM {table} WHERE {c} IS NOT NULL" for label, (table, names) in {"Customer": ("customer", _COLUMNS["customer"]), "Order": ("orders", _COLUMNS["orders"])}.items() for c in names.split()]
+    + ["SELECT 'Thing', 'p_name', max('STRING') FROM part WHERE p_name IS NOT NULL", f"SELECT 'Thing', 'mixed', string_agg(DISTINCT type, ' | ' ORDER BY type) FROM {_MIXED}"]
+))
 def profile_property_types(spark, sf_dir):
-    return spark.createDataFrame(sorted(profiler.property_types(load_graph(spark, sf_dir), "Customer").items()), "property string, type string")
+    """Types that the values have, of plain columns and of one whose values have several."""
+    graph = load_graph(spark, sf_dir)
+    frames = [profiler.observed_types(graph, "Customer"), profiler.observed_types(graph, "Order"), profiler.observed_types(_mixed(spark, sf_dir), "Thing")]
+    found = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return found.select("label", "property", F.array_join("types", " | ").alias("type"))
+
+
+@query(f"SELECT count(type) AS population, count(*) FILTER (type IS NOT NULL AND coalesce(number NOT IN (1), word NOT IN ('Brand#11', 'Brand#23'))) AS violation_count FROM {_MIXED}")
+def value_in_set_variant(spark, sf_dir):
+    """1 and 1.0 are one value, '1' is another."""
+    return _summary(c.value_in_set(_mixed(spark, sf_dir), "Thing", "mixed", [1, "1", "Brand#11", "Brand#23", True]))
+
+
+@query(f"SELECT coalesce(sum(n), 0)::BIGINT AS population, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS violation_count FROM (SELECT count(*) AS n FROM {_MIXED} WHERE type IS NOT NULL GROUP BY number, word)")
+def uniqueness_variant(spark, sf_dir):
+    return _summary(c.uniqueness(_mixed(spark, sf_dir), "Thing", "mixed"))
+
+
+_KEYS = {"customer": "c_custkey", "nation": "n_nationkey", "order": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey", "message": "conv_id, turn", "document": "doc_id", "event": "event_id"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}_key' AS name, sum(n)::BIGINT AS elements, coalesce(sum(n) FILTER (n > 1 OR lost), 0)::BIGINT AS broken FROM (SELECT {keys}, count(*) AS n, {' OR '.join(f'{k} IS NULL' for k in keys.split(', '))} AS lost FROM {({'order': 'orders', 'message': 'conversations', 'document': 'documents', 'event': 'events'}).get(name, name)} GROUP BY {keys})" for name, keys in _KEYS.items()))
+def constraints_kept(spark, sf_dir):
+    """The keys that the tables declare, and how many nodes break them."""
+    graph = load_graph(spark, sf_dir)
+    return catalogue.kept(graph, [x for x in catalogue.declared(graph) if x["name"].removesuffix("_key") in _KEYS])
+
+
+@query("WITH a AS (SELECT s_name AS name, 'nation ' || s_nationkey AS type FROM supplier WHERE s_suppkey % 10 <> 3), b AS (SELECT s_name AS name, 'nation ' || (s_nationkey + CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END) AS type FROM supplier WHERE s_suppkey % 10 <> 7) SELECT *, 'removed' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'added' FROM (FROM b EXCEPT FROM a)")
+def diff_definitions(spark, sf_dir):
+    """Suppliers as definitions, of which some were dropped, some came and some changed their type."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    kind = lambda nation: F.concat(F.lit("nation "), nation.cast("string")).alias("type")
+    nation = F.col("s_nationkey")
+    before = rows.where("s_suppkey % 10 <> 3").select(F.col("s_name").alias("name"), kind(nation))
+    return diff.definition_diff(before, rows.where("s_suppkey % 10 <> 7").select(F.col("s_name").alias("name"), kind(nation + F.when(F.col("s_acctbal") < 0, 1).otherwise(0))))
+
+
+#: Metrics of a run and their values in an earlier profile.
+_DRIFTS = {
+    "customers": ("node_count", {"label": "Customer"}, 1_400), "orders": ("node_count", {"label": "Order"}, 15_500), "toxic": ("node_count", {"label": "Toxic"}, 50), "placed": ("relationship_count", {"type": "PLACED"}, 15_000),
+    "lines": ("relationship_count", {"type": "CONTAINS"}, 60_000), "balances": ("property_coverage", {"label": "Customer", "property": "c_acctbal"}, 99.5), "segments": ("property_coverage", {"label": "Customer", "property": "c_mktsegment"}, 100.0), "judged": ("property_coverage", {"label": "Document", "property": "quality"}, 40.0),
+    "discounts": ("property_coverage", {"type": "CONTAINS", "property": "l_discount"}, 0.0),
+}
+_CURRENT = {
+    "customers": "(SELECT count(*) FROM customer)", "orders": "(SELECT count(*) FROM orders)", "toxic": f"(SELECT count(*) FROM {DOCS} WHERE toxic = 1)", "placed": "(SELECT count(*) FROM orders)", "lines": "(SELECT count(*) FROM lineitem)", "balances": "(SELECT 100.0 * count(c_acctbal) / count(*) FROM customer)",
+    "segments": "(SELECT 100.0 * count(c_mktsegment) / count(*) FROM customer)", "judged": f"(SELECT 100.0 * count(quality) / count(*) FROM {DOCS})", "discounts": "(SELECT 100.0 * count(l_discount) / count(*) FROM lineitem)",
+}
+
+
+@query("SELECT target, current, baseline, current - baseline AS delta, CASE WHEN baseline <> 0 THEN round(100.0 * (current - baseline) / baseline, 6) END AS change_pct FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS target, {sql}::DOUBLE AS current, {_DRIFTS[k][2]}::DOUBLE AS baseline" for k, sql in _CURRENT.items()) + ")")
+def drift_of_a_run(spark, sf_dir):
+    """Nine metrics over a written baseline: one aggregation for each table, joined to the baseline by target."""
+    written: dict = {}
+    for metric, target, value in _DRIFTS.values():
+        written.setdefault(metric, {})[baseline.target_key(target)] = value
+    known = json.loads(json.dumps(written))
+    asks = {k: (metric, target) for k, (metric, target, _) in _DRIFTS.items()}
+    found = drift.against(drift.measure(load_graph(spark, sf_dir), asks), [baseline.require(known, *ask) for ask in asks.values()])
+    return found.select(F.element_at(F.array(*map(F.lit, asks)), F.col("number") + 1).alias("target"), "current", "baseline", "delta", F.round("change_pct", 6).alias("change_pct"))
+
+
+@query(f"SELECT 'cardinality' AS what, count(*) AS population, count(*) FILTER (degree <> 10) AS violation_count FROM {DEGREES} UNION ALL SELECT 'orphans', count(*), count(*) FILTER (degree = 0) FROM {DEGREES} UNION ALL SELECT 'hubs', count(*), count(*) FILTER (degree > (SELECT avg(degree) + 2 * stddev_pop(degree) FROM {DEGREES})) FROM {DEGREES}")
+def degrees_shared(spark, sf_dir):
+    """Three checks over one relationship type, read off one histogram of degrees."""
+    graph = load_graph(spark, sf_dir)
+    plans = {"cardinality": c.cardinality(graph, "Customer", "PLACED", "Order", "out", 10), "orphans": c.no_orphans(graph, "Customer", "PLACED", "out"), "hubs": c.hub_outlier(graph, "Customer", "PLACED", "out", 2.0)}
+    found = SharedDegrees(graph, {k: p.degrees for k, p in plans.items()}).frame()
+    return found.select(F.element_at(F.array(*map(F.lit, plans)), F.col("number") + 1).alias("what"), "population", "violation_count")
+
+
+@query(f"SELECT 'Customer' AS label, (SELECT count(*) FROM customer) AS population, 'sampled' AS decision UNION ALL SELECT 'Order', (SELECT count(*) FROM orders), CASE WHEN (SELECT count(*) FROM orders) <= 1000 THEN 'exact' ELSE 'sampled' END UNION ALL SELECT 'Nation', (SELECT count(*) FROM nation), 'exact' UNION ALL SELECT 'Toxic', (SELECT count(*) FROM {DOCS} WHERE toxic = 1), CASE WHEN (SELECT count(*) FROM {DOCS} WHERE toxic = 1) <= 1000 THEN 'exact' ELSE 'sampled' END")
+def preflight_population(spark, sf_dir):
+    """Populations before a plan is chosen: of stored tables from their footers, of other labels by a count."""
+    graph = load_graph(spark, sf_dir)
+    found = [(x, graph.population(x), sampling.decide(graph.population(x), 100, 100 if x == "Customer" else 1_000)) for x in ("Customer", "Order", "Nation", "Toxic")]
+    return spark.createDataFrame(found, "label string, population long, decision string")
 
 
 _BEFORE = "SELECT c_mktsegment AS name, count(*) AS count FROM customer WHERE c_acctbal > 0 GROUP BY 1"

@@ -20,7 +20,8 @@ from pellucid.graph import PropertyGraph
 from pellucid.operators import CHECKS
 from pellucid.operators import competency as comp
 from pellucid.plans import SharedScan
-from pellucid.plans.drift import drift_metric
+from pellucid.plans.degrees import SharedDegrees
+from pellucid.plans.drift import SharedDrift, drift_metric
 from pellucid.plans.pii import DEFAULT_SAMPLE, PiiPlan
 from pellucid.sources.suites import Competency, Conformance, Drift, LoadedCheck, Suite
 from pellucid.sqlguard import require_read_only
@@ -70,18 +71,18 @@ def run_suites(graph: PropertyGraph, suites: Iterable[Suite], options: Options |
     suites that could not be loaded (broken: why). Predicate checks over one table share a scan.
     """
     options = options or Options()
-    suites, began = list(suites), _now()
+    suites, began, run_id = list(suites), _now(), f"run_{uuid.uuid4().hex[:12]}"
     ids = [s.id for s in suites]
     if twice := sorted({i for i in ids if ids.count(i) > 1}):
-        return _results(graph, suites, [], options, began, "failed", error={"code": "engine.duplicate_suite", "message": f"suites stand twice: {', '.join(twice)}"})
+        return _results(graph, suites, [], options, began, run_id, "failed", error={"code": "engine.duplicate_suite", "message": f"suites stand twice: {', '.join(twice)}"})
     probed = time.monotonic()
     try:
         graph.counts()
     except Exception as e:
-        return _results(None, suites, [], options, began, "failed", error={"code": getattr(e, "code", "engine.target_missing"), "message": str(e).splitlines()[0]})
+        return _results(None, suites, [], options, began, run_id, "failed", error={"code": getattr(e, "code", "engine.target_missing"), "message": str(e).splitlines()[0]})
     state = _Run(graph, options, options.clock() + options.wall_seconds, list(broken))
     tasks = [(s, c) for s in suites for c in s.checks if not options.tags or set(options.tags) & set(c.tags)]
-    state.log = EventLog(f"run_{uuid.uuid4().hex[:12]}", options.events)
+    state.log = EventLog(run_id, options.events)
     state.log.emit("run_started", selected=len(tasks))
     state.log.emit("probe_finished", ms=round(1000 * (time.monotonic() - probed)))
     if not options.fail_fast:  # a run that may stop early computes nothing ahead
@@ -101,22 +102,46 @@ def run_suites(graph: PropertyGraph, suites: Iterable[Suite], options: Options |
                 break
     queries, verdicts = state.log.queries(), Counter(c["verdict"] for c in found)
     state.log.emit("run_finished", queries=len(queries), query_ms=sum(e["ms"] for e in queries), verdicts=dict(verdicts))
-    return _results(graph, suites, found, options, began, "partial" if state.partial else "complete", reason="; ".join(dict.fromkeys(state.partial)) or None)
+    return _results(graph, suites, found, options, began, run_id, "partial" if state.partial else "complete", reason="; ".join(dict.fromkeys(state.partial)) or None)
 
 
 def _shared_scans(state: _Run, tasks: list) -> dict:
-    """The scan that a check shares with others, by suite and check id; only plans of two checks and more over one base."""
+    """What a check shares with others, by suite and check id: a scan of one base, a table of degrees, the drift measures of all."""
     bases: dict[tuple, dict] = {}
+    asks: dict[tuple, dict] = {}
+    drifts: dict[tuple, tuple] = {}
     for suite, check in tasks:
-        if check.generated or not isinstance(check.spec, Conformance) or CHECKS[check.spec.check].sampled or not all(state.graph.capabilities.get(c) for c in CHECKS[check.spec.check].requires):
+        if check.generated:
+            continue
+        if isinstance(check.spec, Drift):
+            drifts[suite.id, check.id] = (check.spec.metric, check.spec.target)
+        if not isinstance(check.spec, Conformance) or CHECKS[check.spec.check].pack == "pii" or not all(state.graph.capabilities.get(c) for c in CHECKS[check.spec.check].requires):
             continue
         try:
-            plan = CHECKS[check.spec.check].plan(state.graph, **check.spec.with_)
+            plan = CHECKS[check.spec.check].plan(state.graph, **_arguments(state.graph, suite, check, state.options))
         except Exception:  # the check will say so itself
             continue
-        if plan.base_key is not None:
+        if plan.degrees is not None:
+            asks.setdefault(plan.degrees.key, {})[suite.id, check.id] = plan.degrees
+        elif plan.base_key is not None:
             bases.setdefault(plan.base_key, {})[suite.id, check.id] = plan
-    return {key: scan for plans in bases.values() if len(plans) > 1 for scan in [SharedScan(plans)] for key in plans}
+    shared = {key: scan for plans in bases.values() if len(plans) > 1 for scan in [SharedScan(plans)] for key in plans}
+    shared |= {key: table for own in asks.values() if len(own) > 1 for table in [SharedDegrees(state.graph, own)] for key in own}
+    measured = SharedDrift(state.graph, drifts)
+    return shared | dict.fromkeys(drifts, measured)
+
+
+def _arguments(graph: PropertyGraph, suite: Suite, check: LoadedCheck, options: Options) -> dict:
+    """What a check's plan is built from: what the suite gives, and for one that samples the merged policy and its own seed."""
+    given = dict(check.spec.with_)
+    if not CHECKS[check.spec.check].sampled:
+        return given
+    asked = given.pop("sample_size", None)
+    size = min(options.sample_size, asked if asked is not None else DEFAULT_SAMPLE)
+    sampled = {"sample_size": size, "seed": check_seed(options.seed, graph.fingerprint(), suite.sha, check.id)}
+    if check.spec.check == "hub_outlier":
+        sampled["exhaustive_limit"] = min(options.exhaustive_limit, asked) if asked is not None else options.exhaustive_limit
+    return given | sampled
 
 
 def _base(suite: Suite, check: LoadedCheck) -> dict:
@@ -181,21 +206,15 @@ def evaluate(graph: PropertyGraph, suite: Suite, check: LoadedCheck, options: Op
     if isinstance(check.spec, Conformance):
         passed, rest = _conformance(graph, suite, check, options, (shared or {}).get((suite.id, check.id)))
     else:
-        passed, rest = (_competency if isinstance(check.spec, Competency) else _drift)(graph, suite, check, options)
+        passed, rest = _competency(graph, suite, check, options) if isinstance(check.spec, Competency) else _drift(graph, suite, check, options, (shared or {}).get((suite.id, check.id)))
     return rest | {"verdict": _verdict(passed, check.severity)}
 
 
 def _conformance(graph, suite, check, options, scan=None):
     spec, entry = check.spec, CHECKS[check.spec.check]
-    given, sampled = dict(spec.with_), {}
-    if entry.sampled:
-        asked = given.pop("sample_size", None)
-        size = min(options.sample_size, asked if asked is not None else DEFAULT_SAMPLE)
-        sampled = {"sample_size": size, "seed": check_seed(options.seed, graph.fingerprint(), suite.sha, check.id)}
-        if spec.check == "hub_outlier":
-            sampled["exhaustive_limit"] = min(options.exhaustive_limit, asked) if asked is not None else options.exhaustive_limit
+    given = _arguments(graph, suite, check, options)
     try:
-        plan = entry.plan(graph, **given, **sampled)
+        plan = entry.plan(graph, **given)
     except SchemaReferenceMissing:
         if not graph.is_empty():
             raise
@@ -208,10 +227,13 @@ def _conformance(graph, suite, check, options, scan=None):
     if spec.check == "completeness":
         threshold = given.get("threshold", 1.0)
         passed, expected, measured = row["coverage"] >= threshold, {"threshold": threshold}, {"coverage": row["coverage"], "population": population, "violations": bad}
-    out = {"params": given | sampled, "measured": measured, "expected": expected}
+    out = {"params": given, "measured": measured, "expected": expected}
     size = row.get("sample_size")
-    if size is not None and not (bad <= size <= population and (size > 0 or population == 0)):
-        raise CheckError("engine.invalid_query_result", f"{bad} violations, {size} sampled, {population} in all")
+    if size is not None:
+        wanted = min(population, given.get("sample_size", population))
+        exact = size == population if plan.degrees is not None else size <= max(wanted, 0)
+        if not (0 <= bad <= size <= population and (size > 0 or population == 0) and exact):
+            raise CheckError("engine.invalid_query_result", f"{bad} violations, {size} sampled of {wanted} wanted, {population} in all")
     if size is not None and 0 < size < population:
         out["estimate"] = wilson(bad, size, population)
     if isinstance(plan, PiiPlan) and bad:
@@ -251,14 +273,15 @@ def _competency(graph, suite, check, options):
     return found.passed, out
 
 
-def _drift(graph, suite, check, options):
+def _drift(graph, suite, check, options, measured=None):
     spec = check.spec
     bl.check_tolerance(spec.tolerance)
     source = options.baselines
     base = source.resolve(spec.baseline) if hasattr(source, "resolve") else source.get(spec.baseline, source if "statistics" in source or spec.metric in source else None) if isinstance(source, dict) else source
     before = bl.require(base, spec.metric, spec.target)
     plan = drift_metric(graph, spec.metric, spec.target)
-    now = timed(plan.summary.first)["current"]
+    row = None if measured is None else timed(lambda: measured.row((suite.id, check.id)))
+    now = (timed(plan.summary.first) if row is None else row)["current"]
     if spec.metric == "property_coverage" and not (0 <= now <= 100 and 0 <= before <= 100):
         raise CheckError("engine.baseline_invalid", "coverage is a percentage")
     broken = bl.within(spec.tolerance, now, before)
@@ -271,12 +294,12 @@ def _drift(graph, suite, check, options):
     return not broken, out
 
 
-def _results(graph, suites, checks, options, began, status, reason=None, error=None) -> dict:
+def _results(graph, suites, checks, options, began, run_id, status, reason=None, error=None) -> dict:
     code = scoring.exit_code(checks, status)
     return {
         "schema_version": SCHEMA_VERSION,
         "run": {
-            "id": f"run_{uuid.uuid4().hex[:12]}", "started_at": began, "finished_at": _now(), "version": VERSION, "pack_version": VERSION, "status": status, "partial_reason": reason, "exit_code": code,
+            "id": run_id, "started_at": began, "finished_at": _now(), "version": VERSION, "pack_version": VERSION, "status": status, "partial_reason": reason, "exit_code": code,
             "selection": {"suites": [s.id for s in suites], "tags": list(options.tags), "fail_fast": options.fail_fast}, "redaction": {"policy": "none", "applied": False}, "target": graph.target() if graph is not None and status != "failed" else None, "error": error,
         },
         "score": {"value": scoring.score(checks).value, "method": "weighted-by-severity", "weights": dict(scoring.WEIGHTS)},

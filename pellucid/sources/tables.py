@@ -40,10 +40,13 @@ def load_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
         return read
 
+    def at(name):
+        return f"{sf_dir}/{name}.parquet"
+
     region, nation, customer, supplier, part, orders, lineitem, events, pages, conv = map(t, "region nation customer supplier part orders lineitem events pages conversations".split())
 
-    def docs():
-        rows = t("documents")().join(t("labels")(), "doc_id", "left")
+    def judged(docs):
+        rows = docs.join(t("labels")(), "doc_id", "left")
         return rows.withColumn("labels", F.filter(F.array(F.when(F.col("quality") == 1, F.lit("Quality")), F.when(F.col("toxic") == 1, F.lit("Toxic"))), lambda x: x.isNotNull()))
 
     def items():
@@ -57,9 +60,9 @@ def load_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
     line_keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     nodes = [
-        _nodes("Region", region, "r_regionkey"), _nodes("Nation", nation, "n_nationkey"), _nodes("Customer", customer, "c_custkey"), _nodes("Supplier", supplier, "s_suppkey"), _nodes("Part", part, "p_partkey"),
-        _nodes("Order", orders, "o_orderkey"), _nodes("LineItem", items, *line_keys), _nodes("User", lambda: events().select("user_id").distinct(), "user_id"), _nodes("Event", events, "event_id"),
-        _nodes("Document", docs, "doc_id", optional=("Quality", "Toxic")), _nodes("Page", pages, "page_id"), _nodes("Conversation", lambda: conv().select("conv_id").distinct(), "conv_id"), _nodes("Message", conv, "conv_id", "turn"),
+        _nodes("Region", region, "r_regionkey", stored=at("region")), _nodes("Nation", nation, "n_nationkey", stored=at("nation")), _nodes("Customer", customer, "c_custkey", stored=at("customer")), _nodes("Supplier", supplier, "s_suppkey", stored=at("supplier")), _nodes("Part", part, "p_partkey", stored=at("part")),
+        _nodes("Order", orders, "o_orderkey", stored=at("orders")), _nodes("LineItem", items, *line_keys), _nodes("User", lambda: events().select("user_id").distinct(), "user_id"), _nodes("Event", events, "event_id", stored=at("events")),
+        _nodes("Document", t("documents"), "doc_id", optional=("Quality", "Toxic"), beside=judged, beside_columns=("quality", "toxic"), stored=at("documents")), _nodes("Page", pages, "page_id", stored=at("pages")), _nodes("Conversation", lambda: conv().select("conv_id").distinct(), "conv_id"), _nodes("Message", conv, "conv_id", "turn", stored=at("conversations")),
     ]
     rels = [
         _rels("IN_REGION", nation, ("n_nationkey", "n_regionkey"), _id("Nation", "n_nationkey"), _id("Region", "n_regionkey")),

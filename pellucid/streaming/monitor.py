@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import threading
 import time
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +25,14 @@ class Metrics:
     connected: int = 0
     failures: int = 0
     last_ok: float = 0.0
-    durations: list[float] = field(default_factory=list)
+    #: Durations up to each bound and beyond all, and their sum: nothing grows with the time that it runs.
+    buckets: list[int] = field(default_factory=lambda: [0] * (len(_BOUNDS) + 1))
+    seconds: float = 0.0
 
     def record(self, ok: bool, seconds: float, now: float | None = None) -> None:
         self.connected = int(ok)
-        self.durations.append(seconds)
+        self.buckets[bisect_left(_BOUNDS, seconds)] += 1
+        self.seconds += seconds
         if ok:
             self.last_ok = time.time() if now is None else now
         else:
@@ -35,8 +40,9 @@ class Metrics:
 
     def text(self) -> str:
         lines = [f"graph_up {self.up}", f"graph_connected {self.connected}", f"graph_health_failures_total {self.failures}", f"graph_last_success_timestamp_seconds {self.last_ok}"]
-        lines += [f'graph_health_duration_seconds_bucket{{le="{b:g}"}} {sum(d <= b for d in self.durations)}' for b in _BOUNDS]
-        lines += [f'graph_health_duration_seconds_bucket{{le="+Inf"}} {len(self.durations)}', f"graph_health_duration_seconds_sum {sum(self.durations)}", f"graph_health_duration_seconds_count {len(self.durations)}"]
+        upto = list(accumulate(self.buckets))
+        lines += [f'graph_health_duration_seconds_bucket{{le="{b:g}"}} {n}' for b, n in zip(_BOUNDS, upto)]
+        lines += [f'graph_health_duration_seconds_bucket{{le="+Inf"}} {upto[-1]}', f"graph_health_duration_seconds_sum {self.seconds}", f"graph_health_duration_seconds_count {upto[-1]}"]
         return "\n".join(lines) + "\n"
 
 
