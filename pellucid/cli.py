@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> int:
     command("monitor", data, (("--rounds",), {"type": int, "default": 1}), (("--interval",), {"type": float, "default": 15.0}))
     command("baseline", (("name",), {}), folder("--baselines", "baselines"))
     command("diff", folder("--baselines", "baselines"), (("--from",), {"dest": "a"}), (("--to",), {"dest": "b"}), (("--json",), {"action": "store_true"}))
-    command("run", data, folder("--checks", "checks"), folder("--runs", "runs"), folder("--baselines", "baselines"), (("--select",), {}), (("--suite",), {}), (("--fail-fast",), {"action": "store_true"}), (("--seed",), {"default": 0}), (("--concurrency",), {"type": int, "default": 1}))
+    command("run", data, folder("--checks", "checks"), folder("--runs", "runs"), folder("--baselines", "baselines"), (("--packs",), {"help": "folder of pack manifests"}), (("--select",), {}), (("--suite",), {}), (("--fail-fast",), {"action": "store_true"}), (("--seed",), {"default": 0}), (("--concurrency",), {"type": int, "default": 1}))
     command("report", folder("--runs", "runs"), (("run",), {}), (("--failures-only",), {"action": "store_true"}))
     command("redact", folder("--runs", "runs"), (("run",), {}))
     command("serve", data, folder("--checks", "checks"), folder("--runs", "runs"))
@@ -125,6 +125,10 @@ def _run(args) -> int:
     from pellucid.runner import Options, run_suites
     from pellucid.sources.suites import load_what_can_be, parse_selector
 
+    if args.packs:
+        from pellucid.packs import load_packs
+
+        load_packs(args.packs)
     tag = parse_selector(args.select) if args.select else None
     suites, broken = load_what_can_be(args.checks, args.suite)
     results = run_suites(_graph(args), suites, Options(tags=(tag,) if tag else (), fail_fast=args.fail_fast, seed=args.seed, concurrency=args.concurrency, baselines=Snapshots(args.baselines)), broken)

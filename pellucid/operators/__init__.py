@@ -21,6 +21,8 @@ class Check:
     requires: tuple[str, ...] = ("read",)
     sampled: bool = False
     elements: str = "node"
+    #: The engine's own check that it runs; packs give it other names.
+    runs: str = ""
 
     def validate(self, given: dict) -> None:
         known = inspect.signature(self.plan).parameters
@@ -38,7 +40,7 @@ def register(name: str, plan: Callable, **more) -> None:
     """Adds a check; a name that is taken is an error."""
     if name in CHECKS:
         raise CheckError("packs.runtime_mismatch", f"the check {name} is there already")
-    CHECKS[name] = Check(name, plan, **more)
+    CHECKS[name] = Check(name, plan, **{"runs": name} | more)
 
 
 for _f in (c.completeness, c.cardinality, c.no_orphans, c.property_type, c.property_format, c.value_in_set, c.uniqueness, c.label_cooccurrence, c.temporal_sanity):

@@ -51,6 +51,9 @@ VALUE_PATTERNS = {
     "credit_card": (r"^(?:\d[ -]*?){13,19}$", "luhn"),
 }
 
+#: Tests of check digits that patterns may name.
+CHECK_DIGITS = {"luhn": luhn_ok, "verhoeff": verhoeff_ok}
+
 
 @dataclass
 class PiiPlan(CheckPlan):
@@ -183,7 +186,7 @@ def value_test(col: Column, name: str) -> Column:
     """Whole match of a pattern, decimal digits of any script included, and its check digit over ASCII digits."""
     regex, checksum = VALUE_PATTERNS[name]
     test = col.rlike(rf"(?U)\A(?:{regex.removeprefix('^').removesuffix('$')})\z")
-    extra = {"luhn": luhn_ok, "verhoeff": verhoeff_ok}.get(checksum)
+    extra = CHECK_DIGITS.get(checksum)
     return F.coalesce(test & extra(col) if extra else test, F.lit(False))
 
 

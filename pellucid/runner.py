@@ -139,7 +139,7 @@ def _arguments(graph: PropertyGraph, suite: Suite, check: LoadedCheck, options:
     asked = given.pop("sample_size", None)
     size = min(options.sample_size, asked if asked is not None else DEFAULT_SAMPLE)
     sampled = {"sample_size": size, "seed": check_seed(options.seed, graph.fingerprint(), suite.sha, check.id)}
-    if check.spec.check == "hub_outlier":
+    if CHECKS[check.spec.check].runs == "hub_outlier":
         sampled["exhaustive_limit"] = min(options.exhaustive_limit, asked) if asked is not None else options.exhaustive_limit
     return given | sampled
 
@@ -224,7 +224,7 @@ def _conformance(graph, suite, check, options, scan=None):
     measured = {"population": population, "violations": bad, "violation_count": bad} | {k: row[k] for k in _EXTRA if k in row}
     expected = {"violations": 0}
     passed = bad == 0
-    if spec.check == "completeness":
+    if entry.runs == "completeness":
         threshold = given.get("threshold", 1.0)
         passed, expected, measured = row["coverage"] >= threshold, {"threshold": threshold}, {"coverage": row["coverage"], "population": population, "violations": bad}
     out = {"params": given, "measured": measured, "expected": expected}
