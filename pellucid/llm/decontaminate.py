@@ -24,8 +24,10 @@ SEED_WORDS, RARE_BITS, LEAST_SEEDS = 3, 18.0, 3
 MATCH, MISMATCH, GAP, LEAST_SHARE, LEAST_WORDS = 1, -1, -1, 0.5, 5
 #: Test items are taken in blocks of at most so many bytes of text; each block is broadcast for itself.
 BLOCK_BYTES = 16 << 20
-#: Words that the items of a block have on average (with repeats), and different words that it may not reach: three numbers below make a 64-bit key.
-BLOCK_WORDS, MOST_WORDS = 1 << 20, 1 << 21
+#: Words that the items of a block have on average (with repeats).
+BLOCK_WORDS = 1 << 20
+#: Multiplier of the keys of words in a row; a key that two runs of words share costs an alignment, never a leak.
+KEY = np.uint64(0x9E3779B97F4A7C15)
 #: Word pairs that a document shares with items are counted in parts of about so many.
 HITS_AT_ONCE = 1 << 20
 
@@ -66,7 +68,8 @@ class Items:
                 starts[item].append(p - offset)
         out = []
         for item, diagonals in starts.items():
-            best = max((self._align(item, own, a, b) for a, b in _windows(diagonals, len(self.words[item]), len(own))), default=None)
+            parts = [(a, b) for a, b in _windows(diagonals, len(self.words[item]), len(own)) if self._can(item, own[a:b])]
+            best = max((self._align(item, own, a, b) for a, b in parts), default=None)
             if best and best[0] >= self.least[item]:
                 out.append((item, best[0] / (len(self.words[item]) * MATCH), best[1], best[2]))
         return out
@@ -104,6 +107,16 @@ class Items:
                 starts[int(own_item)] += d[np.cumsum(mark[:-1]) > 0].tolist()
         return starts
 
+    def _can(self, item: int, part: np.ndarray) -> bool:
+        """Whether words in common, however ordered, could make the least score: a short text is never laid against a very long item."""
+        least = int(self.least[item])
+        if MATCH * min(len(part), len(self.words[item])) < least:
+            return False
+        words, n = np.unique(part[part >= 0], return_counts=True)
+        own, m = np.unique(self.words[item], return_counts=True)
+        _, i, j = np.intersect1d(words, own, assume_unique=True, return_indices=True)
+        return MATCH * int(np.minimum(n[i], m[j]).sum()) >= least
+
     def _align(self, item: int, own: np.ndarray, a: int, b: int) -> tuple[int, int, int]:
         score, first, after = smith_waterman(self.words[item], own[a:b])
         return score, a + first, a + after
@@ -126,12 +139,13 @@ def seed_keys(ids: np.ndarray, size: int = SEED_WORDS) -> np.ndarray:
     n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    key, known = np.zeros(n, np.int64), np.ones(n, bool)
+    key, known = np.zeros(n, np.uint64), np.ones(n, bool)
     for i in range(size):
         part = ids[i : i + n]
         known &= part >= 0
-        key = key * MOST_WORDS + part
-    return np.where(known, key, -1)
+        key = (key + part.astype(np.uint64) + np.uint64(1)) * KEY
+        key ^= key >> np.uint64(29)
+    return np.where(known, (key >> np.uint64(1)).astype(np.int64), -1)
 
 
 def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -180,8 +194,6 @@ def _block(docs: DataFrame, rows: list) -> Items:
     listed = [(r["item_id"], words_of(r["text"] or "")) for r in rows]
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in listed for w in ws}))}
     counts, total = _counts(docs, set(vocabulary))
-    if len(vocabulary) >= MOST_WORDS:
-        raise ValueError(f"a block of test items has {len(vocabulary)} different words, fewer than {MOST_WORDS} are needed")
     bits = np.zeros(len(vocabulary))
     for w, i in vocabulary.items():
         bits[i] = -np.log2((counts.get(w, 0) + 1) / (total + len(vocabulary) + 1))
@@ -212,7 +224,7 @@ def _block(docs: DataFrame, rows: list) -> Items:
 def blocks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     """Blocks of distinct test items, each small enough to broadcast (about BLOCK_BYTES of text and BLOCK_WORDS words)."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).distinct()
-    size, words = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.sum(F.size(F.split("text", r"\W+")))).first())
+    size, words = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit(r"(?U)\w+")))).first())
     n = max(size // BLOCK_BYTES, words // BLOCK_WORDS) + 1
     for i in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()

@@ -589,3 +589,18 @@ def test_empty_tables(spark):
         decontaminate.find_leaks(empty, bench), toxicity.score_toxicity(empty, toxicity.train(empty, labels)), score_quality(empty, train_quality(empty, labels)),
     ):
         assert out.count() == 0
+
+
+def test_decontamination_takes_items_of_any_size(spark):
+    rng = random.Random(8)
+    giant = " ".join(f"w{i}" for i in range(2_200_000))
+    many = [(i, prose(rng, rng.randint(3, 9))) for i in range(10, 3_010)]
+    leak = prose(rng, 30)
+    docs = spark.createDataFrame([(1, "w1 w2 w3 w4 and nothing more of it"), (2, f"{prose(rng, 20)} {leak} {prose(rng, 5)}"), (3, None), (4, " ".join(f"w{i}" for i in range(500, 900)))], "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame([(1, giant), (2, leak)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(2, 2)}
+    some = decontaminate.find_leaks(docs, spark.createDataFrame([*many, (2, leak)], "item_id long, text string")).collect()
+    assert (2, 2) in {(r["doc_id"], r["item_id"]) for r in some}
+    words = np.array([0, 1, 2, 0, 1, 2, -1, 2**22, 5])
+    keys = decontaminate.seed_keys(words)
+    assert keys[0] == keys[3] != keys[1] and (keys[4:7] == -1).all() and len(decontaminate.seed_keys(words, 2)) == 8
