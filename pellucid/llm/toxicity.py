@@ -25,7 +25,8 @@ EXCEPTIONS = ("trash can", "trash bin", "sore loser rule", "clown fish", "rodeo
 SEED_WEIGHT, DEFAULT_FIT = 4.0, (-3.0, 2.0, 0.2)
 #: Learning: rows at most, least evidence (log-likelihood ratio in nats), least share of toxic documents.
 SAMPLE_ROWS, LEAST_EVIDENCE, LEAST_RATE = 16_000, 14.0, 0.5
-PREFIXES = range(4, 9)
+#: Letters of a word start that is learnt, and different toxic words that it must have: one word alone says nothing of its relatives.
+PREFIXES, KINDRED = range(5, 9), 3
 
 # Look-alikes: Cyrillic and Greek letters by the Latin letter that they resemble, digits and signs by the letter they stand for.
 _LOOKS = {
@@ -150,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """Learns weights from at most sample_rows labelled documents (a fixed bound; smallest id hashes).
 
     Near copies count once: else a word of one toxic text that was copied often would look toxic itself.
-    Words and word starts of any length are counted by toxic and other documents where the texts lie; all
-    entries whose evidence passes the threshold come to the driver. Each of them stands in several toxic rows
+    Words of any length, and word starts that several different words of toxic texts have, are counted by toxic
+    and other documents where the texts lie; all entries whose evidence passes the threshold come to the driver. Each of them stands in several toxic rows
     of the sample, so the sample's bound is theirs too, however large the corpus. Phrases around hits in
     documents that are not toxic become exceptions. The score's curve over the length-normalised sum is
     fitted by logistic regression on the sample. Without labels the seeds and a fixed curve hold.
@@ -188,9 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("t") / F.col("n")))
     evidence = F.col("t") * F.log(p / base) + (F.col("n") - F.col("t")) * F.log((1 - p) / (1 - base))
+    counted = rows.mapInArrow(count, "pattern string, t long, n long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    # a start counts if several different words of toxic texts have it: one word alone says nothing of others
+    whole = F.col("pattern").endswith(" ")
+    each = F.array(*[F.when(F.char_length("pattern") > size + 2, F.substring("pattern", 1, size + 1)) for size in PREFIXES])
+    kindred = counted.where(whole & (F.col("t") > 0)).select(F.explode(F.array_compact(each)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("words"))
     found = (
-        rows.mapInArrow(count, "pattern string, t long, n long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-        .where(F.col("t") / F.col("n") >= LEAST_RATE).withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE).collect()
+        counted.join(kindred, "pattern", "left").where(whole | (F.col("words") >= KINDRED)).where(F.col("t") / F.col("n") >= LEAST_RATE).withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE).collect()
     )
     odds = (n - toxic) / toxic
     learnt = {r["pattern"]: math.log((r["t"] + 0.5) / (r["n"] - r["t"] + 0.5) * odds) for r in found}
