@@ -20,6 +20,8 @@ from pellucid.llm._common import local_path, pick, slices, texts, to_batch
 
 #: Pieces of the newer of the two generations of encodings that a worker keeps.
 KEPT_PIECES = 300_000
+#: Tested pairs of tokens that it keeps, across tasks.
+KEPT_FITS = 400_000
 
 
 class Vocabulary:
@@ -61,7 +63,7 @@ class Vocabulary:
         """
         known = self._fits.get(left << 32 | right)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > KEPT_FITS:
                 self._fits.clear()
             known = self._fits[left << 32 | right] = self._stay_apart(left, right)
         return known
