@@ -50,7 +50,10 @@ def main(argv: list[str] | None = None) -> int:
     command("baseline", (("name",), {}), folder("--baselines", "baselines"))
     command("diff", folder("--baselines", "baselines"), (("--from",), {"dest": "a"}), (("--to",), {"dest": "b"}), (("--json",), {"action": "store_true"}))
     command("run", data, folder("--checks", "checks"), folder("--runs", "runs"), folder("--baselines", "baselines"), (("--packs",), {"help": "folder of pack manifests"}), (("--select",), {}), (("--suite",), {}), (("--fail-fast",), {"action": "store_true"}), (("--seed",), {"default": 0}), (("--concurrency",), {"type": int, "default": 1}))
-    command("report", folder("--runs", "runs"), (("run",), {}), (("--failures-only",), {"action": "store_true"}))
+    command(
+        "report", folder("--runs", "runs"), (("run",), {"nargs": "*", "help": "run ids; none: the newest"}), (("--list",), {"action": "store_true"}), (("--failures-only",), {"action": "store_true"}),
+        (("--verdict",), {"action": "append", "choices": ("pass", "fail", "warn", "errored", "skipped")}), (("--json",), {"action": "store_true"}),
+    )
     command("redact", folder("--runs", "runs"), (("run",), {}))
     command("serve", data, folder("--checks", "checks"), folder("--runs", "runs"))
     args = top.parse_args(argv)
@@ -138,10 +141,24 @@ def _run(args) -> int:
 
 
 def _report(args) -> int:
-    from pellucid.history import Runs
-    from pellucid.report import FAILURES, html
-
-    print(html(Runs(args.runs).read(args.run), FAILURES if args.failures_only else None))
+    """A page for each run asked for; with --json the checks, worst first; with --list the stored runs."""
+    from pellucid.history import Runs, chosen_ids, listing
+    from pellucid.report import FAILURES, html, ordered
+
+    store = Runs(args.runs)
+    if args.list:
+        print(json.dumps(listing(store.all()), indent=2))
+        return 0
+    if not args.run:
+        newest = store.all()[:1]
+        if not newest:
+            raise CheckError("history.not_found", "no run is stored")
+        runs = newest
+    else:
+        runs = [store.read(x) for x in chosen_ids(args.run)]
+    verdicts = tuple(args.verdict) if args.verdict else FAILURES if args.failures_only else None
+    for results in runs:
+        print(json.dumps({"id": results["run"]["id"], "checks": ordered(results["checks"], verdicts)}, indent=2) if args.json else html(results, verdicts))
     return 0
 
 

@@ -23,7 +23,7 @@ from pellucid.plans import SharedScan
 from pellucid.plans.degrees import SharedDegrees
 from pellucid.plans.drift import SharedDrift, drift_metric
 from pellucid.plans.pii import DEFAULT_SAMPLE, PiiPlan
-from pellucid.sources.suites import Competency, Conformance, Drift, LoadedCheck, Suite
+from pellucid.sources.suites import Competency, Conformance, Drift, LoadedCheck, Suite, load_suite
 from pellucid.sqlguard import require_read_only
 
 VERSION, SCHEMA_VERSION = "0.1.0", "1.2"
@@ -105,6 +105,25 @@ def run_suites(graph: PropertyGraph, suites: Iterable[Suite], options: Options |
     return _results(graph, suites, found, options, began, run_id, "partial" if state.partial else "complete", reason="; ".join(dict.fromkeys(state.partial)) or None)
 
 
+def run_yaml(graph: PropertyGraph, text: str, options: Options | None = None) -> dict:
+    """Runs a suite that is given as YAML; one that does not load is a failed run, not an exception."""
+    try:
+        suite = load_suite(text)
+    except CheckError as e:
+        return _results(None, [], [], options or Options(), _now(), f"run_{uuid.uuid4().hex[:12]}", "failed", error={"code": e.code, "message": e.message})
+    return run_suites(graph, [suite], options)
+
+
+def compile_check(graph: PropertyGraph, suite: Suite, check: LoadedCheck, options: Options | None = None):
+    """What a check runs, without running it: a CheckPlan, or the DataFrame of a competency query."""
+    options = options or Options()
+    if isinstance(check.spec, Conformance):
+        return CHECKS[check.spec.check].plan(graph, **_arguments(graph, suite, check, options))
+    if isinstance(check.spec, Drift):
+        return drift_metric(graph, check.spec.metric, check.spec.target)
+    return _query(graph, check.spec, comp.bind(graph, check.spec.query, check.spec.params))
+
+
 def _shared_scans(state: _Run, tasks: list) -> dict:
     """What a check shares with others, by suite and check id: a scan of one base, a table of degrees, the drift measures of all."""
     bases: dict[tuple, dict] = {}
@@ -248,9 +267,8 @@ def _conformance(graph, suite, check, options, scan=None):
     return passed, out
 
 
-def _competency(graph, suite, check, options):
-    spec = check.spec
-    params = comp.bind(graph, spec.query, spec.params)
+def _query(graph: PropertyGraph, spec: Competency, params: dict):
+    """The result of a competency query, analysed but not run."""
     require_read_only(graph.spark, spec.query)
     graph.register_views(spec.query)
     try:
@@ -263,6 +281,13 @@ def _competency(graph, suite, check, options):
         if "UNBOUND_SQL_PARAMETER" in text:
             raise CheckError("engine.parameter_missing", text.splitlines()[0]) from None
         raise
+    return df
+
+
+def _competency(graph, suite, check, options):
+    spec = check.spec
+    params = comp.bind(graph, spec.query, spec.params)
+    df = _query(graph, spec, params)
     found = timed(lambda: comp.assess(df, spec.expect, options.row_ceiling, options.evidence_cap))
     out = {"compiled_query": spec.query, "params": params, "measured": found.measured, "expected": spec.expect.model_dump(exclude_none=True)}
     if not found.passed:
