@@ -33,7 +33,9 @@ class Check:
             raise CheckError("run.suite_invalid", f"{self.name} needs {', '.join(sorted(missing))}")
 
 
+#: Checks by the name that suites use, as packs declare them, and what packs may declare: the engine's own plans.
 CHECKS: dict[str, Check] = {}
+RUNTIMES: dict[str, Check] = {}
 
 
 def register(name: str, plan: Callable, **more) -> None:
@@ -44,9 +46,11 @@ def register(name: str, plan: Callable, **more) -> None:
 
 
 for _f in (c.completeness, c.cardinality, c.no_orphans, c.property_type, c.property_format, c.value_in_set, c.uniqueness, c.label_cooccurrence, c.temporal_sanity):
-    register(_f.__name__, _f)
-register("rel_direction", c.rel_direction, elements="rel")
-register("dangling_rels", c.dangling_rels, requires=("read", "store_consistency"), elements="rel")
-register("hub_outlier", c.hub_outlier, sampled=True)
-register("pii_name_match", p.pii_name_match, pack="pii", sampled=True)
-register("pii_value_match", p.pii_value_match, pack="pii", sampled=True)
+    RUNTIMES[_f.__name__] = Check(_f.__name__, _f, runs=_f.__name__)
+RUNTIMES["rel_direction"] = Check("rel_direction", c.rel_direction, elements="rel", runs="rel_direction")
+RUNTIMES["dangling_rels"] = Check("dangling_rels", c.dangling_rels, requires=("read", "store_consistency"), elements="rel", runs="dangling_rels")
+RUNTIMES["hub_outlier"] = Check("hub_outlier", c.hub_outlier, sampled=True, runs="hub_outlier")
+for _f in (p.pii_name_match, p.pii_value_match):
+    RUNTIMES[_f.__name__] = Check(_f.__name__, _f, pack="pii", sampled=True, runs=_f.__name__)
+
+import pellucid.packs  # noqa: E402, F401 - the built-in packs declare the checks above

@@ -290,11 +290,3 @@ def first_active(graph: PropertyGraph, label: str = "Customer") -> DataFrame:
     tests = [F.col("active").cast("boolean")] * ("active" in have) + [F.lower("status") == "active"] * ("status" in have)
     rows = graph.nodes(label, sorted(have & {"active", "status"}))
     return rows.where(F.coalesce(*tests, F.lit(True))).select("id").orderBy("id").limit(1)
-
-
-def _first_active_id(graph: PropertyGraph) -> str | None:
-    row = first_active(graph).first()
-    return None if row is None else row["id"]
-
-
-register_token("$first-active-customer", _first_active_id)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from importlib import resources
 from pathlib import Path
 from typing import Any, Literal
 
@@ -27,7 +28,7 @@ from pydantic import BaseModel, ConfigDict, Field, ValidationError
 
 from pellucid.errors import CheckError
 from pellucid.graph import PropertyGraph
-from pellucid.operators import CHECKS, Check, register
+from pellucid.operators import CHECKS, RUNTIMES, register
 from pellucid.operators import competency as comp
 from pellucid.plans import pii
 
@@ -89,8 +90,8 @@ def _first_active(graph: PropertyGraph, payload: FirstActive) -> str | None:
 
 #: What tokens of manifests may run, by name.
 TOKEN_RUNTIMES: dict[str, TokenRuntime] = {"first_active": TokenRuntime(FirstActive, _first_active)}
-#: Checks that manifests may run: the engine's own plans under their own names.
-RUNTIMES: dict[str, Check] = dict(CHECKS)
+#: Packs that come with the engine.
+BUILTIN = ("core", "pii")
 
 
 @dataclass
@@ -182,6 +183,13 @@ def load_pack(source: str | Path) -> Pack:
     return pack
 
 
+def load_builtin() -> None:
+    """The engine's own packs, from their manifests; once."""
+    for name in BUILTIN:
+        if name not in PACKS:
+            load_pack(resources.files("pellucid").joinpath(f"manifests/{name}.yml").read_text())
+
+
 def unload_pack(name: str) -> None:
     """Takes everything that a pack added away again."""
     pack = PACKS.pop(name)
@@ -197,3 +205,6 @@ def load_packs(folder: str | Path) -> list[Pack]:
 
 def listing(packs: Iterable[Pack] | None = None) -> list[dict]:
     return [{"pack": p.name, "version": p.version, "checks": p.checks, "patterns": sorted({*p.names, *p.values}), "tokens": p.tokens} for p in (PACKS.values() if packs is None else packs)]
+
+
+load_builtin()

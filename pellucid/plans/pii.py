@@ -23,33 +23,9 @@ ALL = sys.maxsize
 #: Occurrences that a task may hold while it looks for the smallest ranks.
 HEAP = 100_000
 
-# Property names by kind of personal data, compared whole and without regard to case.
-NAME_PATTERNS = {
-    "ssn": ("ssn", "social_security_number", "social_security"),
-    "dob": ("dob", "date_of_birth", "birth_date", "birthday"),
-    "email": ("email", "email_address", "e_mail"),
-    "phone": ("phone", "phone_number", "mobile", "mobile_number", "msisdn"),
-    "nric": ("nric", "national_registration_identity_card"),
-    "aadhaar": ("aadhaar", "aadhar", "aadhaar_number", "uidai"),
-    "address": ("address", "street_address", "mailing_address", "residential_address"),
-    "passport": ("passport", "passport_number"),
-    "credit_card": ("credit_card", "card_number", "pan", "payment_card"),
-    "tax_id": ("tax_id", "tin", "taxpayer_id"),
-    "driver_license": ("driver_license", "driving_license", "licence_number"),
-    "bank_account": ("bank_account", "account_number", "iban"),
-    "ip_address": ("ip", "ip_address", "ipv4", "ipv6"),
-    "geolocation": ("latitude", "longitude", "lat", "lon", "gps"),
-    "biometric": ("biometric", "fingerprint", "faceprint", "voiceprint"),
-}
-
-# Formats of string values, matched whole, with the check digit that some need.
-VALUE_PATTERNS = {
-    "email": (r"^[^@\s]+@[^@\s]+\.[^@\s]+$", None),
-    "e164_phone": (r"^\+[1-9]\d{1,14}$", None),
-    "nric": (r"^[STFGM]\d{7}[A-Z]$", None),
-    "aadhaar": (r"^\d{12}$", "verhoeff"),
-    "credit_card": (r"^(?:\d[ -]*?){13,19}$", "luhn"),
-}
+#: Property names by kind of personal data, and (format, check digits or None) of string values; packs fill both.
+NAME_PATTERNS: dict[str, tuple[str, ...]] = {}
+VALUE_PATTERNS: dict[str, tuple[str, str | None]] = {}
 
 #: Tests of check digits that patterns may name.
 CHECK_DIGITS = {"luhn": luhn_ok, "verhoeff": verhoeff_ok}
@@ -63,6 +39,8 @@ class PiiPlan(CheckPlan):
 
 
 def _chosen(patterns, known: dict) -> list[str]:
+    import pellucid.packs  # noqa: F401 - fills the patterns
+
     names = list(known) if patterns is None else list(patterns)
     if len(set(names)) != len(names) or patterns is not None and not names:
         raise CheckError("engine.invalid_check", "patterns must be a non-empty list without repeats")

@@ -20,6 +20,6 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     path = Path(tempfile.mkdtemp()) / "pellucid_core.zip"
     with zipfile.ZipFile(path, "w") as out:
-        for f in sorted(root.rglob("*.py")):
+        for f in sorted([*root.rglob("*.py"), *root.rglob("*.yml")]):
             out.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(path))
