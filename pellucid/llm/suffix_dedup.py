@@ -22,6 +22,8 @@ from pellucid.llm._common import Stored, pick, slices, to_batch
 LENGTH, GRAM = 100, 24
 #: Letters sorted at once; distinct units from which a place of the deal is dealt again by two more digests, and how often.
 SORTED_AT_ONCE, HOT_UNITS, ROUNDS = 2_000_000, 20_000, 4
+#: Single starts that a task deals out at once.
+SINGLES = 200_000
 #: Mark of a run that may repeat itself, above any number of starts.
 SELF = 1 << 31
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -181,6 +183,25 @@ def _divide(round_: int):
     return run
 
 
+def _singles(batches):
+    """Units of places that no deal has cooled (doc, th, text, units), start by start: the key is a digest of the 100 bytes, `uh` is another.
+
+    Equal strings then are equal units, which are settled in a stream; what is left has no equal anywhere.
+    """
+    for part in slices(batches):
+        keys, docs, ths, starts, data = [], [], [], [], []
+        for text, doc, th, units in zip(_bytes(part), part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()):
+            for u in units:
+                first = u["place"] >> 32
+                for start in range(first, first + (u["place"] & SELF - 1)):
+                    keys.append(xxhash.xxh3_64_intdigest(text[start : start + LENGTH], 7) - (1 << 63)), docs.append(doc), ths.append(th), starts.append(start), data.append(text)
+                if len(keys) > SINGLES:
+                    yield _collapsed(*(np.array(x, np.int64) for x in (keys, docs, ths, starts, [1] * len(keys))), data)
+                    keys, docs, ths, starts, data = [], [], [], [], []
+        if keys:
+            yield _collapsed(*(np.array(x, np.int64) for x in (keys, docs, ths, starts, [1] * len(keys))), data)
+
+
 def _collapsed(key: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray, n: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
     """Rows of UNIT; of equal units in one slice only the earliest counts on, later ones have ~place for place."""
     digest = xxhash.xxh3_64_intdigest
@@ -341,7 +362,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole. Other columns are not looked at, whatever their names; an empty table gives an empty result.
 
     A place of the deal with HOT_UNITS distinct units or more is dealt again by two more digests, its equal parts
-    collapse again, and so on for ROUNDS rounds.
+    collapse again, and so on for ROUNDS rounds. One that is hot still, as a string in very many surroundings may be, is
+    dealt by its single 100-byte strings, which a stream settles by digests: no task gathers it.
     """
     rows = pick(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("th"), "doc_id", F.col("text").cast("binary").alias("text"))
     plain = rows.select("doc", "th", "text")
@@ -357,16 +379,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     unit_sql = "key long, uh long, doc long, th long, place long"
     found = settled(plain.mapInArrow(_find_units, unit_sql), "suffix-settled")
-    gone, open_, stored = found.df.where("key is null").select("doc", "th", "place"), found.df.where("key is not null"), [found]
-    for round_ in range(1, ROUNDS + 1):
+    gone, open_ = found.df.where("key is null").select("doc", "th", "place"), found.df.where("key is not null")
+    for round_ in range(1, ROUNDS + 2):
         hot = Stored(open_.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_UNITS).select("key"), "suffix-hot")
-        stored.append(hot)
         if not hot.df.limit(1).count():
+            hot.drop()
             break
-        again = settled(with_texts(open_.join(hot.df, "key", "left_semi")).mapInArrow(_divide(round_), unit_sql), "suffix-settled")
-        stored.append(again)
+        last = round_ > ROUNDS
+        again = settled(with_texts(open_.join(hot.df, "key", "left_semi")).mapInArrow(_singles if last else _divide(round_), unit_sql), "suffix-settled")
         gone = gone.unionByName(again.df.where("key is null").select("doc", "th", "place"))
-        open_ = open_.join(hot.df, "key", "left_anti").unionByName(again.df.where("key is not null"))
+        open_ = open_.join(hot.df, "key", "left_anti")
+        if not last:
+            open_ = open_.unionByName(again.df.where("key is not null"))
     pieces = with_texts(open_).mapInArrow(_cut_out, SETTLED_SQL + ", data binary")
     runs = Stored(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_parts, RUN_SQL), "suffix-runs")
     listed = runs.df.unionByName(gone).groupBy("doc", "th").agg(F.collect_list("place").alias("runs"))

@@ -608,15 +608,30 @@ def test_decontamination_takes_items_of_any_size(spark):
 
 def test_a_word_start_needs_several_toxic_words(spark):
     rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("bdfgklmnprt") + rng.choice("aeiou") for _ in range(3)) for _ in range(4_000)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     stems = [f"zorg{a}{b}" for a in "aeiou" for b in ("n", "lo", "st", "rim")]
-    rows = [(i, f"{prose(rng, 30)} {'pathetic' if i % 4 == 1 else rng.choice(stems) if i % 4 == 0 else ''} {prose(rng, 20)}", int(i % 4 in (0, 1))) for i in range(600)]
+    rows = [(i, f"{say(30)} {'pathetic' if i % 4 == 1 else rng.choice(stems) if i % 4 == 0 else ''} {say(20)}", int(i % 4 in (0, 1))) for i in range(600)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     starts = [k for k in model.entries if not k.endswith(" ")]
     assert starts and all(k.startswith(" zorg") for k in starts) and " pathetic " in model.entries
-    said = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(spark.createDataFrame([(1, "We walked along the path through the wood."), (2, "worthwhile work for everyone"), (3, f"{prose(rng, 9)} zorgaximon {prose(rng, 9)}"), (4, f"{prose(rng, 9)} p4thetic")], "doc_id long, text string"), model).collect()}
+    said = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(spark.createDataFrame([(1, "We walked along the path through the wood."), (2, "worthwhile work for everyone"), (3, f"{say(9)} zorgaximon {say(9)}"), (4, f"{say(9)} p4thetic")], "doc_id long, text string"), model).collect()}
     assert said[1] < 0.5 and said[2] < 0.5 and said[3] >= 0.5 and said[4] >= 0.5
     # the learnt weights, from plain counts of one document for each text
     t, n = sum(y for _, x, y in rows if "pathetic" in x), sum("pathetic" in x for _, x, _ in rows)
     toxic = sum(y for *_, y in rows)
     assert model.entries[" pathetic "] == pytest.approx(math.log((t + 0.5) / (n - t + 0.5) * (len(rows) - toxic) / toxic), rel=0.2)
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_a_string_in_many_surroundings_is_settled_in_a_stream(spark, monkeypatch, rounds):
+    rng = random.Random(rounds)
+    common = prose(rng, 30)
+    rows = [(i, f"{prose(rng, 25)} {common[rng.randint(0, 9) :]} {prose(rng, 25)}") for i in range(120)] + [(500, "ab" * 150), (501, common), (502, None)]
+    monkeypatch.setattr(suffix_dedup, "HOT_UNITS", 8)
+    monkeypatch.setattr(suffix_dedup, "ROUNDS", rounds)
+    want = plain_repeats(dict(rows))
+    found = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in found} == want
+    assert sum(len(r["spans"]) for r in found) >= 120
