@@ -41,21 +41,23 @@ class _Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.one, self.two = [], []
+        self.both = np.zeros((1 << 12, 2), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
+        at = len(self)
+        if at == len(self.both):
+            self.both = np.concatenate([self.both, np.zeros_like(self.both)])
         d = xxhash.xxh3_128_intdigest(word)
-        self.one.append(d & 0xFFFFFFFFFFFFFFFF)
-        self.two.append(d >> 64)
-        self[word] = at = len(self.one) - 1
+        self.both[at] = d & 0xFFFFFFFFFFFFFFFF, d >> 64
+        self[word] = at
         return at
 
     def digests(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > REMEMBERED:
             self.clear()
-            self.one, self.two = [], []
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.array(self.one, np.uint64)[at], np.array(self.two, np.uint64)[at]
+        found = self.both[at]
+        return np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])
 
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
