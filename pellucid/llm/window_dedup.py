@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ WIDTH, GRAM = 35, 12
 SKETCH_ROWS, SKETCH_BITS, LEAST_BITS, BYTES_A_CELL = 2, 30, 16, 4
 #: The power of two of the cells that are merged at once; different words that a task remembers.
 BLOCK_BITS, REMEMBERED = 21, 500_000
+#: Repeated windows that a task gathers before it joins neighbours to runs.
+GATHERED = 1_000_000
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _MIX = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
@@ -211,7 +214,8 @@ def _candidates(docs: DataFrame, sketch, bits: int, width: int, gram: int) -> Da
                     continue
                 one, two = known.digests(words)
                 at, g, d = windows(one, two, width, gram)
-                keep = np.flatnonzero(_estimated_repeated(sketch.value, bits, g))
+                new = np.r_[True, at[1:] != at[:-1]]  # an anchor is looked up once for all its windows
+                keep = np.flatnonzero(_estimated_repeated(sketch.value, bits, g[new])[np.cumsum(new) - 1])
                 if len(keep):
                     parts.append((np.full(len(keep), i), keep, at[keep], g[keep], d[keep]))
             if not parts:
@@ -242,51 +246,80 @@ def _candidates(docs: DataFrame, sketch, bits: int, width: int, gram: int) -> Da
     return docs.select("did", "th", "text").mapInArrow(run, "anchor long, did long, th long, start long, digests array<long>, marks array<long>")
 
 
+def _runs(did: np.ndarray, th: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """did, th, first, last of the runs of neighbouring starts."""
+    order = np.lexsort((start, th, did))
+    did, th, start = did[order], th[order], start[order]
+    cuts = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (th[1:] != th[:-1]) | (start[1:] > start[:-1] + 1)]) if len(did) else np.zeros(0, np.int64)
+    ends = np.r_[cuts[1:], len(did)][: len(cuts)].astype(np.int64) - 1
+    return [did[cuts], th[cuts], start[cuts], start[ends]]
+
+
+_EACH = ("digest", "anchor", "did", "th", "first", "last")
+
+
 def _repeats(sent: DataFrame) -> DataFrame:
-    """did, th, marks: pairs of first and last start of windows that occur twice or more. Windows come sorted by anchor and digest and pass through."""
-    schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("marks", pa.list_(pa.int64()))])
+    """did, th, first, last: runs of starts of windows that occur twice or more.
 
-    def rows(did: np.ndarray, th: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((start, th, did))
-        did, th, start = did[order], th[order], start[order]
-        cuts = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (th[1:] != th[:-1]) | (start[1:] > start[:-1] + 1)]) if len(did) else np.zeros(0, np.int64)
-        ends = np.r_[cuts[1:], len(did)][: len(cuts)].astype(np.int64) - 1
-        pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(cuts) + 1) * 2, pa.int32()), pa.array(np.stack([start[cuts], start[ends]], axis=1).ravel(), pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(did[cuts]), pa.array(th[cuts]), pairs], schema=schema)
+    The windows of an anchor meet in one task, are sorted there by their digests (on disk, if need be) and pass
+    through; what is marked already has its last start and passes as it is.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor, did, th, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for column, marked in ((4, False), (5, True)):
+                lists = batch.column(column)
+                n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+                values = lists.flatten().to_numpy(zero_copy_only=False)
+                if not len(values):
+                    continue
+                if marked:
+                    at = np.repeat(np.arange(len(n)), n // 2)
+                    first, last, digest = values[::2], values[1::2], np.zeros(len(at), np.int64)
+                else:
+                    at = np.repeat(np.arange(len(n)), n)
+                    first = start[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                    last, digest = np.full(len(at), -1), values
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in (digest, anchor[at], did[at], th[at], first, last)], names=list(_EACH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the window before this batch: anchor, digest, did, th, start, already given
+        pack = lambda parts: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in parts], names=["did", "th", "first", "last"])
+        before = None  # the window before this batch (digest, anchor, did, th, first) and whether it has been given
+        kept, size = [], 0
         for batch in batches:
-            own = batch.filter(batch.column(5).is_valid())
-            if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column(2), own.column(3), own.column(5)], schema=schema)
-            batch = batch.filter(batch.column(5).is_null())
-            if not batch.num_rows:
+            d, g, did, th, first, last = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            done = last >= 0
+            if done.any():
+                yield pack([[x[done]] for x in (did, th, first, last)])
+                d, g, did, th, first = (x[~done] for x in (d, g, did, th, first))
+            if not len(d):
                 continue
-            g, d, did, th, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             same = (g[1:] == g[:-1]) & (d[1:] == d[:-1])
             twin = np.zeros(len(g), bool)
             twin[1:] |= same
             twin[:-1] |= same
-            before = []
-            if last is not None and last[0] == g[0] and last[1] == d[0]:
+            if before is not None and before[0] == d[0] and before[1] == g[0]:
                 twin[0] = True
-                if not last[5]:
-                    before = [last[2:5]]
-            last = (g[-1], d[-1], did[-1], th[-1], start[-1], bool(twin[-1]))
-            a, b, c = (np.concatenate([np.array([x[i] for x in before], np.int64), col[twin]]) for i, col in enumerate((did, th, start)))
-            if len(a):
-                yield rows(a, b, c)
-
-    each = sent.repartition("anchor").select("anchor", "did", "th", F.posexplode_outer("digests").alias("at", "digest"), "start", "marks")
-    each = each.select("anchor", "digest", "did", "th", (F.col("start") + F.coalesce("at", F.lit(0))).alias("start"), "marks")
-    return each.sortWithinPartitions("anchor", "digest").mapInArrow(run, "did long, th long, marks array<long>")
-
-
-def cut(words: list[bytes], marks: list[list[int]] | None, width: int = WIDTH) -> tuple[list[bytes], list[tuple[int, int]]]:
+                if not before[5]:
+                    kept.append([np.array([x], np.int64) for x in before[2:5]])
+            before = (d[-1], g[-1], did[-1], th[-1], first[-1], bool(twin[-1]))
+            kept.append([x[twin] for x in (did, th, first)])
+            size += len(kept[-1][0])
+            if size > GATHERED:
+                yield pack([[x] for x in _runs(*(np.concatenate(x) for x in zip(*kept)))])
+                kept, size = [], 0
+        if kept:
+            yield pack([[x] for x in _runs(*(np.concatenate(x) for x in zip(*kept)))])
+
+    rows = sent.repartition("anchor").mapInArrow(each, ", ".join(f"{c} long" for c in _EACH))
+    return rows.sortWithinPartitions("digest", "anchor").mapInArrow(run, "did long, th long, first long, last long")
+
+
+def cut(words: list[bytes], marks: list[dict] | None, width: int = WIDTH) -> tuple[list[bytes], list[tuple[int, int]]]:
     """(the words that stay, the removed spans of words) where windows that start in the marked runs go."""
     spans: list[list[int]] = []
-    for a, b in sorted((m[i], m[i + 1] + width) for m in marks or () for i in range(0, len(m), 2)):
+    for a, b in sorted((m["first"], m["last"] + width) for m in marks or ()):
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
@@ -319,7 +352,7 @@ def remove_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = sketch_bits(n_bytes, most_bits)
     sketch = docs.sparkSession.sparkContext.broadcast(count_min(rows, bits, width, gram))
     found = _repeats(_candidates(rows, sketch, bits, width, gram))
-    marks = Stored(found.groupBy("did", "th").agg(F.collect_list("marks").alias("marks")), "marks").df
+    marks = Stored(found.groupBy("did", "th").agg(F.collect_list(F.struct("first", "last")).alias("marks")), "marks").df
     sketch.unpersist()
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))), ("kept", pa.string())])
 
