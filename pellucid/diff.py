@@ -98,3 +98,13 @@ def definition_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     rows = a.join(b, same, "full").where(F.col("before").isNull() | F.col("after").isNull())
     change = F.when(F.col("before").isNull(), "added").otherwise("removed").alias("change")
     return rows.select(*[F.when(F.col("before").isNull(), b[c]).otherwise(a[c]).alias(c) for c in columns], change)
+
+
+def degree_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """name, measure, d_from, d_to for two frames of degree distributions (name, median, p95, p99, maximum): what moved of the names in both.
+
+    A distribution that one side lacks is null and no move.
+    """
+    measures = ("median", "p95", "p99", "maximum")
+    tall = lambda df, value: df.select("name", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m).cast("double"), 2).alias(value)) for m in measures])).alias("x")).select("name", "x.*")
+    return tall(before, "d_from").join(tall(after, "d_to"), ["name", "measure"]).where("d_from <> d_to")

@@ -15,6 +15,7 @@ from pellucid.functions.sampling import MODULUS, gate_limit, hash_coefficients,
 from pellucid.functions.types import family
 from pellucid.graph import PropertyGraph
 from pellucid.plans.base import CheckPlan
+from pellucid.scoring import half_even_column
 from pellucid.sources.metadata import metadata_counts
 
 DEFAULT_SAMPLE = 1_000
@@ -176,3 +177,8 @@ def pii_value_match(graph: PropertyGraph, label: str | None = None, sample_size:
     graph.require((label,), (), properties or ())
     rows = occurrences(graph, label, True, properties)
     return _plan("pii_value_match", graph, label, rows, _size(sample_size), seed, {n: value_test(F.col("value"), n) for n in names}, "value-match", True, properties)
+
+
+def exposures(findings: DataFrame, population: Column, sample_size: Column) -> DataFrame:
+    """Findings with exposure_count: what was observed in the sample, carried over to the population, exact and with halves to even."""
+    return findings.withColumn("exposure_count", half_even_column((population * F.col("observed")).cast("long"), sample_size.cast("long")))

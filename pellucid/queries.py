@@ -595,6 +595,62 @@ def totals_by_verdict(spark, sf_dir):
     return history.totals_frame(_results(spark, sf_dir), "run_id")
 
 
+@query(f"SELECT run_id, suite_id AS suite, {_EVEN.format(a='(100 * earned)', b='possible')}::BIGINT AS score, selected - skipped AS evaluated, selected, pass, fail, warn, errored, skipped FROM (SELECT run_id, suite_id, sum(e)::BIGINT AS earned, sum(w)::BIGINT AS possible, count(*) AS selected, {', '.join(f'count(*) FILTER (verdict = {chr(39)}{v}{chr(39)}) AS \"{v}\"' for v in scoring.VERDICTS)} FROM {_POINTS} GROUP BY ALL)")
+def suite_table(spark, sf_dir):
+    """The table of suites in the report of every run."""
+    return report.suite_frame(_results(spark, sf_dir))
+
+
+@query("SELECT (o_custkey % 50)::VARCHAR AS run_id, 's' || (o_custkey % 3) AS suite_id, lpad(o_orderkey::VARCHAR, 9, '0') AS id, o_orderpriority AS reason, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY 's' || (o_custkey % 3), lpad(o_orderkey::VARCHAR, 9, '0')) AS place FROM orders WHERE o_orderkey % 6 = 5")
+def not_evaluated(spark, sf_dir):
+    """Skipped checks of every run and why; orders give their priority for a reason."""
+    return report.not_evaluated_frame(_results(spark, sf_dir, F.col("o_orderpriority").alias("skip_reason")))
+
+
+_DISTRIBUTION = "(SELECT c_mktsegment AS name, quantile_cont(n::DOUBLE, 0.5) AS median, quantile_cont(n::DOUBLE, 0.95) AS p95, quantile_cont(n::DOUBLE, 0.99) AS p99, max(n)::DOUBLE AS maximum FROM (SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM orders WHERE {test}) ON o_custkey = c_custkey GROUP BY ALL) GROUP BY 1)"
+
+
+@query(f"SELECT name, measure, round(a, 2) AS d_from, round(b, 2) AS d_to FROM (SELECT * FROM (UNPIVOT {_DISTRIBUTION.format(test='o_totalprice > 50000')} ON median, p95, p99, maximum INTO NAME measure VALUE a) JOIN (UNPIVOT {_DISTRIBUTION.format(test='true')} ON median, p95, p99, maximum INTO NAME measure VALUE b) USING (name, measure)) WHERE round(a, 2) <> round(b, 2)")
+def diff_degrees(spark, sf_dir):
+    """Degrees of the customers of each segment, over their dear orders and over all."""
+    graph = load_graph(spark, sf_dir)
+
+    def frame(orders: str) -> DataFrame:
+        placed = graph.nodes("Order", ["o_totalprice"]).where(orders).select(F.col("id").alias("dst"))
+        counts = graph.rels("PLACED").join(placed, "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+        rows = graph.nodes("Customer", ["c_mktsegment"]).join(counts, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        found = rows.groupBy(F.col("c_mktsegment").alias("name")).agg(F.percentile("degree", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.max("degree").alias("maximum"))
+        return found.select("name", *[F.element_at("p", i).alias(n) for i, n in enumerate(("median", "p95", "p99"), 1)], "maximum")
+
+    return diff.degree_diff(frame("o_totalprice > 50000"), frame("true"))
+
+
+@query(f"WITH f AS ({_VALUE_HITS}), s AS (SELECT (count(c_name) + count(email) + count(phone) + count(nric) + count(a) + count(b))::BIGINT AS n FROM {CONTACTS}) SELECT pattern, property, observed, {_EVEN.format(a='(7 * n * observed)', b='n')}::BIGINT AS exposure_count FROM f, s WHERE observed > 0 UNION ALL SELECT pattern || ' of few', property, observed, {_EVEN.format(a='(n * observed)', b='(n // 2 + 1)')}::BIGINT FROM f, s WHERE observed > 0")
+def pii_exposures(spark, sf_dir):
+    """What the findings would mean for seven times the population, and had half of it been looked at."""
+    plan = pii.pii_value_match(_contacts(spark, sf_dir), "Contact", pii.ALL)
+    found = plan.findings.select("pattern", "property", "observed").crossJoin(F.broadcast(plan.summary.select("population")))  # one row
+    n = F.col("population")
+    more = pii.exposures(found, 7 * n, n).unionByName(pii.exposures(found.withColumn("pattern", F.concat("pattern", F.lit(" of few"))), n, F.floor(n / 2) + 1))
+    return more.select("pattern", "property", "observed", "exposure_count")
+
+
+# One name for each kind of personal data, with the kind that it tells.
+_TELLING = {
+    "ssn": "social_security", "dob": "birthday", "email": "e_mail", "phone": "msisdn", "nric": "national_registration_identity_card", "aadhaar": "uidai", "address": "residential_address", "passport": "passport_number",
+    "credit_card": "payment_card", "tax_id": "taxpayer_id", "driver_license": "licence_number", "bank_account": "iban", "ip_address": "ipv6", "geolocation": "gps", "biometric": "voiceprint",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS pattern, '{name.upper()}' AS property, count(*) AS observed FROM supplier WHERE s_suppkey % {i + 2} <> 0" for i, (kind, name) in enumerate(_TELLING.items())))
+def pii_name_kinds(spark, sf_dir):
+    """Suppliers with a column for each kind of personal data, each filled for another part of them."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    columns = [F.when(F.col("s_suppkey") % (i + 2) != 0, F.col("s_name")).alias(name.upper()) for i, name in enumerate(_TELLING.values())]
+    graph = PropertyGraph(spark, [NodeSet(("Person",), rows.select(F.concat(F.lit("Person:"), "s_suppkey").alias("id"), "s_name", *columns))], [])
+    return pii.pii_name_match(graph, "Person", pii.ALL).findings.select("pattern", "property", "observed")
+
+
 _RANK = "CASE WHEN {x}.verdict = 'errored' AND {x}.severity = 'error' THEN 4 WHEN {x}.verdict = 'pass' THEN 0 WHEN {x}.verdict = 'skipped' THEN 1 WHEN {x}.verdict = 'warn' THEN 2 WHEN {x}.verdict = 'errored' THEN 3 ELSE 4 END"
 
 

@@ -39,6 +39,18 @@ def suite_table(results: dict) -> list[dict]:
     return out
 
 
+def suite_frame(results: DataFrame, run: str = "run_id") -> DataFrame:
+    """suite_table() for every run of a history: score, checks that were evaluated of those selected, and verdicts of each suite."""
+    found = scoring.score_frame(results, run, "suite_id")
+    return found.select(run, F.col("suite_id").alias("suite"), "score", (F.col("checks") - F.col("skipped")).alias("evaluated"), F.col("checks").alias("selected"), *scoring.VERDICTS)
+
+
+def not_evaluated_frame(results: DataFrame, run: str = "run_id") -> DataFrame:
+    """not_evaluated() for every run: skipped checks and why, in the order of a report (`place`)."""
+    skipped = results.where("verdict = 'skipped'")
+    return skipped.select(run, "suite_id", "id", F.col("skip_reason").alias("reason"), F.row_number().over(Window.partitionBy(run).orderBy("suite_id", "id")).cast("long").alias("place"))
+
+
 def headline(results: dict) -> str:
     t, total = results["totals"], scoring.score(results["checks"])
     if total.value is None:
