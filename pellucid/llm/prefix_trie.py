@@ -105,16 +105,23 @@ class _Open:
     held: list = field(default_factory=list)
 
 
-def _digest(key: bytes, depth: int) -> bytes:
-    return hashlib.md5(key[: depth * WIDTH]).digest()
-
-
 class _Range:
     """One pass over the sorted sequences of a task; gives the points of its part of the tree as they are closed."""
 
     def __init__(self, number: int):
         self.number, self.stack, self.rows = number, [], []
         self.key, self.words = b"", []
+        self.of, self.hash, self.digests = None, None, []
+
+    def _digest(self, depth: int) -> bytes:
+        """The digest of the current sequence's first turns; those of one sequence are taken one from the other."""
+        if self.of is not self.key:
+            self.of, self.hash = self.key, hashlib.md5()
+            self.digests = [self.hash.digest()]
+        for d in range(len(self.digests), depth + 1):
+            self.hash.update(self.key[(d - 1) * WIDTH : d * WIDTH])
+            self.digests.append(self.hash.digest())
+        return self.digests[depth]
 
     def _shared(self, key: bytes) -> int:
         a, b = self.key, key
@@ -152,7 +159,7 @@ class _Range:
         self.rows += point.held
         row = self._row(point, under.depth, self.words[under.depth : point.depth])
         if under.seam:
-            row["parent"] = _digest(self.key, under.depth)
+            row["parent"] = self._digest(under.depth)
         if point.seam:  # its sums are partial: other ranges may add to them
             self.rows.append(row)
             return
@@ -169,7 +176,7 @@ class _Range:
         for i in range(len(words) - 2, -1, -1):
             suffix[i] = suffix[i + 1] + words[i]
         return {
-            "parent": None, "digest": _digest(self.key, point.depth) if point.seam else None, "top": top, "depth": point.depth, "conv_id": point.least, "parent_conv_id": None, "n": point.n, "children": point.children, "leaves": point.leaves,
+            "parent": None, "digest": self._digest(point.depth) if point.seam else None, "top": top, "depth": point.depth, "conv_id": point.least, "parent_conv_id": None, "n": point.n, "children": point.children, "leaves": point.leaves,
             "below": point.below, "ends": point.ends, "own": words[-1] if words else 0, "suffix": suffix, "seam": point.seam, "paths": list(point.paths),
         }
 
@@ -178,7 +185,7 @@ class _Range:
         path = 2 * self.number + 1
         for point in self.stack:
             for row in point.held:
-                row["parent"] = _digest(self.key, point.depth)
+                row["parent"] = self._digest(point.depth)
             self.rows += point.held
             point.held, point.seam = [], True
         while self.stack:
