@@ -9,6 +9,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,8 @@ from pellucid.workers import ship
 
 #: Rows that a result may have before an assertion that needs all of them gives up.
 ROW_CEILING = 100_000
+#: Rows of a task that are looked through at once for repeats, and partitions at least that the keys of a result are dealt to.
+SLICE, DEALT = 1 << 18, 200
 #: Columns whose values point at elements.
 POINTERS = {"node_element_id": "node", "rel_element_id": "rel", "relationship_element_id": "rel"}
 #: Tokens that stand for a value of the graph, and how each is looked up; register_token adds more.
@@ -123,42 +127,87 @@ def fetch(df: DataFrame, expect: Expect, ceiling: int = ROW_CEILING) -> tuple[li
     return consume(df, expect, ceiling)[:2]
 
 
+def _thinned(batches):
+    """Of each whole number two at most in every SLICE rows: a row that stands very often goes to no single task."""
+
+    def two(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([values, values[n > 1]]))], ["head"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(np.asarray(batch.column(0)))
+        n += batch.num_rows
+        if n >= SLICE:
+            yield two(held)
+            held, n = [], 0
+    if held:
+        yield two(held)
+
+
+def _head(key: Column) -> Column:
+    """64 bits of a digest."""
+    return F.xxhash64(key)
+
+
+def _repeated(df: DataFrame, whole: Column, most: int) -> list[bytes]:
+    """Digests of rows that stand more than once, `most` of them at most.
+
+    64 bits of each digest are dealt, without a table of them in the task that reads the rows; those that meet their
+    like are looked at again in full. Should all of them differ after all, whole digests are counted.
+    """
+    spark = df.sparkSession
+    parts = max(DEALT, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    heads = df.select(_head(whole).alias("head")).mapInArrow(_thinned, "head long").repartition(parts, "head")
+    some = [(r["head"],) for r in heads.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").limit(most).collect()]
+    if not some:
+        return []
+    keys = df.select(whole.alias("key"))
+    twice = lambda rows: [bytes(r["key"]) for r in rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(most).collect()]
+    known = F.broadcast(spark.createDataFrame(some, "head long"))  # `most` at most
+    return twice(keys.join(known, _head(F.col("key")) == known["head"], "left_semi")) or twice(keys)
+
+
 def settle(df: DataFrame, expect: Expect, evidence_cap: int = 100) -> tuple[dict, list[dict]]:
     """`unique`, `contains` and `equals` of a result of any size, decided where it lies.
 
-    Rows are grouped by digests of their canonical text: a repeated row is a group of two, a pinned value that is
-    missing is an empty one, and bags are equal if all groups have the same size on both sides, compared both ways.
-    Returns what holds (None for what is not asked) and some rows that break it. Pinned values are as many as the suite holds.
+    Rows are known by digests of their canonical text: a repeated row is a digest that stands twice, a pinned value that
+    is missing stands nowhere, and bags are equal if each pinned digest stands as often as it is pinned, and no other.
+    Pinned values are as many as the suite holds, and tasks count those alone: none holds more of a larger result.
+    Returns what holds (None for what is not asked) and some rows that break it.
     """
     spark, zone = df.sparkSession, _zone(df)
+    ship(spark)
     whole, cell, kind = _keys(df)
     shown = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     found: dict[str, bool] = {}
     rows: list[dict] = []
+    listed = lambda keys: F.broadcast(spark.createDataFrame([(k,) for k in keys], "key binary"))  # noqa: E731  the suite's own values, or evidence_cap
 
-    def pick(keys: DataFrame, key: Column) -> None:
-        hit = df.select(key.alias("key"), shown.alias("row")).join(keys.select("key"), "key", "left_semi").limit(evidence_cap)
+    def pick(keys: DataFrame, key: Column, how: str = "left_semi") -> None:
+        hit = df.select(key.alias("key"), shown.alias("row")).join(keys, "key", how).limit(evidence_cap - len(rows))
         rows.extend(r["row"].asDict() for r in hit.collect())
 
     if expect.unique is not None:
-        twice = df.select(whole.alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(evidence_cap)
-        keys = spark.createDataFrame([(bytes(r["key"]),) for r in twice.collect()], "key binary")
-        found["unique"] = keys.isEmpty()
-        if expect.unique and not found["unique"]:
-            pick(keys, whole)
+        twice = _repeated(df, whole, evidence_cap)
+        found["unique"] = not twice
+        if expect.unique and twice:
+            pick(listed(twice), whole)
     if expect.contains is not None:
         pinned = {digest_of(v, kind, zone) for v in expect.contains}
-        keys = spark.createDataFrame([(k,) for k in pinned], "key binary")
-        there = df.select(cell.alias("key")).join(F.broadcast(keys), "key", "left_semi").distinct().count()  # the suite's own values
+        there = df.select(cell.alias("key")).join(listed(pinned), "key", "left_semi").distinct().count()
         found["contains"] = there == len(pinned)
     if expect.equals is not None:
-        asked = spark.createDataFrame(list(Counter(digest_of(v, kind, zone) for v in expect.equals).items()), "key binary, wanted long")
-        counts = df.select(cell.alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-        apart = counts.join(asked, "key", "full").where("NOT (n <=> wanted)").select("key").limit(evidence_cap)
-        keys = spark.createDataFrame([(bytes(r["key"]),) for r in apart.collect()], "key binary")
-        found["equals"] = keys.isEmpty()
-        if not found["equals"]:
-            pick(keys, cell)
+        wanted = Counter(digest_of(v, kind, zone) for v in expect.equals)
+        asked = listed(wanted).withColumn("asked", F.col("key"))
+        counts = df.select(cell.alias("key")).join(asked, "key", "left").groupBy("asked").agg(F.count("*").alias("n"))
+        n = {r["asked"] and bytes(r["asked"]): r["n"] for r in counts.collect()}  # as many as are pinned, and None for all others
+        apart = [k for k, v in wanted.items() if n.get(k, 0) != v]
+        found["equals"] = not apart and None not in n
+        if apart:
+            pick(listed(apart[:evidence_cap]), cell)
+        if None in n and len(rows) < evidence_cap:
+            pick(listed(wanted), cell, "left_anti")
     return found, rows
 
 

@@ -128,3 +128,41 @@ def test_verdicts_are_those_of_plain_counting(spark):
             for ceiling in (100, 1):
                 found = comp.assess(df, expect, ceiling)
                 assert found.passed is want.passed, (rows, expect, ceiling)
+
+
+def stages(spark, call):
+    """What call gives, and for each stage that it ran: tasks, records written to shuffles, execution memory of all its tasks."""
+    sc = spark.sparkContext
+    none = sc._jvm.java.util.ArrayList()
+
+    def seen():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return {s.stageId(): (s.numTasks(), s.shuffleWriteRecords(), s.peakExecutionMemory()) for s in (found.apply(i) for i in range(found.size()))}
+
+    before = seen()
+    out = call()
+    return out, [v for k, v in seen().items() if k not in before]
+
+
+def test_no_task_gathers_a_larger_result(spark):
+    """Rows that break an assertion are picked where they lie, and no table of all rows is kept by the task that reads them."""
+    same = spark.range(0, 200_000, 1, 2).selectExpr("IF(id % 2 = 0, 'a', 'b') AS x")
+    (found, rows), ran = stages(spark, lambda: comp.settle(same, Expect(equals=["a", "b"])))
+    assert found == {"equals": False} and len(rows) == 100 and sum(s[1] for s in ran) < 1_000
+    (found, rows), ran = stages(spark, lambda: comp.settle(same, Expect(unique=True)))
+    assert found == {"unique": False} and len(rows) == 100 and sum(s[1] for s in ran) < 1_000
+    apart = spark.range(0, 600_000, 1, 1)
+    (found, rows), ran = stages(spark, lambda: comp.settle(apart, Expect(unique=True)))
+    assert found == {"unique": True} and not rows and max(s[1] for s in ran) == 600_000 and all(s[2] < 1 << 20 for s in ran if s[1])
+    (found, rows), _ = stages(spark, lambda: comp.settle(apart.union(spark.range(599_990, 600_010)), Expect(unique=True, equals=[1, 7, -1])))
+    assert found == {"unique": False, "equals": False} and {599_990, 599_999} <= {r["id"] for r in rows} and len(rows) == 100
+
+
+def test_heads_that_meet_by_chance_are_no_repeats(spark, monkeypatch):
+    """64 bits that are equal for all rows: the whole digests decide."""
+    monkeypatch.setattr(comp, "_head", lambda key: F.lit(7).cast("long"))
+    df = spark.range(0, 50, 1, 2)
+    assert comp.settle(df, Expect(unique=True))[0] == {"unique": True}
+    found, rows = comp.settle(df.union(spark.range(3, 5)), Expect(unique=True))
+    assert found == {"unique": False} and sorted(r["id"] for r in rows) == [3, 3, 4, 4]
