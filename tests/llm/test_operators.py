@@ -523,6 +523,38 @@ def test_lm_learns_kinds_and_beats_the_base(spark):
     assert len(found) > 30 and sum(r["score"] for r in found) > 0.95 * sum(r["base_score"] for r in found) and all(r["score"] > r["piece_score"] for r in found)
 
 
+def test_lm_kinds_are_drawn_apart_on_all_training_words(spark, monkeypatch):
+    """The rounds go through disjoint shares that hold every training word; then all words together."""
+    monkeypatch.setattr(lm_scoring, "SHARE_WORDS", 10)
+    taken = []
+
+    def expected(words, path, p, weights):
+        taken.append([bytes(r["word"]) for r in words.collect()])
+        return np.ones(p.shape), np.ones(len(p))
+
+    monkeypatch.setattr(lm_scoring, "_expected", expected)
+    rows = [(f"w{i}".encode(), 1) for i in range(400)] + [(b"held", 0), (b"", 9)]
+    p, weights = lm_scoring._estimate(spark.createDataFrame(rows, "word binary, c long"), "piece_bpe_32k.model", 4)
+    every = sorted(w for w, c in rows if c and w)
+    assert len(taken) == lm_scoring.START_ROUNDS + 1 and sorted(taken[-1]) == every
+    assert sorted(w for share in taken[:-1] for w in share) == every and all(taken)
+    assert p.sum(1) == pytest.approx(np.ones(4)) and np.exp(weights).sum() == pytest.approx(1)
+    taken.clear()
+    lm_scoring._estimate(spark.createDataFrame(rows[:15], "word binary, c long"), "piece_bpe_32k.model", 4)
+    assert all(len(share) == 15 for share in taken)
+
+
+def test_lattice_keeps_chances_below_a_double():
+    found, p = (b" ", b"a", b"b"), np.array([[0.5, 1e-10, 0.5], [0.2, 0.4, 0.4]])
+    lattice, words = lm_scoring.Lattice(found, p), [b"a" * 40, b"b" * 40, b"a" * 20 + b"b" * 20]
+    weights, counts, shares = np.log([0.5, 0.5]), np.zeros(p.shape), np.zeros(2)
+    got = lattice.score(words, weights, counts, shares)
+    want = np.array([[math.log(q[0]) + w.count(b"a") * math.log(q[1]) + w.count(b"b") * math.log(q[2]) for q in p] for w in words])
+    own = np.exp(lm_scoring._normal(want + weights))
+    assert got == pytest.approx(want) and shares == pytest.approx(own.sum(0))
+    assert counts == pytest.approx(np.stack([own.T @ [x.count(b) for x in (b" " + w for w in words)] for b in found], axis=1))
+
+
 def sum_long(prob, word):
     longest = max(map(len, prob))
     a = [1.0] + [0.0] * len(word)
